@@ -202,3 +202,124 @@ SELECT model, "row", round(precision, 9) AS precision, round(recall, 9) AS recal
 def e9_classification_report(spark, sf_dir):
     conf = ev.confusion_counts(_stacked(fx.labelled_samples(spark, sf_dir), keys=()), keys=("model",))
     return round_doubles(ev.classification_report(conf, keys=("model",)))
+
+
+# ---- S3, P2-P7, J1, U1, M8: sources, roles, labelling ----------------------------------------------------------
+
+from ctxspark.functions import epoch_to_utc_string  # noqa: E402
+from ctxspark.operators import folds as fo  # noqa: E402
+from ctxspark.operators import labels as lb  # noqa: E402
+
+SAMPLES = f"samples AS ({fx.SAMPLES_SQL})"
+SAMPLES_NP = f"samples AS (SELECT * EXCLUDE (part) FROM ({fx.SAMPLES_SQL}))"
+_IS_F = "label_af + label_nf + label_rf = 1"
+
+
+@register("s3_union_users", f"""WITH {SAMPLES}
+SELECT * EXCLUDE (acc_price) FROM samples WHERE {_IS_F}
+UNION ALL BY NAME
+SELECT * EXCLUDE (gyro_tax) FROM samples WHERE NOT ({_IS_F})""")
+def s3_union_users(spark, sf_dir):
+    s = fx.samples(spark, sf_dir)
+    is_f = (F.col("label_af") + F.col("label_nf") + F.col("label_rf")) == 1
+    return lb.union_users([s.filter(is_f).drop("acc_price"), s.filter(~is_f).drop("gyro_tax")])
+
+
+@register("p2_features_frame", f"""WITH {SAMPLES_NP}
+SELECT uuid, "timestamp", {", ".join(fx.SAMPLE_FEATURES)} FROM samples""")
+def p2_features_frame(spark, sf_dir):
+    return lb.split_roles(fx.samples(spark, sf_dir, with_part=False), fx.SAMPLE_LABELS)[0]
+
+
+@register("p3_labels_frame", f"""WITH {SAMPLES_NP}
+SELECT uuid, "timestamp", {", ".join(fx.SAMPLE_LABELS)} FROM samples""")
+def p3_labels_frame(spark, sf_dir):
+    return lb.split_roles(fx.samples(spark, sf_dir, with_part=False), fx.SAMPLE_LABELS)[1]
+
+
+_JOINED_SQL = f"""{SAMPLES_NP},
+f AS (SELECT uuid, "timestamp", {", ".join(fx.SAMPLE_FEATURES)} FROM samples),
+l AS (SELECT uuid, "timestamp", {", ".join(fx.SAMPLE_LABELS)} FROM samples),
+j AS (SELECT * FROM f LEFT JOIN l USING (uuid, "timestamp"))"""
+
+
+@register("j1_join_labels", f"""WITH {_JOINED_SQL}
+SELECT * FROM j""")
+def j1_join_labels(spark, sf_dir):
+    f, l = lb.split_roles(fx.samples(spark, sf_dir, with_part=False), fx.SAMPLE_LABELS)
+    return lb.join_labels(f, l)
+
+
+_NAMES_SQL = "[" + ", ".join(f"'{n}'" for n in fx.SAMPLE_LABELS) + "]"
+
+
+@register("p5_labelled_dataset", f"""WITH {_JOINED_SQL}
+SELECT * EXCLUDE (l, {", ".join(fx.SAMPLE_LABELS)}), {fx.ARGMAX_SQL} AS label,
+       {_NAMES_SQL}[{fx.ARGMAX_SQL} + 1] AS label_name
+FROM (SELECT *, {fx.LABEL_LIST_SQL} AS l FROM j)""")
+def p5_labelled_dataset(spark, sf_dir):
+    return lb.merged_dataset(fx.samples(spark, sf_dir, with_part=False), fx.SAMPLE_LABELS)
+
+
+@register("u1_train_test_union", f"""WITH {LAB}
+SELECT * FROM lab""")
+def u1_train_test_union(spark, sf_dir):
+    lab = fx.labelled_samples(spark, sf_dir)
+    mem = fx.members(spark, sf_dir)
+    train = fo.fold_rows(lab, mem, fold=0, split="train").drop("fold", "split")
+    test = fo.fold_rows(lab, mem, fold=0, split="test").drop("fold", "split")
+    return train.unionByName(test)
+
+
+@register("m8_epoch_strings", f"""WITH {SAMPLES}
+SELECT uuid, "timestamp", strftime(make_timestamp(CAST("timestamp" AS BIGINT) * 1000000), '%Y-%m-%d %H:%M:%S') AS date
+FROM samples""")
+def m8_epoch_strings(spark, sf_dir):
+    s = fx.samples(spark, sf_dir)
+    return s.select("uuid", "timestamp", epoch_to_utc_string(F.col("timestamp")).alias("date"))
+
+
+# ---- J2, J3, W1, L12-L14: folds and groups ----------------------------------------------------------------------
+
+
+@register("j2_fold_rows", f"""WITH {LAB}, {MEM}
+SELECT l.*, m.fold, m.split FROM lab l JOIN mem m USING (uuid)""")
+def j2_fold_rows(spark, sf_dir):
+    return fo.fold_rows(fx.labelled_samples(spark, sf_dir), fx.members(spark, sf_dir))
+
+
+@register("j3_attach_groups", f"""WITH {SAMPLES}, gm AS ({fx.GROUP_MAP_SQL})
+SELECT s.uuid, s."timestamp", g."group" FROM samples s LEFT JOIN gm g USING (uuid)""")
+def j3_attach_groups(spark, sf_dir):
+    s = fx.samples(spark, sf_dir).select("uuid", "timestamp")
+    return fo.attach_groups(s, fx.group_map(spark, sf_dir))
+
+
+@register("w1_uuid_codes", f"""WITH {SAMPLES}
+SELECT uuid, CAST(row_number() OVER (ORDER BY uuid) - 1 AS INTEGER) AS code FROM (SELECT DISTINCT uuid FROM samples)""")
+def w1_uuid_codes(spark, sf_dir):
+    return fo.uuid_codes(fx.samples(spark, sf_dir))
+
+
+@register("l14_row_groups", f"""WITH {SAMPLES},
+codes AS (SELECT uuid, CAST(row_number() OVER (ORDER BY uuid) - 1 AS INTEGER) AS "group" FROM (SELECT DISTINCT uuid FROM samples))
+SELECT s.uuid, s."timestamp", c."group" FROM samples s JOIN codes c USING (uuid)""")
+def l14_row_groups(spark, sf_dir):
+    return fo.attach_uuid_codes(fx.samples(spark, sf_dir).select("uuid", "timestamp"))
+
+
+@register("l12_group_kfold")
+def l12_group_kfold(spark, sf_dir):
+    """Group k-fold (5 splits) over the configured user groups; unlisted users form one null group."""
+    rows = fo.attach_groups(fx.labelled_samples(spark, sf_dir), fx.group_map(spark, sf_dir))
+    tagged = fo.group_kfold(rows, "group", n_splits=5)
+    return tagged.groupBy("group", "cv_fold").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("l13_stratified_fold_sizes", f"""WITH {LAB}
+SELECT label, cv_fold, count(*) AS n
+FROM (SELECT label, CAST((row_number() OVER (ORDER BY label) - 1) % 3 AS INTEGER) AS cv_fold FROM lab)
+GROUP BY ALL""")
+def l13_stratified_fold_sizes(spark, sf_dir):
+    tagged = fo.stratified_kfold(fx.labelled_samples(spark, sf_dir), "label", k=3, seed=7)
+    return tagged.groupBy("label", "cv_fold").agg(F.count(F.lit(1)).alias("n"))
