@@ -323,3 +323,198 @@ GROUP BY ALL""")
 def l13_stratified_fold_sizes(spark, sf_dir):
     tagged = fo.stratified_kfold(fx.labelled_samples(spark, sf_dir), "label", k=3, seed=7)
     return tagged.groupBy("label", "cv_fold").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- A1, A3, M1-M5, P8, C5: statistics, preparation, selection --------------------------------------------------
+
+from ctxspark.functions import split_discrete_numeric  # noqa: E402
+from ctxspark.operators import compare as cmp  # noqa: E402
+from ctxspark.operators import prep as pp  # noqa: E402
+from ctxspark.operators import select as sel  # noqa: E402
+from ctxspark.operators import stats as stx  # noqa: E402
+
+FEATS = list(fx.SAMPLE_FEATURES)
+DISC, NUM = split_discrete_numeric(FEATS)
+_UNPIVOT = f"(UNPIVOT (SELECT {', '.join(FEATS)} FROM samples) ON {', '.join(FEATS)} INTO NAME feature VALUE value)"
+_STATS_SQL = f"""SELECT feature, count(value) AS n, avg(value) AS mean, stddev_pop(value) AS std,
+       CASE WHEN stddev_pop(value) = 0 THEN 1.0 ELSE stddev_pop(value) END AS scale
+FROM {_UNPIVOT} GROUP BY feature"""
+_MODES_SQL = f"""SELECT feature, value AS mode, n AS count FROM (
+  SELECT feature, value, n, row_number() OVER (PARTITION BY feature ORDER BY n DESC, value ASC) AS rk
+  FROM (SELECT feature, value, count(*) AS n FROM {_UNPIVOT} GROUP BY ALL)) WHERE rk = 1"""
+
+
+@register("a1_column_stats", f"""WITH {SAMPLES_NP}
+SELECT feature, n, round(mean, 9) AS mean, round(std, 9) AS std, round(scale, 9) AS scale FROM ({_STATS_SQL})""")
+def a1_column_stats(spark, sf_dir):
+    return round_doubles(stx.column_stats(fx.samples(spark, sf_dir, with_part=False), FEATS))
+
+
+@register("a3_column_modes", f"""WITH {SAMPLES_NP}
+{_MODES_SQL}""")
+def a3_column_modes(spark, sf_dir):
+    return stx.column_modes(fx.samples(spark, sf_dir, with_part=False), FEATS)
+
+
+def _labelled_join(spark, sf_dir):
+    """The merged dataset (features joined with labels, argmax label) without the label name."""
+    return lb.merged_dataset(fx.samples(spark, sf_dir, with_part=False), fx.SAMPLE_LABELS).drop("label_name")
+
+
+_MERGED = f"""{_JOINED_SQL},
+merged AS (SELECT * EXCLUDE (l, {", ".join(fx.SAMPLE_LABELS)}), {fx.ARGMAX_SQL} AS label
+           FROM (SELECT *, {fx.LABEL_LIST_SQL} AS l FROM j))"""
+_MOMENTS_SQL = f"""
+mstats AS (SELECT feature, avg(value) AS mean FROM (UNPIVOT (SELECT {', '.join(FEATS)} FROM merged) ON {', '.join(FEATS)}
+           INTO NAME feature VALUE value) GROUP BY feature),
+mmodes AS (SELECT feature, value AS mode FROM (
+  SELECT feature, value, row_number() OVER (PARTITION BY feature ORDER BY n DESC, value ASC) AS rk
+  FROM (SELECT feature, value, count(*) AS n FROM (UNPIVOT (SELECT {', '.join(DISC)} FROM merged) ON {', '.join(DISC)}
+        INTO NAME feature VALUE value) GROUP BY ALL)) WHERE rk = 1),
+fills AS (SELECT s.feature, coalesce(m.mode, s.mean) AS fill FROM mstats s LEFT JOIN mmodes m USING (feature)),
+filled AS (SELECT label, {", ".join(f"coalesce({c}, (SELECT fill FROM fills WHERE feature = '{c}')) AS {c}" for c in FEATS)}
+           FROM merged),
+grp AS (SELECT feature, label, count(*) AS nk, avg(value) AS mk, var_pop(value) * count(*) AS ssk
+        FROM (UNPIVOT filled ON {', '.join(FEATS)} INTO NAME feature VALUE value) GROUP BY ALL),
+g2 AS (SELECT *, sum(nk * mk) OVER (PARTITION BY feature) / sum(nk) OVER (PARTITION BY feature) AS grand FROM grp),
+fs AS (SELECT feature, (sum(nk * (mk - grand) ^ 2) / (count(*) - 1)) / (sum(ssk) / (sum(nk) - count(*))) AS f_score
+       FROM g2 GROUP BY feature),
+pos AS (SELECT * FROM (VALUES {", ".join(f"('{c}', {i})" for i, c in enumerate(FEATS))}) t(feature, position))"""
+
+
+@register("m1_anova_selection", f"""WITH {_MERGED}, {_MOMENTS_SQL},
+ranked AS (SELECT p.feature, CAST(p.position AS INTEGER) AS position, f.f_score,
+                  quantile_cont(f.f_score, 0.6) OVER () AS thr,
+                  count(*) OVER () AS nf FROM pos p JOIN fs f USING (feature)),
+tied AS (SELECT *, sum(CASE WHEN f_score > thr THEN 1 ELSE 0 END) OVER () AS above,
+                row_number() OVER (PARTITION BY f_score = thr ORDER BY position) AS tie_rank FROM ranked)
+SELECT feature, position, round(f_score, 6) AS f_score,
+       (f_score > thr OR (f_score = thr AND tie_rank <= floor(nf * 40 / 100) - above)) AS selected
+FROM tied""")
+def m1_anova_selection(spark, sf_dir):
+    s = sel.select_features(_labelled_join(spark, sf_dir), FEATS, percentile=40)
+    return s.withColumn("f_score", F.round("f_score", 6))
+
+
+@register("p8_selected_dataset")
+def p8_selected_dataset(spark, sf_dir):
+    """The saved dataset: uuid, the selected raw features (unfilled) in column order, label."""
+    data = _labelled_join(spark, sf_dir)
+    keep = sel.selected_names(sel.select_features(data, FEATS, percentile=40))
+    return data.select("uuid", *[q(c) for c in sorted(keep)], "label")
+
+
+@register("m2_selection_fill", f"""WITH {_MERGED}, {_MOMENTS_SQL}
+SELECT uuid, "timestamp", label, {", ".join(f'round({c}, 6) AS {c}' for c in FEATS)} FROM (SELECT uuid, "timestamp", label,
+  {", ".join(f"coalesce({c}, (SELECT fill FROM fills WHERE feature = '{c}')) AS {c}" for c in FEATS)} FROM merged)""")
+def m2_selection_fill(spark, sf_dir):
+    data = _labelled_join(spark, sf_dir)
+    st = pp.fit_statistics(data, FEATS)
+    fills = {c: (st[c]["mode"] if c in DISC else st[c]["mean"]) for c in FEATS}
+    out = data.select("uuid", "timestamp", "label", *[F.coalesce(q(c), F.lit(fills[c])).alias(c) for c in FEATS])
+    return round_doubles(out, 6)
+
+
+_SCALE_SQL = ", ".join(
+    f"round(({c} - (SELECT mean FROM st WHERE feature = '{c}')) / (SELECT scale FROM st WHERE feature = '{c}'), 6) AS {c}"
+    for c in NUM)
+
+
+@register("m3_scaled_features", f"""WITH {SAMPLES_NP}, st AS ({_STATS_SQL})
+SELECT uuid, "timestamp", {_SCALE_SQL} FROM samples""")
+def m3_scaled_features(spark, sf_dir):
+    s = fx.samples(spark, sf_dir, with_part=False)
+    st = {r["feature"]: r.asDict() for r in stx.column_stats(s, NUM).collect()}
+    return round_doubles(pp.scale_columns(s, st, NUM).select("uuid", "timestamp", *NUM), 6)
+
+
+@register("m4_scaled_filled", f"""WITH {SAMPLES_NP}, st AS ({_STATS_SQL})
+SELECT uuid, "timestamp", {", ".join(f"coalesce({c}, 0.0) AS {c}" for c in NUM)} FROM (SELECT uuid, "timestamp", {_SCALE_SQL} FROM samples)""")
+def m4_scaled_filled(spark, sf_dir):
+    s = fx.samples(spark, sf_dir, with_part=False)
+    st = {r["feature"]: r.asDict() for r in stx.column_stats(s, NUM).collect()}
+    return round_doubles(pp.fill_zero(pp.scale_columns(s, st, NUM), NUM).select("uuid", "timestamp", *NUM), 6)
+
+
+@register("m5_mixed_prep", f"""WITH {SAMPLES_NP}, st AS ({_STATS_SQL}), md AS ({_MODES_SQL})
+SELECT uuid, "timestamp",
+  {", ".join(f"coalesce({c}, (SELECT mode FROM md WHERE feature = '{c}')) AS p_{c}" for c in DISC)},
+  {", ".join(f"round((coalesce({c}, (SELECT mode FROM md WHERE feature = '{c}')) - (SELECT mean FROM st WHERE feature = '{c}')) / (SELECT scale FROM st WHERE feature = '{c}'), 6) AS p_{c}" for c in NUM)}
+FROM samples""")
+def m5_mixed_prep(spark, sf_dir):
+    s = fx.samples(spark, sf_dir, with_part=False)
+    model = pp.MixedPrep(inputCols=FEATS).fit(s)
+    out = model.transform(s)
+    from pyspark.ml.functions import vector_to_array
+    arr = vector_to_array(F.col("features"))
+    names = model.feature_order()
+    return round_doubles(out.select("uuid", "timestamp", *[arr[i].alias(f"p_{c}") for i, c in enumerate(names)]), 6)
+
+
+@register("c5_all_data_prep", f"""WITH {LAB}, st AS (SELECT feature, avg(value) AS mean,
+       CASE WHEN stddev_pop(value) = 0 THEN 1.0 ELSE stddev_pop(value) END AS scale
+       FROM (UNPIVOT (SELECT {', '.join(NUM)} FROM lab) ON {', '.join(NUM)} INTO NAME feature VALUE value) GROUP BY feature)
+SELECT uuid, "timestamp", label,
+  {", ".join(f"coalesce({c}, 0.0) AS {c}" for c in DISC)},
+  {", ".join(f"round(coalesce(({c} - (SELECT mean FROM st WHERE feature = '{c}')) / (SELECT scale FROM st WHERE feature = '{c}'), 0.0), 6) AS {c}" for c in NUM)}
+FROM lab""")
+def c5_all_data_prep(spark, sf_dir):
+    lab = fx.labelled_samples(spark, sf_dir)
+    mem = fx.members(spark, sf_dir)
+    both = (fo.fold_rows(lab, mem, fold=0, split="train").unionByName(fo.fold_rows(lab, mem, fold=0, split="test"))
+            .drop("fold", "split"))
+    return round_doubles(pp.scale_and_fill_all(both, FEATS).select("uuid", "timestamp", "label", *FEATS), 6)
+
+
+# ---- A5, A10, A11, C1-C4, P12-P14: comparing two models ---------------------------------------------------------
+
+
+@register("c1_disagreement_rows", f"""WITH {LAB}
+SELECT * FROM lab WHERE pred_a <> pred_b""")
+def c1_disagreement_rows(spark, sf_dir):
+    return cmp.disagreements(fx.labelled_samples(spark, sf_dir), "pred_a", "pred_b")
+
+
+@register("c2_disagreement_histogram", f"""WITH {LAB},
+d AS (SELECT * FROM lab WHERE pred_a <> pred_b),
+s AS (SELECT 'label' AS which, label AS v FROM d UNION ALL SELECT 'pred_a', pred_a FROM d UNION ALL SELECT 'pred_b', pred_b FROM d)
+SELECT CAST(r.range AS INTEGER) AS label,
+       CAST(count(*) FILTER (WHERE which = 'label') AS BIGINT) AS label_n,
+       CAST(count(*) FILTER (WHERE which = 'pred_a') AS BIGINT) AS pred_a,
+       CAST(count(*) FILTER (WHERE which = 'pred_b') AS BIGINT) AS pred_b
+FROM range(6) r LEFT JOIN s ON s.v = r.range GROUP BY r.range""")
+def c2_disagreement_histogram(spark, sf_dir):
+    h = cmp.disagreement_histogram(fx.labelled_samples(spark, sf_dir), "label", "pred_a", "pred_b", 6)
+    return h.toDF("label", "label_n", "pred_a", "pred_b")
+
+
+@register("p14_correctness_flags", f"""WITH {LAB}
+SELECT *, CAST(pred_a = label AS INTEGER) AS pred_a_correct, CAST(pred_b = label AS INTEGER) AS pred_b_correct FROM lab""")
+def p14_correctness_flags(spark, sf_dir):
+    return cmp.correctness_flags(fx.labelled_samples(spark, sf_dir), "label", ["pred_a", "pred_b"])
+
+
+_CELLS_SQL = "(VALUES (0, 0), (0, 1), (1, 0), (1, 1)) c(correct_a, correct_b)"
+
+
+@register("c3_agreement_matrix", f"""WITH {LAB},
+f AS (SELECT CAST(pred_a = label AS INTEGER) AS correct_a, CAST(pred_b = label AS INTEGER) AS correct_b FROM lab),
+n AS (SELECT correct_a, correct_b, count(*) AS n FROM f GROUP BY ALL)
+SELECT CAST(c.correct_a AS INTEGER) AS correct_a, CAST(c.correct_b AS INTEGER) AS correct_b, CAST(coalesce(n.n, 0) AS BIGINT) AS n,
+       round(coalesce(n.n, 0) / sum(coalesce(n.n, 0)) OVER (), 9) AS share
+FROM {_CELLS_SQL} LEFT JOIN n USING (correct_a, correct_b)""")
+def c3_agreement_matrix(spark, sf_dir):
+    return round_doubles(cmp.agreement_matrix(fx.labelled_samples(spark, sf_dir), "label", "pred_a", "pred_b"))
+
+
+@register("c4_agreement_by_class", f"""WITH {LAB},
+f AS (SELECT label, CAST(pred_a = label AS INTEGER) AS correct_a, CAST(pred_b = label AS INTEGER) AS correct_b FROM lab),
+n AS (SELECT label, correct_a, correct_b, count(*) AS n FROM f GROUP BY ALL),
+g AS (SELECT DISTINCT label FROM f)
+SELECT g.label, CAST(c.correct_a AS INTEGER) AS correct_a, CAST(c.correct_b AS INTEGER) AS correct_b,
+       CAST(coalesce(n.n, 0) AS BIGINT) AS n,
+       round(coalesce(n.n, 0) / sum(coalesce(n.n, 0)) OVER (PARTITION BY g.label), 9) AS share
+FROM g CROSS JOIN {_CELLS_SQL} LEFT JOIN n ON n.label = g.label AND n.correct_a = c.correct_a AND n.correct_b = c.correct_b""")
+def c4_agreement_by_class(spark, sf_dir):
+    return round_doubles(cmp.agreement_matrix(fx.labelled_samples(spark, sf_dir), "label", "pred_a", "pred_b",
+                                              by_class=True))
