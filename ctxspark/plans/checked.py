@@ -518,3 +518,89 @@ FROM g CROSS JOIN {_CELLS_SQL} LEFT JOIN n ON n.label = g.label AND n.correct_a
 def c4_agreement_by_class(spark, sf_dir):
     return round_doubles(cmp.agreement_matrix(fx.labelled_samples(spark, sf_dir), "label", "pred_a", "pred_b",
                                               by_class=True))
+
+
+# ---- L3-L16, E1, C6: models (rows-only checks: fitted models have no SQL twin) -----------------------------------
+
+from ctxspark.operators import models as md  # noqa: E402
+from ctxspark.plans import flows  # noqa: E402
+from ctxspark.session import shared_dir  # noqa: E402
+from ctxspark.sources import store  # noqa: E402
+
+
+@register("l6_balanced_weights", f"""WITH {LAB}, {MEM},
+tr AS (SELECT l.* FROM lab l JOIN mem m ON l.uuid = m.uuid AND m.fold = 0 AND m.split = 'train'),
+c AS (SELECT label, count(*) AS n FROM tr GROUP BY label)
+SELECT label, n, round(sum(n) OVER () / (count(*) OVER () * n), 9) AS weight FROM c""")
+def l6_balanced_weights(spark, sf_dir):
+    train = fo.fold_rows(fx.labelled_samples(spark, sf_dir), fx.members(spark, sf_dir), fold=0, split="train")
+    counts = md.class_counts(train)
+    tab = spark.createDataFrame(sorted(counts.items()), "label int, n long")
+    return round_doubles(tab.withColumn("weight", md.balanced_weight(counts, F.col("label"))))
+
+
+def _fold0(spark, sf_dir):
+    lab = fx.labelled_samples(spark, sf_dir).drop("pred_a", "pred_b", "part")
+    mem = fx.members(spark, sf_dir)
+    return (fo.fold_rows(lab, mem, fold=0, split="train").drop("fold", "split"),
+            fo.fold_rows(lab, mem, fold=0, split="test"))
+
+
+def _fold0_results(spark, sf_dir, config, name):
+    train, test = _fold0(spark, sf_dir)
+    model = md.early_fusion(FEATS, config).fit(train)
+    return round_doubles(ev.fold_results(md.predict(model, test), {name: "prediction"}))
+
+
+@register("l9_train_lr_per_fold")
+def l9_train_lr_per_fold(spark, sf_dir):
+    """Reference default run: 40 % ANOVA selection, 5 folds, balanced LR (C = 1e-4), results per fold + pooled."""
+    raw = fx.samples(spark, sf_dir, with_part=False)
+    cfg = flows.RunConfig(activity_labels=fx.SAMPLE_LABELS)
+    return round_doubles(flows.run(raw, fx.members(spark, sf_dir), cfg)["results"])
+
+
+@register("l16_lr_predictions")
+def l16_lr_predictions(spark, sf_dir):
+    train, test = _fold0(spark, sf_dir)
+    model = md.early_fusion(FEATS, flows.DEFAULT_MODEL).fit(train)
+    return md.predict(model, test).select("uuid", "timestamp", "label", "prediction")
+
+
+@register("l4_ovr_lr_results")
+def l4_ovr_lr_results(spark, sf_dir):
+    cfg = {"estimator": "logistic-regression", "C": 1, "max_iter": 1000, "class_weight": "balanced",
+           "multi_class": "ovr"}
+    return _fold0_results(spark, sf_dir, cfg, "lr_ovr")
+
+
+@register("l5_random_forest_results")
+def l5_random_forest_results(spark, sf_dir):
+    cfg = {"estimator": "random-forest", "n_estimators": 50, "criterion": "entropy", "max_depth": 10,
+           "class_weight": "balanced", "min_samples_split": 1.0}
+    return _fold0_results(spark, sf_dir, cfg, "rf")
+
+
+@register("e1_saved_model_state")
+def e1_saved_model_state(spark, sf_dir):
+    """Train fold 0, save, load back, score the test users: per-class TP/TN/FP/FN."""
+    train, test = _fold0(spark, sf_dir)
+    path = store.save_model(md.early_fusion(FEATS, flows.DEFAULT_MODEL).fit(train), shared_dir(spark, "model"))
+    pred = md.predict(store.load_model(path), test)
+    return ev.class_state(ev.confusion_counts(pred))
+
+
+@register("l11_grid_search_lr")
+def l11_grid_search_lr(spark, sf_dir):
+    """LR grid (6 candidates, one-vs-rest, balanced) with 3 stratified splits on fold-0 training rows."""
+    train, _ = _fold0(spark, sf_dir)
+    cfg = flows.RunConfig(activity_labels=fx.SAMPLE_LABELS)
+    res, _ = flows.learn_params(train, FEATS, cfg)
+    return round_doubles(res.drop("mean_fit_time"))
+
+
+@register("c6_notebook_grouped_cv")
+def c6_notebook_grouped_cv(spark, sf_dir):
+    """Notebook: all rows, scaled + zero-filled, LR over 5 values of C with 7- and 10-fold group k-fold by user."""
+    lab = fx.labelled_samples(spark, sf_dir).drop("pred_a", "pred_b", "part")
+    return round_doubles(flows.notebook_grouped_cv(lab, FEATS))
