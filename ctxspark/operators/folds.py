@@ -110,13 +110,16 @@ def stratified_kfold(df: DataFrame, label: str = "label", k: int = 3, seed: int
     if not counts:
         return df.withColumn(out, F.lit(None).cast("int"))
     biggest = max(r["n"] for r in counts)
-    buckets = max(1, math.ceil(biggest / rows_per_bucket))
+    # enough buckets to bound every (label, bucket) task, and at least enough to keep the cores busy
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    buckets = max(1, math.ceil(biggest / rows_per_bucket), math.ceil(cores / len(counts)))
     tagged = df.withColumn("__h", h).withColumn("__b", F.pmod(F.col("__h"), F.lit(buckets)).cast("int"))
     sizes = tagged.groupBy(q(label).alias("__y"), "__b").agg(F.count(F.lit(1)).alias("__n"))
     offsets = sizes.select("__y", "__b", (F.sum("__n").over(
         Window.orderBy("__y", "__b").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__n"))
         .alias("__off"))
-    joined = tagged.join(broadcast_if_small(offsets), (q(label).eqNullSafe(F.col("__y"))) & (tagged["__b"] == offsets["__b"]))
+    # the offsets table has exactly (#labels x buckets) rows, known from the counts above: a proven bound
+    joined = tagged.join(F.broadcast(offsets), (q(label).eqNullSafe(F.col("__y"))) & (tagged["__b"] == offsets["__b"]))
     joined = joined.drop(offsets["__b"]).drop("__y")
     w = Window.partitionBy(q(label), F.col("__b")).orderBy(F.col("__h"), *cols)
     pos = F.col("__off") + F.row_number().over(w) - 1

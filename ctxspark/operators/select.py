@@ -20,23 +20,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ctxspark.functions import split_discrete_numeric
-from ctxspark.operators.stats import class_moments, column_modes
+from ctxspark.operators.stats import _profile_values
 
 
 def anova_f(df: DataFrame, features: Sequence[str], label: str = "label") -> DataFrame:
     """(feature, f_score) after filling missing values (numeric: mean, discrete: most frequent value)."""
     features = list(features)
     discrete, _ = split_discrete_numeric(features)
-    mom = class_moments(df, features, label)
+    # one scan: per-(class, feature) moments and per-(feature, value) counts of the discrete features
+    lv = _profile_values(df, features, discrete, keep=[label]).withColumnRenamed(label, "label")
+    agg = lv.groupingSets([[F.col("label"), F.col("feature")], [F.col("feature"), F.col("mvalue")]],
+                          "label", "feature", "mvalue").agg(
+        F.count(F.lit(1)).alias("rows"), F.count("value").alias("n"), F.avg("value").alias("mean"),
+        (F.var_pop("value") * F.count("value")).alias("m2"), F.grouping_id().alias("gid"))
+    mom = agg.filter(F.col("gid") == 1).select("label", "feature", "rows", "n", "mean", "m2")
+    modes = (agg.filter((F.col("gid") == 4) & F.col("mvalue").isNotNull()).groupBy("feature")
+             .agg(F.max(F.struct(F.col("rows"), (-F.col("mvalue")).alias("neg"))).alias("b"))
+             .select("feature", (-F.col("b.neg")).alias("dfill")))
     # fill value per feature: mean of the non-missing values (numeric) or their mode (discrete)
-    means = mom.groupBy("feature").agg(F.try_divide(F.sum(F.col("n") * F.col("mean")), F.sum("n")).alias("fill"))
-    if discrete:
-        modes = column_modes(df, discrete).select("feature", F.col("mode").alias("dfill"))
-        fills = means.join(F.broadcast(modes), "feature", "left").select(
-            "feature", F.coalesce("dfill", "fill").alias("fill"))
-    else:
-        fills = means
-    m = mom.join(F.broadcast(fills), "feature")
+    wf = Window.partitionBy("feature")
+    mom = mom.withColumn("mfill", F.try_divide(F.sum(F.col("n") * F.col("mean")).over(wf), F.sum("n").over(wf)))
+    fills = mom.join(modes, "feature", "left").withColumn("fill", F.coalesce("dfill", "mfill"))
+    m = fills
     z = F.col("rows") - F.col("n")
     n, mu, c = F.col("n"), F.coalesce(F.col("mean"), F.lit(0.0)), F.col("fill")
     new_mean = (n * mu + z * c) / F.col("rows")

@@ -66,3 +66,33 @@ def label_histogram(df: DataFrame, columns: Sequence[str], n_classes: int) -> Da
                                                       *[F.lit(0).cast("long").alias(c) for c in columns])
     return (counts.unionByName(domain).groupBy("__class")
             .agg(*[F.sum(q(c)).cast("long").alias(c) for c in columns]).withColumnRenamed("__class", "class"))
+
+
+def _profile_values(df: DataFrame, features: Sequence[str], mode_features: Sequence[str], keep: Sequence[str] = ()):
+    """(keep..., feature, value, mvalue): mvalue = value for features whose mode is wanted, else null."""
+    want = set(mode_features)
+    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), nan_to_null(q(c).cast("double")).alias("value"),
+                               (nan_to_null(q(c).cast("double")) if c in want else F.lit(None).cast("double"))
+                               .alias("mvalue")) for c in features])
+    return df.select(*[q(k) for k in keep], F.explode(pairs).alias("p")).select(
+        *[q(k) for k in keep], "p.feature", "p.value", "p.mvalue")
+
+
+def feature_profile(df: DataFrame, features: Sequence[str], mode_features: Sequence[str] | None = None) -> DataFrame:
+    """(feature, n, mean, std, scale, mode, mode_count) from ONE scan.
+
+    A grouping-sets aggregate computes, in the same pass, the per-feature moments and the per-(feature, value)
+    counts of the features whose mode is wanted (default: all); the mode is then reduced per feature on the
+    aggregate's output. Modes follow :func:`column_modes` (ties -> smallest value).
+    """
+    modes_for = list(features) if mode_features is None else list(mode_features)
+    lv = _profile_values(df, features, modes_for)
+    agg = lv.groupingSets([[F.col("feature")], [F.col("feature"), F.col("mvalue")]], "feature", "mvalue").agg(
+        F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"),
+        F.count(F.lit(1)).alias("rows"), F.grouping_id().alias("gid"))
+    st = agg.filter(F.col("gid") == 1).select(
+        "feature", "n", "mean", "std", F.when(F.col("std") == 0, F.lit(1.0)).otherwise(F.col("std")).alias("scale"))
+    md = (agg.filter((F.col("gid") == 0) & F.col("mvalue").isNotNull()).groupBy("feature")
+          .agg(F.max(F.struct(F.col("rows"), (-F.col("mvalue")).alias("neg"))).alias("b"))
+          .select("feature", (-F.col("b.neg")).alias("mode"), F.col("b.rows").alias("mode_count")))
+    return st.join(md, "feature", "left")
