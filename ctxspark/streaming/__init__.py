@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The reference is a one-shot batch run (preprocess -> train -> evaluate) with no streams, watermarks, windows or
+state; SURVEY section 2.11 lists streaming among the categories it does not have. Nothing is owed here, and no
+streaming operator is added beyond what the reference does. The batch evaluation operators in
+``ctxspark.operators.evaluate`` are plain aggregations and would run unchanged inside ``foreachBatch``.
+"""
