@@ -107,34 +107,45 @@ def _classifier(keys: Sequence[str]) -> Column:
     return F.lit("model")
 
 
+def _summary(state: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One aggregation per key group -> macro, micro and weighted metrics as one row of structs."""
+    k = [q(x) for x in keys]
+    m = metric_columns(*(F.col(c) for c in STATE_COLUMNS))
+    per = state.select(*k, *STATE_COLUMNS, "support", *[v.alias(f"m_{c}") for c, v in m.items()])
+    agg = per.groupBy(*k).agg(
+        *[F.sum(c).alias(c) for c in STATE_COLUMNS],
+        *[F.avg(f"m_{c}").alias(f"macro_{c}") for c in METRIC_COLUMNS],
+        *[(F.sum(F.col("support") * F.col(f"m_{c}")) / F.sum("support")).alias(f"weighted_{c}")
+          for c in METRIC_COLUMNS])
+    micro = metric_columns(*(F.col(c) for c in STATE_COLUMNS))
+    rows = F.array(
+        F.struct(F.lit("macro").alias("t"), *[F.col(f"macro_{c}").alias(c) for c in METRIC_COLUMNS]),
+        F.struct(F.lit("micro").alias("t"), *[micro[c].alias(c) for c in METRIC_COLUMNS]),
+        F.struct(F.lit("weighted").alias("t"), *[F.col(f"weighted_{c}").alias(c) for c in METRIC_COLUMNS]),
+    )
+    return agg.select(*k, F.explode(rows).alias("r")).select(
+        *k, F.col("r.t").alias("Test type"), _classifier(keys).alias("Classifier"),
+        *[F.col(f"r.{c}").alias(c) for c in METRIC_COLUMNS])
+
+
 def micro_results(state: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """One row per key group: metrics of the class-summed TP, TN, FP, FN."""
-    sums = state.groupBy(*[q(k) for k in keys]).agg(*[F.sum(c).alias(c) for c in STATE_COLUMNS])
-    m = metric_columns(*(F.col(c) for c in STATE_COLUMNS))
-    return sums.select(*[q(k) for k in keys], F.lit("micro").alias("Test type"), _classifier(keys).alias("Classifier"),
-                       *[m[c].alias(c) for c in METRIC_COLUMNS])
+    return _summary(state, keys).filter(F.col("`Test type`") == "micro")
 
 
 def macro_results(state: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Plain mean of per-class metrics; a NaN class metric makes the mean NaN."""
-    per = class_metrics(state, keys)
-    return (per.groupBy(*[q(k) for k in keys]).agg(*[F.avg(q(c)).alias(c) for c in METRIC_COLUMNS])
-            .select(*[q(k) for k in keys], F.lit("macro").alias("Test type"), _classifier(keys).alias("Classifier"),
-                    *[q(c) for c in METRIC_COLUMNS]))
+    return _summary(state, keys).filter(F.col("`Test type`") == "macro")
 
 
 def weighted_results(state: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Per-class metrics weighted by class share of the evaluated rows."""
-    per = class_metrics(state, keys).withColumn("weight", F.col("support") / F.sum("support").over(_window(keys)))
-    return (per.groupBy(*[q(k) for k in keys]).agg(*[F.sum(F.col("weight") * q(c)).alias(c) for c in METRIC_COLUMNS])
-            .select(*[q(k) for k in keys], F.lit("weighted").alias("Test type"), _classifier(keys).alias("Classifier"),
-                    *[q(c) for c in METRIC_COLUMNS]))
+    return _summary(state, keys).filter(F.col("`Test type`") == "weighted")
 
 
 def results_table(state: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """macro, micro and weighted rows for every key group (the saved results table)."""
-    return (macro_results(state, keys).unionByName(micro_results(state, keys))
-            .unionByName(weighted_results(state, keys)))
+    """macro, micro and weighted rows for every key group (the saved results table), from one aggregation."""
+    return _summary(state, keys)
 
 
 def fold_results(pred: DataFrame, models: dict[str, str] | Sequence[str], label: str = "label", fold: str = "fold",

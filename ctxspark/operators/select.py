@@ -1,6 +1,7 @@
 """ANOVA-F percentile feature selection.
 
-F is computed from per-(class, feature) moments in one pass (K x F rows after partial aggregation). The fill
+F is computed from per-(class, feature) moments gathered in one pass (K x F rows after partial aggregation);
+the few K x F numbers are turned into F scores on the driver, as Spark ML's own ANOVA test does. The fill
 used before scoring (missing numeric -> column mean, missing discrete -> most frequent value) is applied
 analytically to those moments: filling z rows with value c changes count, mean and squared deviations in
 closed form, so no filled copy of the table is made. Scaling is skipped: F is invariant under x -> (x - m) / s.
@@ -15,7 +16,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,41 +25,69 @@ from ctxspark.functions import split_discrete_numeric
 from ctxspark.operators.stats import _profile_values
 
 
-def anova_f(df: DataFrame, features: Sequence[str], label: str = "label") -> DataFrame:
-    """(feature, f_score) after filling missing values (numeric: mean, discrete: most frequent value)."""
-    features = list(features)
+def anova_moments(df: DataFrame, features: Sequence[str], label: str = "label") -> tuple[list, dict]:
+    """One scan: per-(class, feature) (rows, non-missing n, mean, squared deviations) and the most frequent
+    value of each discrete feature. Returns (moment rows, {feature: mode}); K x F + F values reach the driver."""
     discrete, _ = split_discrete_numeric(features)
-    # one scan: per-(class, feature) moments and per-(feature, value) counts of the discrete features
     lv = _profile_values(df, features, discrete, keep=[label]).withColumnRenamed(label, "label")
     agg = lv.groupingSets([[F.col("label"), F.col("feature")], [F.col("feature"), F.col("mvalue")]],
                           "label", "feature", "mvalue").agg(
         F.count(F.lit(1)).alias("rows"), F.count("value").alias("n"), F.avg("value").alias("mean"),
         (F.var_pop("value") * F.count("value")).alias("m2"), F.grouping_id().alias("gid"))
-    mom = agg.filter(F.col("gid") == 1).select("label", "feature", "rows", "n", "mean", "m2")
-    modes = (agg.filter((F.col("gid") == 4) & F.col("mvalue").isNotNull()).groupBy("feature")
-             .agg(F.max(F.struct(F.col("rows"), (-F.col("mvalue")).alias("neg"))).alias("b"))
-             .select("feature", (-F.col("b.neg")).alias("dfill")))
-    # fill value per feature: mean of the non-missing values (numeric) or their mode (discrete)
-    wf = Window.partitionBy("feature")
-    mom = mom.withColumn("mfill", F.try_divide(F.sum(F.col("n") * F.col("mean")).over(wf), F.sum("n").over(wf)))
-    fills = mom.join(modes, "feature", "left").withColumn("fill", F.coalesce("dfill", "mfill"))
-    m = fills
-    z = F.col("rows") - F.col("n")
-    n, mu, c = F.col("n"), F.coalesce(F.col("mean"), F.lit(0.0)), F.col("fill")
-    new_mean = (n * mu + z * c) / F.col("rows")
-    new_m2 = (F.coalesce(F.col("m2"), F.lit(0.0)) + n * (mu - new_mean) ** 2 + z * (c - new_mean) ** 2)
-    per = m.select("feature", "label", F.col("rows").alias("nk"), new_mean.alias("mk"), new_m2.alias("ssk"))
-    w = Window.partitionBy("feature")
-    per = per.withColumn("grand", F.sum(F.col("nk") * F.col("mk")).over(w) / F.sum("nk").over(w))
-    tot = per.groupBy("feature").agg(
-        F.sum("nk").alias("N"), F.count(F.lit(1)).alias("K"),
-        F.sum(F.col("nk") * (F.col("mk") - F.col("grand")) ** 2).alias("ssb"), F.sum("ssk").alias("ssw"))
-    msb = F.try_divide(F.col("ssb"), (F.col("K") - 1).cast("double"))
-    msw = F.try_divide(F.col("ssw"), (F.col("N") - F.col("K")).cast("double"))
-    f = (F.when(msb.isNull() | msw.isNull() | F.isnan(msb) | F.isnan(msw), F.lit(float("nan")))
-         .when(msw == 0, F.when(msb == 0, F.lit(float("nan"))).otherwise(F.lit(float("inf"))))
-         .otherwise(msb / msw))
-    return tot.select("feature", f.alias("f_score"))
+    # K x F moment rows + per-(discrete feature, value) counts: persisted for the two reads below
+    agg = agg.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        mom = agg.filter(F.col("gid") == 1).select("label", "feature", "rows", "n", "mean", "m2").collect()
+        modes = {r["feature"]: r["mode"] for r in
+                 agg.filter((F.col("gid") == 4) & F.col("mvalue").isNotNull()).groupBy("feature")
+                 .agg(F.max(F.struct(F.col("rows"), (-F.col("mvalue")).alias("neg"))).alias("b"))
+                 .select("feature", (-F.col("b.neg")).alias("mode")).collect()}
+    finally:
+        agg.unpersist()
+    return mom, modes
+
+
+def f_scores_from_moments(mom: Sequence, modes: dict, features: Sequence[str]) -> dict[str, float]:
+    """F per feature after filling missing values (numeric: mean, discrete: mode), in closed form:
+    filling z rows with c changes a class's count, mean and squared deviations without touching the rows."""
+    by_feature: dict[str, list] = {}
+    for r in mom:
+        by_feature.setdefault(r["feature"], []).append(r)
+    out = {}
+    for c in features:
+        rs = by_feature.get(c, [])
+        if not rs:
+            out[c] = float("nan")
+            continue
+        rows = np.array([r["rows"] for r in rs], dtype=float)
+        n = np.array([r["n"] for r in rs], dtype=float)
+        mean = np.array([0.0 if r["mean"] is None else r["mean"] for r in rs])
+        m2 = np.array([0.0 if r["m2"] is None else r["m2"] for r in rs])
+        if n.sum() == 0:
+            out[c] = float("nan")
+            continue
+        fill = modes.get(c, (n * mean).sum() / n.sum())
+        z = rows - n
+        mk = (n * mean + z * fill) / rows
+        ssk = m2 + n * (mean - mk) ** 2 + z * (fill - mk) ** 2
+        total, k = rows.sum(), len(rs)
+        grand = (rows * mk).sum() / total
+        ssb, ssw = (rows * (mk - grand) ** 2).sum(), ssk.sum()
+        if k < 2 or total <= k:
+            out[c] = float("nan")
+            continue
+        msb, msw = ssb / (k - 1), ssw / (total - k)
+        out[c] = (float("nan") if msb == 0 else float("inf")) if msw == 0 else float(msb / msw)
+    return out
+
+
+def anova_f(df: DataFrame, features: Sequence[str], label: str = "label") -> DataFrame:
+    """(feature, f_score) after filling missing values (numeric: mean, discrete: most frequent value)."""
+    features = list(features)
+    mom, modes = anova_moments(df, features, label)
+    scores = f_scores_from_moments(mom, modes, features)
+    schema = T.StructType([T.StructField("feature", T.StringType()), T.StructField("f_score", T.DoubleType())])
+    return df.sparkSession.createDataFrame([(c, scores[c]) for c in features], schema)
 
 
 def percentile_mask(scores: Sequence[float], percentile: float) -> list[bool]:
@@ -83,9 +113,9 @@ def select_features(df: DataFrame, features: Sequence[str], percentile: float =
     The score table has one row per feature; the mask is computed on the driver from it.
     """
     features = list(features)
-    scores = {r["feature"]: r["f_score"] for r in anova_f(df, features, label).collect()}
-    vals = [scores.get(c, float("nan")) for c in features]
-    vals = [float("nan") if v is None else v for v in vals]
+    mom, modes = anova_moments(df, features, label)
+    scores = f_scores_from_moments(mom, modes, features)
+    vals = [scores[c] for c in features]
     mask = percentile_mask(vals, percentile)
     schema = T.StructType([T.StructField("feature", T.StringType()), T.StructField("position", T.IntegerType()),
                            T.StructField("f_score", T.DoubleType()), T.StructField("selected", T.BooleanType())])
