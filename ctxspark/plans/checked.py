@@ -604,3 +604,21 @@ def c6_notebook_grouped_cv(spark, sf_dir):
     """Notebook: all rows, scaled + zero-filled, LR over 5 values of C with 7- and 10-fold group k-fold by user."""
     lab = fx.labelled_samples(spark, sf_dir).drop("pred_a", "pred_b", "part")
     return round_doubles(flows.notebook_grouped_cv(lab, FEATS))
+
+
+@register("l3_lr_embeddings")
+def l3_lr_embeddings(spark, sf_dir):
+    """Balanced multinomial LR on the dense 64-dim embeddings (10 classes), scored on its training rows."""
+    emb = fx.embedding_samples(spark, sf_dir)
+    feats = [c for c in emb.columns if c.startswith("emb_")]
+    model = md.early_fusion(feats, {"estimator": "logistic-regression", "C": 1.0, "max_iter": 200,
+                                    "class_weight": "balanced"}).fit(emb)
+    pred = md.predict(model, emb).withColumn("model", F.lit("lr_embeddings"))
+    state = ev.class_state(ev.confusion_counts(pred, keys=("model",)), keys=("model",), n_classes=10)
+    return round_doubles(ev.results_table(state, keys=("model",)))
+
+
+def flagship(spark, sf_dir):
+    raw = fx.samples(spark, sf_dir, with_part=False)
+    cfg = flows.RunConfig(activity_labels=fx.SAMPLE_LABELS)
+    return round_doubles(flows.run(raw, fx.members(spark, sf_dir), cfg, folds=[0])["results"])

@@ -88,6 +88,17 @@ def group_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+EMBEDDING_DIM = 64
+
+
+def embedding_samples(spark: SparkSession, sf_dir: str, dim: int = EMBEDDING_DIM) -> DataFrame:
+    """``embeddings`` as a wide numeric table (emb_00 ... emb_63, label 0..9): dense multi-class model input."""
+    e = read_table(spark, sf_dir, "embeddings")
+    return e.select(F.col("vec_id").cast("string").alias("uuid"), F.col("vec_id").cast("long").alias("timestamp"),
+                    *[F.col("embedding")[i].cast("double").alias(f"emb_{i:02d}") for i in range(dim)],
+                    F.col("label").cast("int").alias("label"))
+
+
 # ---- SQL twins for the DuckDB oracles -------------------------------------------------------------------------
 
 SAMPLES_SQL = """

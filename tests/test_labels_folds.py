@@ -92,3 +92,16 @@ def test_stratified_sizes_within_one(spark):
         for r in t.groupBy("cv_fold").count().collect():
             total[r.cv_fold] = r["count"]
         assert sorted(total.values()) == [200, 201, 201]
+
+
+def test_fixture_every_row_in_one_test_fold(spark):
+    from ctxspark.sources import fixtures as fx
+
+    sf = "/root/testdata/sf0.001"
+    lab = fx.labelled_samples(spark, sf)
+    rows = fo.fold_rows(lab, fx.members(spark, sf), split="test")
+    assert rows.count() == lab.count()
+    per_user = rows.groupBy("uuid").agg(F.countDistinct("fold").alias("k")).filter("k <> 1").count()
+    assert per_user == 0
+    train = fo.fold_rows(lab, fx.members(spark, sf), split="train")
+    assert train.count() == 4 * lab.count()
