@@ -16,8 +16,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,26 +24,56 @@ from ctxspark.functions import split_discrete_numeric
 from ctxspark.operators.stats import _profile_values
 
 
+MAX_DRIVER_GROUPS = 1_000_000
+
+
+def _combine_on_driver(rows) -> tuple[list, dict]:
+    """Per-(class, feature) moments and discrete modes from (class, feature, discrete value) groups."""
+    mom: dict[tuple, list] = {}
+    counts: dict[str, dict[float, int]] = {}
+    for r in rows:
+        mom.setdefault((r["label"], r["feature"]), []).append(r)
+        if r["mvalue"] is not None:
+            per = counts.setdefault(r["feature"], {})
+            per[r["mvalue"]] = per.get(r["mvalue"], 0) + r["n"]
+    out = []
+    for (lab, feat), gs in mom.items():
+        n = sum(g["n"] for g in gs)
+        mean = sum(g["n"] * g["mean"] for g in gs if g["n"]) / n if n else None
+        m2 = sum((g["m2"] or 0.0) + (g["n"] * (g["mean"] - mean) ** 2 if g["n"] else 0.0) for g in gs) if n else None
+        out.append({"label": lab, "feature": feat, "rows": sum(g["rows"] for g in gs), "n": n, "mean": mean, "m2": m2})
+    modes = {f: min(v for v, c in per.items() if c == max(per.values())) for f, per in counts.items()}
+    return out, modes
+
+
 def anova_moments(df: DataFrame, features: Sequence[str], label: str = "label") -> tuple[list, dict]:
-    """One scan: per-(class, feature) (rows, non-missing n, mean, squared deviations) and the most frequent
-    value of each discrete feature. Returns (moment rows, {feature: mode}); K x F + F values reach the driver."""
+    """One scan, one aggregate by (class, feature, discrete value): numeric features give K x F groups holding
+    their moments, discrete features give per-value counts (a discrete feature has a small domain). The groups
+    are combined exactly (parallel-variance rule) into per-(class, feature) moments and discrete modes.
+
+    The group table is collected behind a size guard; past ``MAX_DRIVER_GROUPS`` groups the same combination
+    runs in Spark and only K x F moment rows and one mode per discrete feature are collected.
+    """
     discrete, _ = split_discrete_numeric(features)
     lv = _profile_values(df, features, discrete, keep=[label]).withColumnRenamed(label, "label")
-    agg = lv.groupingSets([[F.col("label"), F.col("feature")], [F.col("feature"), F.col("mvalue")]],
-                          "label", "feature", "mvalue").agg(
+    agg = lv.groupBy("label", "feature", "mvalue").agg(
         F.count(F.lit(1)).alias("rows"), F.count("value").alias("n"), F.avg("value").alias("mean"),
-        (F.var_pop("value") * F.count("value")).alias("m2"), F.grouping_id().alias("gid"))
-    # K x F moment rows + per-(discrete feature, value) counts: persisted for the two reads below
-    agg = agg.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        mom = agg.filter(F.col("gid") == 1).select("label", "feature", "rows", "n", "mean", "m2").collect()
-        modes = {r["feature"]: r["mode"] for r in
-                 agg.filter((F.col("gid") == 4) & F.col("mvalue").isNotNull()).groupBy("feature")
-                 .agg(F.max(F.struct(F.col("rows"), (-F.col("mvalue")).alias("neg"))).alias("b"))
-                 .select("feature", (-F.col("b.neg")).alias("mode")).collect()}
-    finally:
-        agg.unpersist()
-    return mom, modes
+        (F.var_pop("value") * F.count("value")).alias("m2"))
+    rows = agg.limit(MAX_DRIVER_GROUPS + 1).collect()
+    if len(rows) <= MAX_DRIVER_GROUPS:
+        return _combine_on_driver(rows)
+    w = Window.partitionBy("label", "feature")
+    g = agg.withColumn("gmean", F.try_divide(F.sum(F.col("n") * F.col("mean")).over(w), F.sum("n").over(w)))
+    mom = (g.groupBy("label", "feature").agg(
+        F.sum("rows").alias("rows"), F.sum("n").alias("n"), F.first("gmean", ignorenulls=True).alias("mean"),
+        F.sum(F.coalesce(F.col("m2"), F.lit(0.0))
+              + F.coalesce(F.col("n") * (F.col("mean") - F.col("gmean")) ** 2, F.lit(0.0))).alias("m2"))
+        .collect())
+    modes = {r["feature"]: r["mode"] for r in
+             agg.filter(F.col("mvalue").isNotNull()).groupBy("feature", "mvalue").agg(F.sum("n").alias("c"))
+             .groupBy("feature").agg(F.max(F.struct(F.col("c"), (-F.col("mvalue")).alias("neg"))).alias("b"))
+             .select("feature", (-F.col("b.neg")).alias("mode")).collect()}
+    return [r.asDict() for r in mom], modes
 
 
 def f_scores_from_moments(mom: Sequence, modes: dict, features: Sequence[str]) -> dict[str, float]:
