@@ -541,7 +541,7 @@ def l6_balanced_weights(spark, sf_dir):
 
 def _fold0(spark, sf_dir):
     lab = fx.labelled_samples(spark, sf_dir).drop("pred_a", "pred_b", "part")
-    mem = fx.members(spark, sf_dir)
+    mem = fx.members(spark, sf_dir).filter(F.col("fold") == 0).persist()   # #users x folds rows, read twice
     return (fo.fold_rows(lab, mem, fold=0, split="train").drop("fold", "split"),
             fo.fold_rows(lab, mem, fold=0, split="test"))
 
