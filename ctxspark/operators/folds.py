@@ -50,10 +50,27 @@ def attach_groups(df: DataFrame, group_map: DataFrame, group_col: str = "group")
     return df.join(broadcast_if_small(group_map.select("uuid", q(group_col))), "uuid", "left")
 
 
+def dense_index(keys: DataFrame, col: str, out: str = "code") -> DataFrame:
+    """0-based position of each row of ``keys`` in ``col`` order, without a single-task global sort.
+
+    Keys are range-partitioned, numbered inside their partition, and shifted by the sizes of the partitions
+    before them (a table with one row per partition).
+    """
+    parts = max(1, keys.sparkSession.sparkContext.defaultParallelism)
+    ranged = keys.repartitionByRange(parts, q(col)).withColumn("__p", F.spark_partition_id())
+    local = ranged.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(q(col))))
+    sizes = ranged.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
+    offsets = sizes.select("__p", (F.sum("__n").over(
+        Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__n"))
+        .alias("__off"))
+    # one row per partition of the range split: a proven bound
+    return (local.join(F.broadcast(offsets), "__p")
+            .select(*[q(c) for c in keys.columns], (F.col("__off") + F.col("__r") - 1).cast("int").alias(out)))
+
+
 def uuid_codes(df: DataFrame, col: str = "uuid") -> DataFrame:
-    """(uuid, code): dense 0-based code of each distinct user in sorted order (a table of #users rows)."""
-    users = df.select(q(col)).distinct()
-    return users.select(q(col), (F.row_number().over(Window.orderBy(q(col))) - 1).cast("int").alias("code"))
+    """(uuid, code): dense 0-based code of each distinct user in sorted order."""
+    return dense_index(df.select(q(col)).distinct(), col, "code")
 
 
 def attach_uuid_codes(df: DataFrame, col: str = "uuid", out: str = "group") -> DataFrame:
