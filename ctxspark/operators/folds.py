@@ -81,11 +81,12 @@ def attach_uuid_codes(df: DataFrame, col: str = "uuid", out: str = "group") -> D
 def group_fold_assignment(group_sizes: Sequence[tuple[object, int]], n_splits: int) -> dict[object, int]:
     """Greedy balance: largest group first, into the fold with the fewest rows so far.
 
-    Ties: larger group first, then smaller group key; among equally light folds the lowest index.
+    Ties: larger group first, then smaller group key (a null group last); among equally light folds the lowest
+    index.
     """
     if n_splits < 2:
         raise ValueError("n_splits must be at least 2")
-    items = sorted(group_sizes, key=lambda t: (-t[1], str(t[0])))
+    items = sorted(group_sizes, key=lambda t: (-t[1], t[0] is None, t[0] if t[0] is not None else 0))
     if len(items) < n_splits:
         raise ValueError(f"cannot split {len(items)} groups into {n_splits} folds")
     load = np.zeros(n_splits, dtype=np.int64)

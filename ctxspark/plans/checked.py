@@ -308,7 +308,18 @@ def l14_row_groups(spark, sf_dir):
     return fo.attach_uuid_codes(fx.samples(spark, sf_dir).select("uuid", "timestamp"))
 
 
-@register("l12_group_kfold")
+@register("l12_group_kfold", f"""WITH RECURSIVE {LAB}, gm AS ({fx.GROUP_MAP_SQL}),
+sizes AS (SELECT g."group", count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, g."group" ASC NULLS LAST) AS i
+          FROM lab l LEFT JOIN gm g USING (uuid) GROUP BY g."group"),
+greedy AS (
+  SELECT 0 AS i, [0, 0, 0, 0, 0]::BIGINT[] AS loads, NULL::VARCHAR AS grp, NULL::INTEGER AS fold, NULL::BIGINT AS n
+  UNION ALL
+  SELECT s.i,
+         list_transform(range(5), lambda k: CASE WHEN k = list_position(g.loads, list_min(g.loads)) - 1
+                                            THEN g.loads[k + 1] + s.n ELSE g.loads[k + 1] END),
+         s."group", CAST(list_position(g.loads, list_min(g.loads)) - 1 AS INTEGER), s.n
+  FROM greedy g JOIN sizes s ON s.i = g.i + 1)
+SELECT grp AS "group", fold AS cv_fold, n FROM greedy WHERE i > 0""")
 def l12_group_kfold(spark, sf_dir):
     """Group k-fold (5 splits) over the configured user groups; unlisted users form one null group."""
     rows = fo.attach_groups(fx.labelled_samples(spark, sf_dir), fx.group_map(spark, sf_dir))
