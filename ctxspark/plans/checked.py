@@ -207,6 +207,7 @@ def e9_classification_report(spark, sf_dir):
 # ---- S3, P2-P7, J1, U1, M8: sources, roles, labelling ----------------------------------------------------------
 
 from ctxspark.functions import epoch_to_utc_string  # noqa: E402
+from ctxspark.session import shared_dir  # noqa: E402
 from ctxspark.operators import folds as fo  # noqa: E402
 from ctxspark.operators import labels as lb  # noqa: E402
 
@@ -225,6 +226,26 @@ def s3_union_users(spark, sf_dir):
     return lb.union_users([s.filter(is_f).drop("acc_price"), s.filter(~is_f).drop("gyro_tax")])
 
 
+@register("s1_read_user_csvs", f"""WITH {SAMPLES_NP}
+SELECT * EXCLUDE (acc_price) FROM samples WHERE {_IS_F}
+UNION ALL BY NAME
+SELECT * EXCLUDE (gyro_tax) FROM samples WHERE NOT ({_IS_F})""")
+def s1_read_user_csvs(spark, sf_dir):
+    """Per-user CSVs with two different headers (column set and order), written by Spark under the shared
+    folder from ``lineitem``, read back by grouping files by header; uuid from the user directory."""
+    from ctxspark.sources.sensor_csv import read_user_csvs
+
+    base = shared_dir(spark, "user-csv")
+    s = fx.samples(spark, sf_dir, with_part=False)
+    is_f = (F.col("label_af") + F.col("label_nf") + F.col("label_rf")) == 1
+    a = s.filter(is_f).drop("acc_price")
+    b = s.filter(~is_f).drop("gyro_tax")
+    b = b.select("uuid", *sorted((c for c in b.columns if c != "uuid"), reverse=True))
+    for part, sub in ((a, "a"), (b, "b")):
+        part.write.mode("overwrite").partitionBy("uuid").option("header", True).csv(f"{base}/{sub}")
+    return read_user_csvs(spark, [f"{base}/a", f"{base}/b"], uuid_from="partition")
+
+
 @register("p2_features_frame", f"""WITH {SAMPLES_NP}
 SELECT uuid, "timestamp", {", ".join(fx.SAMPLE_FEATURES)} FROM samples""")
 def p2_features_frame(spark, sf_dir):

@@ -36,15 +36,28 @@ def csv_schema(columns: Sequence[str]) -> T.StructType:
 
 def file_headers(spark: SparkSession, paths: str | Sequence[str]) -> dict[str, str]:
     """{file path: first line}."""
-    lines = spark.read.text(paths if isinstance(paths, str) else list(paths))
+    # recursive listing, no partition inference: uuid comes from the path, not from discovered columns
+    lines = spark.read.option("recursiveFileLookup", True).text(paths if isinstance(paths, str) else list(paths))
     first = (lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("b"),
                           "value", F.monotonically_increasing_id().alias("i"))
              .filter(F.col("b") == 0).groupBy("path").agg(F.min_by("value", "i").alias("header")))
     return {r["path"]: r["header"] for r in first.collect()}
 
 
-def read_user_csvs(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """All users' rows in one DataFrame: ``uuid`` + every column of every file (missing -> null)."""
+def _uuid_column(uuid_from: str):
+    if uuid_from == "file_name":
+        return F.substring_index(F.col("_metadata.file_name"), ".", 1)
+    if uuid_from == "partition":
+        return F.regexp_extract(F.col("_metadata.file_path"), r"/uuid=([^/]+)/[^/]*$", 1)
+    raise ValueError(f"uuid_from must be 'file_name' or 'partition', not {uuid_from!r}")
+
+
+def read_user_csvs(spark: SparkSession, paths: str | Sequence[str], uuid_from: str = "file_name") -> DataFrame:
+    """All users' rows in one DataFrame: ``uuid`` + every column of every file (missing -> null).
+
+    ``uuid_from="file_name"``: the file name up to its first dot (one file per user); ``"partition"``: the
+    ``uuid=<id>`` directory of a user-partitioned layout, as Spark writes it.
+    """
     groups: dict[tuple[str, ...], list[str]] = defaultdict(list)
     for path, header in sorted(file_headers(spark, paths).items()):
         groups[tuple(_header_fields(header))].append(path)
@@ -52,8 +65,9 @@ def read_user_csvs(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame
         raise FileNotFoundError(f"no CSV files under {paths}")
     frames = []
     for cols, files in groups.items():
-        df = (spark.read.schema(csv_schema(cols)).option("header", True).option("mode", "FAILFAST").csv(files)
-              .withColumn("uuid", F.substring_index(F.col("_metadata.file_name"), ".", 1)))
+        df = (spark.read.schema(csv_schema(cols)).option("header", True).option("mode", "FAILFAST")
+              .option("recursiveFileLookup", True).csv(files)
+              .withColumn("uuid", _uuid_column(uuid_from)))
         frames.append(df.select("uuid", *[F.col("`" + c + "`") for c in cols]))
     return union_users(frames)
 
