@@ -654,3 +654,31 @@ def flagship(spark, sf_dir):
     raw = fx.samples(spark, sf_dir, with_part=False)
     cfg = flows.RunConfig(activity_labels=fx.SAMPLE_LABELS)
     return round_doubles(flows.run(raw, fx.members(spark, sf_dir), cfg, folds=[0])["results"])
+
+
+# ---- K1, K2, K5: sinks, written under the shared folder and read back ------------------------------------------
+
+
+@register("k1_dataset_roundtrip", ORACLES["p5_labelled_dataset"])
+def k1_dataset_roundtrip(spark, sf_dir):
+    data = lb.merged_dataset(fx.samples(spark, sf_dir, with_part=False), fx.SAMPLE_LABELS)
+    path = store.write_dataset(data, shared_dir(spark, "dataset"), 40)
+    return store.read_dataset(spark, path)
+
+
+@register("k2_fold_export_roundtrip", ORACLES["j2_fold_rows"])
+def k2_fold_export_roundtrip(spark, sf_dir):
+    """Dataset and membership written once, rows exported by (fold, split), read back."""
+    out = store.write_folds(fx.labelled_samples(spark, sf_dir), fx.members(spark, sf_dir), shared_dir(spark, "folds"),
+                            export=True)
+    back = spark.read.parquet(out["export"])
+    return back.withColumn("fold", F.col("fold").cast("int"))
+
+
+@register("k5_results_roundtrip", f"""SELECT *, 40 AS pct, 'StratifiedKFold' AS cv_method FROM ({ORACLES["e7_results_table"]})""")
+def k5_results_roundtrip(spark, sf_dir):
+    """Results of two rule models appended to a results table with key columns, read back."""
+    path = shared_dir(spark, "results")
+    res = ev.fold_results(fold_predictions(spark, sf_dir), ["pred_a", "pred_b"])
+    store.append_table(round_doubles(res), path, {"pct": 40, "cv_method": "StratifiedKFold"})
+    return store.read_table(spark, path)
