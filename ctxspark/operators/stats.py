@@ -47,15 +47,6 @@ def column_modes(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return best.select("feature", (-F.col("b.neg")).alias("mode"), F.col("b.count").alias("count"))
 
 
-def class_moments(df: DataFrame, features: Sequence[str], label: str = "label") -> DataFrame:
-    """(label, feature, rows, n, mean, m2): per class and feature, row count, non-missing count, mean and
-    sum of squared deviations of the non-missing values (partial aggregation -> K x F rows)."""
-    lv = long_values(df, features, keep=[label], drop_nulls=False)
-    return (lv.groupBy(q(label).alias("label"), "feature")
-            .agg(F.count(F.lit(1)).alias("rows"), F.count("value").alias("n"), F.avg("value").alias("mean"),
-                 (F.var_pop("value") * F.count("value")).alias("m2")))
-
-
 def label_histogram(df: DataFrame, columns: Sequence[str], n_classes: int) -> DataFrame:
     """(class, <column>...) counts of each class value in each column; classes 0..K-1 all present (zeros)."""
     stacked = df.select(F.explode(F.array(*[
