@@ -113,6 +113,14 @@ def group_kfold(df: DataFrame, group_col: str = "group", n_splits: int = 5, out:
     return df.join(table, q(group_col).eqNullSafe(F.col("__g"))).drop("__g")
 
 
+FINE_BUCKETS = 1024
+MAX_FINE_ROWS = 2_000_000
+
+
+def _pow2_at_least(x: int) -> int:
+    return 1 << max(0, math.ceil(math.log2(max(1, x))))
+
+
 def stratified_kfold(df: DataFrame, label: str = "label", k: int = 3, seed: int = 0, out: str = "cv_fold",
                      rows_per_bucket: int = 2_000_000) -> DataFrame:
     """Tag each row with a stratified fold in 0..k-1; per label, fold sizes differ by at most one.
@@ -121,24 +129,54 @@ def stratified_kfold(df: DataFrame, label: str = "label", k: int = 3, seed: int
     the label-sorted order goes to fold j mod k, which gives the same per-label fold sizes as a shuffled stratified
     split. Positions are computed without a global sort: rows hash into B buckets per label, bucket sizes give
     offsets (a K x B table), and positions are row numbers inside one (label, bucket), a bounded task.
+
+    Two passes: one aggregate of (label, hash mod 1024) sizes, from which B (a power of two dividing 1024, enough
+    to bound every task and to use the cores) and exact offsets follow, then the numbering pass. When the size
+    table or the task bound does not fit that scheme, bucket counts are taken from a label count instead.
     """
     cols = [q(c) for c in df.columns]
-    h = F.xxhash64(F.lit(seed), *cols)
-    counts = df.groupBy(q(label).alias("__y")).agg(F.count(F.lit(1)).alias("n")).collect()
-    if not counts:
+    tagged = df.withColumn("__h", F.xxhash64(F.lit(seed), *cols))
+    fine = (tagged.groupBy(q(label).alias("__y"), F.pmod(F.col("__h"), F.lit(FINE_BUCKETS)).alias("__fb"))
+            .agg(F.count(F.lit(1)).alias("__n")).limit(MAX_FINE_ROWS + 1).collect())
+    if not fine:
         return df.withColumn(out, F.lit(None).cast("int"))
-    biggest = max(r["n"] for r in counts)
-    # enough buckets to bound every (label, bucket) task, and at least enough to keep the cores busy
+    per_label: dict = {}
+    for r in fine:
+        per_label[r["__y"]] = per_label.get(r["__y"], 0) + r["__n"]
     cores = df.sparkSession.sparkContext.defaultParallelism
-    buckets = max(1, math.ceil(biggest / rows_per_bucket), math.ceil(cores / len(counts)))
-    tagged = df.withColumn("__h", h).withColumn("__b", F.pmod(F.col("__h"), F.lit(buckets)).cast("int"))
-    sizes = tagged.groupBy(q(label).alias("__y"), "__b").agg(F.count(F.lit(1)).alias("__n"))
-    offsets = sizes.select("__y", "__b", (F.sum("__n").over(
+    want = max(math.ceil(max(per_label.values()) / rows_per_bucket), math.ceil(cores / len(per_label)), 1)
+    buckets = _pow2_at_least(want)
+    if len(fine) > MAX_FINE_ROWS or buckets > FINE_BUCKETS:
+        return _stratified_by_label_counts(tagged, label, k, out, rows_per_bucket, cores)
+    # coarse bucket b = (hash mod 1024) mod B: sizes are exact sums of the fine sizes
+    schema = T.StructType([T.StructField("__y", df.schema[label].dataType), T.StructField("__b", T.IntegerType()),
+                           T.StructField("__n", T.LongType())])
+    coarse: dict = {}
+    for r in fine:
+        key = (r["__y"], int(r["__fb"]) % buckets)
+        coarse[key] = coarse.get(key, 0) + r["__n"]
+    sizes = df.sparkSession.createDataFrame([(y, b, n) for (y, b), n in coarse.items()], schema)
+    return _number_rows(tagged, sizes, label, k, out, buckets)
+
+
+def _number_rows(tagged: DataFrame, sizes: DataFrame, label: str, k: int, out: str, buckets: int) -> DataFrame:
+    cols = [q(c) for c in tagged.columns if c != "__h"]
+    offsets = sizes.select("__y", F.col("__b").alias("__ob"), (F.sum("__n").over(
         Window.orderBy("__y", "__b").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__n"))
         .alias("__off"))
-    # the offsets table has exactly (#labels x buckets) rows, known from the counts above: a proven bound
-    joined = tagged.join(F.broadcast(offsets), (q(label).eqNullSafe(F.col("__y"))) & (tagged["__b"] == offsets["__b"]))
-    joined = joined.drop(offsets["__b"]).drop("__y")
+    rows = tagged.withColumn("__b", F.pmod(F.col("__h"), F.lit(buckets)).cast("int"))
+    # the offsets table has exactly (#labels x buckets) rows, known from the sizes: a proven bound
+    joined = rows.join(F.broadcast(offsets), q(label).eqNullSafe(F.col("__y")) & (F.col("__b") == F.col("__ob")))
     w = Window.partitionBy(q(label), F.col("__b")).orderBy(F.col("__h"), *cols)
     pos = F.col("__off") + F.row_number().over(w) - 1
-    return joined.withColumn(out, F.pmod(pos, F.lit(k)).cast("int")).drop("__h", "__b", "__off")
+    return (joined.withColumn(out, F.pmod(pos, F.lit(k)).cast("int"))
+            .drop("__h", "__b", "__ob", "__y", "__off"))
+
+
+def _stratified_by_label_counts(tagged: DataFrame, label: str, k: int, out: str, rows_per_bucket: int,
+                                cores: int) -> DataFrame:
+    counts = tagged.groupBy(q(label)).agg(F.count(F.lit(1)).alias("n")).collect()
+    buckets = max(1, math.ceil(max(r["n"] for r in counts) / rows_per_bucket), math.ceil(cores / len(counts)))
+    rows = tagged.withColumn("__b", F.pmod(F.col("__h"), F.lit(buckets)).cast("int"))
+    sizes = rows.groupBy(q(label).alias("__y"), "__b").agg(F.count(F.lit(1)).alias("__n"))
+    return _number_rows(tagged, sizes, label, k, out, buckets)

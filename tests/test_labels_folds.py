@@ -105,3 +105,14 @@ def test_fixture_every_row_in_one_test_fold(spark):
     assert per_user == 0
     train = fo.fold_rows(lab, fx.members(spark, sf), split="train")
     assert train.count() == 4 * lab.count()
+
+
+def test_stratified_fallback_path_same_sizes(spark, monkeypatch):
+    rows = [(i, i % 5) for i in range(503)]
+    df = spark.createDataFrame(rows, "i long, label int")
+    a = {(r.label, r.cv_fold): r["count"] for r in
+         fo.stratified_kfold(df, "label", k=4, seed=1).groupBy("label", "cv_fold").count().collect()}
+    monkeypatch.setattr(fo, "FINE_BUCKETS", 1)              # forces the label-count path
+    b = {(r.label, r.cv_fold): r["count"] for r in
+         fo.stratified_kfold(df, "label", k=4, seed=1).groupBy("label", "cv_fold").count().collect()}
+    assert a == b and sum(a.values()) == 503
