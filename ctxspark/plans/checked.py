@@ -682,3 +682,15 @@ def k5_results_roundtrip(spark, sf_dir):
     res = ev.fold_results(fold_predictions(spark, sf_dir), ["pred_a", "pred_b"])
     store.append_table(round_doubles(res), path, {"pct": 40, "cv_method": "StratifiedKFold"})
     return store.read_table(spark, path)
+
+
+@register("j4_lr_vs_rf_agreement")
+def j4_lr_vs_rf_agreement(spark, sf_dir):
+    """Notebook comparison with real models: balanced LR and RF trained on fold 0, both scored on the test users,
+    joint correctness per true class (shares)."""
+    train, test = _fold0(spark, sf_dir)
+    lr = md.early_fusion(FEATS, flows.DEFAULT_MODEL).fit(train)
+    rf = md.early_fusion(FEATS, {"estimator": "random-forest", "n_estimators": 50, "criterion": "entropy",
+                                 "max_depth": 10, "class_weight": "balanced", "min_samples_split": 1.0}).fit(train)
+    scored = md.score_two(lr, rf, test, "lr", "rf")
+    return round_doubles(cmp.agreement_matrix(scored, "label", "lr", "rf", by_class=True))
