@@ -38,13 +38,18 @@ def fold_rows(df: DataFrame, members: DataFrame, fold: int | None = None, split:
         m = m.filter(F.col("split") == split)
     m = m.select("uuid", "fold", "split")
     if validate:
-        unknown = m.select("uuid").distinct().join(df.select("uuid").distinct(), "uuid", "left_anti")
-        missing = [r.uuid for r in unknown.limit(5).collect()]
-        if missing:
-            raise UnknownUserError(f"users in the fold list without rows: {missing}")
+        check_members(df, m)
     return df.join(broadcast_if_small(m), "uuid")
 
 
+def check_members(df: DataFrame, members: DataFrame) -> None:
+    """Raise when a user listed in the fold membership has no rows (one anti-join of the distinct users)."""
+    unknown = members.select("uuid").distinct().join(df.select("uuid").distinct(), "uuid", "left_anti")
+    missing = [r.uuid for r in unknown.limit(5).collect()]
+    if missing:
+        raise UnknownUserError(f"users in the fold list without rows: {missing}")
+
+
 def attach_groups(df: DataFrame, group_map: DataFrame, group_col: str = "group") -> DataFrame:
     """uuid -> group from a configured map; users not in the map get null."""
     return df.join(broadcast_if_small(group_map.select("uuid", q(group_col))), "uuid", "left")
