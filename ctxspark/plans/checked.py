@@ -694,3 +694,19 @@ def j4_lr_vs_rf_agreement(spark, sf_dir):
                                  "max_depth": 10, "class_weight": "balanced", "min_samples_split": 1.0}).fit(train)
     scored = md.score_two(lr, rf, test, "lr", "rf")
     return round_doubles(cmp.agreement_matrix(scored, "label", "lr", "rf", by_class=True))
+
+
+_EV_LIST = "[" + ", ".join(f"coalesce({c}, 'NaN'::DOUBLE)" for c in fx.EVENT_LABELS) + "]"
+_EV_NAMES = "[" + ", ".join(f"'{n}'" for n in fx.EVENT_LABELS) + "]"
+
+
+@register("j1_unique_keys_events", f"""WITH ev AS ({fx.EVENTS_SQL}),
+f AS (SELECT uuid, "timestamp", acc_value, discrete_props_bytes FROM ev),
+l AS (SELECT uuid, "timestamp", {", ".join(fx.EVENT_LABELS)} FROM ev),
+j AS (SELECT * FROM f LEFT JOIN l USING (uuid, "timestamp"))
+SELECT * EXCLUDE (l, {", ".join(fx.EVENT_LABELS)}), {fx.ARGMAX_SQL} AS label, {_EV_NAMES}[{fx.ARGMAX_SQL} + 1] AS label_name
+FROM (SELECT *, {_EV_LIST} AS l FROM j)""")
+def j1_unique_keys_events(spark, sf_dir):
+    """The flows' ``auto`` strategy on a unique-key table: the key check passes, the self-join becomes a projection;
+    the result equals the left join."""
+    return lb.merged_dataset(fx.event_samples(spark, sf_dir), fx.EVENT_LABELS, strategy="auto")

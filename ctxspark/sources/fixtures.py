@@ -88,6 +88,29 @@ def group_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Event types of the provided ``events`` table, in class order 0..4.
+EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
+EVENT_LABELS = tuple(f"label_{t}" for t in EVENT_TYPES)
+
+
+def event_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as a wide per-(user, event) table: unique (uuid, timestamp) keys, the unique-key case of J1."""
+    e = read_table(spark, sf_dir, "events")
+    return e.select(F.col("user_id").cast("string").alias("uuid"), F.col("event_id").cast("long").alias("timestamp"),
+                    F.col("value").cast("double").alias("acc_value"),
+                    F.octet_length("props").cast("double").alias("discrete_props_bytes"),
+                    *[F.when(F.col("event_type") == t, 1.0).otherwise(0.0).alias(n)
+                      for t, n in zip(EVENT_TYPES, EVENT_LABELS)])
+
+
+EVENTS_SQL = """
+SELECT CAST(user_id AS VARCHAR) AS uuid, CAST(event_id AS BIGINT) AS "timestamp", CAST(value AS DOUBLE) AS acc_value,
+       CAST(strlen(props) AS DOUBLE) AS discrete_props_bytes,
+""" + ",\n".join(f"       CAST(CASE WHEN event_type = '{t}' THEN 1 ELSE 0 END AS DOUBLE) AS label_{t}" for t in EVENT_TYPES) + """
+FROM events
+"""
+
+
 EMBEDDING_DIM = 64
 
 
