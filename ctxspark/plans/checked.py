@@ -436,6 +436,24 @@ def p8_selected_dataset(spark, sf_dir):
     return data.select("uuid", *[q(c) for c in sorted(keep)], "label")
 
 
+@register("p8_selected_long", f"""WITH {_MERGED}, {_MOMENTS_SQL},
+ranked AS (SELECT p.feature, p.position, f.f_score, quantile_cont(f.f_score, 0.6) OVER () AS thr,
+                  count(*) OVER () AS nf
+           FROM pos p JOIN fs f USING (feature)),
+tied AS (SELECT *, sum(CASE WHEN f_score > thr THEN 1 ELSE 0 END) OVER () AS above,
+                row_number() OVER (PARTITION BY f_score = thr ORDER BY position) AS tie_rank FROM ranked),
+chosen AS (SELECT feature FROM tied WHERE f_score > thr OR (f_score = thr AND tie_rank <= floor(nf * 40 / 100) - above))
+SELECT uuid, "timestamp", label, feature, value
+FROM (SELECT uuid, "timestamp", label, {", ".join(FEATS)} FROM merged)
+     UNPIVOT INCLUDE NULLS (value FOR feature IN ({", ".join(FEATS)}))
+WHERE feature IN (SELECT feature FROM chosen)""")
+def p8_selected_long(spark, sf_dir):
+    """The selected dataset in long form (uuid, timestamp, label, feature, value): selection mask + projection."""
+    data = _labelled_join(spark, sf_dir)
+    keep = sel.selected_names(sel.select_features(data, FEATS, percentile=40))
+    return stx.long_values(data, keep, keep=["uuid", "timestamp", "label"], drop_nulls=False)
+
+
 @register("m2_selection_fill", f"""WITH {_MERGED}, {_MOMENTS_SQL}
 SELECT uuid, "timestamp", label, {", ".join(f'round({c}, 6) AS {c}' for c in FEATS)} FROM (SELECT uuid, "timestamp", label,
   {", ".join(f"coalesce({c}, (SELECT fill FROM fills WHERE feature = '{c}')) AS {c}" for c in FEATS)} FROM merged)""")
