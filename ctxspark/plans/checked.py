@@ -13,11 +13,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ctxspark.functions import q
+from ctxspark.functions import epoch_to_utc_string, q, split_discrete_numeric
+from ctxspark.operators import compare as cmp
 from ctxspark.operators import evaluate as ev
+from ctxspark.operators import folds as fo
+from ctxspark.operators import labels as lb
+from ctxspark.operators import models as md
+from ctxspark.operators import prep as pp
+from ctxspark.operators import select as sel
+from ctxspark.operators import stats as stx
 from ctxspark.operators.sizing import broadcast_if_small
-from ctxspark.plans import sqlgen
+from ctxspark.plans import flows, sqlgen
+from ctxspark.session import shared_dir
 from ctxspark.sources import fixtures as fx
+from ctxspark.sources import store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -206,10 +215,6 @@ def e9_classification_report(spark, sf_dir):
 
 # ---- S3, P2-P7, J1, U1, M8: sources, roles, labelling ----------------------------------------------------------
 
-from ctxspark.functions import epoch_to_utc_string  # noqa: E402
-from ctxspark.session import shared_dir  # noqa: E402
-from ctxspark.operators import folds as fo  # noqa: E402
-from ctxspark.operators import labels as lb  # noqa: E402
 
 SAMPLES = f"samples AS ({fx.SAMPLES_SQL})"
 SAMPLES_NP = f"samples AS (SELECT * EXCLUDE (part) FROM ({fx.SAMPLES_SQL}))"
@@ -359,11 +364,6 @@ def l13_stratified_fold_sizes(spark, sf_dir):
 
 # ---- A1, A3, M1-M5, P8, C5: statistics, preparation, selection --------------------------------------------------
 
-from ctxspark.functions import split_discrete_numeric  # noqa: E402
-from ctxspark.operators import compare as cmp  # noqa: E402
-from ctxspark.operators import prep as pp  # noqa: E402
-from ctxspark.operators import select as sel  # noqa: E402
-from ctxspark.operators import stats as stx  # noqa: E402
 
 FEATS = list(fx.SAMPLE_FEATURES)
 DISC, NUM = split_discrete_numeric(FEATS)
@@ -572,11 +572,6 @@ def c4_agreement_by_class(spark, sf_dir):
 
 # ---- L3-L16, E1, C6: models (rows-only checks: fitted models have no SQL twin) -----------------------------------
 
-from ctxspark.operators import models as md  # noqa: E402
-from ctxspark.plans import flows  # noqa: E402
-from ctxspark.session import shared_dir  # noqa: E402
-from ctxspark.sources import store  # noqa: E402
-
 
 @register("l6_balanced_weights", f"""WITH {LAB}, {MEM},
 tr AS (SELECT l.* FROM lab l JOIN mem m ON l.uuid = m.uuid AND m.fold = 0 AND m.split = 'train'),
