@@ -723,3 +723,12 @@ def j1_unique_keys_events(spark, sf_dir):
     """The flows' ``auto`` strategy on a unique-key table: the key check passes, the self-join becomes a projection;
     the result equals the left join."""
     return lb.merged_dataset(fx.event_samples(spark, sf_dir), fx.EVENT_LABELS, strategy="auto")
+
+
+@register("k3_single_split_roundtrip", f"""WITH {LAB}, {MEM}
+SELECT l.* EXCLUDE ("timestamp"), m.split FROM lab l JOIN mem m ON l.uuid = m.uuid AND m.fold = 0""")
+def k3_single_split_roundtrip(spark, sf_dir):
+    """Single train/test split (fold 0 of the membership) written by split without timestamp, read back."""
+    path = store.write_single_split(fx.labelled_samples(spark, sf_dir), fx.members(spark, sf_dir),
+                                    shared_dir(spark, "single"))
+    return spark.read.parquet(path)
