@@ -732,3 +732,14 @@ def k3_single_split_roundtrip(spark, sf_dir):
     path = store.write_single_split(fx.labelled_samples(spark, sf_dir), fx.members(spark, sf_dir),
                                     shared_dir(spark, "single"))
     return spark.read.parquet(path)
+
+
+@register("s7_fold_lists_roundtrip", f"""WITH {MEM}
+SELECT * FROM mem""")
+def s7_fold_lists_roundtrip(spark, sf_dir):
+    """Fold membership written as uuid-per-line text lists by (fold, split, source), read back."""
+    from ctxspark.sources.sensor_csv import read_fold_lists
+
+    path = shared_dir(spark, "fold-lists")
+    fx.members(spark, sf_dir).write.mode("overwrite").partitionBy("fold", "split", "source").text(path)
+    return read_fold_lists(spark, path, layout="partitioned")

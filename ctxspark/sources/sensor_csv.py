@@ -72,12 +72,27 @@ def read_user_csvs(spark: SparkSession, paths: str | Sequence[str], uuid_from: s
     return union_users(frames)
 
 
-def read_fold_lists(spark: SparkSession, directory: str, single_split: bool = False) -> DataFrame:
+PARTITIONED_PATTERN = r"/fold=(\d+)/split=([^/]+)/source=([^/]+)/[^/]*$"
+
+
+def read_fold_lists(spark: SparkSession, directory: str, single_split: bool = False,
+                    layout: str = "files") -> DataFrame:
     """Fold membership (fold, split, source, uuid) from uuid-per-line text files; blank lines are dropped.
 
-    ``single_split`` reads ``train.txt`` / ``test.txt`` as fold 0 (source = null).
+    ``single_split`` reads ``train.txt`` / ``test.txt`` as fold 0 (source = null). ``layout="partitioned"`` reads
+    the same lists from ``fold=<k>/split=<s>/source=<src>/`` directories, as Spark writes them.
     """
     base = directory.rstrip("/")
+    if layout == "partitioned":
+        df = spark.read.option("recursiveFileLookup", True).text(base)
+        path = F.col("_metadata.file_path")
+        out = df.select(F.regexp_extract(path, PARTITIONED_PATTERN, 1).cast("int").alias("fold"),
+                        F.regexp_extract(path, PARTITIONED_PATTERN, 2).alias("split"),
+                        F.regexp_extract(path, PARTITIONED_PATTERN, 3).alias("source"),
+                        F.trim("value").alias("uuid"))
+        return out.filter(F.col("uuid") != "")
+    if layout != "files":
+        raise ValueError(f"layout must be 'files' or 'partitioned', not {layout!r}")
     if single_split:
         df = spark.read.text([f"{base}/{n}" for n in SINGLE_SPLIT_FILES])
         fname = F.col("_metadata.file_name")
