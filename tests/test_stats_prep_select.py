@@ -100,3 +100,12 @@ def test_twelve_features_at_forty_percent(spark):
     chosen = sel.selected_names(sel.select_features(df, list(cols), 40))
     assert len(chosen) == 4 or len(chosen) == 5
     assert set(chosen) <= {f"f{i:02d}" for i in range(6, 12)}
+
+
+def test_mixed_prep_validation(spark):
+    df = spark.createDataFrame([(1.0,)], "x double")
+    with pytest.raises(ValueError):
+        pp.MixedPrep(inputCols=["x", "missing"]).fit(df)
+    with pytest.raises(ValueError):
+        pp.MixedPrep().fit(df)
+    assert not hasattr(pp.MixedPrep(inputCols=["x"]), "transform")   # an estimator transforms only once fitted
