@@ -12,7 +12,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,14 +81,45 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+BASE = np.uint64(0x9E3779B97F4A7C15)
+BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE**i and BASE**-i modulo 2**64 for i below ``n``."""
+    if len(_powers[0]) < n:
+        for i, base in enumerate((BASE, BASE_INVERSE)):
+            steps = np.full(2 * n, base)
+            steps[0] = 1
+            _powers[i] = np.multiply.accumulate(steps)
+    return _powers[0][:n], _powers[1][:n]
+
+
+def range_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Polynomial hash of ``values[start:end]`` for each range: equal contents hash equally wherever they stand."""
+    up, down = powers(len(values) + 1)
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * up[:-1], out=sums[1:])
+    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+
+
+def string_hashes(strings: pa.Array) -> np.ndarray:
+    """64-bit hashes of the UTF-8 bytes of each string, computed on the array's buffers."""
+    strings = strings.cast(pa.string()) if not pa.types.is_string(strings.type) else strings
+    if not len(strings):
+        return np.zeros(0, np.uint64)
+    ends = np.frombuffer(strings.buffers()[1], np.int32)[strings.offset:strings.offset + len(strings) + 1].astype(np.int64)
+    data = np.frombuffer(strings.buffers()[2] or b"", np.uint8)[ends[0]:ends[-1]]
+    return range_hashes(data.astype(np.uint64) + np.uint64(1), ends[:-1] - ends[0], ends[1:] - ends[0])
+
+
 def word_hashes(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Row offsets and the 64-bit hash of each word; each distinct word of the slice is hashed once."""
     bounds, words = split_words(texts, lower)
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words.dictionary.cast(pa.binary()).to_pylist()),
-                         np.uint64, len(words.dictionary))
     if not len(words):
         return bounds, np.zeros(0, np.uint64)
-    return bounds, hashes[words.indices.to_numpy(zero_copy_only=False)]
+    return bounds, string_hashes(words.dictionary)[words.indices.to_numpy(zero_copy_only=False)]
 
 
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:

@@ -3,10 +3,45 @@
 from __future__ import annotations
 
 from ctxspark.llm.common import table
+from ctxspark.llm.decontaminate import best_leaks
+from ctxspark.llm.jaccard import jaccard_components
 from ctxspark.llm.packing import packing_digest
+from ctxspark.llm.quality import quality
+from ctxspark.llm.secret_scan import find_secrets
+from ctxspark.llm.suffix_dedup import repeated_passages
 from ctxspark.llm.token_files import token_digest
 from ctxspark.llm.tokens import default_vocabulary
 from ctxspark.llm.topk import top_k
+from ctxspark.llm.toxicity import score_toxicity
+from ctxspark.llm.warc import warc_round_trip
+
+
+def op1_suffix_array_dedup(spark, sf_dir):
+    return repeated_passages(table(spark, sf_dir, "documents"), least=50)
+
+
+def op2_benchmark_decontamination(spark, sf_dir):
+    return best_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_toxicity(spark, sf_dir):
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
+def op4_quality_kneser_ney(spark, sf_dir):
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_secret_scan(spark, sf_dir):
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
+def op6_ngram_jaccard_join(spark, sf_dir):
+    return jaccard_components(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
+def op7_warc(spark, sf_dir):
+    return warc_round_trip(table(spark, sf_dir, "pages"))
 
 
 def op8_token_files(spark, sf_dir):
@@ -21,7 +56,9 @@ def op10_block_top_k(spark, sf_dir):
     return top_k(table(spark, sf_dir, "embeddings"), k=5, every=50)
 
 
-QUERIES = {f.__name__: f for f in (op8_token_files, op9_harmonic_packing, op10_block_top_k)}
+QUERIES = {f.__name__: f for f in (
+    op1_suffix_array_dedup, op2_benchmark_decontamination, op3_toxicity, op4_quality_kneser_ney, op5_secret_scan,
+    op6_ngram_jaccard_join, op7_warc, op8_token_files, op9_harmonic_packing, op10_block_top_k)}
 
 ORACLES = {
     "op10_block_top_k": """
