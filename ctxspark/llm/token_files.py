@@ -42,16 +42,21 @@ def encode_block(values: np.ndarray) -> bytes:
     chunks = -(-n // CHUNK)
     if not n:
         return np.zeros(HEADER, "<u4").tobytes()
-    at = np.arange(n)
-    last = np.minimum((at // CHUNK + 1) * CHUNK, n)
+    room = np.minimum(CHUNK - np.arange(n) % CHUNK, n - np.arange(n)).astype(np.int32)
     choice = np.full(n, ESCAPE, np.uint8)
+    narrow = values.astype(np.uint32) if int(values.max()) < 1 << 32 else values
+    wide = np.zeros(n + 1, np.int32)
     for s in range(len(SELECTORS) - 1, -1, -1):
         count, bits = SELECTORS[s]
-        wide = values >> np.uint64(bits) != 0
-        if n - int(np.count_nonzero(wide)) < count:
+        if count > n:
             break
-        stop = np.minimum.accumulate(np.where(wide, at, n)[::-1])[::-1] if wide.any() else n
-        choice[np.minimum(stop, last) - at >= count] = s
+        fits = room[:n - count + 1] >= count
+        if narrow.dtype != np.uint32 or bits < 32:
+            np.cumsum(narrow >= narrow.dtype.type(1 << bits), out=wide[1:])
+            fits &= wide[count:] == wide[:n - count + 1]
+        if s < 7 and not fits.any():
+            break
+        choice[:n - count + 1][fits] = s
     takes = np.array([c for c, _ in SELECTORS] + [0, 1])[choice]
     steps, here = [], np.arange(0, n, CHUNK)
     ends = np.minimum(here + CHUNK, n)
