@@ -1,0 +1,42 @@
+import corpus_pipeline
+from ctxspark.llm.common import table
+from ctxspark.llm.queries import ORACLES, QUERIES
+from tests.conftest import SF_SMALL
+
+
+def test_each_operator_has_a_query():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11)) and set(ORACLES) <= set(QUERIES)
+
+
+def test_stages_take_effect(spark, tmp_dir):
+    docs = table(spark, SF_SMALL, "documents")
+    columns, ids = docs.columns, {r[0] for r in docs.select("doc_id").collect()}
+    labels = {r["doc_id"]: r["quality"] for r in table(spark, SF_SMALL, "labels").collect()}
+    items = [" ".join(r["text"].lower().split()) for r in table(spark, SF_SMALL, "benchmark").collect()]
+    for name, stage in corpus_pipeline.STAGES:
+        before = {r["doc_id"]: r["text"] for r in docs.collect()} if name != "packing" else ids
+        path = f"{tmp_dir}/{name}"
+        stage(spark, docs, SF_SMALL).write.parquet(path)
+        docs = spark.read.parquet(path)
+        ids = {r[0] for r in docs.select("doc_id").collect()}
+        assert ids <= set(before)
+        if name == "packing":
+            assert ids == set(before) and "sequence_id" in docs.columns
+            continue
+        assert docs.columns == columns
+        text = {r["doc_id"]: r["text"] for r in docs.collect()}
+        if name == "quality":
+            clean = [i for i, q in labels.items() if q == 1 and i in before]
+            assert sum(i in ids for i in clean) >= 0.97 * len(clean)
+            assert sum(i in ids for i, q in labels.items() if q == 0) <= 0.3 * sum(q == 0 for q in labels.values())
+        if name == "near_duplicates":
+            assert len(set(text.values()) - {"", None}) == sum(bool(t) for t in text.values())
+        if name == "decontamination":
+            leaks = [i for i, t in before.items() if any(x and x in " ".join(t.lower().split()) for x in items)]
+            assert not ids & set(leaks) and len(before) - len(ids) <= len(leaks) + 1
+        if name == "secrets":
+            assert ids == set(before) and not any('token = "' in t and '[SECRET]' not in t for t in text.values())
+
+
+def test_run_on_a_small_table(spark):
+    assert corpus_pipeline.run(spark, SF_SMALL).count() > 0

@@ -1,0 +1,40 @@
+import math
+import random
+
+import pytest
+
+from ctxspark.llm import topk
+
+
+def brute(rows, k, every):
+    ok = [(j, i, [math.floor(256 * float(x)) for x in v]) for j, (i, v) in enumerate(rows)
+          if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
+    for j, i, q in ok:
+        if i % every == 0:
+            scored = sorted((-sum(a * b for a, b in zip(q, v)), n) for m, n, v in ok if m != j)[:k]
+            out += [(i, rank + 1, n, -s) for rank, (s, n) in enumerate(scored)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("kind", ["gauss", "ties", "large"])
+def test_top_k_equals_brute_force(spark, monkeypatch, kind):
+    monkeypatch.setattr(topk, "BLOCK", 8)
+    monkeypatch.setattr(topk, "CELL_ROWS", 64)
+    monkeypatch.setattr(topk, "GROUP_ROWS", 4)
+    r = random.Random(2)
+    make = {"gauss": lambda: [r.gauss(0, 1) for _ in range(6)], "ties": lambda: [float(r.randrange(2)) for _ in range(6)],
+            "large": lambda: [r.choice([1e9, -1e9, 0.5]) for _ in range(6)]}[kind]
+    rows = [(i, make()) for i in range(200)]
+    rows += [(300, None), (301, [1.0, None, 2.0]), (302, [float("nan")] * 6), (303, [float("inf")] * 6), (None, make()), (50, make()),
+             (400, [1.0, 2.0]), (450, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 AS row", "'x' AS cell").repartition(3)
+    got = sorted(map(tuple, topk.top_k(df, 5, 50).collect()))
+    assert got == brute(rows, 5, 50)
+
+
+def test_fewer_candidates_and_none(spark):
+    df = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
+    assert list(map(tuple, topk.top_k(df).collect())) == [(0, 1, 1, 256 * 512)]
+    assert topk.top_k(df.where("vec_id = 0")).collect() == []
+    assert topk.top_k(df.where("vec_id > 5")).collect() == []
