@@ -8,7 +8,6 @@ sources/    readers and writers (per-user CSV directories, fold lists, datasets,
 operators/  table operators: labelling join, folds, column statistics, ANOVA selection, mixed preprocessing,
             models, evaluation, model comparison, grid search
 plans/      end-to-end flows: preprocess -> train per fold -> evaluate, grid search, notebook comparison
-streaming/  incremental evaluation of a fitted model over a file stream
 """
 
 from ctxspark.session import get_spark, shared_dir

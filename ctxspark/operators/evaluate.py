@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from ctxspark.functions import nan_div, q, zero_div
 
-N_CLASSES = 6
 METRIC_COLUMNS = ("Accuracy", "Sensitivity", "Specifisity", "BA", "Precision", "F1")
 STATE_COLUMNS = ("tp", "tn", "fp", "fn")
 
@@ -30,12 +29,13 @@ def _window(keys: Sequence[str]) -> Window:
     return Window.partitionBy(*[q(k) for k in keys]) if keys else Window.partitionBy(F.lit(0))
 
 
-def class_state(confusion: DataFrame, keys: Sequence[str] = (), n_classes: int = N_CLASSES,
+def class_state(confusion: DataFrame, keys: Sequence[str] = (), n_classes: int | None = None,
                 require_all_classes: bool = True) -> DataFrame:
     """(keys..., class, tp, tn, fp, fn, support) per class from confusion counts.
 
     Each count row contributes once to its true class and once to its predicted class (a generate, not a join).
-    Every class 0..K-1 must have support in each key group (a missing class raises at run time).
+    With ``n_classes`` = K a class outside 0..K-1 raises, and so does a group that lacks one of them; without it the
+    classes are those of the counts, and one that is only predicted raises. A missing (null) class raises.
     """
     n, y, p = F.col("n"), F.col("label"), F.col("prediction")
     sides = F.array(
@@ -45,9 +45,13 @@ def class_state(confusion: DataFrame, keys: Sequence[str] = (), n_classes: int =
                  F.lit(0).cast("long").alias("hit")),
     )
     per = (confusion.select(*[q(k) for k in keys], F.explode(sides).alias("s")).select(*[q(k) for k in keys], "s.*")
-           .filter((F.col("class") >= 0) & (F.col("class") < n_classes))
            .groupBy(*[q(k) for k in keys], "class")
            .agg(F.sum("true_n").alias("support"), F.sum("pred_n").alias("predicted"), F.sum("hit").alias("tp")))
+    known = F.col("class").isNotNull()
+    if n_classes is not None:
+        known &= F.col("class").between(0, n_classes - 1)
+    per = per.withColumn("class", F.when(known, F.col("class")).otherwise(F.raise_error(
+        F.concat(F.lit("class outside the known ones: "), F.coalesce(F.col("class").cast("string"), F.lit("null"))))))
     w = _window(keys)
     total = F.sum("support").over(w)
     tp = F.col("tp")
@@ -55,8 +59,9 @@ def class_state(confusion: DataFrame, keys: Sequence[str] = (), n_classes: int =
     fp = F.col("predicted") - tp
     if require_all_classes:
         present = F.count(F.when(F.col("support") > 0, 1)).over(w)
-        tp = F.when(present == n_classes, tp).otherwise(
-            F.raise_error(F.lit(f"every one of the {n_classes} classes needs support in each evaluated group")))
+        wanted = F.lit(n_classes) if n_classes is not None else F.count(F.lit(1)).over(w)
+        tp = F.when(present == wanted, tp).otherwise(
+            F.raise_error(F.lit("every class needs support in each evaluated group")))
     return per.select(*[q(k) for k in keys], F.col("class").cast("int").alias("class"), tp.cast("long").alias("tp"),
                       (total - F.col("support") - fp).cast("long").alias("tn"), fp.cast("long").alias("fp"),
                       fn.cast("long").alias("fn"), F.col("support").cast("long").alias("support"))
@@ -149,7 +154,7 @@ def results_table(state: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def fold_results(pred: DataFrame, models: dict[str, str] | Sequence[str], label: str = "label", fold: str = "fold",
-                 n_classes: int = N_CLASSES) -> DataFrame:
+                 n_classes: int | None = None) -> DataFrame:
     """Results of several prediction columns, per fold and pooled, from one pass over the rows.
 
     ``models`` maps a model name to its prediction column (or lists columns used as names).
@@ -182,12 +187,12 @@ def f1_scores(confusion: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
             .agg(F.avg(f1).alias("f1_macro"), zero_div(F.sum("tp"), F.sum("support")).alias("f1_micro")))
 
 
-def classification_report(confusion: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+def classification_report(confusion: DataFrame, keys: Sequence[str] = (), n_classes: int | None = None) -> DataFrame:
     """Per-class precision / recall / f1 / support, then accuracy, macro avg and weighted avg rows.
 
-    0/0 gives 0 as in the usual text report. ``row`` holds the class index as text or the summary name.
+    The classes are those of the counts; with ``n_classes`` any other raises. 0/0 gives 0 as in the usual text report. ``row`` holds the class index as text or the summary name.
     """
-    st = class_state(confusion, keys=keys, require_all_classes=False)
+    st = class_state(confusion, keys=keys, n_classes=n_classes, require_all_classes=False)
     prec = zero_div(F.col("tp"), F.col("tp") + F.col("fp"))
     rec = zero_div(F.col("tp"), F.col("tp") + F.col("fn"))
     per = st.select(*[q(k) for k in keys], "class", prec.alias("precision"), rec.alias("recall"),

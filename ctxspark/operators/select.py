@@ -1,6 +1,6 @@
 """ANOVA-F percentile feature selection.
 
-F is computed from per-(class, feature) moments gathered in one pass (K x F rows after partial aggregation);
+F is computed from per-(class, feature) moments gathered in one scan (K rows after aggregation, K x F unpivoted);
 the few K x F numbers are turned into F scores on the driver, as Spark ML's own ANOVA test does. The fill
 used before scoring (missing numeric -> column mean, missing discrete -> most frequent value) is applied
 analytically to those moments: filling z rows with value c changes count, mean and squared deviations in
@@ -13,66 +13,28 @@ a NaN score counts as the lowest score; p = 100 keeps all, p = 0 keeps none.
 
 from __future__ import annotations
 
+import math
+import sys
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ctxspark.functions import split_discrete_numeric
-from ctxspark.operators.stats import _profile_values
-
-
-MAX_DRIVER_GROUPS = 1_000_000
-
-
-def _combine_on_driver(rows) -> tuple[list, dict]:
-    """Per-(class, feature) moments and discrete modes from (class, feature, discrete value) groups."""
-    mom: dict[tuple, list] = {}
-    counts: dict[str, dict[float, int]] = {}
-    for r in rows:
-        mom.setdefault((r["label"], r["feature"]), []).append(r)
-        if r["mvalue"] is not None:
-            per = counts.setdefault(r["feature"], {})
-            per[r["mvalue"]] = per.get(r["mvalue"], 0) + r["n"]
-    out = []
-    for (lab, feat), gs in mom.items():
-        n = sum(g["n"] for g in gs)
-        mean = sum(g["n"] * g["mean"] for g in gs if g["n"]) / n if n else None
-        m2 = sum((g["m2"] or 0.0) + (g["n"] * (g["mean"] - mean) ** 2 if g["n"] else 0.0) for g in gs) if n else None
-        out.append({"label": lab, "feature": feat, "rows": sum(g["rows"] for g in gs), "n": n, "mean": mean, "m2": m2})
-    modes = {f: min(v for v, c in per.items() if c == max(per.values())) for f, per in counts.items()}
-    return out, modes
+from ctxspark.functions import nan_to_null, q, split_discrete_numeric
+from ctxspark.operators.stats import column_modes, column_moments
 
 
 def anova_moments(df: DataFrame, features: Sequence[str], label: str = "label") -> tuple[list, dict]:
-    """One scan, one aggregate by (class, feature, discrete value): numeric features give K x F groups holding
-    their moments, discrete features give per-value counts (a discrete feature has a small domain). The groups
-    are combined exactly (parallel-variance rule) into per-(class, feature) moments and discrete modes.
+    """Moments per (class, feature) from one scan, and the modes of the discrete features from one more.
 
-    The group table is collected behind a size guard; past ``MAX_DRIVER_GROUPS`` groups the same combination
-    runs in Spark and only K x F moment rows and one mode per discrete feature are collected.
+    K x F moment rows and one mode per discrete feature are collected.
     """
     discrete, _ = split_discrete_numeric(features)
-    lv = _profile_values(df, features, discrete, keep=[label]).withColumnRenamed(label, "label")
-    agg = lv.groupBy("label", "feature", "mvalue").agg(
-        F.count(F.lit(1)).alias("rows"), F.count("value").alias("n"), F.avg("value").alias("mean"),
-        (F.var_pop("value") * F.count("value")).alias("m2"))
-    rows = agg.limit(MAX_DRIVER_GROUPS + 1).collect()
-    if len(rows) <= MAX_DRIVER_GROUPS:
-        return _combine_on_driver(rows)
-    w = Window.partitionBy("label", "feature")
-    g = agg.withColumn("gmean", F.try_divide(F.sum(F.col("n") * F.col("mean")).over(w), F.sum("n").over(w)))
-    mom = (g.groupBy("label", "feature").agg(
-        F.sum("rows").alias("rows"), F.sum("n").alias("n"), F.first("gmean", ignorenulls=True).alias("mean"),
-        F.sum(F.coalesce(F.col("m2"), F.lit(0.0))
-              + F.coalesce(F.col("n") * (F.col("mean") - F.col("gmean")) ** 2, F.lit(0.0))).alias("m2"))
-        .collect())
-    modes = {r["feature"]: r["mode"] for r in
-             agg.filter(F.col("mvalue").isNotNull()).groupBy("feature", "mvalue").agg(F.sum("n").alias("c"))
-             .groupBy("feature").agg(F.max(F.struct(F.col("c"), (-F.col("mvalue")).alias("neg"))).alias("b"))
-             .select("feature", (-F.col("b.neg")).alias("mode")).collect()}
+    mom = (column_moments(df, features, [label]).withColumnRenamed(label, "label")
+           .withColumn("m2", F.col("std") * F.col("std") * F.col("n")).collect())
+    modes = {r["feature"]: r["mode"] for r in column_modes(df, discrete).collect()} if discrete else {}
     return [r.asDict() for r in mom], modes
 
 
@@ -120,20 +82,29 @@ def anova_f(df: DataFrame, features: Sequence[str], label: str = "label") -> Dat
 
 
 def percentile_mask(scores: Sequence[float], percentile: float) -> list[bool]:
-    """Keep mask for scores in column order under the percentile rule (NaN = lowest)."""
-    s = np.asarray(scores, dtype=float)
-    if percentile >= 100:
-        return [True] * len(s)
-    if percentile <= 0 or len(s) == 0:
-        return [False] * len(s)
-    s = np.where(np.isnan(s), np.finfo(float).min, s)
-    thr = np.percentile(s, 100 - percentile)
-    mask = s > thr
-    ties = np.where(s == thr)[0]
-    if len(ties):
-        room = int(len(s) * percentile / 100) - int(mask.sum())
-        mask[ties[:max(room, 0)]] = True
-    return mask.tolist()
+    """Keep mask for scores in column order under the percentile rule (NaN = lowest).
+
+    ``floor(n * percentile / 100)`` places go to the ranks above the threshold rank first, then to scores equal to the
+    threshold in column order. The threshold stands at rank (n - 1) * (100 - percentile) / 100 of the ascending scores,
+    between two ranks linearly.
+    """
+    if not 0 < percentile < 100:
+        return [percentile >= 100] * len(scores)
+    values = [-sys.float_info.max if math.isnan(x) else x for x in scores]
+    if not values:
+        return []
+    ascending, rank = sorted(values), (len(values) - 1) * (100 - percentile) / 100
+    below = math.floor(rank)
+    above = min(below + 1, len(values) - 1)
+    threshold = ascending[below]
+    if rank > below and ascending[above] > ascending[below]:
+        threshold += (ascending[above] - ascending[below]) * (rank - below)
+    kept = [x > threshold for x in values]
+    places = math.floor(len(values) * percentile / 100) - sum(kept)
+    for i, x in enumerate(values):
+        if x == threshold and places > 0:
+            kept[i], places = True, places - 1
+    return kept
 
 
 def select_features(df: DataFrame, features: Sequence[str], percentile: float = 40, label: str = "label") -> DataFrame:
@@ -152,5 +123,13 @@ def select_features(df: DataFrame, features: Sequence[str], percentile: float =
         [(c, i, vals[i], bool(mask[i])) for i, c in enumerate(features)], schema)
 
 
+def selection_fill(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """``df`` with missing feature values filled as the scores see them: numeric by the mean, discrete by the mode."""
+    discrete, numeric = split_discrete_numeric(features)
+    fills = {r["feature"]: r["mean"] for r in column_moments(df, numeric).collect()} if numeric else {}
+    fills |= {r["feature"]: r["mode"] for r in column_modes(df, discrete).collect()} if discrete else {}
+    return df.withColumns({c: F.coalesce(nan_to_null(q(c).cast("double")), F.lit(fills.get(c)).cast("double")) for c in features})
+
+
 def selected_names(selection: DataFrame) -> list[str]:
     return [r["feature"] for r in selection.filter("selected").orderBy("position").collect()]

@@ -1,10 +1,9 @@
 """Column statistics over wide tables: mean / population std / scale, most frequent value, class counts.
 
-Wide tables are unpivoted into (feature, value) rows inside the scan (a Generate, never materialised) and then
-aggregated by feature: map-side partial aggregation leaves only #features rows per task, so the shuffle stays
-tiny however many rows and columns there are, and the aggregate code does not grow with the column count.
-Most-frequent values need counts per (feature, value); the partial aggregate pre-combines hot values before the
-shuffle, so a value holding a third of the rows costs one row per task.
+Moments are plain column aggregates: one scan for ``COLUMN_BATCH`` columns, map-side partial aggregation, one row per
+key group to the shuffle. Most-frequent values need counts per (feature, value): the columns are unpivoted inside the
+scan (a Generate, never materialised) and the partial aggregate pre-combines hot values, so a value holding a third of
+the rows costs one row per task.
 """
 
 from __future__ import annotations
@@ -26,25 +25,47 @@ def long_values(df: DataFrame, features: Sequence[str], keep: Sequence[str] = ()
     return out.filter(F.col("value").isNotNull()) if drop_nulls else out
 
 
+COLUMN_BATCH = 64
+
+
+def column_moments(df: DataFrame, features: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """(keys..., feature, rows, n, mean, std) per key group; NaN is missing; a feature without values has null moments.
+
+    One aggregate (and one scan) for each ``COLUMN_BATCH`` features, so generated code stays small on wide tables.
+    """
+    out = None
+    for i in range(0, len(features), COLUMN_BATCH):
+        part = list(features[i:i + COLUMN_BATCH])
+        x = [nan_to_null(q(c).cast("double")) for c in part]
+        wide = df.groupBy(*[q(k) for k in keys]).agg(
+            F.count(F.lit(1)).alias("__rows"),
+            *[f(v).alias(f"__{n}{j}") for j, v in enumerate(x) for n, f in (("n", F.count), ("m", F.avg), ("s", F.stddev_pop))])
+        pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col("__rows").alias("rows"), F.col(f"__n{j}").alias("n"),
+                                   F.col(f"__m{j}").alias("mean"), F.col(f"__s{j}").alias("std")) for j, c in enumerate(part)])
+        long = wide.select(*[q(k) for k in keys], F.explode(pairs).alias("p")).select(*[q(k) for k in keys], "p.*")
+        out = long if out is None else out.unionByName(long)
+    return out
+
+
 def column_stats(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """(feature, n, mean, std, scale): non-missing count, mean, population std; scale = std, or 1 when std is 0.
 
     A feature with no values has null mean/std/scale.
     """
-    lv = long_values(df, features, drop_nulls=False)
-    st = lv.groupBy("feature").agg(F.count("value").alias("n"), F.avg("value").alias("mean"),
-                                   F.stddev_pop("value").alias("std"))
-    return st.withColumn("scale", F.when(F.col("std") == 0, F.lit(1.0)).otherwise(F.col("std")))
+    return column_moments(df, features).select(
+        "feature", "n", "mean", "std", F.when(F.col("std") == 0, F.lit(1.0)).otherwise(F.col("std")).alias("scale"))
 
 
 def column_modes(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """(feature, mode, count): most frequent non-missing value per feature; ties go to the smallest value.
 
-    Features without any value are absent from the result.
+    Features without any value are absent from the result. The maximum is taken in two hash aggregates (largest count,
+    then smallest value of that count), without sorting the counts.
     """
     counts = long_values(df, features).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("count"))
-    best = counts.groupBy("feature").agg(F.max(F.struct(F.col("count"), (-F.col("value")).alias("neg"))).alias("b"))
-    return best.select("feature", (-F.col("b.neg")).alias("mode"), F.col("b.count").alias("count"))
+    most = counts.groupBy("feature").agg(F.max("count").alias("count"))          # one row per feature
+    return (counts.join(F.broadcast(most), ["feature", "count"]).groupBy("feature", "count")
+            .agg(F.min("value").alias("mode")).select("feature", "mode", "count"))
 
 
 def label_histogram(df: DataFrame, columns: Sequence[str], n_classes: int) -> DataFrame:
@@ -57,33 +78,3 @@ def label_histogram(df: DataFrame, columns: Sequence[str], n_classes: int) -> Da
                                                       *[F.lit(0).cast("long").alias(c) for c in columns])
     return (counts.unionByName(domain).groupBy("__class")
             .agg(*[F.sum(q(c)).cast("long").alias(c) for c in columns]).withColumnRenamed("__class", "class"))
-
-
-def _profile_values(df: DataFrame, features: Sequence[str], mode_features: Sequence[str], keep: Sequence[str] = ()):
-    """(keep..., feature, value, mvalue): mvalue = value for features whose mode is wanted, else null."""
-    want = set(mode_features)
-    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), nan_to_null(q(c).cast("double")).alias("value"),
-                               (nan_to_null(q(c).cast("double")) if c in want else F.lit(None).cast("double"))
-                               .alias("mvalue")) for c in features])
-    return df.select(*[q(k) for k in keep], F.explode(pairs).alias("p")).select(
-        *[q(k) for k in keep], "p.feature", "p.value", "p.mvalue")
-
-
-def feature_profile(df: DataFrame, features: Sequence[str], mode_features: Sequence[str] | None = None) -> DataFrame:
-    """(feature, n, mean, std, scale, mode, mode_count) from ONE scan.
-
-    A grouping-sets aggregate computes, in the same pass, the per-feature moments and the per-(feature, value)
-    counts of the features whose mode is wanted (default: all); the mode is then reduced per feature on the
-    aggregate's output. Modes follow :func:`column_modes` (ties -> smallest value).
-    """
-    modes_for = list(features) if mode_features is None else list(mode_features)
-    lv = _profile_values(df, features, modes_for)
-    agg = lv.groupingSets([[F.col("feature")], [F.col("feature"), F.col("mvalue")]], "feature", "mvalue").agg(
-        F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"),
-        F.count(F.lit(1)).alias("rows"), F.grouping_id().alias("gid"))
-    st = agg.filter(F.col("gid") == 1).select(
-        "feature", "n", "mean", "std", F.when(F.col("std") == 0, F.lit(1.0)).otherwise(F.col("std")).alias("scale"))
-    md = (agg.filter((F.col("gid") == 0) & F.col("mvalue").isNotNull()).groupBy("feature")
-          .agg(F.max(F.struct(F.col("rows"), (-F.col("mvalue")).alias("neg"))).alias("b"))
-          .select("feature", (-F.col("b.neg")).alias("mode"), F.col("b.rows").alias("mode_count")))
-    return st.join(md, "feature", "left")

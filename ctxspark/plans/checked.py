@@ -7,9 +7,11 @@ decimals on both sides (sums are ordered differently by the two engines).
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,7 +24,7 @@ from ctxspark.operators import models as md
 from ctxspark.operators import prep as pp
 from ctxspark.operators import select as sel
 from ctxspark.operators import stats as stx
-from ctxspark.operators.sizing import broadcast_if_small
+from ctxspark.operators import tune
 from ctxspark.plans import flows, sqlgen
 from ctxspark.session import shared_dir
 from ctxspark.sources import fixtures as fx
@@ -57,7 +59,7 @@ def _r(items: list[str], digits: int = 9) -> str:
 def fold_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled rows with rule predictions, tagged with the fold whose test split holds their user."""
     test = fx.members(spark, sf_dir).filter(F.col("split") == "test").select("uuid", "fold")
-    return fx.labelled_samples(spark, sf_dir).join(broadcast_if_small(test), "uuid")
+    return fx.labelled_samples(spark, sf_dir).join(test, "uuid")
 
 
 def _confusion_all(spark, sf_dir, model="pred_a"):
@@ -199,7 +201,7 @@ def e8_f1_scorers(spark, sf_dir):
     return round_doubles(ev.f1_scores(conf, keys=("model",)))
 
 
-@register("e9_classification_report", _F1_SQL + f""",
+_REPORT_SQL = f""",
 per AS (SELECT model, class, p AS precision, r AS recall, {sqlgen.zero_div_sql("2 * p * r", "p + r")} AS f1,
                CAST(support AS BIGINT) AS support, tp FROM pr)
 SELECT model, "row", round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1, support FROM (
@@ -207,12 +209,26 @@ SELECT model, "row", round(precision, 9) AS precision, round(recall, 9) AS recal
   UNION ALL SELECT model, 'accuracy', NULL, NULL, sum(tp) / sum(support), CAST(sum(support) AS BIGINT) FROM per GROUP BY model
   UNION ALL SELECT model, 'macro avg', avg(precision), avg(recall), avg(f1), CAST(sum(support) AS BIGINT) FROM per GROUP BY model
   UNION ALL SELECT model, 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support),
-                   sum(f1 * support) / sum(support), CAST(sum(support) AS BIGINT) FROM per GROUP BY model)""")
+                   sum(f1 * support) / sum(support), CAST(sum(support) AS BIGINT) FROM per GROUP BY model)"""
+
+
+@register("e9_classification_report", _F1_SQL + _REPORT_SQL)
 def e9_classification_report(spark, sf_dir):
     conf = ev.confusion_counts(_stacked(fx.labelled_samples(spark, sf_dir), keys=()), keys=("model",))
     return round_doubles(ev.classification_report(conf, keys=("model",)))
 
 
+_TEN_SQL = f"""WITH lab AS ({fx.EMBEDDING_PREDICTIONS_SQL}),
+conf AS (SELECT 'rule' AS model, label, prediction, count(*) AS n FROM lab GROUP BY ALL)""" + _F1_SQL[_F1_SQL.index(",\ncls AS"):]
+
+
+@register("e9_report_ten_classes", _TEN_SQL + _REPORT_SQL)
+def e9_report_ten_classes(spark, sf_dir):
+    """The report takes its classes from the counts: ten of them in ``embeddings``."""
+    conf = ev.confusion_counts(fx.embedding_predictions(spark, sf_dir).withColumn("model", F.lit("rule")), keys=("model",))
+    return round_doubles(ev.classification_report(conf, keys=("model",)))
+
+
 # ---- S3, P2-P7, J1, U1, M8: sources, roles, labelling ----------------------------------------------------------
 
 
@@ -231,24 +247,29 @@ def s3_union_users(spark, sf_dir):
     return lb.union_users([s.filter(is_f).drop("acc_price"), s.filter(~is_f).drop("gyro_tax")])
 
 
-@register("s1_read_user_csvs", f"""WITH {SAMPLES_NP}
-SELECT * EXCLUDE (acc_price) FROM samples WHERE {_IS_F}
-UNION ALL BY NAME
-SELECT * EXCLUDE (gyro_tax) FROM samples WHERE NOT ({_IS_F})""")
+@register("s1_read_user_csvs", f"""WITH samples AS ({fx.SAMPLES_SQL})
+SELECT uuid, "timestamp", CASE WHEN part % 5 < 2 THEN NULL ELSE acc_quantity END AS acc_quantity,
+       CASE WHEN CAST(uuid AS INTEGER) % 2 = 0 THEN acc_price END AS acc_price,
+       CASE WHEN CAST(uuid AS INTEGER) % 2 = 1 THEN gyro_tax END AS gyro_tax,
+       label_af, 'by, ' || CAST(part % 3 AS VARCHAR) AS label_source, CAST(CASE WHEN part % 5 = 2 THEN 1 ELSE 0 END AS INTEGER) AS bad_cells,
+       CASE WHEN part % 5 = 2 THEN NULL ELSE gyro_discount END AS gyro_discount
+FROM samples""")
 def s1_read_user_csvs(spark, sf_dir):
-    """Per-user CSVs with two different headers (column set and order), written by Spark under the shared
-    folder from ``lineitem``, read back by grouping files by header; uuid from the user directory."""
-    from ctxspark.sources.sensor_csv import read_user_csvs
+    """One CSV file per user, named after it, with two headers (column set and order), ``nan``, empty, quoted and
+    unreadable cells, written from ``lineitem`` under the shared folder and read back."""
+    from ctxspark.sources.sensor_csv import read_user_csvs, write_user_csvs
 
     base = shared_dir(spark, "user-csv")
-    s = fx.samples(spark, sf_dir, with_part=False)
-    is_f = (F.col("label_af") + F.col("label_nf") + F.col("label_rf")) == 1
-    a = s.filter(is_f).drop("acc_price")
-    b = s.filter(~is_f).drop("gyro_tax")
-    b = b.select("uuid", *sorted((c for c in b.columns if c != "uuid"), reverse=True))
-    for part, sub in ((a, "a"), (b, "b")):
-        part.write.mode("overwrite").partitionBy("uuid").option("header", True).csv(f"{base}/{sub}")
-    return read_user_csvs(spark, [f"{base}/a", f"{base}/b"], uuid_from="partition")
+    s = fx.samples(spark, sf_dir)
+    even = F.col("uuid").cast("int") % 2 == 0
+    text = F.when(F.col("part") % 5 == 0, "nan").when(F.col("part") % 5 == 1, "").otherwise(F.col("acc_quantity").cast("string"))
+    bad = F.when(F.col("part") % 5 == 2, "broken").otherwise(F.col("gyro_discount").cast("string"))
+    s = s.select("uuid", "timestamp", text.alias("acc_quantity"), "acc_price", "gyro_tax", "label_af",
+                 F.concat(F.lit("by, "), (F.col("part") % 3).cast("string")).alias("label_source"), bad.alias("gyro_discount"))
+    write_user_csvs(s.filter(even).drop("gyro_tax"), f"{base}/a")
+    write_user_csvs(s.filter(~even).drop("acc_price").select("uuid", "label_source", "label_af", "gyro_discount", "gyro_tax",
+                                                            "acc_quantity", "timestamp"), f"{base}/b")
+    return read_user_csvs(spark, [f"{base}/a", f"{base}/b"], bad_cells=True)
 
 
 @register("p2_features_frame", f"""WITH {SAMPLES_NP}
@@ -334,6 +355,14 @@ def l14_row_groups(spark, sf_dir):
     return fo.attach_uuid_codes(fx.samples(spark, sf_dir).select("uuid", "timestamp"))
 
 
+@register("w1_order_codes", """
+SELECT CAST(l_orderkey AS VARCHAR) AS uuid, CAST(row_number() OVER (ORDER BY CAST(l_orderkey AS VARCHAR)) - 1 AS INTEGER) AS code
+FROM (SELECT DISTINCT l_orderkey FROM lineitem)""")
+def w1_order_codes(spark, sf_dir):
+    """Dense codes of many keys: one per order."""
+    return fo.uuid_codes(fx.read_table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("uuid")))
+
+
 @register("l12_group_kfold", f"""WITH RECURSIVE {LAB}, gm AS ({fx.GROUP_MAP_SQL}),
 sizes AS (SELECT g."group", count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, g."group" ASC NULLS LAST) AS i
           FROM lab l LEFT JOIN gm g USING (uuid) GROUP BY g."group"),
@@ -394,7 +423,7 @@ def _labelled_join(spark, sf_dir):
 
 
 _MERGED = f"""{_JOINED_SQL},
-merged AS (SELECT * EXCLUDE (l, {", ".join(fx.SAMPLE_LABELS)}), {fx.ARGMAX_SQL} AS label
+merged AS MATERIALIZED (SELECT * EXCLUDE (l, {", ".join(fx.SAMPLE_LABELS)}), {fx.ARGMAX_SQL} AS label
            FROM (SELECT *, {fx.LABEL_LIST_SQL} AS l FROM j))"""
 _MOMENTS_SQL = f"""
 mstats AS (SELECT feature, avg(value) AS mean FROM (UNPIVOT (SELECT {', '.join(FEATS)} FROM merged) ON {', '.join(FEATS)}
@@ -403,11 +432,11 @@ mmodes AS (SELECT feature, value AS mode FROM (
   SELECT feature, value, row_number() OVER (PARTITION BY feature ORDER BY n DESC, value ASC) AS rk
   FROM (SELECT feature, value, count(*) AS n FROM (UNPIVOT (SELECT {', '.join(DISC)} FROM merged) ON {', '.join(DISC)}
         INTO NAME feature VALUE value) GROUP BY ALL)) WHERE rk = 1),
-fills AS (SELECT s.feature, coalesce(m.mode, s.mean) AS fill FROM mstats s LEFT JOIN mmodes m USING (feature)),
-filled AS (SELECT label, {", ".join(f"coalesce({c}, (SELECT fill FROM fills WHERE feature = '{c}')) AS {c}" for c in FEATS)}
-           FROM merged),
-grp AS (SELECT feature, label, count(*) AS nk, avg(value) AS mk, var_pop(value) * count(*) AS ssk
-        FROM (UNPIVOT filled ON {', '.join(FEATS)} INTO NAME feature VALUE value) GROUP BY ALL),
+fills AS MATERIALIZED (SELECT {", ".join(f"max(CASE WHEN s.feature = '{c}' THEN coalesce(m.mode, s.mean) END) AS f_{c}" for c in FEATS)}
+          FROM mstats s LEFT JOIN mmodes m USING (feature)),
+filled AS MATERIALIZED (SELECT uuid, "timestamp", label, {", ".join(f"coalesce({c}, f_{c}) AS {c}" for c in FEATS)} FROM merged, fills),
+grp AS MATERIALIZED (SELECT feature, label, count(*) AS nk, avg(value) AS mk, var_pop(value) * count(*) AS ssk
+        FROM (UNPIVOT (SELECT label, {', '.join(FEATS)} FROM filled) ON {', '.join(FEATS)} INTO NAME feature VALUE value) GROUP BY ALL),
 g2 AS (SELECT *, sum(nk * mk) OVER (PARTITION BY feature) / sum(nk) OVER (PARTITION BY feature) AS grand FROM grp),
 fs AS (SELECT feature, (sum(nk * (mk - grand) ^ 2) / (count(*) - 1)) / (sum(ssk) / (sum(nk) - count(*))) AS f_score
        FROM g2 GROUP BY feature),
@@ -428,21 +457,34 @@ def m1_anova_selection(spark, sf_dir):
     return s.withColumn("f_score", F.round("f_score", 6))
 
 
-@register("p8_selected_dataset")
-def p8_selected_dataset(spark, sf_dir):
-    """The saved dataset: uuid, the selected raw features (unfilled) in column order, label."""
-    data = _labelled_join(spark, sf_dir)
-    keep = sel.selected_names(sel.select_features(data, FEATS, percentile=40))
-    return data.select("uuid", *[q(c) for c in sorted(keep)], "label")
+def _numbered(df: DataFrame, keep, keys) -> DataFrame:
+    """The wide selected table with its columns by number, whichever features were selected: name_i, value_i."""
+    named = [x for i, c in enumerate(sorted(keep), 1) for x in (F.lit(c).alias(f"name_{i}"), q(c).cast("double").alias(f"value_{i}"))]
+    return df.select(*keys, *named)
 
 
-@register("p8_selected_long", f"""WITH {_MERGED}, {_MOMENTS_SQL},
+_CHOSEN_SQL = """
 ranked AS (SELECT p.feature, p.position, f.f_score, quantile_cont(f.f_score, 0.6) OVER () AS thr,
                   count(*) OVER () AS nf
            FROM pos p JOIN fs f USING (feature)),
 tied AS (SELECT *, sum(CASE WHEN f_score > thr THEN 1 ELSE 0 END) OVER () AS above,
                 row_number() OVER (PARTITION BY f_score = thr ORDER BY position) AS tie_rank FROM ranked),
-chosen AS (SELECT feature FROM tied WHERE f_score > thr OR (f_score = thr AND tie_rank <= floor(nf * 40 / 100) - above))
+chosen AS MATERIALIZED (SELECT feature FROM tied WHERE f_score > thr OR (f_score = thr AND tie_rank <= floor(nf * 40 / 100) - above)),
+pick AS MATERIALIZED (SELECT list_sort(list(feature)) AS names FROM chosen)"""
+_PICKED_SQL = ", ".join(f"names[{i}] AS name_{i}, CASE names[{i}] " + " ".join(f"WHEN '{c}' THEN {c}" for c in FEATS) + f" END AS value_{i}"
+                        for i in (1, 2))
+
+
+@register("p8_selected_dataset", f"""WITH {_MERGED}, {_MOMENTS_SQL}, {_CHOSEN_SQL}
+SELECT uuid, label, {_PICKED_SQL} FROM merged, pick""")
+def p8_selected_dataset(spark, sf_dir):
+    """The saved dataset: uuid, the selected raw features (unfilled) in column order, label."""
+    data = _labelled_join(spark, sf_dir)
+    keep = sel.selected_names(sel.select_features(data, FEATS, percentile=40))
+    return _numbered(data.select("uuid", *[q(c) for c in sorted(keep)], "label"), keep, ["uuid", "label"])
+
+
+@register("p8_selected_long", f"""WITH {_MERGED}, {_MOMENTS_SQL}, {_CHOSEN_SQL}
 SELECT uuid, "timestamp", label, feature, value
 FROM (SELECT uuid, "timestamp", label, {", ".join(FEATS)} FROM merged)
      UNPIVOT INCLUDE NULLS (value FOR feature IN ({", ".join(FEATS)}))
@@ -455,14 +497,9 @@ def p8_selected_long(spark, sf_dir):
 
 
 @register("m2_selection_fill", f"""WITH {_MERGED}, {_MOMENTS_SQL}
-SELECT uuid, "timestamp", label, {", ".join(f'round({c}, 6) AS {c}' for c in FEATS)} FROM (SELECT uuid, "timestamp", label,
-  {", ".join(f"coalesce({c}, (SELECT fill FROM fills WHERE feature = '{c}')) AS {c}" for c in FEATS)} FROM merged)""")
+SELECT uuid, "timestamp", label, {", ".join(f'round({c}, 6) AS {c}' for c in FEATS)} FROM filled""")
 def m2_selection_fill(spark, sf_dir):
-    data = _labelled_join(spark, sf_dir)
-    st = pp.fit_statistics(data, FEATS)
-    fills = {c: (st[c]["mode"] if c in DISC else st[c]["mean"]) for c in FEATS}
-    out = data.select("uuid", "timestamp", "label", *[F.coalesce(q(c), F.lit(fills[c])).alias(c) for c in FEATS])
-    return round_doubles(out, 6)
+    return round_doubles(sel.selection_fill(_labelled_join(spark, sf_dir), FEATS).select("uuid", "timestamp", "label", *FEATS), 6)
 
 
 _SCALE_SQL = ", ".join(
@@ -495,7 +532,6 @@ def m5_mixed_prep(spark, sf_dir):
     s = fx.samples(spark, sf_dir, with_part=False)
     model = pp.MixedPrep(inputCols=FEATS).fit(s)
     out = model.transform(s)
-    from pyspark.ml.functions import vector_to_array
     arr = vector_to_array(F.col("features"))
     names = model.feature_order()
     return round_doubles(out.select("uuid", "timestamp", *[arr[i].alias(f"p_{c}") for i, c in enumerate(names)]), 6)
@@ -570,7 +606,7 @@ def c4_agreement_by_class(spark, sf_dir):
                                               by_class=True))
 
 
-# ---- L3-L16, E1, C6: models (rows-only checks: fitted models have no SQL twin) -----------------------------------
+# ---- L3-L16, E1, C6: models (checked by what SQL can state of them) ---------------------------------------------
 
 
 @register("l6_balanced_weights", f"""WITH {LAB}, {MEM},
@@ -584,83 +620,230 @@ def l6_balanced_weights(spark, sf_dir):
     return round_doubles(tab.withColumn("weight", md.balanced_weight(counts, F.col("label"))))
 
 
+def _training_rows(spark, sf_dir):
+    """The flow's own rows: features joined with labels (k * k for repeated keys), argmax label."""
+    return lb.merged_dataset(fx.samples(spark, sf_dir, with_part=False), fx.SAMPLE_LABELS, strategy="auto").drop("label_name")
+
+
 def _fold0(spark, sf_dir):
-    lab = fx.labelled_samples(spark, sf_dir).drop("pred_a", "pred_b", "part")
-    mem = fx.members(spark, sf_dir).filter(F.col("fold") == 0).persist()   # #users x folds rows, read twice
+    lab, mem = _training_rows(spark, sf_dir), fx.members(spark, sf_dir)
     return (fo.fold_rows(lab, mem, fold=0, split="train").drop("fold", "split"),
-            fo.fold_rows(lab, mem, fold=0, split="test"))
+            fo.fold_rows(lab, mem, fold=0, split="test", validate=False))
 
 
-def _fold0_results(spark, sf_dir, config, name):
-    train, test = _fold0(spark, sf_dir)
-    model = md.early_fusion(FEATS, config).fit(train)
-    return round_doubles(ev.fold_results(md.predict(model, test), {name: "prediction"}))
+RF_CONFIG = {"estimator": "random-forest", "n_estimators": 50, "criterion": "entropy", "max_depth": 10,
+             "class_weight": "balanced", "min_samples_split": 0.1}
+_FOLD_ROWS = f"{_MERGED}, {MEM}, t AS (SELECT m.fold, m.split, r.* FROM merged r JOIN mem m USING (uuid))"
 
 
-@register("l9_train_lr_per_fold")
+def class_totals(predictions: DataFrame, keys=("fold",)) -> DataFrame:
+    """(keys, class, support, tp + fn): what every model must give alike."""
+    state = ev.class_state(ev.confusion_counts(predictions, keys=keys), keys=keys)
+    return state.select(*keys, "class", "support", (F.col("tp") + F.col("fn")).alias("tp_fn"))
+
+
+@register("l9_train_lr_per_fold", f"""WITH {_FOLD_ROWS}
+SELECT fold, CAST(label AS INTEGER) AS class, count(*) AS support, count(*) AS tp_fn FROM t WHERE split = 'test' GROUP BY ALL""")
 def l9_train_lr_per_fold(spark, sf_dir):
-    """Reference default run: 40 % ANOVA selection, 5 folds, balanced LR (C = 1e-4), results per fold + pooled."""
+    """Reference default run: 40 % ANOVA selection, 5 folds, balanced LR (C = 1e-4); rows scored per fold and class."""
     raw = fx.samples(spark, sf_dir, with_part=False)
     cfg = flows.RunConfig(activity_labels=fx.SAMPLE_LABELS)
-    return round_doubles(flows.run(raw, fx.members(spark, sf_dir), cfg)["results"])
+    return class_totals(flows.run(raw, fx.members(spark, sf_dir), cfg)["predictions"])
+
+
+def largest_gradient(prepared: DataFrame, coefficients, intercepts, classes, c: float, weight) -> float:
+    """Largest absolute gradient entry of the stated objective (1/2 |W|^2 + C sum of weighted log losses) per unit of
+    C and row, over all rows: one aggregation of the F + 1 sums per class."""
+    x = vector_to_array("features")
+    margins = [sum((F.lit(float(w)) * x[j] for j, w in enumerate(row)), F.lit(float(b))) for row, b in zip(coefficients, intercepts)]
+    top = F.greatest(*margins) if len(margins) > 1 else F.greatest(margins[0], F.lit(0.0))
+    rows = prepared.select("label", x.alias("x"), F.array(*margins).alias("m"), top.alias("top"))
+    e = [F.exp(F.col("m")[k] - F.col("top")) for k in range(len(margins))]
+    total = sum(e[1:], e[0]) if len(e) > 1 else e[0] + F.exp(-F.col("top"))
+    rows = rows.select("x", *[(weight(cls) * (e[k] / total - (F.col("label") == cls).cast("double"))).alias(f"d{k}")
+                              for k, cls in enumerate(classes)])
+    width = len(coefficients[0])
+    sums = [F.sum(F.col(f"d{k}") * F.col("x")[j]).alias(f"g{k}_{j}") for k in range(len(classes)) for j in range(width)]
+    sums += [F.sum(f"d{k}").alias(f"g{k}_b") for k in range(len(classes))]
+    row = rows.agg(*sums, F.count(F.lit(1)).alias("n")).first()
+    return max(abs((float(coefficients[k][j]) if j != "b" else 0.0) / c + row[f"g{k}_{j}"]) / row["n"]
+               for k in range(len(classes)) for j in [*range(width), "b"])
+
 
+def _multinomial_gradient(model, rows: DataFrame, c: float) -> float:
+    lr, weight = model.stages[1], md.balanced_weight(md.class_counts(rows), F.col("label"))
+    return largest_gradient(model.stages[0].transform(rows).select("features", "label"), lr.coefficientMatrix.toArray(),
+                            lr.interceptVector.toArray(), range(len(lr.interceptVector)), c, lambda _: weight)
 
-@register("l16_lr_predictions")
+
+#: A fit counts as at its minimum when no gradient entry per row exceeds this.
+GRADIENT = 1e-4
+
+
+@register("l16_lr_predictions", f"""WITH {_FOLD_ROWS}
+SELECT split, count(*) AS scored, CASE WHEN split = 'train' THEN TRUE END AS at_minimum FROM t WHERE fold = 0 GROUP BY split""")
 def l16_lr_predictions(spark, sf_dir):
+    """Fold 0 with the default LR: its objective's gradient over all training rows is below the bound, and every row of
+    either split gets a prediction."""
     train, test = _fold0(spark, sf_dir)
-    model = md.early_fusion(FEATS, flows.DEFAULT_MODEL).fit(train)
-    return md.predict(model, test).select("uuid", "timestamp", "label", "prediction")
+    config = flows.DEFAULT_MODEL | {"tol": 1e-9}
+    model = md.early_fusion(FEATS, config).fit(train)
+    worst = _multinomial_gradient(model, train, config["C"])
+    both = train.withColumn("split", F.lit("train")).unionByName(test.drop("fold"))
+    return (md.predict(model, both).groupBy("split").agg(F.count("prediction").alias("scored"))
+            .withColumn("at_minimum", F.when(F.col("split") == "train", F.lit(worst < GRADIENT))))
 
 
-@register("l4_ovr_lr_results")
+@register("l4_ovr_lr_results", f"""WITH {_FOLD_ROWS}
+SELECT CAST(label AS INTEGER) AS class, count(*) AS support, TRUE AS at_minimum FROM t WHERE fold = 0 AND split = 'train' GROUP BY label""")
 def l4_ovr_lr_results(spark, sf_dir):
-    cfg = {"estimator": "logistic-regression", "C": 1, "max_iter": 1000, "class_weight": "balanced",
-           "multi_class": "ovr"}
-    return _fold0_results(spark, sf_dir, cfg, "lr_ovr")
-
-
-@register("l5_random_forest_results")
+    """One-vs-rest on fold 0: each class's binary problem, its training support and whether its gradient vanishes."""
+    train, _ = _fold0(spark, sf_dir)
+    config = {"estimator": "logistic-regression", "C": 1, "max_iter": 1000, "class_weight": "balanced", "multi_class": "ovr",
+              "tol": 1e-9}
+    model = md.early_fusion(FEATS, config).fit(train)
+    counts = md.class_counts(train)
+    rows = model.stages[0].transform(train).select("features", "label")
+    done = []
+    for cls, lr in zip(model.stages[-1].getOrDefault("classes"), model.stages[1:-1]):
+        binary = rows.withColumn("label", (F.col("label") == cls).cast("int"))
+        weight = md.balanced_weight({1: counts[cls], 0: sum(counts.values()) - counts[cls]}, F.col("label"))
+        worst = largest_gradient(binary, [lr.coefficients.toArray()], [lr.intercept], [1], 1.0, lambda _: weight)
+        done.append((cls, worst < GRADIENT))
+    support = train.groupBy(F.col("label").cast("int").alias("class")).agg(F.count(F.lit(1)).alias("support"))
+    return support.join(spark.createDataFrame(done, "class int, at_minimum boolean"), "class")
+
+
+@register("l5_random_forest_results", """
+SELECT CAST(label AS INTEGER) AS label, count(*) AS n, TRUE AS beats_majority FROM embeddings GROUP BY label""")
 def l5_random_forest_results(spark, sf_dir):
-    cfg = {"estimator": "random-forest", "n_estimators": 50, "criterion": "entropy", "max_depth": 10,
-           "class_weight": "balanced", "min_samples_split": 1.0}
-    return _fold0_results(spark, sf_dir, cfg, "rf")
+    """Balanced random forest on the embeddings: more rows right than the majority class has."""
+    emb = fx.embedding_samples(spark, sf_dir)
+    model = md.early_fusion([c for c in emb.columns if c.startswith("emb_")], RF_CONFIG | {"min_samples_split": 2}).fit(emb)
+    per = md.predict(model, emb).groupBy("label").agg(F.count(F.lit(1)).alias("n"),
+                                                      F.count(F.when(F.col("prediction") == F.col("label"), 1)).alias("hits"))
+    everything = Window.partitionBy(F.lit(0))       # one row per class
+    return per.select("label", "n", (F.sum("hits").over(everything) > F.max("n").over(everything)).alias("beats_majority"))
 
 
-@register("e1_saved_model_state")
+@register("e1_saved_model_state", f"""WITH {_FOLD_ROWS}
+SELECT CAST(label AS INTEGER) AS class, count(*) AS support, count(*) AS tp_fn, CAST(0 AS BIGINT) AS changed
+FROM t WHERE fold = 0 AND split = 'test' GROUP BY label""")
 def e1_saved_model_state(spark, sf_dir):
-    """Train fold 0, save, load back, score the test users: per-class TP/TN/FP/FN."""
+    """Train fold 0, save, load back, score the test users with both: no prediction may differ."""
     train, test = _fold0(spark, sf_dir)
-    path = store.save_model(md.early_fusion(FEATS, flows.DEFAULT_MODEL).fit(train), shared_dir(spark, "model"))
-    pred = md.predict(store.load_model(path), test)
-    return ev.class_state(ev.confusion_counts(pred))
-
-
-@register("l11_grid_search_lr")
+    model = md.early_fusion(FEATS, flows.DEFAULT_MODEL).fit(train)
+    loaded = store.load_model(store.save_model(model, shared_dir(spark, "model")))
+    scored = md.score_two(model, loaded, test, "kept", "again").withColumn("prediction", F.col("again"))
+    changed = scored.groupBy(F.col("label").cast("int").alias("class")).agg(
+        F.count(F.when(~F.col("kept").eqNullSafe(F.col("again")), 1)).alias("changed"))
+    return class_totals(scored, keys=()).join(changed, "class")
+
+
+def _product_sql(grid) -> str:
+    """The grid as a SQL product, the last key varying fastest."""
+    keys = list(grid)
+    values = [", ".join(f"({i}, '{json.dumps(v)}')" for i, v in enumerate(grid[k])) for k in keys]
+    parts = ", ".join(f"(VALUES {v}) t{n}(i, v)" for n, v in enumerate(values))
+    text = " || ', ' || ".join(f"'\"{k}\": ' || t{n}.v" for n, k in enumerate(keys))
+    order = ", ".join(f"t{n}.i" for n in range(len(keys)))
+    return f"SELECT CAST(row_number() OVER (ORDER BY {order}) - 1 AS INTEGER) AS candidate, '{{' || {text} || '}}' AS params FROM {parts}"
+
+
+def _scored_rows(results: DataFrame, keys: list) -> DataFrame:
+    """(keys, candidate, params, n_scores, in_range): every split has a score from 0 to 1 and the mean is theirs."""
+    splits = [c for c in results.columns if c.startswith("split") and c.endswith("_test_score")]
+    scores = F.filter(F.array(*[q(c) for c in splits]), lambda x: x.isNotNull())
+    mean = F.aggregate(scores, F.lit(0.0), lambda a, x: a + x) / F.size(scores)
+    ok = F.forall(scores, lambda x: x.between(0, 1)) & (F.abs(mean - F.col("mean_test_score")) < 1e-9) & (F.col("mean_score_time") >= 0)
+    return results.select(*keys, "candidate", "params", F.size(scores).alias("n_scores"), ok.alias("in_range"))
+
+
+@register("l11_grid_search_lr", f"""WITH g AS ({_product_sql(flows.LR_GRID)}), {MEM}
+SELECT f.fold, candidate, params, 3 AS n_scores, TRUE AS in_range FROM g, (SELECT DISTINCT fold FROM mem) f""")
 def l11_grid_search_lr(spark, sf_dir):
-    """LR grid (6 candidates, one-vs-rest, balanced) with 3 stratified splits on fold-0 training rows."""
-    train, _ = _fold0(spark, sf_dir)
+    """The LR grid (6 candidates, one-vs-rest, balanced) with 3 stratified splits on the training rows of every fold."""
+    lab, mem = _training_rows(spark, sf_dir), fx.members(spark, sf_dir)
     cfg = flows.RunConfig(activity_labels=fx.SAMPLE_LABELS)
+    out = None
+    for k in range(fx.N_FOLDS):
+        train = fo.fold_rows(lab, mem, fold=k, split="train", validate=k == 0).drop("fold", "split")
+        res, _ = flows.learn_params(train, FEATS, cfg)
+        res = _scored_rows(res.withColumn("fold", F.lit(k)), ["fold"])
+        out = res if out is None else out.unionByName(res)
+    return out
+
+
+@register("l11_grid_search_rf", f"""WITH g AS ({_product_sql(flows.RF_GRID)})
+SELECT candidate, params, 3 AS n_scores, TRUE AS in_range FROM g""")
+def l11_grid_search_rf(spark, sf_dir):
+    """The whole RF grid (80 candidates) with 3 stratified splits on the training rows of fold 0."""
+    train, _ = _fold0(spark, sf_dir)
+    cfg = flows.RunConfig(activity_labels=fx.SAMPLE_LABELS, model_config=RF_CONFIG)
     res, _ = flows.learn_params(train, FEATS, cfg)
-    return round_doubles(res.drop("mean_fit_time"))
+    return _scored_rows(res, [])
+
+
+@register("l10_param_grid", _product_sql(flows.RF_GRID))
+def l10_param_grid(spark, sf_dir):
+    """The candidates of a grid as the results table numbers them, here scored by rule on ``lineitem``."""
+    grid = tune.param_grid(flows.RF_GRID)
+    scores = (fx.read_table(spark, sf_dir, "lineitem").groupBy((F.col("l_partkey") % len(grid)).cast("int").alias("candidate"))
+              .agg(F.avg("l_discount").alias("score"), F.lit(0).alias("split"), F.lit(0.0).alias("fit_time"), F.lit(0.0).alias("score_time")))
+    return tune.cv_table(scores, [0], grid).select("candidate", "params")
+
+
+_CANDIDATES = [{"C": c} for c in (0.1, 1, 10, 100, 1000, 10000, 100000)]
+_SCORES_SQL = """s AS (SELECT CAST(l_linenumber - 1 AS INTEGER) AS candidate, CAST(l_suppkey % 3 AS INTEGER) AS split,
+                 round(avg(CASE WHEN l_returnflag = 'N' THEN 1.0 ELSE 0.0 END), 2) AS score FROM lineitem GROUP BY ALL),
+m AS (SELECT candidate, avg(score) AS mean_test_score, stddev_pop(score) AS std_test_score,
+             max(score) FILTER (WHERE split = 0) AS split0_test_score, max(score) FILTER (WHERE split = 1) AS split1_test_score,
+             max(score) FILTER (WHERE split = 2) AS split2_test_score FROM s GROUP BY candidate),
+r AS (SELECT *, CAST(rank() OVER (ORDER BY round(mean_test_score, 9) DESC) AS INTEGER) AS rank_test_score FROM m)"""
+
 
+def _rule_scores(spark, sf_dir) -> DataFrame:
+    """A score per (candidate, split) from ``lineitem``, in hundredths, so that candidates can tie."""
+    return (fx.read_table(spark, sf_dir, "lineitem")
+            .groupBy((F.col("l_linenumber") - 1).cast("int").alias("candidate"), (F.col("l_suppkey") % 3).cast("int").alias("split"))
+            .agg(F.round(F.avg(F.when(F.col("l_returnflag") == "N", 1.0).otherwise(0.0)), 2).alias("score"),
+                 F.lit(1.0).alias("fit_time"), F.lit(0.5).alias("score_time")))
 
-@register("c6_notebook_grouped_cv")
+
+@register("l15_cv_results", f"""WITH {_SCORES_SQL}
+SELECT candidate, round(split0_test_score, 9) AS split0_test_score, round(split1_test_score, 9) AS split1_test_score,
+       round(split2_test_score, 9) AS split2_test_score, round(mean_test_score, 9) AS mean_test_score,
+       round(std_test_score, 9) AS std_test_score, rank_test_score, CAST(1.0 AS DOUBLE) AS mean_fit_time, CAST(0.5 AS DOUBLE) AS mean_score_time FROM r""")
+def l15_cv_results(spark, sf_dir):
+    return round_doubles(tune.cv_table(_rule_scores(spark, sf_dir), [0, 1, 2], _CANDIDATES).drop("params"))
+
+
+@register("w3_best_candidate", f"""WITH {_SCORES_SQL}
+SELECT candidate, rank_test_score FROM r ORDER BY rank_test_score, candidate LIMIT 1""")
+def w3_best_candidate(spark, sf_dir):
+    """The first candidate of the best mean score (W2, W3)."""
+    results = tune.cv_table(_rule_scores(spark, sf_dir), [0, 1, 2], _CANDIDATES)
+    best = _CANDIDATES.index(tune.best_candidate(results))
+    return results.where(F.col("candidate") == best).select("candidate", "rank_test_score")
+
+
+@register("c6_notebook_grouped_cv", f"""WITH g AS ({_product_sql({"C": flows.NOTEBOOK_CS, "solver": ["lbfgs"], "class_weight": ["balanced"], "max_iter": [1000]})})
+SELECT k.n AS n_splits, candidate, params, k.n AS n_scores, TRUE AS in_range FROM g, (VALUES (7), (10)) k(n)""")
 def c6_notebook_grouped_cv(spark, sf_dir):
     """Notebook: all rows, scaled + zero-filled, LR over 5 values of C with 7- and 10-fold group k-fold by user."""
     lab = fx.labelled_samples(spark, sf_dir).drop("pred_a", "pred_b", "part")
-    return round_doubles(flows.notebook_grouped_cv(lab, FEATS))
+    return _scored_rows(flows.notebook_grouped_cv(lab, FEATS), ["n_splits"])
 
 
-@register("l3_lr_embeddings")
+@register("l3_lr_embeddings", """
+SELECT CAST(label AS INTEGER) AS label, count(*) AS n, TRUE AS at_minimum FROM embeddings GROUP BY label""")
 def l3_lr_embeddings(spark, sf_dir):
-    """Balanced multinomial LR on the dense 64-dim embeddings (10 classes), scored on its training rows."""
+    """Balanced multinomial LR on the whole embedding vectors (10 classes): its objective's gradient vanishes."""
     emb = fx.embedding_samples(spark, sf_dir)
-    feats = [c for c in emb.columns if c.startswith("emb_")]
-    model = md.early_fusion(feats, {"estimator": "logistic-regression", "C": 1.0, "max_iter": 200,
-                                    "class_weight": "balanced"}).fit(emb)
-    pred = md.predict(model, emb).withColumn("model", F.lit("lr_embeddings"))
-    state = ev.class_state(ev.confusion_counts(pred, keys=("model",)), keys=("model",), n_classes=10)
-    return round_doubles(ev.results_table(state, keys=("model",)))
+    config = {"estimator": "logistic-regression", "C": 1.0, "max_iter": 500, "class_weight": "balanced", "tol": 1e-9}
+    model = md.early_fusion([c for c in emb.columns if c.startswith("emb_")], config).fit(emb)
+    worst = _multinomial_gradient(model, emb, config["C"])
+    return emb.groupBy("label").agg(F.count(F.lit(1)).alias("n")).withColumn("at_minimum", F.lit(worst < GRADIENT))
 
 
 def flagship(spark, sf_dir):
@@ -672,11 +855,26 @@ def flagship(spark, sf_dir):
 # ---- K1, K2, K5: sinks, written under the shared folder and read back ------------------------------------------
 
 
-@register("k1_dataset_roundtrip", ORACLES["p5_labelled_dataset"])
+@register("k1_dataset_roundtrip", f"""WITH {_MERGED}, {_MOMENTS_SQL}, {_CHOSEN_SQL}
+SELECT uuid, "timestamp", label, {_NAMES_SQL}[label + 1] AS label_name, {_PICKED_SQL} FROM merged, pick""")
 def k1_dataset_roundtrip(spark, sf_dir):
-    data = lb.merged_dataset(fx.samples(spark, sf_dir, with_part=False), fx.SAMPLE_LABELS)
-    path = store.write_dataset(data, shared_dir(spark, "dataset"), 40)
-    return store.read_dataset(spark, path)
+    """The run's own dataset: selected features, written under the percentile, read back."""
+    raw = fx.samples(spark, sf_dir, with_part=False)
+    data, selection = flows.preprocess(raw, flows.RunConfig(activity_labels=fx.SAMPLE_LABELS))
+    back = store.read_dataset(spark, store.write_dataset(data, shared_dir(spark, "dataset"), 40))
+    return _numbered(back, sel.selected_names(selection), ["uuid", "timestamp", "label", "label_name"])
+
+
+@register("k6_cv_results_roundtrip", f"""WITH {_SCORES_SQL}
+SELECT 'm' AS model, CAST(f.range AS INTEGER) AS fold, candidate, round(mean_test_score, 9) AS mean_test_score, rank_test_score
+FROM r, range(2) f""")
+def k6_cv_results_roundtrip(spark, sf_dir):
+    """CV results of two folds saved under their keys, one of them twice, read back as one table."""
+    path = shared_dir(spark, "cv-results")
+    results = tune.cv_table(_rule_scores(spark, sf_dir), [0, 1, 2], _CANDIDATES)
+    for fold in (0, 1, 1):
+        store.replace_rows(results, path, {"model": "m", "fold": fold})
+    return round_doubles(store.read_table(spark, path).select("model", "fold", "candidate", "mean_test_score", "rank_test_score"))
 
 
 @register("k2_fold_export_roundtrip", ORACLES["j2_fold_rows"])
@@ -697,16 +895,17 @@ def k5_results_roundtrip(spark, sf_dir):
     return store.read_table(spark, path)
 
 
-@register("j4_lr_vs_rf_agreement")
+@register("j4_lr_vs_rf_agreement", f"""WITH {_FOLD_ROWS}
+SELECT CAST(label AS INTEGER) AS label, count(*) AS n, TRUE AS shares_sum_to_one FROM t WHERE fold = 0 AND split = 'test' GROUP BY ALL""")
 def j4_lr_vs_rf_agreement(spark, sf_dir):
-    """Notebook comparison with real models: balanced LR and RF trained on fold 0, both scored on the test users,
-    joint correctness per true class (shares)."""
+    """Notebook comparison with real models: balanced LR and RF trained on fold 0, both scored on the test users; the four
+    cells of joint correctness hold each true class's rows."""
     train, test = _fold0(spark, sf_dir)
     lr = md.early_fusion(FEATS, flows.DEFAULT_MODEL).fit(train)
-    rf = md.early_fusion(FEATS, {"estimator": "random-forest", "n_estimators": 50, "criterion": "entropy",
-                                 "max_depth": 10, "class_weight": "balanced", "min_samples_split": 1.0}).fit(train)
+    rf = md.early_fusion(FEATS, RF_CONFIG).fit(train)
     scored = md.score_two(lr, rf, test, "lr", "rf")
-    return round_doubles(cmp.agreement_matrix(scored, "label", "lr", "rf", by_class=True))
+    return (flows.compare_models(scored, "lr", "rf")["agreement_by_class"].groupBy("label")
+            .agg(F.sum("n").alias("n"), (F.abs(F.sum("share") - 1) < 1e-9).alias("shares_sum_to_one")))
 
 
 _EV_LIST = "[" + ", ".join(f"coalesce({c}, 'NaN'::DOUBLE)" for c in fx.EVENT_LABELS) + "]"
@@ -720,7 +919,7 @@ j AS (SELECT * FROM f LEFT JOIN l USING (uuid, "timestamp"))
 SELECT * EXCLUDE (l, {", ".join(fx.EVENT_LABELS)}), {fx.ARGMAX_SQL} AS label, {_EV_NAMES}[{fx.ARGMAX_SQL} + 1] AS label_name
 FROM (SELECT *, {_EV_LIST} AS l FROM j)""")
 def j1_unique_keys_events(spark, sf_dir):
-    """The flows' ``auto`` strategy on a unique-key table: the key check passes, the self-join becomes a projection;
+    """The flows' ``auto`` strategy keyed by (user, time): the key check decides between the self-join and a projection;
     the result equals the left join."""
     return lb.merged_dataset(fx.event_samples(spark, sf_dir), fx.EVENT_LABELS, strategy="auto")
 

@@ -2,7 +2,8 @@
 
 On a cluster the session is created by the platform; :func:`get_spark` is for tests, the bench and local runs.
 :func:`shared_dir` returns the folder the cluster names in ``spark.checkpoint.dir`` (a shared file system), and
-only falls back to a fresh local folder when that setting is absent, as in tests.
+only falls back to a fresh local folder when that setting is absent and the master is local, as in tests; on a cluster
+without the setting it raises.
 """
 
 from __future__ import annotations
@@ -43,6 +44,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="ctxspark-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

@@ -1,6 +1,7 @@
 """The ``samples`` view: a sensor-style wide table derived from the provided ``lineitem`` table.
 
-Every registered query starts here, so its work grows with ``lineitem``. Each Spark builder has a SQL twin
+Most registered queries start here, so their work grows with ``lineitem``; ``events`` and ``embeddings`` have views of
+their own. Each Spark builder has a SQL twin
 (``*_SQL``) that the DuckDB oracles use, so both engines read the same rows.
 
 ``lineitem`` has 3 return flags x 2 line statuses, i.e. six activity classes; supplier keys play the users.
@@ -94,9 +95,9 @@ EVENT_LABELS = tuple(f"label_{t}" for t in EVENT_TYPES)
 
 
 def event_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``events`` as a wide per-(user, event) table: unique (uuid, timestamp) keys, the unique-key case of J1."""
+    """``events`` as a wide table keyed by (user, time in microseconds): hardly any key repeats."""
     e = read_table(spark, sf_dir, "events")
-    return e.select(F.col("user_id").cast("string").alias("uuid"), F.col("event_id").cast("long").alias("timestamp"),
+    return e.select(F.col("user_id").cast("string").alias("uuid"), F.unix_micros(F.col("ts").cast("timestamp")).alias("timestamp"),
                     F.col("value").cast("double").alias("acc_value"),
                     F.octet_length("props").cast("double").alias("discrete_props_bytes"),
                     *[F.when(F.col("event_type") == t, 1.0).otherwise(0.0).alias(n)
@@ -104,24 +105,34 @@ def event_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 EVENTS_SQL = """
-SELECT CAST(user_id AS VARCHAR) AS uuid, CAST(event_id AS BIGINT) AS "timestamp", CAST(value AS DOUBLE) AS acc_value,
+SELECT CAST(user_id AS VARCHAR) AS uuid, CAST(epoch_us(ts) AS BIGINT) AS "timestamp", CAST(value AS DOUBLE) AS acc_value,
        CAST(strlen(props) AS DOUBLE) AS discrete_props_bytes,
 """ + ",\n".join(f"       CAST(CASE WHEN event_type = '{t}' THEN 1 ELSE 0 END AS DOUBLE) AS label_{t}" for t in EVENT_TYPES) + """
 FROM events
 """
 
 
-EMBEDDING_DIM = 64
-
-
-def embedding_samples(spark: SparkSession, sf_dir: str, dim: int = EMBEDDING_DIM) -> DataFrame:
-    """``embeddings`` as a wide numeric table (emb_00 ... emb_63, label 0..9): dense multi-class model input."""
+def embedding_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``embeddings`` as a wide numeric table (emb_000 ..., as many as the longest vector has; label 0..9)."""
     e = read_table(spark, sf_dir, "embeddings")
+    dim = e.agg(F.max(F.size("embedding"))).first()[0] or 0
     return e.select(F.col("vec_id").cast("string").alias("uuid"), F.col("vec_id").cast("long").alias("timestamp"),
-                    *[F.col("embedding")[i].cast("double").alias(f"emb_{i:02d}") for i in range(dim)],
+                    *[F.get("embedding", F.lit(i)).cast("double").alias(f"emb_{i:03d}") for i in range(dim)],
                     F.col("label").cast("int").alias("label"))
 
 
+def embedding_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule 'model' of ten classes over ``embeddings``: right for two of three vectors, else by the vector's id."""
+    return read_table(spark, sf_dir, "embeddings").select(F.col("label").cast("int").alias("label"), F.when(
+        F.col("vec_id") % 3 != 0, F.col("label")).otherwise(F.col("vec_id") % 10).cast("int").alias("prediction"))
+
+
+EMBEDDING_PREDICTIONS_SQL = """
+SELECT CAST(label AS INTEGER) AS label, CAST(CASE WHEN vec_id % 3 <> 0 THEN label ELSE vec_id % 10 END AS INTEGER) AS prediction
+FROM embeddings
+"""
+
+
 # ---- SQL twins for the DuckDB oracles -------------------------------------------------------------------------
 
 SAMPLES_SQL = """
@@ -168,9 +179,3 @@ SELECT uuid, CAST(1 + CAST(uuid AS INTEGER) % 5 AS VARCHAR) AS "group"
 FROM (SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS uuid FROM lineitem)
 WHERE CAST(uuid AS INTEGER) % 7 <> 0
 """
-
-
-def with_ctes(body: str, **ctes: str) -> str:
-    """``WITH name AS (sql), ... body`` for the oracles."""
-    parts = ",\n".join(f"{name} AS ({sql})" for name, sql in ctes.items())
-    return f"WITH {parts}\n{body}"

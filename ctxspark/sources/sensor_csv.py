@@ -1,23 +1,18 @@
 """Per-user sensor CSV directories and fold-list text files.
 
-Files of one directory may have different headers (column order and column set). A single multi-file CSV read
-would map every file positionally onto the first header, so files are grouped by header first: one light Spark
-job reads the first line of each file (``#files`` rows reach the driver), then each header group is read with an
-explicit schema in its own column order, and the groups are concatenated by column name. ``uuid`` is the file
-name up to its first dot. Downstream steps should run on the Parquet dataset written once from this reader.
+Files of one directory may have different headers (column order and column set), so the files are read once as text
+lines. Each file's header is its first line; only the distinct headers reach the driver. A line is cut into its cells
+once and every column of the result takes its cell by the position that the line's own header gives it. ``uuid`` is the
+file name up to its first dot. Downstream steps should run on the Parquet dataset written once from this reader.
 """
 
 from __future__ import annotations
 
-import re
-from collections import defaultdict
+import csv
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from ctxspark.operators.labels import union_users
 
 # Fold-list file names (fold, split, phone source) and the single-split file names.
 FOLD_FILE_PATTERN = r"fold_(\d+)_(train|test)_([A-Za-z0-9]+)_uuids\.txt$"
@@ -25,51 +20,96 @@ FOLD_FILE_GLOB = "fold_*_*_*_uuids.txt"
 SINGLE_SPLIT_FILES = ("train.txt", "test.txt")
 
 
-def _header_fields(header: str) -> list[str]:
-    return [h.strip().strip('"') for h in header.split(",")]
-
+# Words that stand for a missing value, and columns that aren't numbers.
+MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA",
+           "NULL", "NaN", "None", "n/a", "nan", "null")
+KINDS = {"timestamp": "long", "label_source": "string"}
 
-def csv_schema(columns: Sequence[str]) -> T.StructType:
-    """timestamp -> long, every other column -> double (empty cell -> null)."""
-    return T.StructType([T.StructField(c, T.LongType() if c == "timestamp" else T.DoubleType()) for c in columns])
 
-
-def file_headers(spark: SparkSession, paths: str | Sequence[str]) -> dict[str, str]:
-    """{file path: first line}."""
-    # recursive listing, no partition inference: uuid comes from the path, not from discovered columns
-    lines = spark.read.option("recursiveFileLookup", True).text(paths if isinstance(paths, str) else list(paths))
-    first = (lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("b"),
-                          "value", F.monotonically_increasing_id().alias("i"))
-             .filter(F.col("b") == 0).groupBy("path").agg(F.min_by("value", "i").alias("header")))
-    return {r["path"]: r["header"] for r in first.collect()}
+def _header_fields(header: str) -> list[str]:
+    return [h.strip() for h in next(csv.reader([header]))]
 
 
 def _uuid_column(uuid_from: str):
     if uuid_from == "file_name":
-        return F.substring_index(F.col("_metadata.file_name"), ".", 1)
+        return F.substring_index(F.substring_index("path", "/", -1), ".", 1)
     if uuid_from == "partition":
-        return F.regexp_extract(F.col("_metadata.file_path"), r"/uuid=([^/]+)/[^/]*$", 1)
+        return F.regexp_extract("path", r"/uuid=([^/]+)/[^/]*$", 1)
     raise ValueError(f"uuid_from must be 'file_name' or 'partition', not {uuid_from!r}")
 
 
-def read_user_csvs(spark: SparkSession, paths: str | Sequence[str], uuid_from: str = "file_name") -> DataFrame:
+def read_user_csvs(spark: SparkSession, paths: str | Sequence[str], uuid_from: str = "file_name",
+                   bad_cells: bool = False) -> DataFrame:
     """All users' rows in one DataFrame: ``uuid`` + every column of every file (missing -> null).
 
+    Only ``*.csv`` files are read. ``timestamp`` is long, ``label_source`` text, every other column double; a cell that is
+    neither a missing-value word nor of its column's type is null and, with ``bad_cells``, counted in that column.
     ``uuid_from="file_name"``: the file name up to its first dot (one file per user); ``"partition"``: the
     ``uuid=<id>`` directory of a user-partitioned layout, as Spark writes it.
     """
-    groups: dict[tuple[str, ...], list[str]] = defaultdict(list)
-    for path, header in sorted(file_headers(spark, paths).items()):
-        groups[tuple(_header_fields(header))].append(path)
-    if not groups:
+    # recursive listing, no partition inference: uuid comes from the path, not from discovered columns
+    lines = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
+             .text(paths if isinstance(paths, str) else list(paths))
+             .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("b"), "value",
+                     F.monotonically_increasing_id().alias("i")))
+    first = (lines.where(F.col("b") == 0).groupBy("path")
+             .agg(F.min_by("value", "i").alias("header"), F.min("i").alias("at")))       # one row a file
+    headers = [r[0] for r in first.select("header").distinct().collect()]
+    if not headers:
         raise FileNotFoundError(f"no CSV files under {paths}")
-    frames = []
-    for cols, files in groups.items():
-        df = (spark.read.schema(csv_schema(cols)).option("header", True).option("mode", "FAILFAST")
-              .option("recursiveFileLookup", True).csv(files)
-              .withColumn("uuid", _uuid_column(uuid_from)))
-        frames.append(df.select("uuid", *[F.col("`" + c + "`") for c in cols]))
-    return union_users(frames)
+    fields = {h: _header_fields(h) for h in headers}
+    columns = list(dict.fromkeys(c for h in sorted(headers) for c in fields[h]))
+    width = max(map(len, fields.values()))
+    cells = F.from_csv("value", ", ".join(f"c{i} string" for i in range(width)))
+    rows = (lines.where(F.trim("value") != "").join(first, "path").where(F.col("value") != F.col("header"))
+            .withColumn("cells", cells).withColumn("cells", F.array(*[F.trim(F.col(f"cells.c{i}")) for i in range(width)])))
+    place = F.create_map(*[x for h in headers for x in (
+        F.lit(h), F.array(*[F.lit(fields[h].index(c) if c in fields[h] else -1) for c in columns]))])
+    rows = rows.select(_uuid_column(uuid_from).alias("uuid"), "cells", F.element_at(place, F.col("header")).alias("at"))
+    out, bad = [], F.lit(0)
+    for i, c in enumerate(columns):
+        at = F.get("at", F.lit(i))
+        text = F.when(at >= 0, F.get("cells", at))
+        text = F.when(~text.isin(*MISSING), text)
+        value = text.try_cast(KINDS.get(c, "double"))
+        if c == "timestamp":
+            value = F.coalesce(value, text.try_cast("double").cast("long"))
+        out.append(value.alias(c))
+        bad = bad + (text.isNotNull() & value.isNull()).cast("int")
+    return rows.select("uuid", *out, *([bad.alias("bad_cells")] if bad_cells else []))
+
+
+def write_user_csvs(df: DataFrame, directory: str, name: str = "{uuid}.features_labels.csv") -> int:
+    """One CSV file per user, named after it; returns the number of files. A task writes its users one after the other.
+
+    ``directory`` must be a folder that all executors share (file, hdfs, s3, gs or abfs).
+    """
+    columns = [c for c in df.columns if c != "uuid"]
+
+    def run(batches):
+        import pyarrow.fs as pafs
+
+        uri = "file://" + directory[5:] if directory.startswith("file:/") and not directory.startswith("file://") else directory
+        fs, folder = pafs.FileSystem.from_uri(uri)
+        fs.create_dir(folder, recursive=True)
+        now, out, files = None, None, 0
+        for frame in batches:
+            for uuid, part in frame.groupby("uuid", sort=False):
+                if uuid != now:
+                    if out is not None:
+                        out.close()
+                    now, files = uuid, files + 1
+                    out = fs.open_output_stream(f"{folder}/{name.format(uuid=uuid)}")
+                    out.write((",".join(columns) + "\n").encode())
+                out.write(part[columns].to_csv(index=False, header=False).encode())
+        if out is not None:
+            out.close()
+        import pandas as pd
+
+        yield pd.DataFrame({"files": [files]})
+
+    written = (df.repartition("uuid").sortWithinPartitions("uuid", "timestamp").mapInPandas(run, "files long"))
+    return written.agg(F.coalesce(F.sum("files"), F.lit(0))).first()[0]
 
 
 PARTITIONED_PATTERN = r"/fold=(\d+)/split=([^/]+)/source=([^/]+)/[^/]*$"
@@ -106,10 +146,3 @@ def read_fold_lists(spark: SparkSession, directory: str, single_split: bool = Fa
                         F.regexp_extract(fname, FOLD_FILE_PATTERN, 3).alias("source"),
                         F.trim("value").alias("uuid"))
     return out.filter(F.col("uuid") != "")
-
-
-def fold_file_name(fold: int, split: str, source: str) -> str:
-    name = f"fold_{fold}_{split}_{source}_uuids.txt"
-    if not re.search(FOLD_FILE_PATTERN, name):
-        raise ValueError(name)
-    return name

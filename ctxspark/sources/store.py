@@ -32,7 +32,10 @@ def write_dataset(df: DataFrame, base: str, percentile: float, fmt: str = "parqu
 def read_dataset(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Dataset or fold table; ``label`` as int; discrete features stay doubles (their kind is in the name)."""
     if fmt == "csv":
-        df = spark.read.option("header", True).option("inferSchema", True).csv(path)
+        # every value is read as text and cast by its column's role: no pass to infer types
+        df = spark.read.option("header", True).csv(path)
+        kinds = {"uuid": "string", "label_name": "string", "label_source": "string", "timestamp": "long", "label": "int"}
+        df = df.select(*[F.col("`" + c + "`").cast(kinds.get(c, "double")).alias(c) for c in df.columns])
     else:
         df = spark.read.parquet(path)
     casts = {}
@@ -85,5 +88,18 @@ def append_table(df: DataFrame, path: str, keys: dict | None = None) -> str:
     return path
 
 
+def replace_rows(df: DataFrame, path: str, keys: dict) -> str:
+    """Write rows under ``path/<key>=<value>/...`` and replace what those keys held before: a second run adds nothing twice.
+
+    Other keys' rows stay; :func:`read_table` gives all of them back with the key columns.
+    """
+    at = "/".join([path.rstrip("/"), *(f"{k}={v}" for k, v in keys.items())])
+    df.write.mode("overwrite").parquet(at)
+    return path
+
+
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    return spark.read.option("header", True).csv(path) if fmt == "csv" else spark.read.parquet(path)
+    if fmt == "csv":
+        return spark.read.option("header", True).csv(path)
+    # parts of one table may have other split columns than the rest
+    return spark.read.option("mergeSchema", True).parquet(path)

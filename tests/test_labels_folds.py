@@ -1,5 +1,11 @@
 """Labelling join, fold rows, groups, group k-fold, stratified k-fold."""
 
+import json
+import os
+import random
+import subprocess
+import sys
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,7 +51,8 @@ def test_fold_rows_duplicates_and_unknown(spark):
     assert fo.fold_rows(df, mem, fold=0, split="train").count() == 4   # listed twice -> rows twice
     bad = mem.union(spark.createDataFrame([(0, "test", "iphone", "zz")], mem.schema))
     with pytest.raises(fo.UnknownUserError):
-        fo.fold_rows(df, bad, fold=0, split="test", validate=True)
+        fo.fold_rows(df, bad, fold=0, split="test")
+    assert fo.fold_rows(df, bad, fold=0, split="test", validate=False).count() == 1
 
 
 def test_uuid_codes_and_groups(spark):
@@ -57,13 +64,46 @@ def test_uuid_codes_and_groups(spark):
     assert got == {"a": "1", "b": None, "c": None}
 
 
-def test_group_fold_greedy():
-    sizes = [("g1", 100), ("g2", 10), ("g3", 10), ("g4", 5), ("g5", 1), ("g6", 1)]
-    a = fo.group_fold_assignment(sizes, 3)
-    assert a["g1"] == 0 and a["g2"] == 1 and a["g3"] == 2
-    assert a["g4"] == 1 and a["g5"] == 2 and a["g6"] == 2
+def greedy(sizes, n):
+    load, out = [0] * n, []
+    for s in sorted(sizes, reverse=True):
+        f = min(range(n), key=lambda i: (load[i], i))
+        load[f] += s
+        out.append(f)
+    return out
+
+
+def unrolled(sizes, n):
+    histogram = {s: sizes.count(s) for s in sizes}
+    return [f[i % len(f)] for _, _, c, f in fo.greedy_runs(histogram.items(), n) for i in range(c)]
+
+
+def test_greedy_runs_equal_the_greedy_rule():
+    r = random.Random(0)
+    for _ in range(500):
+        n = r.randint(2, 6)
+        sizes = [r.choice([1, 2, 3, 5, 10, 100, 1000]) if r.random() < 0.7 else r.randint(1, 60) for _ in range(r.randint(n, 120))]
+        assert unrolled(sizes, n) == greedy(sizes, n)
+    assert unrolled([100, 10, 10, 5, 1, 1], 3) == [0, 1, 2, 1, 2, 2]
+    assert len(fo.greedy_runs([(10**9, 1), (7, 10**11), (1, 10**12)], 5)) < 60       # runs, not groups
     with pytest.raises(ValueError):
-        fo.group_fold_assignment(sizes[:2], 3)
+        fo.greedy_runs([(1, 2)], 3)
+
+
+def test_group_folds_order_ties_by_key_with_null_last(spark):
+    sizes = spark.createDataFrame([("b", 5), ("a", 5), (None, 5), ("c", 9), ("d", 1)], "group string, n long")
+    got = {r["group"]: r["cv_fold"] for r in fo.group_folds(sizes, 3).collect()}
+    assert got == {"c": 0, "a": 1, "b": 2, None: 1, "d": 2}
+
+
+def test_dense_codes_without_exchange_reuse(spark):
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        codes = fo.uuid_codes(spark.range(20_000).selectExpr("cast(id * 7919 % 20011 as string) AS uuid")).collect()
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    assert [r.uuid for r in sorted(codes, key=lambda r: r.code)] == sorted(r.uuid for r in codes)
+    assert sorted(r.code for r in codes) == list(range(20_000))
 
 
 def test_group_kfold_groups_never_split(spark):
@@ -107,12 +147,34 @@ def test_fixture_every_row_in_one_test_fold(spark):
     assert train.count() == 4 * lab.count()
 
 
-def test_stratified_fallback_path_same_sizes(spark, monkeypatch):
-    rows = [(i, i % 5) for i in range(503)]
+MEMBERSHIP = """
+import json, sys
+from pyspark.sql import functions as F
+from ctxspark.session import get_spark
+from ctxspark.operators.folds import stratified_kfold
+spark = get_spark(master=sys.argv[1], shuffle_partitions=int(sys.argv[2]))
+df = spark.range(3000).repartition(int(sys.argv[2])).select("id", (F.col("id") % 3).cast("int").alias("label"))
+rows = stratified_kfold(df, "label", k=3, seed=7, rows_per_bucket=100).collect()
+print("MEMBERSHIP", json.dumps(sorted((r["id"], r["cv_fold"]) for r in rows)))
+"""
+
+
+def test_stratified_membership_does_not_depend_on_the_cores():
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    seen = set()
+    for cores, parts in ((1, 3), (2, 8), (8, 5)):
+        out = subprocess.run([sys.executable, "-c", MEMBERSHIP, f"local[{cores}]", str(parts)], cwd=root, capture_output=True, text=True,
+                             env=os.environ | {"PYTHONPATH": root}, timeout=300)
+        seen.add(out.stdout.partition("MEMBERSHIP ")[2].strip())
+    assert len(seen) == 1 and len(json.loads(seen.pop())) == 3000
+
+
+def test_stratified_with_many_copies_of_one_row(spark):
+    rows = [(1, 0)] * 400 + [(i, i % 2) for i in range(2, 300)]
     df = spark.createDataFrame(rows, "i long, label int")
-    a = {(r.label, r.cv_fold): r["count"] for r in
-         fo.stratified_kfold(df, "label", k=4, seed=1).groupBy("label", "cv_fold").count().collect()}
-    monkeypatch.setattr(fo, "FINE_BUCKETS", 1)              # forces the label-count path
-    b = {(r.label, r.cv_fold): r["count"] for r in
-         fo.stratified_kfold(df, "label", k=4, seed=1).groupBy("label", "cv_fold").count().collect()}
-    assert a == b and sum(a.values()) == 503
+    t = fo.stratified_kfold(df, "label", k=3, seed=3, rows_per_bucket=50)
+    sizes = {}
+    for r in t.groupBy("label", "cv_fold").count().collect():
+        sizes.setdefault(r.label, []).append(r["count"])
+    assert t.count() == len(rows) and all(max(s) - min(s) <= 1 and len(s) == 3 for s in sizes.values())
+    assert sorted((r.i, r.label) for r in t.collect()) == sorted(rows)

@@ -28,6 +28,28 @@ def test_csv_headers_differ(spark, tmp_dir):
     assert dict(df.dtypes)["timestamp"] == "bigint"
 
 
+def test_csv_real_cells(spark, tmp_dir):
+    d = os.path.join(tmp_dir, "users")
+    os.makedirs(d)
+    _write(f"{d}/U1.csv", 'timestamp,"acc,x",label_source,label:SITTING\n10,nan,"by, hand",1\n20,oops,-1,NA\n\n30.0, 1e3 ,,0\n')
+    _write(f"{d}/U2.csv", 'label_source,timestamp\nnone,5\n')
+    _write(f"{d}/notes.txt", "timestamp\n1\n")
+    got = {(r["uuid"], r["timestamp"]): r.asDict() for r in sc.read_user_csvs(spark, d, bad_cells=True).collect()}
+    assert set(got) == {("U1", 10), ("U1", 20), ("U1", 30), ("U2", 5)}
+    one, two, three = got["U1", 10], got["U1", 20], got["U1", 30]
+    assert (one["acc,x"], one["label_source"], one["label:SITTING"], one["bad_cells"]) == (None, "by, hand", 1.0, 0)
+    assert (two["acc,x"], two["label_source"], two["label:SITTING"], two["bad_cells"]) == (None, "-1", None, 1)
+    assert (three["acc,x"], three["label_source"], three["bad_cells"]) == (1000.0, None, 0)
+    assert got["U2", 5]["label_source"] == "none" and got["U2", 5]["acc,x"] is None
+
+
+def test_csv_dataset_roundtrip(spark, tmp_dir):
+    df = spark.createDataFrame([("007", 1, 0.5, 1.0, 2, "walk"), ("u", 2, None, 0.0, 0, "sit")],
+                               "uuid string, timestamp long, a double, discrete_b double, label int, label_name string")
+    back = store.read_dataset(spark, store.write_dataset(df, f"{tmp_dir}/csv", 40, fmt="csv"), fmt="csv")
+    assert back.dtypes == df.dtypes and sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
+
+
 def test_fold_lists(spark, tmp_dir):
     d = os.path.join(tmp_dir, "cv")
     os.makedirs(d)
