@@ -10,7 +10,8 @@ own task, and the best k of the cells are merged per query. That is the query se
 
 Rows: vectors that are null or hold a null, NaN or infinite component take no part; shorter vectors count as padded with
 zeros; rows that repeat a vec_id are rows of their own (each is another's candidate, never its own); a null vec_id takes
-no part; ties go to the smaller vec_id; fewer than k candidates give fewer rows; extra columns are ignored.
+no part; ties go to the smaller vec_id; scores beyond a long count as its limit; fewer than k candidates give fewer rows;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -74,6 +75,8 @@ def search(queries: np.ndarray, q_row: np.ndarray, rows: np.ndarray, row: np.nda
             s = starts[block[group[0]]]
             own = slice(s, min(s + BLOCK, len(rows)))
             got = (queries[group] @ rows[own].T).astype(kind)
+            if exact:
+                got = np.minimum(np.maximum(got, -2**63), 2**63 - 1)
             got[q_row[group][:, None] == row[own][None, :]] = -np.inf
             both = np.concatenate([score[group], got], 1)
             names = np.concatenate([ids[group], np.broadcast_to(vec[own], got.shape)], 1)
@@ -116,7 +119,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_column: str = "vec
         if ask.any() and not ask.all():
             q, ids, score = search(m[ask], row[ask], m[~ask], row[~ask], vec[~ask], k)
             out = {"row": row[ask][q], "query_id": vec[ask][q], "vec_id": ids,
-                   "score": [max(-2**63, min(2**63 - 1, int(s))) for s in score]}
+                   "score": [int(s) for s in score]}
         return pa.table({c: pa.array(x, pa.int64()) for c, x in out.items()})
 
     found = both.groupBy("group", "cell").applyInArrow(run, "row long, query_id long, vec_id long, score long")

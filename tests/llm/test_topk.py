@@ -12,7 +12,8 @@ def brute(rows, k, every):
     out = []
     for j, i, q in ok:
         if i % every == 0:
-            scored = sorted((-sum(a * b for a, b in zip(q, v)), n) for m, n, v in ok if m != j)[:k]
+            clipped = lambda x: max(-2**63, min(2**63 - 1, x))
+            scored = sorted((-clipped(sum(a * b for a, b in zip(q, v))), n) for m, n, v in ok if m != j)[:k]
             out += [(i, rank + 1, n, -s) for rank, (s, n) in enumerate(scored)]
     return sorted(out)
 

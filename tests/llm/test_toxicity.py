@@ -82,7 +82,7 @@ def test_held_out_labels_teach_nothing(spark):
     assert {x["score"] for x in score_toxicity(docs, labels).collect()} == {0.0}  # one class is left
 
 
-@pytest.mark.parametrize("docs,labels", itertools.product([[], [(1, "a b")]], [[], [(1, 1, 1)]]))
+@pytest.mark.parametrize("docs,labels", list(itertools.product([[], [(1, "a b")]], [[], [(1, 1, 1)]])))
 def test_empty_tables(spark, docs, labels):
     got = score_toxicity(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
     assert [x["score"] for x in got] == [1.0 if labels and not held(1) else 0.0] * len(docs)
