@@ -8,6 +8,8 @@ one text slice (``SLICE_BYTES``) plus one document at a time.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +19,8 @@ from pyspark.sql import functions as F
 
 from ctxspark.session import shared_dir
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 #: A side is broadcast up to this many 8- to 24-byte rows (counted first); beyond it the join is a shuffle join.
 BROADCAST_ROWS = 1_000_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -27,8 +30,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Python tasks get batches of ``BATCH_ROWS`` rows instead of Spark's 10,000 from here on, unless the session sets that
+    size itself: a batch of long texts is held twice, by the executor and by its worker."""
+    if spark.conf.get(BATCH_SETTING, "10000") == "10000":
+        spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
+
+
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    return shared_dir(spark, f"llm-{name}")
+    path = shared_dir(spark, f"llm-{name}")
+    if _made.get() is not None:
+        _made.get().append(path)
+    return path
+
+
+@contextmanager
+def intermediate(spark: SparkSession):
+    """Tables stored inside are removed at the end: what is kept must be written to a path made before, or read no more."""
+    made: list[str] = []
+    token = _made.set(made)
+    try:
+        yield
+    finally:
+        _made.reset(token)
+        for name in made:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def kept(spark: SparkSession, name: str, make) -> DataFrame:
+    """``make()`` stored and read back; the tables that it stored on the way are removed."""
+    path = scratch(spark, name)
+    with intermediate(spark):
+        df = make()
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -96,12 +135,17 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-def range_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Polynomial hash of ``values[start:end]`` for each range: equal contents hash equally wherever they stand."""
+def range_hasher(values: np.ndarray):
+    """A function (start, end) -> polynomial hash of ``values[start:end]`` for each range: equal contents hash equally
+    wherever they stand."""
     up, down = powers(len(values) + 1)
     sums = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values * up[:-1], out=sums[1:])
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+    return lambda start, end: mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+
+
+def range_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return range_hasher(values)(start, end)
 
 
 def string_hashes(strings: pa.Array) -> np.ndarray:
@@ -127,10 +171,13 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     n = len(words) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
+    if k > 8:
+        start = np.arange(n)
+        return range_hashes(words, start, start + k)
     total = np.zeros(n, np.uint64)
     for i in range(k):
-        total = mix(total * MIX + words[i:i + n]) if k <= 8 else total * MIX + words[i:i + n]
-    return mix(total)
+        total = mix(total * MIX + words[i:i + n])
+    return total
 
 
 def components(edges: DataFrame, a: str, b: str, max_rounds: int = 64) -> DataFrame:

@@ -28,13 +28,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ctxspark.llm.common import gram_hashes, range_hashes, scratch, slices, small_side, stored, word_hashes
+from ctxspark.llm.common import gram_hashes, kept, range_hasher, slices, small_batches, small_side, stored, word_hashes
 
 MIN_WORDS = 50
-GRAM = 16
-#: An anchor of more rows goes the pre-aggregated way; a list of at most so many classes' anchors is broadcast.
+GRAM = 30
+#: An anchor of more rows goes the pre-aggregated way.
 HOT_ROWS = 20_000
-BROADCAST_LISTS = 200_000
+#: Anchors whose windows are made at a time.
+CHUNK = 4096
 LAST = np.iinfo(np.int64).max
 
 
@@ -91,17 +92,13 @@ def classes_and_anchors(docs: DataFrame, least: int) -> tuple[DataFrame, DataFra
                     seen.add(c)
             at, key = anchors(bounds, words, least)
             row = np.searchsorted(bounds, at, "right") - 1
-            kept = fresh[row]
-            at, key, row = at[kept], key[kept], row[kept]
+            at, key, row = at[fresh[row]], key[fresh[row]], row[fresh[row]]
             yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64()), pa.array(cls, pa.binary()).take(pa.array(row)), pa.nulls(len(at), pa.int64()),
                                               pa.array(key.view(np.int64)), pa.array((at - bounds[row]).astype(np.int32))], names=names)
 
-    both = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id long, cls binary, n_words long, key long, pos int").withColumn("kind", F.col("key").isNotNull().cast("int"))
-    path = scratch(docs.sparkSession, "suffix-anchors")
-    both.write.partitionBy("kind").parquet(path)
-    read = docs.sparkSession.read.schema(both.schema).parquet(path)
-    return read.where("kind = 0").select("doc_id", "cls", "n_words"), read.where("kind = 1").select("key", "cls", "pos")
+    both = stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
+        run, "doc_id long, cls binary, n_words long, key long, pos int"), "suffix-anchors")
+    return both.where("key is null").select("doc_id", "cls", "n_words"), both.where("key is not null").select("key", "cls", "pos")
 
 
 def by_run(batches, key: str):
@@ -121,12 +118,17 @@ def by_run(batches, key: str):
         yield held
 
 
+def fresh_rows(batch: pa.RecordBatch) -> np.ndarray:
+    """Which sorted rows differ from the row before in key, class or position."""
+    key, cls, pos = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "cls", "pos"))
+    return np.concatenate([[True], (key[1:] != key[:-1]) | (cls[1:] != cls[:-1]) | (pos[1:] != pos[:-1])])
+
+
 def shared_anchors(entered: DataFrame) -> DataFrame:
     """The anchors whose first words another suffix starts with as well."""
     def run(batches):
         for batch in by_run(batches, "key"):
-            key, cls, pos = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "cls", "pos"))
-            fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (cls[1:] != cls[:-1]) | (pos[1:] != pos[:-1])])
+            key, fresh = batch.column("key").to_numpy(), fresh_rows(batch)
             start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             many = np.add.reduceat(fresh.astype(np.int64), start) > 1
             yield batch.take(pa.array(np.flatnonzero(fresh & np.repeat(many, np.diff(np.append(start, len(key)))))))
@@ -151,23 +153,23 @@ def windows(docs: DataFrame, lists: DataFrame, least: int) -> DataFrame:
             row = np.repeat(ok, [len(x) for x in at])
             pos = np.concatenate(at)
             here = pos + bounds[row]
-            start = here[:, None] - np.arange(reach)[None, :]
-            valid = (start >= bounds[row][:, None]) & (start + least <= bounds[row + 1][:, None])
             grams, low = window_least(words, least)
-            # A window counts under the anchors that are its own smallest: the same in each of its occurrences.
-            valid &= low[np.where(valid, start, 0)] == grams[here][:, None]
-            safe = np.where(valid, start, 0).ravel()
-            h = range_hashes(words, safe, np.minimum(safe + least, len(words))) | np.uint64(1)
-            h[~valid.ravel()] = 0
-            key = grams[here]
+            hashes = range_hasher(words)
             first = part.column("first").fill_null(LAST).to_numpy(zero_copy_only=False)[row]
-            for a in range(0, len(pos), 20_000):
-                b = slice(a, a + 20_000)
+            for a in range(0, len(pos), CHUNK):
+                b = slice(a, a + CHUNK)
+                start = here[b, None] - np.arange(reach)[None, :]
+                valid = (start >= bounds[row[b]][:, None]) & (start + least <= bounds[row[b] + 1][:, None])
+                # A window counts under the anchors that are its own smallest: the same in each of its occurrences.
+                valid &= low[np.where(valid, start, 0)] == grams[here[b]][:, None]
+                safe = np.where(valid, start, 0).ravel()
+                h = hashes(safe, np.minimum(safe + least, len(words))) | np.uint64(1)
+                h[~valid.ravel()] = 0
                 size = len(pos[b])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[b].view(np.int64)), pa.array(cls, pa.binary()).take(pa.array(row[b])), pa.array(first[b]),
+                    [pa.array(grams[here[b]].view(np.int64)), pa.array(cls, pa.binary()).take(pa.array(row[b])), pa.array(first[b]),
                      pa.array(pos[b].astype(np.int32)),
-                     pa.ListArray.from_arrays(pa.array(np.arange(size + 1, dtype=np.int32) * reach), pa.array(h[a * reach:(a + size) * reach].view(np.int64)))],
+                     pa.ListArray.from_arrays(pa.array(np.arange(size + 1, dtype=np.int32) * reach), pa.array(h.view(np.int64)))],
                     names=["key", "cls", "first_id", "pos", "hashes"])
 
     return rows.mapInArrow(run, "key long, cls binary, first_id long, pos int, hashes array<long>")
@@ -180,6 +182,8 @@ def repeated_windows(found: DataFrame, least: int) -> DataFrame:
 
     def run(batches):
         for batch in by_run(batches, "key"):
+            # A class whose first doc_id stands in several rows has its windows several times.
+            batch = batch.take(pa.array(np.flatnonzero(fresh_rows(batch))))
             n = batch.num_rows
             key = batch.column("key").to_numpy().view(np.uint64)
             h = batch.column("hashes").flatten().to_numpy().view(np.uint64).reshape(n, reach)
@@ -194,9 +198,9 @@ def repeated_windows(found: DataFrame, least: int) -> DataFrame:
                 m = np.zeros((n, reach), np.uint64)
                 m.ravel()[order[flags]] = bit[flags]
                 masks.append(np.bitwise_or.reduce(m, axis=1))
-            kept = np.flatnonzero(masks[0])
-            yield pa.RecordBatch.from_arrays([batch.column("cls").take(pa.array(kept)), batch.column("pos").take(pa.array(kept)),
-                                              pa.array(masks[0][kept].view(np.int64)), pa.array(masks[1][kept].view(np.int64))],
+            marked = np.flatnonzero(masks[0])
+            yield pa.RecordBatch.from_arrays([batch.column("cls").take(pa.array(marked)), batch.column("pos").take(pa.array(marked)),
+                                              pa.array(masks[0][marked].view(np.int64)), pa.array(masks[1][marked].view(np.int64))],
                                              names=["cls", "pos", "again", "later"])
 
     schema = "cls binary, pos int, again long, later long"
@@ -205,7 +209,7 @@ def repeated_windows(found: DataFrame, least: int) -> DataFrame:
         return found.repartition("key").sortWithinPartitions("key", "first_id", "cls", "pos").mapInArrow(run, schema)
     hot = small_side(hot)
     cool = (found.join(hot, "key", "left_anti").repartition("key").sortWithinPartitions("key", "first_id", "cls", "pos").mapInArrow(run, schema))
-    each = (found.join(hot, "key", "left_semi").select("key", "cls", "pos", F.struct("first_id", "cls", "pos").alias("place"),
+    each = (found.join(hot, "key", "left_semi").dropDuplicates(["key", "cls", "pos"]).select("key", "cls", "pos", F.struct("first_id", "cls", "pos").alias("place"),
                                                        F.posexplode("hashes").alias("i", "h")).where("h <> 0"))
     groups = each.groupBy("key", "i", "h").agg(F.count("*").alias("n"), F.min("place").alias("least")).where("n > 1")
     marked = each.join(groups, ["key", "i", "h"]).withColumn("bit", F.expr("shiftleft(1L, i)"))
@@ -241,16 +245,21 @@ def class_spans(marked: DataFrame, least: int) -> DataFrame:
             .mapInArrow(run, "cls binary, start_word long, end_word long, kind string"))
 
 
+def shared_spans(docs: DataFrame, classes: DataFrame, entered: DataFrame, least: int) -> DataFrame:
+    """(doc_id, start_word, end_word, kind) of each class's first row."""
+    shared = stored(shared_anchors(entered), "suffix-shared")
+    lists = shared.groupBy("cls").agg(F.sort_array(F.collect_set("pos")).alias("places")).join(classes, "cls").select("cls", "first", "places")
+    lists = stored(lists, "suffix-lists")
+    found = stored(windows(docs, lists, least), "suffix-windows")
+    return class_spans(repeated_windows(found, least), least).join(classes.select("cls", F.col("first").alias("doc_id")), "cls")
+
+
 def repeated_passages(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """(doc_id, start_word, end_word, n_words, kind) of the passages of ``least`` words or more that repeat."""
+    small_batches(docs.sparkSession)
     rows, entered = classes_and_anchors(docs, least)
     classes = stored(rows.groupBy("cls").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.first("n_words").alias("n")), "suffix-classes")
-    shared = stored(shared_anchors(entered), "suffix-shared")
-    lists = shared.groupBy("cls").agg(F.sort_array(F.collect_set("pos")).alias("places")).join(classes, "cls").select("cls", "first", "places")
-    found = stored(windows(docs, small_side(stored(lists, "suffix-lists"), BROADCAST_LISTS), least), "suffix-windows")
-    # A text may stand in several rows; its windows are its class's.
-    found = found.dropDuplicates(["key", "cls", "pos"])
-    spans = class_spans(repeated_windows(found, least), least).join(classes.select("cls", F.col("first").alias("doc_id")), "cls")
+    spans = kept(docs.sparkSession, "suffix-spans", lambda: shared_spans(docs, classes, entered, least))
     whole = (rows.join(classes.where("copies > 1").where(F.col("n") >= least), "cls")
              .select("doc_id", F.lit(0).cast("long").alias("start_word"), F.col("n").alias("end_word"),
                      F.when(F.col("doc_id").eqNullSafe(F.col("first")), "first").otherwise("repeat").alias("kind")))
