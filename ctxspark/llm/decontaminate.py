@@ -1,13 +1,15 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. Passages are runs of ``BLOCK`` words; a passage's terms are its distinct words, hashed to ``TERMS`` columns. One pass
-   over all texts sums the document frequencies and the product of the term matrix with its transpose and a random test
-   matrix (TERMS x RANK, whatever the input), in the executors. From the sum, the Nystroem form of the randomised
-   singular value decomposition of the TF-IDF passages gives the leading right singular vectors and values.
-2. Windows of one passage or two neighbouring ones and the benchmark items are projected into that latent space (each direction
-   divided by its singular value). A window is a candidate for the items whose cosine reaches ``COSINE``.
-3. A candidate's text, widened by a passage on each side, is compared with the item word by word: the longest common
-   subsequence must hold ``LCS`` of the item's words, and of those of its answer (its last sentence) ``ANSWER``.
+1. One pass over the texts stores the words' hashes. Passages are runs of ``BLOCK`` words; a passage's terms are its
+   distinct words, hashed to ``TERMS`` columns. In the same pass each task sums the document frequencies and the product
+   of the term matrix's transpose, the term matrix and a random sparse-sign test matrix (TERMS x RANK, whatever the
+   input); the executors add the sums up. From the total, the Nystroem form of the randomised singular value
+   decomposition of the TF-IDF passages gives the leading right singular vectors and values; the first few are left out.
+2. Windows of one passage or two neighbouring ones and the benchmark items are projected into that latent space (each
+   direction divided by its singular value). A window is a candidate for the items whose cosine reaches ``COSINE``.
+3. A candidate's words, widened by a passage on each side, are compared with the item: enough of them must be words of
+   the item at all, then the longest common subsequence within twice the item's length must hold ``LCS`` of the item's words, and of those of its answer
+   (its last sentence) ``ANSWER``.
 
 Rows: a null or empty text or item has no terms and matches nothing; items of fewer than ``SHORT`` words must be held
 whole; repeated rows match each; a null doc_id or item_id stays null; extra columns are ignored; an empty table gives no
@@ -22,32 +24,36 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ctxspark.llm.common import mix, slices, small_side, split_words, stored, string_hashes
+from ctxspark.llm.common import kept, mix, slices, small_batches, small_side, split_words, stored, string_hashes
 
 TERMS = 1 << 14
 RANK = 96
+#: The leading directions tell languages and frequent words apart rather than contents: they are left out.
+COMMON = 6
 BLOCK = 32
-COSINE = 0.35
+COSINE = 0.36
 LCS, ANSWER = 0.6, 0.5
 SHORT = 8
 #: The benchmark is held by every task; a larger one is refused (cut it into parts).
 MAX_ITEMS = 50_000
 PIECES = 16
+#: Gathered rows of RANK numbers at a time: what a core's cache holds.
+CHUNK = 1 << 14
 SIGNS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 SENTENCE_ENDS = (".", "!", "?")
 
 
 def terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row offsets, word hashes (signs at the ends taken off) and which words end a sentence; words of signs alone go."""
-    bounds, words = split_words(texts)
+    """Row offsets, 32-bit word hashes (signs at the ends taken off) and which words end a sentence; words of signs alone
+    go."""
+    bounds, words = split_words(texts, lower=False)
     if not len(words):
-        return bounds, np.zeros(0, np.uint64), np.zeros(0, bool)
-    bare = pc.utf8_trim(words.dictionary, characters=SIGNS)
+        return bounds, np.zeros(0, np.uint32), np.zeros(0, bool)
+    bare = pc.utf8_lower(pc.utf8_trim(words.dictionary, characters=SIGNS))
     at = words.indices.to_numpy(zero_copy_only=False)
     real = (pc.binary_length(bare).to_numpy(zero_copy_only=False) > 0)[at]
     ends = pc.or_(pc.or_(*(pc.ends_with(words.dictionary, e) for e in SENTENCE_ENDS[:2])), pc.ends_with(words.dictionary, SENTENCE_ENDS[2]))
-    kept = np.concatenate([[0], np.cumsum(real)])[bounds]
-    return kept, string_hashes(bare)[at][real], ends.to_numpy(zero_copy_only=False)[at][real]
+    return np.concatenate([[0], np.cumsum(real)])[bounds], (string_hashes(bare) >> np.uint64(32)).astype(np.uint32)[at][real], ends.to_numpy(zero_copy_only=False)[at][real]
 
 
 def blocks(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -60,44 +66,92 @@ def blocks(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def column_of(words: np.ndarray) -> np.ndarray:
-    return (mix(words) >> np.uint64(17)).astype(np.int64) % TERMS
+    return (mix(words.astype(np.uint64)) >> np.uint64(17)).astype(np.int32) & np.int32(TERMS - 1)
+
+
+def test_columns() -> tuple[np.ndarray, np.ndarray]:
+    """The test matrix: for each term, its one column and sign."""
+    r = np.random.default_rng(20240229)
+    return r.integers(0, RANK, TERMS), r.choice([-1.0, 1.0], TERMS)
 
 
 def test_matrix() -> np.ndarray:
-    return np.random.default_rng(20240229).standard_normal((TERMS, RANK)).astype(np.float32)
+    column, sign = test_columns()
+    out = np.zeros((TERMS, RANK))
+    out[np.arange(TERMS), column] = sign
+    return out
 
 
 def block_pairs(starts: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (passage, term) pairs, by passage."""
-    passage = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(columns))))
-    pair = np.unique(passage * TERMS + columns)
+    passage = np.repeat(np.arange(len(starts), dtype=np.int32), np.diff(np.append(starts, len(columns))))
+    if len(starts) < 1 << 17:
+        pair = passage * np.int32(TERMS) + columns
+    else:
+        pair = passage.astype(np.int64) * TERMS + columns
+    pair.sort()
+    pair = pair[np.concatenate([[True], pair[1:] != pair[:-1]])]
     return pair // TERMS, pair % TERMS
 
 
-def corpus_sums(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
-    """Over the passages of all texts: document frequencies, term matrix transposed times itself times the test matrix,
-    and the number of passages. Each task adds up its own; the pieces of the sums meet in the executors."""
+def grouped_sums(values: np.ndarray, rows: np.ndarray, group: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of ``values[rows]`` over the runs of ``group`` (sorted), in parts of at most ``width`` rows: (group of each part,
+    its sum). The parts are padded with a row of zeros, so that rows add up place by place in the cache."""
+    new = np.concatenate([[True], group[1:] != group[:-1]])
+    start = np.flatnonzero(new)
+    inside = np.arange(len(group)) - np.repeat(start, np.diff(np.append(start, len(group))))
+    part = np.cumsum(inside % width == 0) - 1
+    n = int(part[-1]) + 1
+    places = np.full((n, width), len(values), np.int64)
+    places[part, inside % width] = rows
+    values = np.concatenate([values, np.zeros((1, values.shape[1]), values.dtype)])
+    out = np.empty((n, values.shape[1]), values.dtype)
+    for a in range(0, n, CHUNK // width):
+        b = min(a + CHUNK // width, n)
+        total = np.take(values, places[a:b, 0], axis=0)
+        for k in range(1, width):
+            total += np.take(values, places[a:b, k], axis=0)
+        out[a:b] = total
+    return group[inside % width == 0], out
+
+
+def add_products(total: np.ndarray, y: np.ndarray, passage: np.ndarray, column: np.ndarray) -> None:
+    """total[c] += sum of y[p] over the pairs (p, c)."""
+    order = np.argsort(column.astype(np.int16), kind="stable")
+    of, sums = grouped_sums(y, passage[order], column[order], 8)
+    while (of[1:] == of[:-1]).any():
+        of, sums = grouped_sums(sums, np.arange(len(of)), of, 8)
+    total[of] += sums
+
+
+def corpus_pass(docs: DataFrame) -> tuple[DataFrame, np.ndarray, np.ndarray, int]:
+    """(doc_id, words) per row of ``docs``, stored, and over the passages of all texts: document frequencies, the term
+    matrix transposed times itself times the test matrix, and the number of passages. Each task adds up its own; the
+    pieces of the sums meet in the executors."""
+    names = ["doc_id", "words", "piece", "n", "df", "total"]
+
     def run(batches):
-        omega = test_matrix()
-        df, total, n = np.zeros(TERMS, np.int64), np.zeros((TERMS, RANK), np.float64), 0
+        slot, sign = test_columns()
+        df, total, n = np.zeros(TERMS, np.int64), np.zeros((TERMS, RANK), np.float32), 0
         for part in slices(batches):
             bounds, words, _ = terms(part.column("text"))
+            k = part.num_rows
+            data = [words[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(data, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()),
+                                              pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary())], names=names)
             starts, _ = blocks(bounds)
             if not len(starts):
                 continue
             passage, column = block_pairs(starts, column_of(words))
-            first = np.searchsorted(passage, np.arange(len(starts)))
-            y = np.add.reduceat(omega[column], first, axis=0)
-            order = np.argsort(column, kind="stable")
-            here = column[order]
-            cut = np.flatnonzero(np.concatenate([[True], here[1:] != here[:-1]]))
-            total[here[cut]] += np.add.reduceat(y[passage[order]], cut, axis=0)
+            y = np.bincount(passage * np.int64(RANK) + slot[column], weights=sign[column], minlength=len(starts) * RANK)
+            add_products(total, y.reshape(-1, RANK).astype(np.float32), passage, column)
             df += np.bincount(column, minlength=TERMS)
             n += len(starts)
         if n:
             yield pa.RecordBatch.from_arrays(
-                [pa.array(range(PIECES), pa.int32()), pa.array([n] * PIECES, pa.int64()), pa.array([x.tobytes() for x in np.split(df, PIECES)], pa.binary()),
-                 pa.array([x.astype(np.float32).tobytes() for x in np.split(total, PIECES)], pa.binary())], names=["piece", "n", "df", "total"])
+                [pa.nulls(PIECES, pa.int64()), pa.nulls(PIECES, pa.binary()), pa.array(range(PIECES), pa.int32()), pa.array([n] * PIECES, pa.int64()),
+                 pa.array([x.tobytes() for x in np.split(df, PIECES)], pa.binary()), pa.array([x.tobytes() for x in np.split(total, PIECES)], pa.binary())],
+                names=names)
 
     def add(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         df = sum(np.frombuffer(x, np.int64) for x in t.column("df").to_pylist())
@@ -107,13 +161,15 @@ def corpus_sums(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
 
     # One sum for each task, not for each split: as many tasks as keep all cores busy.
     tasks = 4 * docs.sparkSession.sparkContext.defaultParallelism
+    schema = "doc_id long, words binary, piece int, n long, df binary, total binary"
+    both = stored(docs.select(F.col("doc_id").cast("long"), "text").coalesce(tasks).mapInArrow(run, schema), "decontaminate")
     schema = "piece int, n long, df binary, total binary"
-    got = (docs.select("text").coalesce(tasks).mapInArrow(run, schema).groupBy("piece").applyInArrow(add, schema)).collect()
+    got = both.where("piece is not null").select("piece", "n", "df", "total").groupBy("piece").applyInArrow(add, schema).collect()
     df, total = np.zeros((PIECES, TERMS // PIECES), np.int64), np.zeros((PIECES, TERMS // PIECES, RANK))
     for r in got:
         df[r["piece"]] = np.frombuffer(r["df"], np.int64)
         total[r["piece"]] = np.frombuffer(r["total"], np.float32).reshape(-1, RANK)
-    return df.ravel(), total.reshape(TERMS, RANK), got[0]["n"] if got else 0
+    return both.where("piece is null").select("doc_id", "words"), df.ravel(), total.reshape(TERMS, RANK), got[0]["n"] if got else 0
 
 
 def latent_space(df: np.ndarray, total: np.ndarray, n: int) -> np.ndarray:
@@ -125,14 +181,14 @@ def latent_space(df: np.ndarray, total: np.ndarray, n: int) -> np.ndarray:
     """
     idf = np.log((n + 1) / (df + 0.5)) + 1e-3
     sketch = idf[:, None] * total
-    test = test_matrix().astype(np.float64) / idf[:, None]
+    test = test_matrix() / idf[:, None]
     shift = 1e-6 * np.linalg.norm(sketch)
     sketch = sketch + shift * test
     inner = test.T @ sketch
     inner = np.linalg.cholesky((inner + inner.T) / 2 + 1e-9 * np.trace(inner) / RANK * np.eye(RANK))
     u, s, _ = np.linalg.svd(np.linalg.solve(inner, sketch.T).T, full_matrices=False)
-    kept = s > 1e-6 * s[0]
-    return (idf[:, None] * u[:, kept] / s[kept]).astype(np.float32)
+    used = (s > 1e-6 * s[0]) & (np.arange(RANK) >= COMMON)
+    return np.ascontiguousarray(idf[:, None] * u[:, used] / s[used], np.float32)
 
 
 class Item:
@@ -145,7 +201,6 @@ class Item:
         self.answer = stops[-1] if stops and len(words) - stops[-1] >= 3 else len(words) - max(1, len(words) // 3)
         self.masks = self._masks(words)
         self.answer_masks = self._masks(words[self.answer:])
-        self.sorted = np.unique(words)
 
     @staticmethod
     def _masks(words: np.ndarray) -> dict[int, int]:
@@ -168,17 +223,17 @@ class Item:
 
     def matches(self, words: np.ndarray, lcs: float, answer: float) -> tuple[float, float] | None:
         """(share of the item, share of its answer) that ``words`` hold in order, if both suffice."""
-        least = 1.0 if self.n < SHORT else lcs
-        held = words[np.isin(words, self.sorted)]
-        if len(held) < least * self.n:
-            return None
-        held = held.tolist()
-        share = self.common(self.masks, self.n, held) / self.n
-        if share < least:
-            return None
-        of = self.n - self.answer
-        last = self.common(self.answer_masks, of, held) / of
-        return (share, last) if last >= answer else None
+        least, of, best = 1.0 if self.n < SHORT else lcs, self.n - self.answer, None
+        words = words.tolist()
+        # The item's words must stand within twice its length.
+        for a in range(0, max(1, len(words) - self.n), max(1, self.n // 2)):
+            held = words[a:a + 2 * self.n]
+            share = self.common(self.masks, self.n, held) / self.n
+            if share >= least and (best is None or share > best[0]):
+                last = self.common(self.answer_masks, of, held) / of
+                if last >= answer:
+                    best = share, last
+        return best
 
 
 def read_items(benchmark: DataFrame) -> list[Item]:
@@ -193,7 +248,7 @@ def read_items(benchmark: DataFrame) -> list[Item]:
 def project(space: np.ndarray, starts: np.ndarray, columns: np.ndarray) -> np.ndarray:
     """Latent vectors of the passages that start at ``starts`` (the last goes to the end)."""
     passage, column = block_pairs(starts, columns)
-    return np.add.reduceat(space[column], np.searchsorted(passage, np.arange(len(starts))), axis=0)
+    return grouped_sums(space, column, passage, BLOCK)[1]
 
 
 def unit(z: np.ndarray) -> np.ndarray:
@@ -208,47 +263,76 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, lcs: fl
     out = "doc_id long, item_id long, cosine double, lcs double, answer double, start_word long, end_word long"
     spark = docs.sparkSession
     items = read_items(benchmark)
-    sums = corpus_sums(docs) if items else (None, None, 0)
-    if not items or not sums[2]:
+    if not items:
         return spark.createDataFrame([], out)
-    space = latent_space(*sums)
+    small_batches(spark)
+    rows, df, total, n = corpus_pass(docs)
+    if not n:
+        return spark.createDataFrame([], out)
+    space = latent_space(df, total, n)
     words = np.concatenate([i.words for i in items])
     starts = np.cumsum([0] + [i.n for i in items[:-1]])
-    targets = unit(project(space, starts, column_of(words)))
-    held = spark.sparkContext.broadcast((space, targets, items))
+    passage = np.repeat(np.arange(len(items)), [i.n for i in items])
+    targets = np.zeros((len(items), space.shape[1]), np.float32)
+    pair = np.unique(passage * TERMS + column_of(words))
+    np.add.at(targets, pair // TERMS, space[pair % TERMS])
+    # For the cheap test: which columns are words of an item, and how many words it must be to go on.
+    member = np.zeros((len(items), TERMS + 1), np.uint8)
+    member[passage, column_of(words)] = 1
+    least = np.array([i.n if i.n < SHORT else lcs * i.n for i in items])
+    length = np.array([i.n for i in items])
+    held = spark.sparkContext.broadcast((space, unit(targets), member, least, length, items))
 
     def run(batches):
-        space, targets, items = held.value
+        space, targets, member, least, length, items = held.value
         names = [x.strip().split()[0] for x in out.split(",")]
-        for part in slices(batches):
-            bounds, words, _ = terms(part.column("text"))
+        for part in slices(batches, "words"):
+            sizes = pc.binary_length(part.column("words")).to_numpy(zero_copy_only=False).astype(np.int64) // 4
+            bounds = np.concatenate([[0], np.cumsum(sizes)])
+            words = np.frombuffer(b"".join(part.column("words").to_pylist()), np.uint32)
             starts, row = blocks(bounds)
             if not len(starts):
                 continue
-            z = project(space, starts, column_of(words))
+            column = column_of(words)
+            z = project(space, starts, column)
             # The windows: each passage alone, and with its successor.
             more = np.flatnonzero(row[1:] == row[:-1])
             windows = np.concatenate([np.arange(len(z)), more])
             z = unit(np.concatenate([z, z[more] + z[more + 1]]))
+            padded = np.append(column, TERMS)
             best: dict[tuple[int, int], tuple] = {}
-            for a in range(0, len(z), 4096):
-                near = z[a:a + 4096] @ targets.T
-                for w, i in zip(*np.nonzero(near >= cosine)):
-                    block = windows[a + w]
-                    r = int(row[block])
-                    begin = max(int(bounds[r]), int(starts[block]) - BLOCK)
-                    end = min(int(bounds[r + 1]), int(starts[block]) + 3 * BLOCK)
-                    found = items[i].matches(words[begin:end], lcs, answer)
+            for a in range(0, len(z), 2048):
+                near = z[a:a + 2048] @ targets.T
+                w, i = np.nonzero(near >= cosine)
+                block = windows[a + w]
+                begin = np.maximum(bounds[row[block]], starts[block] - BLOCK)
+                end = np.minimum(bounds[row[block] + 1], starts[block] + 3 * BLOCK)
+                enough = np.empty(len(w), bool)
+                for c in range(0, len(w), 4096):
+                    at = begin[c:c + 4096, None] + np.arange(4 * BLOCK)[None, :]
+                    at[at >= end[c:c + 4096, None]] = len(column)
+                    hits = member[i[c:c + 4096, None], padded[at]]
+                    # the most words of the item within its reach, from every eighth place on
+                    sums = np.zeros((len(hits), 4 * BLOCK + 1), np.int32)
+                    np.cumsum(hits, axis=1, out=sums[:, 1:])
+                    reach, each = 2 * length[i[c:c + 4096]] + 8, np.arange(len(hits))
+                    most = np.zeros(len(hits), np.int32)
+                    for o in range(0, 4 * BLOCK, 8):
+                        np.maximum(most, sums[each, np.minimum(o + reach, 4 * BLOCK)] - sums[:, o], out=most)
+                    enough[c:c + 4096] = most >= least[i[c:c + 4096]]
+                for k in np.flatnonzero(enough):
+                    r = int(row[block[k]])
+                    found = items[i[k]].matches(words[begin[k]:end[k]], lcs, answer)
                     if found:
-                        value = (found[0], found[1], float(near[w, i]), -begin, end)
-                        best[r, i] = max(best.get((r, i), value), value)
+                        value = (found[0], found[1], float(near[w[k], i[k]]), -int(begin[k]), int(end[k]))
+                        best[r, i[k]] = max(best.get((r, i[k]), value), value)
             if best:
                 ids = part.column("doc_id").to_pylist()
                 rows = [(ids[r], items[i].item_id, c, x, y, -b - int(bounds[r]), e - int(bounds[r])) for (r, i), (x, y, c, b, e) in best.items()]
                 kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, out)
+    return rows.mapInArrow(run, out)
 
 
 def best_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -260,5 +344,6 @@ def best_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows that hold a benchmark item, named by the hash of doc_id and text; all columns pass."""
     rows = docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text")
-    gone = stored(leaks(rows, benchmark).select(F.col("doc_id").alias("__row")).distinct(), "decontaminate-gone")
+    gone = kept(docs.sparkSession, "decontaminate-gone",
+                lambda: leaks(rows, benchmark).select(F.col("doc_id").alias("__row")).distinct())
     return docs.join(small_side(gone), F.xxhash64("doc_id", "text") == F.col("__row"), "left_anti")

@@ -20,17 +20,17 @@ def test_common_subsequence_equals_dynamic_programming():
 
 def test_latent_space_finds_the_leading_directions():
     r = np.random.default_rng(5)
-    base = r.standard_normal((400, 6)) * [9, 8, 7, 6, 5, 4]
-    a = base @ r.standard_normal((6, dc.TERMS)).astype(np.float32)
+    base = r.standard_normal((400, 12)) * np.linspace(20, 4, 12)
+    a = base @ r.standard_normal((12, dc.TERMS)).astype(np.float32)
     gram_omega = a.T @ (a @ dc.test_matrix())
     n = 400
     df = np.full(dc.TERMS, n // 4)
     space = dc.latent_space(df, gram_omega, n)
     idf = np.log((n + 1) / (n // 4 + 0.5)) + 1e-3
-    z = a @ space[:, :6]
+    z = a @ space[:, :12 - dc.COMMON]
     u, s, _ = np.linalg.svd(a * idf, full_matrices=False)
     assert np.allclose(np.linalg.norm(z, axis=0), 1, atol=0.02)  # divided by the singular values
-    assert np.linalg.svd(u[:, :6].T @ z)[1].min() > 0.98
+    assert np.linalg.svd(u[:, dc.COMMON:12].T @ z)[1].min() > 0.98
 
 
 @pytest.fixture(scope="module")
