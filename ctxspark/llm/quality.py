@@ -25,13 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ctxspark.llm.common import slices, small_side, split_words, stored
+from ctxspark.llm.common import kept, slices, small_side, split_words, stored
 
-VOCABULARY = 1000
+VOCABULARY = 300
 TABLE_ROWS = 4_000_000
 PRIOR_WORDS = 20
 HIGH = 0.99
-MARGIN = 0.35
+MARGIN = 0.8
 #: Codes: 0 starts a text, 1 repeats the word before, 2 repeats it a second time or more, 3.. shapes, then the vocabulary.
 START, AGAIN, AGAIN_MORE, SHAPES = 0, 1, 2, 3
 ENDS = ".,;:!?"
@@ -110,8 +110,8 @@ def trigram_counts(docs: DataFrame, known: dict[str, int]) -> DataFrame:
     def make(texts):
         keys, n = np.unique(trigrams(*codes(texts, known)), return_counts=True)
         # Runs of one word teach nothing: they stay as improbable as a word never seen.
-        kept = keys & 0xFFFF != AGAIN_MORE
-        return keys[kept].tolist(), n[kept].tolist()
+        taught = keys & 0xFFFF != AGAIN_MORE
+        return keys[taught].tolist(), n[taught].tolist()
 
     return counted(docs, make, "key long, n long")
 
@@ -146,8 +146,8 @@ def kneser_ney(counts: DataFrame, vocabulary: int) -> dict[str, DataFrame]:
     total = uni.agg(F.sum("c"), F.count("*")).first()
     d1 = discounts(uni, "c")
     off = F.when(F.col("c") == 1, d1[0]).when(F.col("c") == 2, d1[1]).otherwise(d1[2])
-    kept = uni.agg(F.sum(F.col("c") - off)).first()[0] or 0.0
-    left = (1 - kept / total[0]) if total[0] else 1.0
+    held = uni.agg(F.sum(F.col("c") - off)).first()[0] or 0.0
+    left = (1 - held / total[0]) if total[0] else 1.0
     uni_p = stored(uni.select("key", ((F.col("c") - off) / max(total[0] or 1, 1) + left / vocabulary).alias("p")), "quality-uni-p")
     bi_p, one = level(bi, F.expr("shiftright(key, 16)"), uni_p.select(F.col("key").alias("low"), F.col("p").alias("lp")),
                       F.expr("key & 65535"), discounts(bi, "c"))
@@ -295,8 +295,8 @@ def reject_low_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Rows of equal doc_id, text and lang have equal scores, so the rejected ones are named by those.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
-    gone = (score_documents(rows, labels).where(~F.col("keep"))
-            .select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("lang").alias("__lang")).distinct())
-    gone = small_side(stored(gone, "quality-rejected"))
+    gone = kept(docs.sparkSession, "quality-rejected", lambda: score_documents(rows, labels).where(~F.col("keep")).select(
+        F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("lang").alias("__lang")).distinct())
+    gone = small_side(gone)
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash")) & F.col("lang").eqNullSafe(F.col("__lang"))
     return docs.join(gone, same, "left_anti")
