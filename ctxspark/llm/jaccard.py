@@ -9,9 +9,10 @@
 3. A signature is a bitmap of ``BITS`` bits in which each shingle flips the bit of its hash: two sets differ in at least
    as many shingles as their bitmaps differ in bits, which bounds their overlap from above.
 4. Within a tile, a class is paired with the first leader that the size and bitmap bounds admit, else it becomes a leader;
-   these pairs are verified on the sorted arrays and joined to components. Then every pair of a tile whose classes
-   are still in different components and that the bounds admit is verified as well. A link inside a component
-   needn't be found twice, so a group of copies costs pairs with leaders, not all its pairs, and no link is lost.
+   these pairs are verified on the sorted arrays and joined to components. Then a pair of each two components that meet
+   in a tile is verified, and at last every pair of a tile whose classes are still in different components. A link
+   inside a component needn't be found twice, so a group of copies costs pairs with leaders, not all its pairs, and no
+   link is lost.
 
 Only classes that such a pair names have their arrays made again and moved. Components stay in Spark.
 
@@ -28,11 +29,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ctxspark.llm.common import components, gram_hashes, mix, scratch, slices, small_side, stored, word_hashes
+from ctxspark.llm.common import components, gram_hashes, kept, mix, slices, small_batches, small_side, stored, word_hashes
 
 COUNTERS = 1 << 20
 PIECES = 64
-BITS = 1024
+BITS = 512
 TILE_ROWS = 512
 BAND_BASE = 4.0
 #: A tile of more rows is dealt over cells of about so many rows.
@@ -92,12 +93,9 @@ def set_table(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
         yield pa.RecordBatch.from_arrays([pa.nulls(len(used), pa.int64()), pa.nulls(len(used), pa.binary()), pa.nulls(len(used), pa.int64()),
                                           pa.array(used, pa.int32()), pa.array(data, pa.binary())], names=["doc_id", "cls", "n", "piece", "counts"])
 
-    both = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id long, cls binary, n long, piece int, counts binary").withColumn("kind", F.col("piece").isNotNull().cast("int"))
-    path = scratch(docs.sparkSession, "jaccard-sets")
-    both.write.partitionBy("kind").parquet(path)
-    read = docs.sparkSession.read.schema(both.schema).parquet(path)
-    return read.where("kind = 0").select("doc_id", "cls", "n"), read.where("kind = 1").select("piece", "counts")
+    both = stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
+        run, "doc_id long, cls binary, n long, piece int, counts binary"), "jaccard-sets")
+    return both.where("piece is null").select("doc_id", "cls", "n"), both.where("piece is not null").select("piece", "counts")
 
 
 def counter_table(pieces: DataFrame) -> np.ndarray:
@@ -142,11 +140,8 @@ def entries(docs: DataFrame, counters: np.ndarray, k: int, percent: int) -> tupl
                                                   pa.nulls(len(at), pa.binary())], names=names)
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(cls), pa.int64()), one, size, pa.array(sigs, pa.binary())], names=names)
 
-    both = docs.select("text").mapInArrow(run, "key long, cls binary, n long, sig binary").withColumn("kind", F.col("sig").isNotNull().cast("int"))
-    path = scratch(docs.sparkSession, "jaccard-entries")
-    both.write.partitionBy("kind").parquet(path)
-    read = docs.sparkSession.read.schema(both.schema).parquet(path)
-    return read.where("kind = 0").select("key", "cls", "n"), read.where("kind = 1").select("cls", "n", "sig")
+    both = stored(docs.select("text").mapInArrow(run, "key long, cls binary, n long, sig binary"), "jaccard-entries")
+    return both.where("sig is null").select("key", "cls", "n"), both.where("sig is not null").select("cls", "n", "sig")
 
 
 def shared_entries(entered: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -164,11 +159,11 @@ def shared_entries(entered: DataFrame, percent: int) -> tuple[DataFrame, DataFra
             key = batch.column("key").to_numpy()
             cut = int(np.searchsorted(key, key[-1], "left"))  # the last key may go on in the next batch
             held = batch.slice(cut)
-            yield from kept(batch.slice(0, cut))
+            yield from shared(batch.slice(0, cut))
         if held is not None:
-            yield from kept(held)
+            yield from shared(held)
 
-    def kept(batch):
+    def shared(batch):
         if batch.num_rows < 2:
             return
         key, cls, n = batch.column("key").to_numpy(), batch.column("cls").to_numpy(zero_copy_only=False), batch.column("n").to_numpy()
@@ -216,21 +211,23 @@ def dealt(tiles: DataFrame, leaders: bool) -> DataFrame:
         "transform(sequence(0, chunks - 1), j -> least(chunk, j) * chunks + greatest(chunk, j))")))
 
 
-def tile_pairs(rows: DataFrame, percent: int, leaders: bool) -> DataFrame:
+def tile_pairs(rows: DataFrame, percent: int, mode: str) -> DataFrame:
     """Distinct pairs (a, b) of classes in a tile that the size and bitmap bounds admit.
 
-    ``leaders``: each class with the first leader that admits it; else all pairs of different components (column comp).
-    ``rows``: (key, band, cls, n, sig[, comp]). A task reads the cells of its tiles by growing size and forgets rows that
+    ``mode`` "leaders": each class with the first leader that admits it, and of its leaders in all its tiles with the
+    least and the greatest; "first": the first pair of each two different
+    components (column comp); "all": every pair of different components. ``rows``: (key, band, cls, n, sig[, comp]). A task reads the cells of its tiles by growing size and forgets rows that
     are too small to link with what follows.
     """
+    leaders = mode == "leaders"
     names = ["key", "band", "cell", "cls", "n", "sig"] + ([] if leaders else ["comp"])
 
     def run(batches):
-        seen, out, now, tile = set(), [], None, []
+        seen, out, now, tile, joined = set(), [], None, [], set()
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in names)):
                 if row[:3] != now:
-                    now, tile = row[:3], []
+                    now, tile, joined = row[:3], [], set()
                 cls, n, sig, hit = row[3], row[4], np.frombuffer(row[5], np.uint64), False
                 if leaders or len(tile) > 1:
                     tile = [held for held in tile if 100 * held["n"][held["count"] - 1] >= percent * n]
@@ -242,7 +239,12 @@ def tile_pairs(rows: DataFrame, percent: int, leaders: bool) -> DataFrame:
                         other = held["cls"][j]
                         if other == cls or not leaders and held["comp"][j] == row[6]:
                             continue
-                        hit, pair = True, (other, cls) if other < cls else (cls, other)
+                        if mode == "first":
+                            two = (held["comp"][j], row[6])
+                            if two in joined or two[::-1] in joined:
+                                continue
+                            joined.add(two)
+                        hit, pair = True, (other, cls) if leaders or other < cls else (cls, other)
                         if pair not in seen:
                             out.append(pair)
                             seen.add(pair)
@@ -267,8 +269,12 @@ def tile_pairs(rows: DataFrame, percent: int, leaders: bool) -> DataFrame:
         if out:
             yield pairs_batch(out)
 
-    return (dealt(rows, leaders).select(*names).repartition("key", "band", "cell")
-            .sortWithinPartitions("key", "band", "cell", "n", "cls").mapInArrow(run, "a binary, b binary").distinct())
+    pairs = (dealt(rows, leaders).select(*names).repartition("key", "band", "cell")
+             .sortWithinPartitions("key", "band", "cell", "n", "cls").mapInArrow(run, "a binary, b binary"))
+    if leaders:
+        pairs = (pairs.groupBy("b").agg(F.array(F.min("a"), F.max("a")).alias("of")).select(F.explode("of").alias("a"), "b")
+                 .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    return pairs.distinct()
 
 
 def pairs_batch(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
@@ -289,34 +295,50 @@ def class_arrays(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, k: int) -
                 yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.binary()), pa.array([x for _, x in found], pa.binary())],
                                                  names=["cls", "shingles"])
 
-    arrays = rows.mapInArrow(run, "cls binary, shingles binary")
-    return stored(arrays.groupBy("cls").agg(F.first("shingles").alias("shingles")), "jaccard-arrays")
+    # once for each row of the class's first doc_id: mostly once
+    return rows.mapInArrow(run, "cls binary, shingles binary")
 
 
 def verified(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sorted arrays intersect enough."""
+    """The pairs whose sorted arrays intersect enough. An array goes to each of its pairs once, by the pair's number."""
     def run(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        for batch in by_pair(batches):
+            pair, side = batch.column("pair").to_numpy(), batch.column("side").to_numpy()
+            first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+            data, keep = batch.column("shingles"), []
+            for i, end in zip(first, np.append(first[1:], len(pair))):
+                other = i + int(np.argmax(side[i:end]))
+                x, y = (np.frombuffer(data[int(k)].as_py(), np.uint64) for k in (i, other))
                 both = np.concatenate([x, y])
                 both.sort()
                 overlap = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep.append(100 * overlap >= percent * (len(x) + len(y) - overlap))
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
-
-    left = arrays.select(F.col("cls").alias("a"), F.col("shingles").alias("x"))
-    right = arrays.select(F.col("cls").alias("b"), F.col("shingles").alias("y"))
-    return stored(pairs.join(left, "a").join(right, "b").mapInArrow(run, "a binary, b binary"), "jaccard-links")
-
-
-def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links) per row of ``docs`` (doc_id, text).
+                if side[i] == 0 and side[other] == 1 and 100 * overlap >= percent * (len(x) + len(y) - overlap):
+                    keep.append((i, other))
+            cls = batch.column("cls")
+            yield pa.RecordBatch.from_arrays([cls.take(pa.array([k[j] for k in keep], pa.int64())) for j in (0, 1)], names=["a", "b"])
 
-    ``n_links`` counts the verified links of the row's class with other classes that the join needed.
-    """
-    rows, pieces = set_table(docs, k)
+    def by_pair(batches):
+        rest = None
+        for batch in batches:
+            batch = pa.concat_batches([rest, batch]) if rest is not None else batch
+            if batch.num_rows:
+                pair = batch.column("pair").to_numpy()
+                cut = int(np.searchsorted(pair, pair[-1], "left"))
+                rest = batch.slice(cut)
+                if cut:
+                    yield batch.slice(0, cut)
+        if rest is not None and rest.num_rows:
+            yield rest
+
+    numbered = pairs.select(F.xxhash64("a", "b").alias("pair"), F.explode(F.array(
+        F.struct(F.lit(0).alias("side"), F.col("a").alias("cls")), F.struct(F.lit(1).alias("side"), F.col("b").alias("cls")))).alias("s"))
+    numbered = small_side(numbered.select("pair", "s.side", "s.cls"))
+    sided = arrays.join(numbered, "cls").select("pair", "side", "cls", "shingles")
+    return stored(sided.repartition("pair").sortWithinPartitions("pair", "side", "cls").mapInArrow(run, "a binary, b binary"), "jaccard-links")
+
+
+def class_components(docs: DataFrame, rows: DataFrame, pieces: DataFrame, k: int, percent: int) -> DataFrame:
+    """(cls, component_id, n_links) per class with shingles."""
     firsts = stored(rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "jaccard-classes")
     entered, signatures = entries(docs, counter_table(pieces), k, percent)
     twos, tiles = shared_entries(entered, percent)
@@ -324,23 +346,44 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     # Bands of a geometric scale; a size that can link into the next band is entered there as well.
     scale = lambda x: F.floor(F.log(x) / float(np.log(BAND_BASE)) + 1e-9).cast("int")
     bands = F.sequence(scale(F.col("n").cast("double")), scale(F.col("n") * 100.0 / percent))
-    tiles = stored(tiles.join(signed.select("cls", "sig"), "cls").withColumn("band", F.explode(bands)), "jaccard-tiles")
+    tiles = stored(tiles.withColumn("band", F.explode(bands)), "jaccard-tiles")
+    signs = signed.select("cls", "sig")
 
-    pairs = stored(admitted_pairs(twos, signed, percent).unionByName(tile_pairs(tiles, percent, leaders=True)).distinct(), "jaccard-pairs")
+    pairs = stored(admitted_pairs(twos, signed, percent).unionByName(
+        tile_pairs(tiles.join(signs, "cls"), percent, "leaders")).distinct(), "jaccard-pairs")
     links = verified(pairs, class_arrays(docs, firsts, pairs, k), percent)
-    label = components(links, "a", "b")
-    comp = F.coalesce("component", "cls").alias("comp")
-    rest = tiles.join(label.select(F.col("node").alias("cls"), "component"), "cls", "left").select("key", "band", "cls", "n", "sig", comp)
-    more = stored(tile_pairs(rest, percent, leaders=False).join(pairs, ["a", "b"], "left_anti"), "jaccard-more")
-    if not more.isEmpty():
-        links = links.unionByName(verified(more, class_arrays(docs, firsts, more, k), percent))
-        label = components(links, "a", "b")
+    label, tested = components(links, "a", "b"), pairs
+    for mode in ("first", "all"):
+        comp = F.coalesce("component", "cls").alias("comp")
+        rest = stored(tiles.join(label.select(F.col("node").alias("cls"), "component"), "cls", "left").select("key", "band", "cls", "n", comp),
+                      "jaccard-rest")
+        # Only tiles where components meet are read again; their rows get their bitmaps after that.
+        mixed = (rest.groupBy("key", "band").agg(F.min("comp").alias("least"), F.max("comp").alias("most"))
+                 .where("least <> most").select("key", "band"))
+        rest = rest.join(mixed, ["key", "band"], "left_semi").join(signs, "cls")
+        more = stored(tile_pairs(rest, percent, mode).join(tested, ["a", "b"], "left_anti"), "jaccard-more")
+        if more.isEmpty():
+            continue
+        fresh = verified(more, class_arrays(docs, firsts, more, k), percent)
+        links, tested = links.unionByName(fresh), tested.unionByName(more)
+        if not fresh.isEmpty():
+            label = components(links, "a", "b")
 
     named = stored(firsts.join(label.select(F.col("node").alias("cls"), "component"), "cls", "left")
                    .select("cls", "doc_id", F.coalesce("component", "cls").alias("component")), "jaccard-named")
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     degree = (links.select(F.col("a").alias("cls")).union(links.select(F.col("b").alias("cls"))).groupBy("cls").agg(F.count("*").alias("n_links")))
-    named = named.join(least, "component").join(degree, "cls", "left").select("cls", "component_id", "n_links")
+    return named.join(least, "component").join(degree, "cls", "left").select("cls", "component_id", "n_links")
+
+
+def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links) per row of ``docs`` (doc_id, text).
+
+    ``n_links`` counts the verified links of the row's class with other classes that the join needed.
+    """
+    small_batches(docs.sparkSession)
+    rows, pieces = set_table(docs, k)
+    named = kept(docs.sparkSession, "jaccard-components", lambda: class_components(docs, rows, pieces, k, percent))
     return (rows.join(named, "cls", "left")
             .select("doc_id", F.col("n").alias("n_shingles"),
                     F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
@@ -353,13 +396,15 @@ def keep_one_per_group(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     Empty documents are in no group and stay, and so do groups without any doc_id. Of repeated rows of the kept doc_id
     one stays.
     """
+    spark = docs.sparkSession
     found = jaccard_components(docs, k, percent)
-    gone = stored(found.where("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct(), "jaccard-gone")
-    twice = stored(found.where("n_shingles > 0 and doc_id = component_id").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("n"))
-                   .where("n > 1").select("__id"), "jaccard-twice")
-    kept = docs.join(small_side(gone), F.col("doc_id") == F.col("__id"), "left_anti")
+    gone = kept(spark, "jaccard-gone", lambda: found.where("n_shingles > 0 and doc_id <> component_id")
+                .select(F.col("doc_id").alias("__id")).distinct())
+    twice = kept(spark, "jaccard-twice", lambda: found.where("n_shingles > 0 and doc_id = component_id")
+                 .groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("n")).where("n > 1").select("__id"))
+    left = docs.join(small_side(gone), F.col("doc_id") == F.col("__id"), "left_anti")
     if twice.isEmpty():
-        return kept
+        return left
     twice = small_side(twice)
-    once = kept.join(twice, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(twice, F.col("doc_id") == F.col("__id"), "left_anti").unionByName(once)
+    once = left.join(twice, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
+    return left.join(twice, F.col("doc_id") == F.col("__id"), "left_anti").unionByName(once)
