@@ -44,14 +44,15 @@ def encode_block(values: np.ndarray) -> bytes:
         return np.zeros(HEADER, "<u4").tobytes()
     room = np.minimum(CHUNK - np.arange(n) % CHUNK, n - np.arange(n)).astype(np.int32)
     choice = np.full(n, ESCAPE, np.uint8)
-    narrow = values.astype(np.uint32) if int(values.max()) < 1 << 32 else values
+    top = int(values.max())
+    narrow = values.astype(np.uint32) if top < 1 << 32 else values
     wide = np.zeros(n + 1, np.int32)
     for s in range(len(SELECTORS) - 1, -1, -1):
         count, bits = SELECTORS[s]
         if count > n:
             break
         fits = room[:n - count + 1] >= count
-        if narrow.dtype != np.uint32 or bits < 32:
+        if top >> bits:
             np.cumsum(narrow >= narrow.dtype.type(1 << bits), out=wide[1:])
             fits &= wide[count:] == wide[:n - count + 1]
         if s < 7 and not fits.any():

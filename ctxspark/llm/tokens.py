@@ -45,7 +45,7 @@ class WordEncoder(dict):
 
     def forget(self) -> None:
         self.clear()
-        self.flat, self.sizes = array("I"), array("q")
+        self.flat, self.sizes, self.starts = array("I"), array("q"), array("q")
 
     def __missing__(self, word: str) -> int:
         if word.isalpha() and max(word) < "ɐ" and "İ" not in word:
@@ -56,6 +56,7 @@ class WordEncoder(dict):
                 ids = [t.id for t in self.model.tokenize(word)]
         else:
             ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        self.starts.append(len(self.flat))
         self.flat.extend(ids)
         self.sizes.append(len(ids))
         self[word] = number = len(self.sizes) - 1
@@ -69,8 +70,8 @@ class WordEncoder(dict):
         if len(self) > self.max_words:
             self.forget()
         number = np.fromiter(map(self.__getitem__, words.dictionary.to_pylist()), np.int64, len(words.dictionary))
-        flat, sizes = np.array(self.flat), np.array(self.sizes)
-        starts = np.cumsum(sizes) - sizes
+        # views, gone before the next word is added
+        flat, sizes, starts = (np.frombuffer(x, x.typecode) for x in (self.flat, self.sizes, self.starts))
         at = number[words.indices.to_numpy(zero_copy_only=False)]
         n = sizes[at]
         ends = np.concatenate([[0], np.cumsum(n)])
