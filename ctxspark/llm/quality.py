@@ -1,11 +1,13 @@
 """Quality classifier: interpolated modified Kneser-Ney trigrams of trusted text, perplexity per document, quantiles.
 
-Trusted text are the documents labelled as good. Its words are counted in Spark; the ``VOCABULARY`` most frequent ones
-stand for themselves, every other word for its shape (letter case, final sign, other signs, length), and a word equal
-to the one before it for "again" (or, repeated further, "again and again"). Trigram counts of the trusted text are summed by trigram; continuation counts,
-context sums, discounts and probabilities of the three orders are aggregations and joins of those count tables, sharded
-by context. The vocabulary bounds the tables; up to ``TABLE_ROWS`` trigrams (counted) each task looks them up in a sorted
-array, beyond that the documents' own trigram counts are joined with the sharded table. Both give the same sums.
+Trusted text are the documents labelled as good. Every word of them is in the vocabulary, by its 64-bit hash, however
+many there are; a word equal to the one before it stands for "again" (repeated further, it is taught no more). Trigram
+counts of the trusted text are summed by trigram; continuation counts, context sums, discounts and probabilities of the
+three orders are aggregations and joins of those count tables, sharded by context. The unigrams back off to a spelling
+model, which also scores the words never seen: Kneser-Ney trigrams of the UTF-8 bytes of each distinct trusted word after
+its shape (its tables are bounded by the 2^24 byte trigrams). Up to ``TABLE_ROWS`` trigrams (counted) each task looks the
+tables up in sorted arrays; beyond that the documents' trigrams go to the shards of the tables, what isn't found goes on
+to the next order's, and sums come back. Both give the same sums.
 
 Every fifth trusted document is left out of the counts; they show how clean text that the model hasn't seen scores.
 
@@ -22,22 +24,31 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ctxspark.llm.common import kept, slices, small_side, split_words, stored
+from ctxspark.llm.common import MIX, kept, mix, slices, small_batches, small_side, split_words, stored, string_hashes
 
-VOCABULARY = 300
-TABLE_ROWS = 4_000_000
+TABLE_ROWS = 1_000_000
+#: Rows of a table in one shard, and trigrams in one row on their way to it.
+SHARD_ROWS, PACK = 1_000_000, 1_000
 PRIOR_WORDS = 20
 HIGH = 0.99
 MARGIN = 0.8
-#: Codes: 0 starts a text, 1 repeats the word before, 2 repeats it a second time or more, 3.. shapes, then the vocabulary.
+#: Codes: 0 starts a text, 1 repeats the word before, 2 repeats it a second time or more, 3.. shapes, then words or bytes.
 START, AGAIN, AGAIN_MORE, SHAPES = 0, 1, 2, 3
 ENDS = ".,;:!?"
 N_SHAPES = 4 * 4 * 3 * 5
 WORD = SHAPES + N_SHAPES
 LEAST = -50.0
+#: Spelling: the bytes of a word follow its shape, and END follows them.
+END = WORD + 256
+GRAM = ["key", "k2", "k1", "c2", "c1"]
+RECORD = np.dtype([("row", "<i8"), ("context", "<u8"), ("b", "<u8"), ("c", "<u8"), ("base", "<f4"), ("n", "<u4")])
+ENTRY = np.dtype([("key", "<u8"), ("value", "<f4")])
+SUM = np.dtype([("row", "<i8"), ("nll", "<f8")])
+FLOW = "shard int, kind int, data binary, row long, doc_id long, lang string, text_hash long, n_words long"
 
 
 def shape(word: str) -> int:
@@ -52,18 +63,62 @@ def shape(word: str) -> int:
     return SHAPES + ((case * 4 + last) * 3 + signs) * 5 + size
 
 
+def repeats(bounds: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which words equal the one before them in their text, and which of those follow another such word."""
+    again = np.concatenate([[False], at[1:] == at[:-1]])
+    again[bounds[:-1][bounds[:-1] < len(at)]] = False
+    return again, np.concatenate([[False], again[1:] & again[:-1]])
+
+
 def codes(texts: pa.Array, known: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Row offsets and the code of each word."""
+    """Row offsets and the code of each word: the one of ``known``, or its shape's."""
     bounds, words = split_words(texts, lower=False)
     if not len(words):
         return bounds, np.zeros(0, np.int64)
     one = np.array([known.get(w) or shape(w) for w in words.dictionary.to_pylist()], np.int64)
     at = words.indices.to_numpy(zero_copy_only=False)
     out = one[at]
-    again = np.concatenate([[False], at[1:] == at[:-1]])
-    again[bounds[:-1][bounds[:-1] < len(at)]] = False
+    again, more = repeats(bounds, at)
     out[again] = AGAIN
-    out[1:][again[1:] & again[:-1]] = AGAIN_MORE
+    out[more] = AGAIN_MORE
+    return bounds, out
+
+
+def pair_hash(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return mix(mix(x * MIX + y) * MIX + np.uint64(1))
+
+
+def word_grams(texts: pa.Array) -> tuple[np.ndarray, dict[str, np.ndarray], pa.DictionaryArray, np.ndarray]:
+    """Row offsets; for each word the hashes of its trigram, its bigram, itself, and the contexts of two and one; the
+    words; and which are taught: a word repeated further has a code of its own that no table holds."""
+    bounds, words = split_words(texts, lower=False)
+    if not len(words):
+        return bounds, {k: np.zeros(0, np.uint64) for k in GRAM}, words, np.zeros(0, bool)
+    at = words.indices.to_numpy(zero_copy_only=False)
+    code = string_hashes(words.dictionary)[at]
+    again, more = repeats(bounds, at)
+    unseen = mix(code[more] + np.uint64(AGAIN_MORE))
+    code[again] = AGAIN
+    code[more] = unseen
+    first = bounds[:-1][np.diff(bounds) > 0]
+    before = np.concatenate([np.zeros(1, np.uint64), code[:-1]])
+    before[first] = START
+    two = np.concatenate([np.zeros(1, np.uint64), before[:-1]])
+    two[first] = START
+    c2 = pair_hash(two, before)
+    return bounds, {"key": pair_hash(c2, code), "k2": pair_hash(before, code), "k1": code, "c2": c2, "c1": before}, words, ~more
+
+
+def spelling(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Row offsets and the codes of each word's shape, bytes and end."""
+    data = [w.encode() for w in words]
+    size = np.array([len(d) + 2 for d in data], np.int64)
+    bounds = np.concatenate([[0], np.cumsum(size)])
+    out = np.empty(bounds[-1], np.int64)
+    inside = np.ones(bounds[-1], bool)
+    inside[bounds[:-1]] = inside[bounds[1:] - 1] = False
+    out[inside] = np.frombuffer(b"".join(data), np.uint8).astype(np.int64) + WORD
+    out[bounds[:-1]], out[bounds[1:] - 1] = [shape(w) for w in words], END
     return bounds, out
 
 
@@ -106,14 +161,49 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return counted(docs, make, "key string, n long")
 
 
-def trigram_counts(docs: DataFrame, known: dict[str, int]) -> DataFrame:
+def trigram_counts(docs: DataFrame) -> DataFrame:
+    """(GRAM, n) of the words of ``docs``."""
+    def run(batches):
+        for part in slices(batches):
+            _, gram, _, taught = word_grams(part.column("text"))
+            # Runs of one word teach nothing: they stay as improbable as a word never seen.
+            at = np.flatnonzero(taught)
+            _, first, n = np.unique(gram["key"][at], return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([*(pa.array(gram[k][at[first]].view(np.int64)) for k in GRAM), pa.array(n)], names=[*GRAM, "n"])
+
+    schema = ", ".join(f"{k} long" for k in GRAM) + ", n long"
+    return docs.mapInArrow(run, schema).groupBy(*GRAM).agg(F.sum("n").alias("n"))
+
+
+def spelling_model(words: DataFrame) -> Model:
+    """The byte trigrams of distinct ``words`` (text)."""
     def make(texts):
-        keys, n = np.unique(trigrams(*codes(texts, known)), return_counts=True)
-        # Runs of one word teach nothing: they stay as improbable as a word never seen.
-        taught = keys & 0xFFFF != AGAIN_MORE
-        return keys[taught].tolist(), n[taught].tolist()
+        keys, n = np.unique(trigrams(*spelling(texts.to_pylist())), return_counts=True)
+        return keys.tolist(), n.tolist()
 
-    return counted(docs, make, "key long, n long")
+    return Model(kneser_ney(counted(words, make, "key long, n long"), END + 1))
+
+
+def spelled(model: Model, words: list[str]) -> np.ndarray:
+    """The log probability of each word's spelling."""
+    if not words:
+        return np.zeros(0)
+    bounds, code = spelling(words)
+    key, at = np.unique(trigrams(bounds, code), return_inverse=True)
+    return np.maximum(np.diff(np.concatenate([[0.0], np.cumsum(model.log_p(key)[at])])[bounds]), LEAST)
+
+
+def word_bases(words: DataFrame, model: Model) -> DataFrame:
+    """(key, base): hash and probability of the spelling of each of ``words`` (text)."""
+    held = words.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for part in slices(batches):
+            text = part.column("text")
+            yield pa.RecordBatch.from_arrays([pa.array(string_hashes(text).view(np.int64)), pa.array(np.exp(spelled(held.value, text.to_pylist())))],
+                                             names=["key", "base"])
+
+    return words.mapInArrow(run, "key long, base double")
 
 
 def discounts(counts: DataFrame, column: str) -> list[float]:
@@ -133,34 +223,46 @@ def level(counts: DataFrame, context, lower: DataFrame, low_key, d: list[float])
             .agg(F.sum("c").alias("total"), ((one(1) * d[0] + one(2) * d[1] + one(3) * d[2]) / F.sum("c")).alias("gamma")))
     off = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
     p = (counts.withColumn("context", context).withColumn("low", low_key).join(held, "context").join(lower, "low")
-         .select("key", "c", ((F.col("c") - off) / F.col("total") + F.col("gamma") * F.col("lp")).alias("p")))
+         .select("key", "context", ((F.col("c") - off) / F.col("total") + F.col("gamma") * F.col("lp")).alias("p")))
     return p, held.select("context", "gamma")
 
 
-def kneser_ney(counts: DataFrame, vocabulary: int) -> dict[str, DataFrame]:
-    """Probability tables from trigram counts (key, n): tri and bi (key, p), two and one (context, gamma), uni (key, p)."""
-    tri = stored(counts.select("key", F.col("n").alias("c")), "quality-tri")
-    low2 = F.expr("key & 4294967295")
-    bi = stored(tri.select(low2.alias("key")).groupBy("key").agg(F.count("*").alias("c")), "quality-bi")
-    uni = stored(bi.select(F.expr("key & 65535").alias("key")).groupBy("key").agg(F.count("*").alias("c")), "quality-uni")
+def kneser_ney(counts: DataFrame, vocabulary: int, base: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Probability tables from trigram counts (GRAM, n), or (key, n) with three 16-bit codes in a key: tri (key, context, p),
+    bi (key, context, p), two and one (context, gamma), uni (key, p). What the unigrams leave is dealt evenly over the
+    ``vocabulary``, or by ``base`` (key, base)."""
+    if "k2" not in counts.columns:
+        counts = (counts.withColumn("k2", F.expr("key & 4294967295")).withColumn("k1", F.expr("key & 65535"))
+                  .withColumn("c2", F.expr("shiftright(key, 16)")).withColumn("c1", F.expr("shiftright(key & 4294967295, 16)")))
+    tri = stored(counts.select(*GRAM, F.col("n").alias("c")), "quality-tri")
+    bi = stored(tri.groupBy(F.col("k2").alias("key"), "k1", "c1").agg(F.count("*").alias("c")), "quality-bi")
+    uni = stored(bi.groupBy(F.col("k1").alias("key")).agg(F.count("*").alias("c")), "quality-uni")
     total = uni.agg(F.sum("c"), F.count("*")).first()
     d1 = discounts(uni, "c")
     off = F.when(F.col("c") == 1, d1[0]).when(F.col("c") == 2, d1[1]).otherwise(d1[2])
     held = uni.agg(F.sum(F.col("c") - off)).first()[0] or 0.0
     left = (1 - held / total[0]) if total[0] else 1.0
-    uni_p = stored(uni.select("key", ((F.col("c") - off) / max(total[0] or 1, 1) + left / vocabulary).alias("p")), "quality-uni-p")
-    bi_p, one = level(bi, F.expr("shiftright(key, 16)"), uni_p.select(F.col("key").alias("low"), F.col("p").alias("lp")),
-                      F.expr("key & 65535"), discounts(bi, "c"))
-    bi_p = stored(bi_p.select("key", "p"), "quality-bi-p")
-    tri_p, two = level(tri, F.expr("shiftright(key, 16)"), bi_p.select(F.col("key").alias("low"), F.col("p").alias("lp")),
-                       low2, discounts(tri, "c"))
-    return {"tri": stored(tri_p.select("key", "p"), "quality-tri-p"), "two": stored(two, "quality-two"), "bi": bi_p,
-            "one": stored(one, "quality-one"), "uni": uni_p, "rest": left / vocabulary}
+    if base is None:
+        share = F.lit(left / vocabulary)
+    else:
+        uni, share = uni.join(base, "key", "left"), left * F.coalesce("base", F.lit(0.0))
+    uni_p = stored(uni.select("key", ((F.col("c") - off) / max(total[0] or 1, 1) + share).alias("p")), "quality-uni-p")
+    lower = lambda df: df.select(F.col("key").alias("low"), F.col("p").alias("lp"))
+    bi_p, one = level(bi, F.col("c1"), lower(uni_p), F.col("k1"), discounts(bi, "c"))
+    bi_p = stored(bi_p, "quality-bi-p")
+    tri_p, two = level(tri, F.col("c2"), lower(bi_p), F.col("k2"), discounts(tri, "c"))
+    return {"tri": stored(tri_p, "quality-tri-p"), "two": stored(two, "quality-two"), "bi": bi_p,
+            "one": stored(one, "quality-one"), "uni": uni_p, "rest": left / (vocabulary if base is None else 1)}
+
+
+def logs(p: np.ndarray) -> np.ndarray:
+    """A back-off weight may be 0 where nothing is discounted."""
+    return np.log(np.maximum(p, np.exp(LEAST)))
 
 
 def sorted_table(df: DataFrame, key: str, value: str) -> tuple[np.ndarray, np.ndarray]:
     t = df.select(key, value).toArrow()
-    keys, values = t.column(0).to_numpy().astype(np.int64), np.log(t.column(1).to_numpy())
+    keys, values = t.column(0).to_numpy().astype(np.int64), logs(t.column(1).to_numpy())
     order = np.argsort(keys)
     return keys[order], values[order].astype(np.float32)
 
@@ -183,29 +285,40 @@ class Model:
         self.rest = float(np.log(tables["rest"]))
 
     def log_p(self, key: np.ndarray) -> np.ndarray:
-        hit, p = find(self.tri, key, 0)
+        """Of trigrams with three 16-bit codes in a key."""
+        k2 = key & 0xFFFFFFFF
+        return np.maximum(self.log_grams({"key": key, "k2": k2, "k1": k2 & 0xFFFF, "c2": key >> 16, "c1": k2 >> 16}, 0.0), LEAST)
+
+    def log_grams(self, gram: dict[str, np.ndarray], base) -> np.ndarray:
+        """``base`` is the log probability by which an unknown word gets its part of what the unigrams leave."""
+        hit, p = find(self.tri, gram["key"], 0)
         out = p.astype(np.float64)
         miss = np.flatnonzero(~hit)
-        k2 = key[miss] & 0xFFFFFFFF
+        k2, k1, c2, c1 = (gram[k][miss] for k in GRAM[1:])
         hit2, p2 = find(self.bi, k2, 0)
-        _, p1 = find(self.uni, k2 & 0xFFFF, self.rest)
-        _, g1 = find(self.one, k2 >> 16, 0)
-        _, g2 = find(self.two, key[miss] >> 16, 0)
+        hit1, p1 = find(self.uni, k1, 0)
+        _, g1 = find(self.one, c1, 0)
+        _, g2 = find(self.two, c2, 0)
+        p1 = np.where(hit1, p1, self.rest + (base[miss] if np.ndim(base) else base))
         out[miss] = g2 + np.where(hit2, p2, g1 + p1)
-        return np.maximum(out, LEAST)
+        return out
 
 
-def lookup_sums(docs: DataFrame, known: dict[str, int], model: Model) -> DataFrame:
+def lookup_sums(docs: DataFrame, speller: Model, tables: dict) -> DataFrame:
     """``docs`` columns plus (n_words, nll) with the tables broadcast."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = docs.sparkSession.sparkContext.broadcast((speller, Model(tables)))
     names = docs.columns
 
     def run(batches):
-        model = held.value
+        speller, model = held.value
         for part in slices(batches):
-            bounds, word = codes(part.column("text"), known)
-            key, at = np.unique(trigrams(bounds, word), return_inverse=True)
-            sums = np.concatenate([[0.0], np.cumsum(model.log_p(key)[at])])[bounds] if len(word) else np.zeros(len(bounds))
+            bounds, gram, words, _ = word_grams(part.column("text"))
+            sums = np.zeros(len(bounds))
+            if len(words):
+                base = spelled(speller, words.dictionary.to_pylist())[words.indices.to_numpy(zero_copy_only=False)]
+                _, first, at = np.unique(gram["key"], return_index=True, return_inverse=True)
+                p = model.log_grams({k: g[first].view(np.int64) for k, g in gram.items()}, base[first])
+                sums = np.concatenate([[0.0], np.cumsum(p[at])])[bounds]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names if c != "text"), pa.array(np.diff(bounds)),
                                               pa.array(-np.diff(sums))], names=[*(c for c in names if c != "text"), "n_words", "nll"])
 
@@ -213,38 +326,150 @@ def lookup_sums(docs: DataFrame, known: dict[str, int], model: Model) -> DataFra
     return docs.mapInArrow(run, f"{schema}, n_words long, nll double")
 
 
-def joined_sums(docs: DataFrame, known: dict[str, int], tables: dict) -> DataFrame:
-    """The same for tables of any size: each row's distinct trigrams, joined with the sharded tables and summed."""
-    names = [c for c in docs.columns if c != "text"]
+TABLE, GRAMS, SUMS, ROWS = range(4)
+
 
+def packed(records: np.ndarray, keys: np.ndarray, kind: int, parts: int):
+    """Rows of FLOW that carry ``records`` to the shards of their ``keys``, at most PACK in one."""
+    shard = (mix(keys) % np.uint64(parts)).astype(np.int32)
+    order = np.argsort(shard, kind="stable")
+    shard, records = shard[order], records[order]
+    new = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(shard) else np.zeros(0, int)
+    cuts = [(i, min(i + PACK, e)) for s, e in zip(new, [*new[1:], len(shard)]) for i in range(s, e, PACK)]
+    if cuts:
+        n, of = len(cuts), pa.array([shard[i] for i, _ in cuts], pa.int32())
+        yield pa.RecordBatch.from_arrays([of, pa.array([kind] * n, pa.int32()), pa.array([records[i:e].tobytes() for i, e in cuts], pa.binary()),
+                                          *(pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()))],
+                                         names=[x.split()[0] for x in FLOW.split(",")])
+
+
+def entries(df: DataFrame, key: str, shard_by: str, value: str, parts: int, salt: int = 0) -> DataFrame:
+    """A table's rows on their way to its shards."""
     def run(batches):
-        for part in slices(batches):
-            bounds, word = codes(part.column("text"), known)
-            key = trigrams(bounds, word)
-            rows, keys, n = [], [], []
-            for i in range(part.num_rows):
-                k, c = np.unique(key[bounds[i]:bounds[i + 1]], return_counts=True)
-                if not len(k):
-                    k, c = np.array([-1]), np.array([0])  # keeps the row
-                rows += [np.full(len(k), i)]
-                keys, n = keys + [k], n + [c]
-            at = np.concatenate(rows) if rows else np.zeros(0, int)
-            yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(at)) for c in names), pa.array(np.concatenate(keys)),
-                                              pa.array(np.concatenate(n))], names=[*names, "key", "n"])
+        for t in batches:
+            k, by = (t.column(i).to_numpy().view(np.uint64) ^ np.uint64(salt) for i in (0, 1))
+            out = np.empty(t.num_rows, ENTRY)
+            out["key"], out["value"] = k, logs(t.column(2).to_numpy())
+            yield from packed(out, by, TABLE, parts)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    grams = docs.mapInArrow(run, f"{schema}, key long, n long")
-    t = lambda name, key, value, column: tables[name].select(F.col(key).alias(column), F.log(value).alias(name))
-    grams = (grams.withColumn("k2", F.expr("key & 4294967295")).withColumn("k1", F.expr("key & 65535"))
-             .withColumn("c2", F.expr("shiftright(key, 16)")).withColumn("c1", F.expr("shiftright(key & 4294967295, 16)"))
-             .join(t("tri", "key", "p", "key"), "key", "left").join(t("bi", "key", "p", "k2"), "k2", "left")
-             .join(t("uni", "key", "p", "k1"), "k1", "left").join(t("two", "context", "gamma", "c2"), "c2", "left")
-             .join(t("one", "context", "gamma", "c1"), "c1", "left"))
-    zero = F.lit(0.0)
-    low = F.coalesce("bi", F.coalesce("one", zero) + F.coalesce("uni", F.lit(float(np.log(tables["rest"])))))
-    p = F.greatest(F.coalesce("tri", F.coalesce("two", zero) + low), F.lit(LEAST))
-    sums = grams.groupBy(*names).agg(F.sum("n").alias("n_words"), (-F.sum(p * F.col("n"))).alias("nll"))
-    return sums
+    return df.select(F.col(key).alias("k"), F.col(shard_by).alias("by"), F.col(value).alias("v")).coalesce(64).mapInArrow(run, FLOW)
+
+
+#: Contexts of one word stand beside the unigrams under keys of their own.
+ONE = 0x5851F42D4C957F2D
+
+
+def by_trigram(look, r):
+    hit, p = look(pair_hash(r["context"], r["c"]))
+    _, gamma = look(r["context"])
+    return np.where(hit, p, gamma), r[~hit]
+
+
+def by_bigram(look, r):
+    hit, p = look(pair_hash(r["b"], r["c"]))
+    one, uni = r[~hit], r[~hit]
+    one["context"], one["base"], uni["context"] = one["b"] ^ np.uint64(ONE), 0, uni["c"]
+    return p, np.concatenate([one, uni])
+
+
+def by_word(look, r):
+    hit, p = look(r["context"])
+    return np.where(hit, p, r["base"]), r[:0]
+
+
+def shard_pass(flow: DataFrame, table: DataFrame, parts: int, resolve, next_key) -> DataFrame:
+    """The trigrams of ``flow`` meet the shards of ``table``: what ``resolve`` finds is summed by row, the rest goes on."""
+    def run(batches):
+        shard, held, names, values = None, [], None, None
+        waiting, size = [], 0
+
+        def look(keys):
+            hit, v = find((names, values), keys, 0)
+            return hit, v.astype(np.float64)
+
+        def out():
+            rec = np.concatenate(waiting)
+            value, rest = resolve(look, rec)
+            row, at = np.unique(rec["row"], return_inverse=True)
+            sums = np.empty(len(row), SUM)
+            sums["row"], sums["nll"] = row, -np.bincount(at, weights=value * rec["n"])
+            yield from packed(sums, row.view(np.uint64), SUMS, parts)
+            yield from packed(rest, next_key(rest), GRAMS, parts)
+
+        for t in batches:
+            for i, (s, kind, data) in enumerate(zip(*(t.column(c).to_pylist() for c in ("shard", "kind", "data")))):
+                if s != shard:
+                    if waiting:
+                        yield from out()
+                    shard, held, names, waiting, size = s, [], None, [], 0
+                if kind == TABLE:
+                    held.append(np.frombuffer(data, ENTRY))
+                elif kind == GRAMS:
+                    if names is None:
+                        whole = np.concatenate([np.zeros(0, ENTRY), *held])
+                        whole.sort(order="key")
+                        names, values, held = np.ascontiguousarray(whole["key"]), np.ascontiguousarray(whole["value"]), []
+                    waiting.append(np.frombuffer(data, RECORD))
+                    size += len(waiting[-1])
+                    if size >= 400_000:
+                        yield from out()
+                        waiting, size = [], 0
+                else:
+                    yield t.slice(i, 1)
+        if waiting:
+            yield from out()
+
+    return flow.unionByName(table).repartition(parts, "shard").sortWithinPartitions("shard", "kind").mapInArrow(run, FLOW)
+
+
+def joined_sums(docs: DataFrame, speller: Model, tables: dict) -> DataFrame:
+    """The same for tables of any size: each row's distinct trigrams go to the shards of the tables; sums come back."""
+    held = docs.sparkSession.sparkContext.broadcast(speller)
+    small_batches(docs.sparkSession)
+    parts = max(32, -(-tables["tri"].count() // SHARD_ROWS))
+    info, rest = ["row", "doc_id", "lang", "text_hash"], float(np.log(tables["rest"]))
+
+    def run(batches):
+        for part in slices(batches):
+            bounds, gram, words, _ = word_grams(part.column("text"))
+            n = part.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n) % parts, pa.int32()), pa.array([ROWS] * n, pa.int32()), pa.nulls(n, pa.binary()),
+                                              *(part.column(c) for c in info), pa.array(np.diff(bounds))],
+                                             names=[x.split()[0] for x in FLOW.split(",")])
+            if not len(words):
+                continue
+            base = spelled(held.value, words.dictionary.to_pylist())[words.indices.to_numpy(zero_copy_only=False)]
+            of = np.repeat(np.arange(n), np.diff(bounds))
+            order = np.lexsort((gram["key"], of))
+            key, row = gram["key"][order], of[order]
+            start = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (row[1:] != row[:-1])]))
+            first = order[start]
+            out = np.empty(len(first), RECORD)
+            out["row"] = part.column("row").to_numpy()[of[first]]
+            out["context"], out["b"], out["c"] = (gram[k][first] for k in ("c2", "c1", "k1"))
+            out["base"], out["n"] = rest + base[first], np.diff(np.append(start, len(key)))
+            yield from packed(out, out["context"], GRAMS, parts)
+
+    def unpack(batches):
+        for t in batches:
+            sums = np.concatenate([np.zeros(0, SUM), *(np.frombuffer(x, SUM) for x in t.filter(pc.equal(t.column("kind"), SUMS)).column("data").to_pylist())])
+            n, rows = len(sums), t.filter(pc.equal(t.column("kind"), ROWS))
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array(sums["row"]), *(pa.nulls(n, k) for k in (pa.int64(), pa.string(), pa.int64(), pa.int64())),
+                                                  pa.array(sums["nll"])], names=[*info, "n_words", "nll"])
+            if rows.num_rows:
+                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in [*info, "n_words"]), pa.array(np.zeros(rows.num_rows))],
+                                                 names=[*info, "n_words", "nll"])
+
+    context = lambda r: r["context"]
+    flow = docs.select(*info, "text").mapInArrow(run, FLOW)
+    flow = shard_pass(flow, entries(tables["tri"], "key", "context", "p", parts).unionByName(entries(tables["two"], "context", "context", "gamma", parts)),
+                      parts, by_trigram, lambda r: pair_hash(r["b"], r["c"]))
+    flow = shard_pass(flow, entries(tables["bi"], "key", "key", "p", parts), parts, by_bigram, context)
+    flow = shard_pass(flow, entries(tables["uni"], "key", "key", "p", parts).unionByName(entries(tables["one"], "context", "context", "gamma", parts, ONE)),
+                      parts, by_word, context)
+    sums = flow.mapInArrow(unpack, "row long, doc_id long, lang string, text_hash long, n_words long, nll double")
+    return sums.groupBy("row").agg(*(F.max(c).alias(c) for c in ("doc_id", "lang", "text_hash", "n_words")), F.sum("nll").alias("nll"))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, table_rows: int = TABLE_ROWS) -> DataFrame:
@@ -253,16 +478,11 @@ def score_documents(docs: DataFrame, labels: DataFrame, table_rows: int = TABLE_
     # Every fifth trusted document (by its id's hash) is left out of the counts: it shows how unseen clean text scores.
     unseen = F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0
     trusted = docs.join(good, "doc_id", "left_semi").where(~unseen).select("text")
-    # A bounded list: the vocabulary's size is a parameter of the model.
-    top = word_counts(trusted).orderBy(F.desc("n"), "key").limit(VOCABULARY).collect()
-    known = {r["key"]: WORD + i for i, r in enumerate(top)}
-    tables = kneser_ney(trigram_counts(trusted, known), WORD + VOCABULARY)
+    words = stored(word_counts(trusted).select(F.col("key").alias("text")), "quality-words")
+    speller = spelling_model(words)
+    tables = kneser_ney(trigram_counts(trusted), 1, word_bases(words, speller))
     text = docs.select("row", "doc_id", "lang", F.xxhash64("text").alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"))
-    if tables["tri"].count() <= table_rows:
-        sums = lookup_sums(text, known, Model(tables))
-    else:
-        found = joined_sums(text, known, tables)
-        sums = found.select("row", "doc_id", "lang", "text_hash", "n_words", "nll")
+    sums = (lookup_sums if tables["tri"].count() <= table_rows else joined_sums)(text, speller, tables)
     sums = stored(sums, "quality-sums").withColumn("lang_key", F.coalesce("lang", F.lit("")))
     seen = sums.join(good, "doc_id", "left_semi").where("n_words > 0")
     mean = stored(seen.groupBy("lang_key").agg((F.sum("nll") / F.sum("n_words")).alias("mean")), "quality-mean")

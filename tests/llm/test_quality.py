@@ -123,3 +123,16 @@ def test_without_trusted_documents_or_rows(spark, corpus):
     assert ql.quality(docs.where("doc_id = -1"), labels).collect() == []
     assert ql.reject_low_quality(docs.where("doc_id = -1"), labels).collect() == []
     assert prose(random.Random(1), 3)
+
+
+def test_words_beyond_any_list_are_told_apart(spark):
+    """Thousands of trusted words, none of them frequent: text whose words got random consonants in place goes."""
+    r = random.Random(5)
+    stems = ["".join(r.choice("bdklmnrst") + r.choice("aeiou") for _ in range(r.randint(2, 4))) for _ in range(2500)]
+    text = lambda: " ".join(r.choice(stems) for _ in range(80))
+    garbled = lambda: " ".join("".join(r.choice("bcdfghjklmnpqrstvwxz") for _ in w) for w in text().split())
+    rows = [(i, text(), "en") for i in range(400)] + [(1000 + i, garbled(), "en") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    gone = {x["doc_id"] for x in ql.quality(docs, labels).collect() if not x["keep"]}
+    assert gone >= {*range(1000, 1030)} and len(gone) <= 30 + 6
