@@ -6,8 +6,9 @@
    input); the executors add the sums up. From the total, the Nystroem form of the randomised singular value
    decomposition of the TF-IDF passages gives the leading right singular vectors and values; the first few are left out.
 2. Windows of one passage or two neighbouring ones and the benchmark items are projected into that latent space (each
-   direction divided by its singular value). A window is a candidate for the items whose cosine reaches ``COSINE``.
-3. A candidate's words, widened by a passage on each side, are compared with the item: enough of them must be words of
+   direction divided by its singular value). A window is a candidate for the items whose cosine reaches ``COSINE``; an item
+   longer than ``PART`` words is projected in parts of about that length, and each part stands for the item.
+3. A candidate's words, widened by twice the item's length on each side, are compared with the item: enough of them must be words of
    the item at all, then the longest common subsequence within twice the item's length must hold ``LCS`` of the item's words, and of those of its answer
    (its last sentence) ``ANSWER``.
 
@@ -32,6 +33,7 @@ RANK = 96
 COMMON = 6
 BLOCK = 32
 COSINE = 0.36
+PART = 60
 LCS, ANSWER = 0.6, 0.5
 SHORT = 8
 #: The benchmark is held by every task; a larger one is refused (cut it into parts).
@@ -255,6 +257,31 @@ def unit(z: np.ndarray) -> np.ndarray:
     return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
 
 
+def holds_words(columns: np.ndarray, begin: np.ndarray, end: np.ndarray, item: np.ndarray, member: np.ndarray, least: np.ndarray,
+                length: np.ndarray) -> np.ndarray:
+    """Which of the ranges hold ``least`` words of their item within its reach; ``columns`` ends with a column of no item."""
+    enough = np.empty(len(item), bool)
+    order = np.argsort(end - begin, kind="stable")
+    c = 0
+    while c < len(order):
+        # Ranges of about one width at a time, so many as the cache holds.
+        some = order[c:c + 4096]
+        some = some[:max(1, (1 << 19) // int((end - begin)[some[-1]] + 1))]
+        c += len(some)
+        width, of = int((end - begin)[some].max()), item[some]
+        step = max(8, int(length[of].min()) // 4)
+        at = begin[some, None] + np.arange(width)[None, :]
+        at[at >= end[some, None]] = len(columns) - 1
+        # the most words of the item within its reach, from every step on
+        sums = np.zeros((len(some), width + 1), np.int32)
+        np.cumsum(member[of[:, None], columns[at]], axis=1, out=sums[:, 1:])
+        reach, each, most = 2 * length[of] + step, np.arange(len(some)), np.zeros(len(some), np.int32)
+        for o in range(0, width, step):
+            np.maximum(most, sums[each, np.minimum(o + reach, width)] - sums[:, o], out=most)
+        enough[some] = most >= least[of]
+    return enough
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, lcs: float = LCS, answer: float = ANSWER) -> DataFrame:
     """(doc_id, item_id, cosine, lcs, answer, start_word, end_word): the best window for each document and item it holds.
 
@@ -271,20 +298,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, lcs: fl
         return spark.createDataFrame([], out)
     space = latent_space(df, total, n)
     words = np.concatenate([i.words for i in items])
-    starts = np.cumsum([0] + [i.n for i in items[:-1]])
     passage = np.repeat(np.arange(len(items)), [i.n for i in items])
-    targets = np.zeros((len(items), space.shape[1]), np.float32)
-    pair = np.unique(passage * TERMS + column_of(words))
+    # Long items are looked for by their parts: a window holds no more of them.
+    parts = [-(-i.n // PART) for i in items]
+    item_of = np.repeat(np.arange(len(items)), parts)
+    part = np.concatenate([np.arange(i.n) * k // i.n for i, k in zip(items, parts)]) + np.repeat(np.cumsum(parts) - parts, [i.n for i in items])
+    targets = np.zeros((len(item_of), space.shape[1]), np.float32)
+    pair = np.unique(part * TERMS + column_of(words))
     np.add.at(targets, pair // TERMS, space[pair % TERMS])
     # For the cheap test: which columns are words of an item, and how many words it must be to go on.
     member = np.zeros((len(items), TERMS + 1), np.uint8)
     member[passage, column_of(words)] = 1
     least = np.array([i.n if i.n < SHORT else lcs * i.n for i in items])
     length = np.array([i.n for i in items])
-    held = spark.sparkContext.broadcast((space, unit(targets), member, least, length, items))
+    held = spark.sparkContext.broadcast((space, unit(targets), item_of, member, least, length, items))
 
     def run(batches):
-        space, targets, member, least, length, items = held.value
+        space, targets, item_of, member, least, length, items = held.value
         names = [x.strip().split()[0] for x in out.split(",")]
         for part in slices(batches, "words"):
             sizes = pc.binary_length(part.column("words")).to_numpy(zero_copy_only=False).astype(np.int64) // 4
@@ -303,28 +333,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, lcs: fl
             best: dict[tuple[int, int], tuple] = {}
             for a in range(0, len(z), 2048):
                 near = z[a:a + 2048] @ targets.T
-                w, i = np.nonzero(near >= cosine)
+                w, t = np.nonzero(near >= cosine)
+                i = item_of[t]
                 block = windows[a + w]
-                begin = np.maximum(bounds[row[block]], starts[block] - BLOCK)
-                end = np.minimum(bounds[row[block] + 1], starts[block] + 3 * BLOCK)
-                enough = np.empty(len(w), bool)
-                for c in range(0, len(w), 4096):
-                    at = begin[c:c + 4096, None] + np.arange(4 * BLOCK)[None, :]
-                    at[at >= end[c:c + 4096, None]] = len(column)
-                    hits = member[i[c:c + 4096, None], padded[at]]
-                    # the most words of the item within its reach, from every eighth place on
-                    sums = np.zeros((len(hits), 4 * BLOCK + 1), np.int32)
-                    np.cumsum(hits, axis=1, out=sums[:, 1:])
-                    reach, each = 2 * length[i[c:c + 4096]] + 8, np.arange(len(hits))
-                    most = np.zeros(len(hits), np.int32)
-                    for o in range(0, 4 * BLOCK, 8):
-                        np.maximum(most, sums[each, np.minimum(o + reach, 4 * BLOCK)] - sums[:, o], out=most)
-                    enough[c:c + 4096] = most >= least[i[c:c + 4096]]
+                # Twice the item's length before the window and behind it.
+                begin = np.maximum(bounds[row[block]], starts[block] - 2 * length[i])
+                end = np.minimum(bounds[row[block] + 1], starts[block] + 2 * BLOCK + 2 * length[i])
+                enough = holds_words(padded, begin, end, i, member, least, length)
                 for k in np.flatnonzero(enough):
                     r = int(row[block[k]])
                     found = items[i[k]].matches(words[begin[k]:end[k]], lcs, answer)
                     if found:
-                        value = (found[0], found[1], float(near[w[k], i[k]]), -int(begin[k]), int(end[k]))
+                        value = (found[0], found[1], float(near[w[k], t[k]]), -int(begin[k]), int(end[k]))
                         best[r, i[k]] = max(best.get((r, i[k]), value), value)
             if best:
                 ids = part.column("doc_id").to_pylist()

@@ -79,3 +79,14 @@ def test_empty_tables(world):
     assert dc.leaks(docs, items.where("false")).collect() == []
     assert dc.leaks(docs.where("doc_id >= 2000 and doc_id < 2002"), items).collect() == []
     assert dc.without_leaks(docs, items.where("false")).count() == docs.count()
+
+
+def test_verbatim_items_of_any_length_are_found(spark):
+    r = random.Random(4)
+    items = [prose(r, n - 12, 3000) + ". " + prose(r, 12, 3000) + "." for n in (150, 220, 500)]
+    docs = [(i, prose(r, r.randint(50, 900), 3000)) for i in range(150)]
+    docs += [(1000 + i, f"{prose(r, 7 * i, 3000)} {items[i % 3]} {prose(r, 50, 3000)}") for i in range(30)]
+    got = dc.best_leaks(spark.createDataFrame(docs, "doc_id long, text string").repartition(3),
+                        spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    assert {(x["doc_id"], x["item_id"]) for x in got} == {(1000 + i, i % 3) for i in range(30)}
+    assert all(x["lcs"] == 1 for x in got)
