@@ -8,6 +8,9 @@
 2. Windows of one passage or two neighbouring ones and the benchmark items are projected into that latent space (each
    direction divided by its singular value). A window is a candidate for the items whose cosine reaches ``COSINE``; an item
    longer than ``PART`` words is projected in parts of about that length, and each part stands for the item.
+   Beside it stands an exact way: who holds ``least`` of an item's n words holds at least k of its n - least + k rarest
+   ones, so every run of words within the item's reach that holds k of those (``NEAR`` of the n) is a candidate as well. Together they
+   miss no text that the next step would accept.
 3. A candidate's words, widened by twice the item's length on each side, are compared with the item: enough of them must be words of
    the item at all, then the longest common subsequence within twice the item's length must hold ``LCS`` of the item's words, and of those of its answer
    (its last sentence) ``ANSWER``.
@@ -34,6 +37,7 @@ COMMON = 6
 BLOCK = 32
 COSINE = 0.36
 PART = 60
+NEAR = 0.25
 LCS, ANSWER = 0.6, 0.5
 SHORT = 8
 #: The benchmark is held by every task; a larger one is refused (cut it into parts).
@@ -282,6 +286,45 @@ def holds_words(columns: np.ndarray, begin: np.ndarray, end: np.ndarray, item: n
     return enough
 
 
+def rare_words(items: list[Item], df: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, item) pairs by word, of each item's rarest words, and how many of them a text must hold."""
+    words, of, need = [], [], np.zeros(len(items), np.int64)
+    for i, item in enumerate(items):
+        held = int(np.ceil(least[i] - 1e-9))
+        need[i] = k = min(held, max(1, int(np.ceil(NEAR * item.n))))
+        rare = np.unique(item.words[np.argsort(df[column_of(item.words)], kind="stable")[:item.n - held + k]])
+        words, of = words + [rare], of + [np.full(len(rare), i)]
+    words, of = np.concatenate(words), np.concatenate(of)
+    order = np.argsort(words, kind="stable")
+    return words[order], of[order], need
+
+
+def near_runs(words: np.ndarray, row: np.ndarray, rare: tuple, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(position, item): where enough of an item's rare words stand within its reach in one text; ``row`` of each word."""
+    names, of, need = rare
+    known = np.unique(names)
+    at = np.minimum(np.searchsorted(known, words), len(known) - 1)
+    hit = np.flatnonzero(known[at] == words)
+    first, last = np.searchsorted(names, known, "left"), np.searchsorted(names, known, "right")
+    places, found = [], []
+    for a in range(0, len(hit), CHUNK):
+        # With the words behind the chunk that a run from its last place can reach.
+        stop = np.searchsorted(hit, hit[min(a + CHUNK, len(hit)) - 1] + 2 * int(length.max()), "right")
+        h, own = hit[a:stop], hit[min(a + CHUNK, len(hit)) - 1]
+        w = at[h]
+        n = last[w] - first[w]
+        item = of[np.repeat(first[w] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        key = item.astype(np.int64) << 40 | np.repeat(h, n)
+        key.sort()
+        item, pos = key >> 40, key & (1 << 40) - 1
+        to = np.arange(len(key)) + need[item] - 1
+        ok = to < len(key)
+        to = np.minimum(to, len(key) - 1)
+        ok &= (item[to] == item) & (row[pos[to]] == row[pos]) & (pos[to] - pos < 2 * length[item]) & (pos <= own)
+        places, found = places + [pos[ok]], found + [item[ok]]
+    return (np.concatenate(places), np.concatenate(found)) if places else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, lcs: float = LCS, answer: float = ANSWER) -> DataFrame:
     """(doc_id, item_id, cosine, lcs, answer, start_word, end_word): the best window for each document and item it holds.
 
@@ -311,10 +354,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, lcs: fl
     member[passage, column_of(words)] = 1
     least = np.array([i.n if i.n < SHORT else lcs * i.n for i in items])
     length = np.array([i.n for i in items])
-    held = spark.sparkContext.broadcast((space, unit(targets), item_of, member, least, length, items))
+    held = spark.sparkContext.broadcast((space, unit(targets), item_of, member, least, length, items, rare_words(items, df, least)))
 
     def run(batches):
-        space, targets, item_of, member, least, length, items = held.value
+        space, targets, item_of, member, least, length, items, rare = held.value
         names = [x.strip().split()[0] for x in out.split(",")]
         for part in slices(batches, "words"):
             sizes = pc.binary_length(part.column("words")).to_numpy(zero_copy_only=False).astype(np.int64) // 4
@@ -331,21 +374,26 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, lcs: fl
             z = unit(np.concatenate([z, z[more] + z[more + 1]]))
             padded = np.append(column, TERMS)
             best: dict[tuple[int, int], tuple] = {}
+            found = [near_runs(words, np.repeat(np.arange(len(sizes)), sizes), rare, length)]
+            found[0] = (np.searchsorted(starts, found[0][0], "right") - 1, found[0][1])
             for a in range(0, len(z), 2048):
-                near = z[a:a + 2048] @ targets.T
-                w, t = np.nonzero(near >= cosine)
-                i = item_of[t]
-                block = windows[a + w]
-                # Twice the item's length before the window and behind it.
-                begin = np.maximum(bounds[row[block]], starts[block] - 2 * length[i])
-                end = np.minimum(bounds[row[block] + 1], starts[block] + 2 * BLOCK + 2 * length[i])
-                enough = holds_words(padded, begin, end, i, member, least, length)
-                for k in np.flatnonzero(enough):
+                w, t = np.nonzero(z[a:a + 2048] @ targets.T >= cosine)
+                found.append((windows[a + w], item_of[t]))
+            pairs = np.unique(np.concatenate([b for b, _ in found]) * len(items) + np.concatenate([i for _, i in found]))
+            block, i = pairs // len(items), pairs % len(items)
+            # Twice the item's length before the window and behind it.
+            begin = np.maximum(bounds[row[block]], starts[block] - 2 * length[i])
+            end = np.minimum(bounds[row[block] + 1], starts[block] + 2 * BLOCK + 2 * length[i])
+            with_next = np.full(len(starts), -1)
+            with_next[more] = np.arange(len(starts), len(z))
+            for k in np.flatnonzero(holds_words(padded, begin, end, i, member, least, length)):
+                match = items[i[k]].matches(words[begin[k]:end[k]], lcs, answer)
+                if match:
+                    at = [block[k], *with_next[[block[k]]][with_next[[block[k]]] >= 0]]
+                    near = float((z[at] @ targets[item_of == i[k]].T).max())
+                    value = (match[0], match[1], near, -int(begin[k]), int(end[k]))
                     r = int(row[block[k]])
-                    found = items[i[k]].matches(words[begin[k]:end[k]], lcs, answer)
-                    if found:
-                        value = (found[0], found[1], float(near[w[k], t[k]]), -int(begin[k]), int(end[k]))
-                        best[r, i[k]] = max(best.get((r, i[k]), value), value)
+                    best[r, i[k]] = max(best.get((r, i[k]), value), value)
             if best:
                 ids = part.column("doc_id").to_pylist()
                 rows = [(ids[r], items[i].item_id, c, x, y, -b - int(bounds[r]), e - int(bounds[r])) for (r, i), (x, y, c, b, e) in best.items()]

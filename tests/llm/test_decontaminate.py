@@ -90,3 +90,31 @@ def test_verbatim_items_of_any_length_are_found(spark):
                         spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
     assert {(x["doc_id"], x["item_id"]) for x in got} == {(1000 + i, i % 3) for i in range(30)}
     assert all(x["lcs"] == 1 for x in got)
+
+
+@pytest.mark.parametrize("changed", [0, 0.2, 0.35])
+def test_every_text_that_the_rules_accept_is_found(spark, changed):
+    """Short and paraphrased items in texts of their own kind of words, against the rules applied at every place."""
+    r = random.Random(int(100 * changed))
+    items = [prose(r, n, 300) for n in (3, 5, 7, 9, 12, 15, 18, 24, 32, 40) for _ in range(4)]
+    docs = []
+    for i, item in enumerate(items * 4):
+        words = item.split()
+        if len(words) >= 8:
+            for p in r.sample(range(len(words)), int(changed * len(words))):
+                words[p] = f"w{r.randrange(300)}"
+        docs.append((i, f"{prose(r, r.randint(0, 200), 300)} {' '.join(words)} {prose(r, r.randint(0, 200), 300)}"))
+    b = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]) for x in dc.best_leaks(spark.createDataFrame(docs, "doc_id long, text string"), b).collect()}
+    truth = set()
+    for d, text in docs:
+        words = dc.terms(dc.pa.array([text]))[1]
+        for item in dc.read_items(b.where(f"item_id = {d % len(items)}")) if d < 12 or d % 5 == 0 else []:
+            n = item.n
+            least = n if n < dc.SHORT else dc.LCS * n
+            for a in range(len(words)):
+                # a text of 1.5 times the item's length lies in one of the compared runs wherever they begin
+                held = words[a:a + n + n // 2].tolist()
+                if dc.Item.common(item.masks, n, held) >= least and dc.Item.common(item.answer_masks, n - item.answer, held) >= dc.ANSWER * (n - item.answer):
+                    truth.add((d, item.item_id))
+    assert len(truth) > 20 and truth <= got
