@@ -1,6 +1,7 @@
 """Toxicity scores: misspelled lexicon terms by Levenshtein automata, context windows, a logistic score.
 
-The lexicon is learned from labelled documents: words that are frequent in toxic texts and near absent from clean ones.
+The lexicon is learned from labelled documents: words that are significantly more frequent in toxic texts and
+near absent from clean ones, however rare.
 All terms share a trie; the Levenshtein automata of all terms, intersected with that trie, are one deterministic
 automaton whose states are made when first met: a state is the set of (trie node, edits so far) that the letters read
 can have led to, and it is dead as soon as no term is within reach. Each distinct word of a task runs through it once.
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from ctxspark.llm.common import slices, small_side, split_words, stored
 
 ONE_EDIT, TWO_EDITS = 5, 8
+#: Terms that the trie holds at most, the most significant ones, and words let through by chance.
+MOST_TERMS, CHANCE = 50_000, 0.1
 WINDOW = 6
 #: Fixed signs and words of quotation.
 QUOTES = "\"'`“”„«»‘’"
@@ -141,21 +144,33 @@ def document_counts(texts: DataFrame, kept) -> DataFrame:
     return texts.mapInArrow(run, "word string, toxic int, n long").groupBy("word", "toxic").agg(F.sum("n").alias("n"))
 
 
-def learn(train: DataFrame, least_share: float = 0.03, least_docs: int = 4, precision: float = 0.9) -> tuple[list[str], list[str]]:
-    """(lexicon, harmless): words in at least ``least_share`` of the toxic texts whose texts are toxic by ``precision``
-    when both classes weigh the same, and words within the automaton's reach that fail that test. Texts that repeat
-    count once. Collected: at most words-a-text / least_share candidates, and the spellings near the lexicon."""
+def by_class(texts: DataFrame, kept) -> DataFrame:
+    """(word, toxic, clean): the number of texts of each class that hold a word of ``kept()``."""
+    n = lambda toxic: F.sum(F.when(F.col("toxic") == toxic, F.col("n")).otherwise(0))
+    return document_counts(texts, kept).groupBy("word").agg(n(1).alias("toxic"), n(0).alias("clean"))
+
+
+def learn(train: DataFrame, least_docs: int = 4, precision: float = 0.9) -> tuple[list[str], list[str]]:
+    """(lexicon, harmless): words in at least ``least_docs`` toxic texts whose texts are toxic by ``precision`` when both
+    classes weigh the same and more often than by chance, and words within the automaton's reach that fail that precision.
+    Chance is a likelihood ratio test against the share of toxic texts; of as many words as stand in ``least_docs`` toxic
+    texts, ``CHANCE`` pass it by chance. Texts that repeat count once. Words are selected in Spark; collected are the
+    ``MOST_TERMS`` most significant terms at most, and the harmless spellings near them."""
     texts = train.groupBy(F.xxhash64("text").alias("h")).agg(F.max("text").alias("text"), F.max("toxic").cast("int").alias("toxic"))
     texts = stored(texts.select("text", "toxic"), "toxicity-train")
     n = dict(texts.groupBy("toxic").count().collect())
     if not n.get(1) or not n.get(0):
         return [], []
-    often = {r["word"]: r["n"] for r in document_counts(texts.where("toxic = 1"), lambda: lambda w: len(w) > 2)
-             .where(F.col("n") >= max(least_docs, least_share * n[1])).collect()}
-    names = frozenset(often)
-    clean = {r["word"]: r["n"] for r in document_counts(texts.where("toxic = 0"), lambda: names.__contains__).collect()}
-    fails = lambda toxic, clean: toxic / n[1] < precision * (toxic / n[1] + clean / n[0])
-    lexicon = sorted(w for w, c in often.items() if not fails(c, clean.get(w, 0)))
+    share = n[1] / (n[0] + n[1])
+    toxic, clean = F.col("toxic") / n[1], F.col("clean") / n[0]
+    fails = toxic < precision * (toxic + clean)
+    tested = stored(by_class(texts, lambda: lambda w: len(w) > 2).where(F.col("toxic") >= least_docs), "toxicity-words")
+    both = F.col("toxic") + F.col("clean")
+    gain = lambda c, p: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (both * p))).otherwise(0.0)
+    ratio = gain("toxic", share) + gain("clean", 1 - share)
+    chosen = (tested.where(~fails).withColumn("ratio", ratio).where(F.col("ratio") >= float(np.log(max(tested.count(), 1) / CHANCE)))
+              .orderBy(F.desc("ratio"), "word").limit(MOST_TERMS))
+    lexicon = sorted(r["word"] for r in chosen.select("word").collect())
     if not lexicon:
         return [], []
 
@@ -163,10 +178,7 @@ def learn(train: DataFrame, least_share: float = 0.03, least_docs: int = 4, prec
         automaton, terms = TermAutomaton(lexicon), frozenset(lexicon)
         return lambda w: w not in terms and automaton.match(w) is not None
 
-    seen: dict[str, list[int]] = {}
-    for r in document_counts(texts, near).collect():
-        seen.setdefault(r["word"], [0, 0])[r["toxic"]] += r["n"]
-    return lexicon, sorted(w for w, (c, t) in seen.items() if fails(t, c))
+    return lexicon, sorted(r["word"] for r in by_class(texts, near).where(fails).select("word").collect())
 
 
 def features(docs: DataFrame, lexicon: list[str], harmless: list[str]) -> DataFrame:

@@ -86,3 +86,19 @@ def test_held_out_labels_teach_nothing(spark):
 def test_empty_tables(spark, docs, labels):
     got = score_toxicity(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
     assert [x["score"] for x in got] == [1.0 if labels and not held(1) else 0.0] * len(docs)
+
+
+def test_rare_terms_are_learned_in_a_long_tailed_lexicon(spark):
+    r = random.Random(6)
+    terms = ["".join(r.choice("bcdfgklmnprstvz") + r.choice("aeiou") for _ in range(5)) for _ in range(60)]
+    rows, labels = [], []
+    for i in range(3000):
+        words = prose(r, 30).split()
+        toxic = i % 2
+        if toxic:
+            words.insert(r.randrange(30), terms[i // 2 % 60])  # each in less than 2 % of the toxic texts
+        rows.append((i, " ".join(words)))
+        labels.append((i, 1, toxic))
+    got = score_toxicity(spark.createDataFrame(rows, "doc_id long, text string").repartition(3),
+                         spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    assert all(x["predicted"] == x["doc_id"] % 2 for x in got)
