@@ -8,11 +8,11 @@
    can link; a shingle of one class makes no tile.
 3. A signature is a bitmap of ``BITS`` bits in which each shingle flips the bit of its hash: two sets differ in at least
    as many shingles as their bitmaps differ in bits, which bounds their overlap from above.
-4. Within a tile, a class is paired with the first leader that the size and bitmap bounds admit, else it becomes a leader;
-   these pairs are verified on the sorted arrays and joined to components. Then a pair of each two components that meet
-   in a tile is verified, and at last every pair of a tile whose classes are still in different components. A link
-   inside a component needn't be found twice, so a group of copies costs pairs with leaders, not all its pairs, and no
-   link is lost.
+4. Every pair of classes of a tile that the size and bitmap bounds admit is verified on the sorted arrays: these are the
+   links; equal texts are one class and aren't expanded. Where only components are asked for, a class is paired with the
+   first leader that the bounds admit, else it becomes a leader; then a pair of each two components that meet in a tile is
+   verified, and at last every pair of a tile whose classes are still in different components. A link inside a component
+   needn't be found twice then, so a group of copies costs pairs with leaders, and no component is lost.
 
 Only classes that such a pair names have their arrays made again and moved. Components stay in Spark.
 
@@ -216,11 +216,11 @@ def tile_pairs(rows: DataFrame, percent: int, mode: str) -> DataFrame:
 
     ``mode`` "leaders": each class with the first leader that admits it, and of its leaders in all its tiles with the
     least and the greatest; "first": the first pair of each two different
-    components (column comp); "all": every pair of different components. ``rows``: (key, band, cls, n, sig[, comp]). A task reads the cells of its tiles by growing size and forgets rows that
+    components (column comp); "all": every pair of different components; "every": every pair of classes. ``rows``: (key, band, cls, n, sig[, comp]). A task reads the cells of its tiles by growing size and forgets rows that
     are too small to link with what follows.
     """
-    leaders = mode == "leaders"
-    names = ["key", "band", "cell", "cls", "n", "sig"] + ([] if leaders else ["comp"])
+    leaders, by_comp = mode == "leaders", mode in ("first", "all")
+    names = ["key", "band", "cell", "cls", "n", "sig"] + (["comp"] if by_comp else [])
 
     def run(batches):
         seen, out, now, tile, joined = set(), [], None, [], set()
@@ -237,7 +237,7 @@ def tile_pairs(rows: DataFrame, percent: int, mode: str) -> DataFrame:
                         100 * held["n"][:size] >= percent * n)
                     for j in np.flatnonzero(ok):
                         other = held["cls"][j]
-                        if other == cls or not leaders and held["comp"][j] == row[6]:
+                        if other == cls or by_comp and held["comp"][j] == row[6]:
                             continue
                         if mode == "first":
                             two = (held["comp"][j], row[6])
@@ -259,7 +259,7 @@ def tile_pairs(rows: DataFrame, percent: int, mode: str) -> DataFrame:
                     held = tile[-1]
                     held["n"][held["count"]], held["sig"][held["count"]] = n, sig
                     held["cls"].append(cls)
-                    held["comp"].append(None if leaders else row[6])
+                    held["comp"].append(row[6] if by_comp else None)
                     held["count"] += 1
                 if len(out) >= 50_000:
                     yield pairs_batch(out)
@@ -337,8 +337,9 @@ def verified(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
     return stored(sided.repartition("pair").sortWithinPartitions("pair", "side", "cls").mapInArrow(run, "a binary, b binary"), "jaccard-links")
 
 
-def class_components(docs: DataFrame, rows: DataFrame, pieces: DataFrame, k: int, percent: int) -> DataFrame:
-    """(cls, component_id, n_links) per class with shingles."""
+def class_components(docs: DataFrame, rows: DataFrame, pieces: DataFrame, k: int, percent: int, every_link: bool) -> DataFrame:
+    """(cls, component_id, n_links) per class with shingles. Without ``every_link`` only the links that the components need
+    are verified, and n_links is null."""
     firsts = stored(rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "jaccard-classes")
     entered, signatures = entries(docs, counter_table(pieces), k, percent)
     twos, tiles = shared_entries(entered, percent)
@@ -350,10 +351,10 @@ def class_components(docs: DataFrame, rows: DataFrame, pieces: DataFrame, k: int
     signs = signed.select("cls", "sig")
 
     pairs = stored(admitted_pairs(twos, signed, percent).unionByName(
-        tile_pairs(tiles.join(signs, "cls"), percent, "leaders")).distinct(), "jaccard-pairs")
+        tile_pairs(tiles.join(signs, "cls"), percent, "every" if every_link else "leaders")).distinct(), "jaccard-pairs")
     links = verified(pairs, class_arrays(docs, firsts, pairs, k), percent)
     label, tested = components(links, "a", "b"), pairs
-    for mode in ("first", "all"):
+    for mode in () if every_link else ("first", "all"):
         comp = F.coalesce("component", "cls").alias("comp")
         rest = stored(tiles.join(label.select(F.col("node").alias("cls"), "component"), "cls", "left").select("key", "band", "cls", "n", comp),
                       "jaccard-rest")
@@ -372,22 +373,26 @@ def class_components(docs: DataFrame, rows: DataFrame, pieces: DataFrame, k: int
     named = stored(firsts.join(label.select(F.col("node").alias("cls"), "component"), "cls", "left")
                    .select("cls", "doc_id", F.coalesce("component", "cls").alias("component")), "jaccard-named")
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    if not every_link:
+        return named.join(least, "component").select("cls", "component_id", F.lit(None).cast("long").alias("n_links"))
     degree = (links.select(F.col("a").alias("cls")).union(links.select(F.col("b").alias("cls"))).groupBy("cls").agg(F.count("*").alias("n_links")))
-    return named.join(least, "component").join(degree, "cls", "left").select("cls", "component_id", "n_links")
+    return named.join(least, "component").join(degree, "cls", "left").select("cls", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, every_link: bool = True) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) per row of ``docs`` (doc_id, text).
 
-    ``n_links`` counts the verified links of the row's class with other classes that the join needed.
+    ``n_links`` is the number of other classes (different sets of shingles) that link with the row's class, all of them
+    verified; null without ``every_link``, which verifies only what the components need.
     """
     small_batches(docs.sparkSession)
     rows, pieces = set_table(docs, k)
-    named = kept(docs.sparkSession, "jaccard-components", lambda: class_components(docs, rows, pieces, k, percent))
+    named = kept(docs.sparkSession, "jaccard-components", lambda: class_components(docs, rows, pieces, k, percent, every_link))
+    n_links = F.when(F.col("n") > 0, F.col("n_links")).otherwise(0) if every_link else F.col("n_links")
     return (rows.join(named, "cls", "left")
             .select("doc_id", F.col("n").alias("n_shingles"),
                     F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
-                    F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
+                    n_links.cast("long").alias("n_links")))
 
 
 def keep_one_per_group(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -397,7 +402,7 @@ def keep_one_per_group(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     one stays.
     """
     spark = docs.sparkSession
-    found = jaccard_components(docs, k, percent)
+    found = jaccard_components(docs, k, percent, every_link=False)
     gone = kept(spark, "jaccard-gone", lambda: found.where("n_shingles > 0 and doc_id <> component_id")
                 .select(F.col("doc_id").alias("__id")).distinct())
     twice = kept(spark, "jaccard-twice", lambda: found.where("n_shingles > 0 and doc_id = component_id")

@@ -97,3 +97,14 @@ def test_keep_one_per_group(docs_of, rng):
 def test_empty_table(docs_of):
     assert jc.jaccard_components(docs_of([])).collect() == []
     assert jc.keep_one_per_group(docs_of([])).collect() == []
+
+
+def test_every_link_between_near_copies_is_counted(spark):
+    r = random.Random(8)
+    words = [f"w{r.randrange(5000)}" for _ in range(400)]
+    docs = [(i, " ".join([*words, *(f"x{i}y{j}" for j in range(r.randint(1, 30)))])) for i in range(60)]
+    docs += [(100, docs[0][1])]
+    grams = {i: {tuple(t.split()[j:j + 3]) for j in range(len(t.split()) - 2)} for i, t in docs}
+    exact = {i: sum(i % 100 != j and 10 * len(a & b) >= 9 * len(a | b) for j, b in grams.items() if j < 100) for i, a in grams.items()}
+    got = jc.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), 3, 90).collect()
+    assert {x["doc_id"]: x["n_links"] for x in got} == exact and max(exact.values()) > 20
