@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ctxspark.llm.common import table
 from ctxspark.llm.decontaminate import best_leaks
+from ctxspark.llm.filter_audit import audit
 from ctxspark.llm.jaccard import jaccard_components
 from ctxspark.llm.packing import packing_digest
 from ctxspark.llm.quality import quality
@@ -56,9 +57,13 @@ def op10_block_top_k(spark, sf_dir):
     return top_k(table(spark, sf_dir, "embeddings"), k=5, every=50)
 
 
+def op13_filter_audit(spark, sf_dir):
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_suffix_array_dedup, op2_benchmark_decontamination, op3_toxicity, op4_quality_kneser_ney, op5_secret_scan,
-    op6_ngram_jaccard_join, op7_warc, op8_token_files, op9_harmonic_packing, op10_block_top_k)}
+    op6_ngram_jaccard_join, op7_warc, op8_token_files, op9_harmonic_packing, op10_block_top_k, op13_filter_audit)}
 
 ORACLES = {
     "op10_block_top_k": """
@@ -71,4 +76,29 @@ ORACLES = {
               FROM v q JOIN v r ON q.vec_id % 50 = 0 AND r.vec_id <> q.vec_id),
         k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 5""",
+    "op13_filter_audit": r"""
+        WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+                          regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+        l AS (SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS good, max(CAST(toxic = 1 AS INTEGER)) AS toxic FROM labels GROUP BY doc_id),
+        f AS (SELECT part, [len(words) < 200, 100 * len(list_distinct(words)) < 50 * len(words),
+                            100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 2 * length(text),
+                            regexp_matches(text, '[#$%&*|]'), coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), FALSE)] AS fails,
+                     coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic
+              FROM d LEFT JOIN l USING (doc_id)),
+        c AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, fails),
+        o AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS ord
+              FROM range(5) a(i), range(5) b(i), range(5) c(i), range(5) d(i), range(5) e(i)
+              WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+        x AS (SELECT part, ord, s.i AS step, ord[s.i] AS filter, n, good, toxic, fails[ord[s.i] + 1] AS fail,
+                     len([y for y in ord[1:s.i - 1] if fails[y + 1]]) = 0 AS alive, len([y for y in fails if y]) = 1 AS alone
+              FROM c, o, range(1, 6) s(i)),
+        g AS (SELECT part, ord, step, filter,
+                     coalesce(sum(n) FILTER (WHERE alive AND NOT fail), 0) AS kept, coalesce(sum(n) FILTER (WHERE alive AND fail), 0) AS removed,
+                     coalesce(sum(n) FILTER (WHERE NOT alive AND fail), 0) AS redundant, coalesce(sum(n) FILTER (WHERE fail AND alone), 0) AS unique_fails,
+                     coalesce(sum(good) FILTER (WHERE alive AND fail), 0) AS good_lost, coalesce(sum(toxic) FILTER (WHERE alive AND fail), 0) AS toxic_lost
+              FROM x GROUP BY part, ord, step, filter)
+        SELECT part, array_to_string([substr('ABCDE', CAST(y + 1 AS INTEGER), 1) for y in ord], '') AS filter_order,
+               CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+               CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+               CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley FROM g""",
 }
