@@ -424,6 +424,13 @@ def _labelled_join(spark, sf_dir):
     return lb.merged_dataset(fx.samples(spark, sf_dir, with_part=False), fx.SAMPLE_LABELS).drop("label_name")
 
 
+def _stored_rows(spark, sf_dir):
+    """:func:`_labelled_join` written once: the join runs once, whatever reads the rows."""
+    path = shared_dir(spark, "labelled-rows")
+    _labelled_join(spark, sf_dir).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 _MERGED = f"""{_JOINED_SQL},
 merged AS MATERIALIZED (SELECT * EXCLUDE (l, {", ".join(fx.SAMPLE_LABELS)}), {fx.ARGMAX_SQL} AS label
            FROM (SELECT *, {fx.LABEL_LIST_SQL} AS l FROM j))"""
@@ -455,7 +462,7 @@ SELECT feature, position, round(f_score, 6) AS f_score,
        (f_score > thr OR (f_score = thr AND tie_rank <= floor(nf * 40 / 100) - above)) AS selected
 FROM tied""")
 def m1_anova_selection(spark, sf_dir):
-    s = sel.select_features(_labelled_join(spark, sf_dir), FEATS, percentile=40)
+    s = sel.select_features(_stored_rows(spark, sf_dir), FEATS, percentile=40)
     return s.withColumn("f_score", F.round("f_score", 6))
 
 
@@ -481,7 +488,7 @@ _PICKED_SQL = ", ".join(f"(SELECT {f}(feature) FROM chosen) AS name_{i}, CASE (S
 SELECT uuid, label, {_PICKED_SQL} FROM merged""")
 def p8_selected_dataset(spark, sf_dir):
     """The saved dataset: uuid, the selected raw features (unfilled) in column order, label."""
-    data = _labelled_join(spark, sf_dir)
+    data = _stored_rows(spark, sf_dir)
     keep = sel.selected_names(sel.select_features(data, FEATS, percentile=40))
     return _numbered(data.select("uuid", *[q(c) for c in sorted(keep)], "label"), keep, ["uuid", "label"])
 
@@ -493,7 +500,7 @@ FROM (SELECT uuid, "timestamp", label, {", ".join(FEATS)} FROM merged)
 WHERE feature IN (SELECT feature FROM chosen)""")
 def p8_selected_long(spark, sf_dir):
     """The selected dataset in long form (uuid, timestamp, label, feature, value): selection mask + projection."""
-    data = _labelled_join(spark, sf_dir)
+    data = _stored_rows(spark, sf_dir)
     keep = sel.selected_names(sel.select_features(data, FEATS, percentile=40))
     return stx.long_values(data, keep, keep=["uuid", "timestamp", "label"], drop_nulls=False)
 
@@ -501,7 +508,7 @@ def p8_selected_long(spark, sf_dir):
 @register("m2_selection_fill", f"""WITH {_MERGED}, {_MOMENTS_SQL}
 SELECT uuid, "timestamp", label, {", ".join(f'round({c}, 6) AS {c}' for c in FEATS)} FROM filled""")
 def m2_selection_fill(spark, sf_dir):
-    return round_doubles(sel.selection_fill(_labelled_join(spark, sf_dir), FEATS).select("uuid", "timestamp", "label", *FEATS), 6)
+    return round_doubles(sel.selection_fill(_stored_rows(spark, sf_dir), FEATS).select("uuid", "timestamp", "label", *FEATS), 6)
 
 
 _SCALE_SQL = ", ".join(
@@ -622,18 +629,6 @@ def l6_balanced_weights(spark, sf_dir):
     return round_doubles(tab.withColumn("weight", md.balanced_weight(counts, F.col("label"))))
 
 
-def _training_rows(spark, sf_dir):
-    """The flow's own rows: features joined with labels (k * k for repeated keys), argmax label."""
-    return lb.merged_dataset(fx.samples(spark, sf_dir, with_part=False), fx.SAMPLE_LABELS, strategy="auto").drop("label_name")
-
-
-def _stored_rows(spark, sf_dir):
-    """:func:`_training_rows` written once: the key check and the join run once, whatever reads the rows."""
-    path = shared_dir(spark, "training-rows")
-    _training_rows(spark, sf_dir).write.parquet(path)
-    return spark.read.parquet(path)
-
-
 def _fold0(spark, sf_dir):
     lab, mem = _stored_rows(spark, sf_dir), fx.members(spark, sf_dir)
     return (fo.fold_rows(lab, mem, fold=0, split="train").drop("fold", "split"),
