@@ -34,7 +34,7 @@ from ctxspark.operators.folds import dense_index
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_WORDS = 64
 FINEST = 256
-SHARD_ROWS = 500_000
+SHARD_ROWS = 4096
 
 
 def number(hexadecimal: Column) -> Column:

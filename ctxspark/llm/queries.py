@@ -101,7 +101,7 @@ ORACLES = {
         lv AS (SELECT coalesce(arg_min((3 * total - 2 * kept) / (2 * rest), pos), 0) AS lam FROM s2
                WHERE (3 * total - 2 * kept) / (2 * rest) * w < most),
         t AS (SELECT source, code, ss, least(CAST(most AS DOUBLE), lam * w) AS target, greatest(1, least(64, ss // 256)) AS block,
-                     CAST(ceil(n / 500000) AS BIGINT) AS shards FROM s2, lv),
+                     CAST(ceil(n / 4096) AS BIGINT) AS shards FROM s2, lv),
         d AS (SELECT r.*, t.code, t.target, t.ss, t.block, CAST('0x' || substr(key, 1, 8) AS BIGINT) % t.shards AS shard
               FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source),
         sh AS (SELECT code, shard, CAST(sum(size) AS BIGINT) AS words,
