@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ctxspark.llm.common import slices, stored
-from ctxspark.llm.tokens import WordEncoder
+from ctxspark.llm.tokens import word_encoder
 
 
 def cut(n: int, capacity: int, min_fill: float) -> list[tuple[int, int, int]]:
@@ -44,7 +44,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, min_fil
     """The cut documents: (doc_id, start, length, doc_tokens, k, part, seq, ids_crc32, ids), seq counting the class in its
     task. ``ids`` are little-endian, two bytes each where all of the piece fit, else four."""
     def run(batches):
-        encoder = WordEncoder(vocabulary)
+        encoder = word_encoder(vocabulary)
         part, counts = TaskContext.get().partitionId(), {}
         for piece in slices(batches):
             sizes, ids = encoder.encode(piece.column("text"))
@@ -140,16 +140,20 @@ def packing_digest(docs: DataFrame, vocabulary: str, end_id: int = 1, capacity:
 
 
 def sequences(packed: DataFrame) -> DataFrame:
-    """The packed sequences themselves: (sequence_id, length, ids as little-endian uint32), a row each.
+    """The packed sequences themselves, a row each: (sequence_id, length, ids as little-endian uint32, doc_ids, starts, lengths), the last three a
+    list with one entry per piece in its order: whose ids they are, from which of the document's ids on, and how many.
 
     A sequence is a group of at most its capacity's pieces.
     """
     def join(batches):
         for b in batches:
-            ids = [b"".join(decoded(p["ids"], p["length"]).tobytes() for p in parts) for parts in b.column("parts").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("sequence_id"), b.column("length"), pa.array(ids, pa.binary())],
-                                             names=["sequence_id", "length", "ids"])
+            parts = b.column("parts").to_pylist()
+            ids = [b"".join(decoded(p["ids"], p["length"]).tobytes() for p in of) for of in parts]
+            lists = [pa.array([[p[c] for p in of] for of in parts], pa.list_(pa.int64())) for c in ("doc_id", "start", "length")]
+            yield pa.RecordBatch.from_arrays([b.column("sequence_id"), b.column("length"), pa.array(ids, pa.binary()), *lists],
+                                             names=["sequence_id", "length", "ids", "doc_ids", "starts", "lengths"])
 
+    piece = F.struct("offset", "length", "doc_id", "start", "ids")
     return (packed.groupBy("sequence_id")
-            .agg(F.sum("length").alias("length"), F.array_sort(F.collect_list(F.struct("offset", "length", "ids"))).alias("parts"))
-            .mapInArrow(join, "sequence_id long, length long, ids binary"))
+            .agg(F.sum("length").alias("length"), F.array_sort(F.collect_list(piece)).alias("parts"))
+            .mapInArrow(join, "sequence_id long, length long, ids binary, doc_ids array<long>, starts array<long>, lengths array<long>"))

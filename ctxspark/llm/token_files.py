@@ -6,7 +6,7 @@ blocks of ``CHUNK`` ids whose word offsets are kept, so a reader can start at an
 one selector in one array operation.
 
 File format: Parquet rows ``(bucket, block, ids_before, doc_ids, doc_sizes, payload)`` under ``bucket=<n>`` folders.
-Buckets are ranges of doc_id in ascending order, blocks follow each other in a bucket, documents in a block by doc_id.
+Buckets are ranges of doc_id in ascending order, of about ``BUCKET_BYTES`` of text each, blocks follow each other in a bucket, documents in a block by doc_id.
 ``payload`` is: 4 little-endian uint32 (values, coding blocks, words, escapes), coding-block word offsets (uint32),
 words (uint64), escapes (uint64).
 
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ctxspark.llm.common import scratch, slices, small_side
-from ctxspark.llm.tokens import WordEncoder
+from ctxspark.llm.tokens import word_encoder
 
 #: Fixed values of the format: (ids in a word, bits of an id), by selector; selector 14 is unused and 15 an escape.
 SELECTORS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20),
@@ -33,6 +33,8 @@ ESCAPE = 15
 CHUNK = 1024
 BLOCK_IDS = 1 << 16
 HEADER = 4
+#: Text of a bucket, a range of doc_ids that one task sorts and codes: as many buckets as the texts' bytes ask for.
+BUCKET_BYTES = 32 << 20
 
 
 def encode_block(values: np.ndarray) -> bytes:
@@ -105,7 +107,7 @@ def decode_block(data: bytes, first_chunk: int = 0) -> np.ndarray:
 
 def _encoded(docs: DataFrame, vocabulary: str, end_id: int, bounds: list[int]) -> DataFrame:
     def run(batches):
-        encoder = WordEncoder(vocabulary)
+        encoder = word_encoder(vocabulary)
         edges = np.array(bounds, np.int64)
         for part in slices(batches):
             sizes, ids = encoder.encode(part.column("text"))
@@ -130,7 +132,9 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int =
     disk if need be and codes them block by block.
     """
     spark = docs.sparkSession
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if buckets is None:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        buckets = max(1, -(-size // BUCKET_BYTES))
     cuts = docs.select(F.percentile_approx(F.col("doc_id").cast("long"), [i / buckets for i in range(1, buckets)], 100_000)
                        .alias("q")).first()["q"] if buckets > 1 else None
     bounds = sorted(set(cuts or []))
@@ -163,7 +167,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int =
             yield row()
 
     (_encoded(docs, vocabulary, end_id, bounds)
-     .repartition(buckets, "bucket").sortWithinPartitions("bucket", F.asc_nulls_first("doc_id"), F.crc32("ids"))
+     .repartitionById(buckets, "bucket").sortWithinPartitions("bucket", F.asc_nulls_first("doc_id"), F.crc32("ids"))
      .mapInArrow(pack, "bucket int, block int, ids_before long, doc_ids array<long>, doc_sizes array<int>, payload binary")
      .write.partitionBy("bucket").parquet(path))
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 from array import array
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ class WordEncoder(dict):
     The known words are forgotten when they exceed ``max_words``: memory is bounded, results don't change.
     """
 
-    def __init__(self, path: str, max_words: int = 600_000):
+    def __init__(self, path: str, max_words: int = 300_000):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -90,6 +91,12 @@ class WordEncoder(dict):
         return np.array([len(p) for p in parts], np.int64), np.concatenate(parts)
 
 
+@lru_cache(maxsize=1)
+def word_encoder(path: str) -> WordEncoder:
+    """The encoder of a Python worker, kept for all its tasks: a word is encoded once per worker and not once per task."""
+    return WordEncoder(path)
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 

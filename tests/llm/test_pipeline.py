@@ -1,11 +1,34 @@
+import numpy as np
+from tokenizers import Tokenizer
+
 import corpus_pipeline
 from ctxspark.llm.common import table
 from ctxspark.llm.queries import ORACLES, QUERIES
+from ctxspark.llm.tokens import default_vocabulary
 from tests.conftest import SF_SMALL
 
 
 def test_each_operator_has_a_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11)) and set(ORACLES) <= set(QUERIES)
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14)) and set(ORACLES) <= set(QUERIES)
+
+
+def encoded(text):
+    return [*encoded.tokenizer.encode(text or "", add_special_tokens=False).ids, 1]
+
+
+encoded.tokenizer = Tokenizer.from_file(default_vocabulary())
+
+
+def decoded(rows):
+    """Each document's ids from the packed sequences."""
+    out = {}
+    for r in rows:
+        ids, at = np.frombuffer(r["ids"], "<u4").tolist(), 0
+        assert len(ids) == r["length"] == sum(r["lengths"]) and (r["length"] == 2048 or r["length"].bit_count() == 1 or r["length"] >= 1900)
+        for i, start, n in zip(r["doc_ids"], r["starts"], r["lengths"]):
+            out.setdefault(i, []).append((start, ids[at:at + n]))
+            at += n
+    return {i: [x for _, piece in sorted(pieces) for x in piece] for i, pieces in out.items()}
 
 
 def test_stages_take_effect(spark, tmp_dir):
@@ -14,15 +37,15 @@ def test_stages_take_effect(spark, tmp_dir):
     labels = {r["doc_id"]: r["quality"] for r in table(spark, SF_SMALL, "labels").collect()}
     items = [" ".join(r["text"].lower().split()) for r in table(spark, SF_SMALL, "benchmark").collect()]
     for name, stage in corpus_pipeline.STAGES:
-        before = {r["doc_id"]: r["text"] for r in docs.collect()} if name != "packing" else ids
+        before = {r["doc_id"]: r["text"] for r in docs.collect()}
         path = f"{tmp_dir}/{name}"
         stage(spark, docs, SF_SMALL).write.parquet(path)
         docs = spark.read.parquet(path)
-        ids = {r[0] for r in docs.select("doc_id").collect()}
-        assert ids <= set(before)
         if name == "packing":
-            assert ids == set(before) and "sequence_id" in docs.columns
+            assert decoded(docs.collect()) == {i: encoded(t) for i, t in before.items()}
             continue
+        ids = {r[0] for r in docs.select("doc_id").collect()}
+        assert ids <= set(before)
         assert docs.columns == columns
         text = {r["doc_id"]: r["text"] for r in docs.collect()}
         if name == "quality":
