@@ -7,7 +7,7 @@ of ``documents``:
 2. n-gram Jaccard join (five words, 0.8): one document of each group of near duplicates stays;
 3. benchmark decontamination: documents that hold a benchmark item go;
 4. secret scan: secret values are replaced in the texts;
-5. packing: the texts' token ids in sequences, a row per piece.
+5. packing: the texts' token ids in sequences, a row each, with the documents whose pieces they hold.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ctxspark.llm.common import scratch, table
 from ctxspark.llm.decontaminate import without_leaks
 from ctxspark.llm.jaccard import keep_one_per_group
-from ctxspark.llm.packing import packing_digest
+from ctxspark.llm.packing import pack, sequences
 from ctxspark.llm.quality import reject_low_quality
 from ctxspark.llm.secret_scan import redact
 from ctxspark.llm.tokens import default_vocabulary
@@ -40,7 +40,7 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing_digest(docs, default_vocabulary(), end_id=1, capacity=2048)
+    return sequences(pack(docs, default_vocabulary(), end_id=1, capacity=2048))
 
 
 STAGES = [
