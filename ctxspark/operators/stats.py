@@ -28,20 +28,20 @@ def long_values(df: DataFrame, features: Sequence[str], keep: Sequence[str] = ()
 COLUMN_BATCH = 64
 
 
-def column_moments(df: DataFrame, features: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """(keys..., feature, rows, n, mean, std) per key group; NaN is missing; a feature without values has null moments.
+def column_moments(df: DataFrame, features: Sequence[str], keys: Sequence[str] = (), extremes: bool = False) -> DataFrame:
+    """(keys..., feature, rows, n, mean, std[, low, high]) per key group; NaN is missing; a feature without values has null moments.
 
     One aggregate (and one scan) for each ``COLUMN_BATCH`` features, so generated code stays small on wide tables.
     """
+    kinds = {"n": F.count, "mean": F.avg, "std": F.stddev_pop} | ({"low": F.min, "high": F.max} if extremes else {})
     out = None
     for i in range(0, len(features), COLUMN_BATCH):
         part = list(features[i:i + COLUMN_BATCH])
         x = [nan_to_null(q(c).cast("double")) for c in part]
         wide = df.groupBy(*[q(k) for k in keys]).agg(
-            F.count(F.lit(1)).alias("__rows"),
-            *[f(v).alias(f"__{n}{j}") for j, v in enumerate(x) for n, f in (("n", F.count), ("m", F.avg), ("s", F.stddev_pop))])
-        pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col("__rows").alias("rows"), F.col(f"__n{j}").alias("n"),
-                                   F.col(f"__m{j}").alias("mean"), F.col(f"__s{j}").alias("std")) for j, c in enumerate(part)])
+            F.count(F.lit(1)).alias("__rows"), *[f(v).alias(f"__{n}{j}") for j, v in enumerate(x) for n, f in kinds.items()])
+        pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col("__rows").alias("rows"), *[F.col(f"__{n}{j}").alias(n) for n in kinds])
+                          for j, c in enumerate(part)])
         long = wide.select(*[q(k) for k in keys], F.explode(pairs).alias("p")).select(*[q(k) for k in keys], "p.*")
         out = long if out is None else out.unionByName(long)
     return out

@@ -26,6 +26,7 @@ from ctxspark.operators import models as md
 from ctxspark.operators import prep as pp
 from ctxspark.operators import select as sel
 from ctxspark.operators import stats as stx
+from ctxspark.operators import transformers as tf
 from ctxspark.operators import tune
 from ctxspark.plans import flows, sqlgen
 from ctxspark.session import shared_dir
@@ -546,6 +547,27 @@ def m5_mixed_prep(spark, sf_dir):
     return round_doubles(out.select("uuid", "timestamp", *[arr[i].alias(f"p_{c}") for i, c in enumerate(names)]), 6)
 
 
+_OTHER_LIST = (("fill", tf.Impute("mean"), tf.Kind.NUMERIC), ("unit", tf.MinMaxScale(), tf.Kind.NUMERIC),
+               ("missing", tf.Impute("constant", -1.0), tf.Kind.DISCRETE), ("scaler", tf.StandardScale(), tf.Kind.DISCRETE))
+
+
+@register("m7_transformer_lists", f"""WITH {SAMPLES_NP}, st AS ({_STATS_SQL}), md AS ({_MODES_SQL})
+SELECT uuid, "timestamp",
+  {", ".join(f"coalesce({c}, (SELECT mode FROM md WHERE feature = '{c}')) AS a_{c}" for c in DISC)},
+  {", ".join(f"round((coalesce({c}, (SELECT mode FROM md WHERE feature = '{c}')) - (SELECT mean FROM st WHERE feature = '{c}')) / (SELECT scale FROM st WHERE feature = '{c}'), 6) AS a_{c}" for c in NUM)},
+  {", ".join(f"round((coalesce({c}, -1.0) - avg(coalesce({c}, -1.0)) OVER ()) / stddev_pop(coalesce({c}, -1.0)) OVER (), 6) AS b_{c}" for c in DISC)},
+  {", ".join(f"round((coalesce({c}, avg({c}) OVER ()) - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()), 6) AS b_{c}" for c in NUM)}
+FROM samples""")
+def m7_transformer_lists(spark, sf_dir):
+    """Two lists of transformers fitted on the same rows: the default one (a) and one of other kinds in another order (b)."""
+    s = fx.samples(spark, sf_dir, with_part=False)
+    cols = []
+    for prefix, transformers in (("a", tf.DEFAULT), ("b", _OTHER_LIST)):
+        model = tf.ColumnTransformers(inputCols=FEATS, transformers=tf.to_json(transformers)).fit(s)
+        cols += [x.alias(f"{prefix}_{c}") for c, x in model.prepared_columns().items()]
+    return round_doubles(s.select("uuid", "timestamp", *cols), 6)
+
+
 @register("c5_all_data_prep", f"""WITH {LAB}, st AS (SELECT feature, avg(value) AS mean,
        CASE WHEN stddev_pop(value) = 0 THEN 1.0 ELSE stddev_pop(value) END AS scale
        FROM (UNPIVOT (SELECT {', '.join(NUM)} FROM lab) ON {', '.join(NUM)} INTO NAME feature VALUE value) GROUP BY feature)
