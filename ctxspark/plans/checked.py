@@ -254,12 +254,12 @@ def s3_union_users(spark, sf_dir):
 SELECT uuid, "timestamp", CASE WHEN part % 5 < 2 THEN NULL ELSE acc_quantity END AS acc_quantity,
        CASE WHEN CAST(uuid AS INTEGER) % 2 = 0 THEN acc_price END AS acc_price,
        CASE WHEN CAST(uuid AS INTEGER) % 2 = 1 THEN gyro_tax END AS gyro_tax,
-       label_af, 'by, ' || CAST(part % 3 AS VARCHAR) AS label_source, CAST(CASE WHEN part % 5 = 2 THEN 1 ELSE 0 END AS INTEGER) AS bad_cells,
+       label_af, 'by,' || CASE WHEN CAST(uuid AS INTEGER) % 2 = 0 AND part % 3 = 1 THEN chr(10) || '"' ELSE ' ' END || CAST(part % 3 AS VARCHAR) AS label_source, CAST(CASE WHEN part % 5 = 2 THEN 1 ELSE 0 END AS INTEGER) AS bad_cells,
        CASE WHEN part % 5 = 2 THEN NULL ELSE gyro_discount END AS gyro_discount
 FROM samples""")
 def s1_read_user_csvs(spark, sf_dir):
     """One CSV file per user, named after it, with two headers (column set and order), ``nan``, empty, quoted and
-    unreadable cells, written from ``lineitem`` under the shared folder and read back."""
+    unreadable cells, in every other user's file also cells with quotes and line breaks, written from ``lineitem`` under the shared folder and read back."""
     from ctxspark.sources.sensor_csv import read_user_csvs, write_user_csvs
 
     base = shared_dir(spark, "user-csv")
@@ -268,7 +268,8 @@ def s1_read_user_csvs(spark, sf_dir):
     text = F.when(F.col("part") % 5 == 0, "nan").when(F.col("part") % 5 == 1, "").otherwise(F.col("acc_quantity").cast("string"))
     bad = F.when(F.col("part") % 5 == 2, "broken").otherwise(F.col("gyro_discount").cast("string"))
     s = s.select("uuid", "timestamp", text.alias("acc_quantity"), "acc_price", "gyro_tax", "label_af",
-                 F.concat(F.lit("by, "), (F.col("part") % 3).cast("string")).alias("label_source"), bad.alias("gyro_discount"))
+                 F.concat(F.lit("by,"), F.when(even & (F.col("part") % 3 == 1), '\n"').otherwise(" "),
+                          (F.col("part") % 3).cast("string")).alias("label_source"), bad.alias("gyro_discount"))
     write_user_csvs(s.filter(even).drop("gyro_tax"), f"{base}/a")
     write_user_csvs(s.filter(~even).drop("acc_price").select("uuid", "label_source", "label_af", "gyro_discount", "gyro_tax",
                                                             "acc_quantity", "timestamp"), f"{base}/b")

@@ -2,16 +2,19 @@
 
 Files of one directory may have different headers (column order and column set), so the files are read once as text
 lines. Each file's header is its first line; only the distinct headers reach the driver. A line is cut into its cells
-once and every column of the result takes its cell by the position that the line's own header gives it. ``uuid`` is the
-file name up to its first dot. Downstream steps should run on the Parquet dataset written once from this reader.
+once and every column of the result takes its cell by the position that the line's own header gives it. A quoted cell may hold line
+breaks: a line with an odd number of quotes begins or ends such a record, so in the files that have such lines (and only in those) the
+lines between are joined again. Those files aren't split, one task joins the lines of a file; all others are read line by line.
+``uuid`` is the file name up to its first dot. Downstream steps should run on the Parquet dataset written once from this reader.
 """
 
 from __future__ import annotations
 
 import csv
 from collections.abc import Sequence
+from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Fold-list file names (fold, split, phone source) and the single-split file names.
@@ -38,6 +41,23 @@ def _uuid_column(uuid_from: str):
     raise ValueError(f"uuid_from must be 'file_name' or 'partition', not {uuid_from!r}")
 
 
+def whole_records(lines: DataFrame) -> DataFrame:
+    """(path, b, i, value) with the lines of a quoted cell's record joined by line feeds; ``b`` and ``i`` order the lines of a file."""
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    parted = lines.where(quotes % 2 == 1).select("path").distinct()
+    # inside a file the quotes before a line tell whether it goes on with a record
+    order = Window.partitionBy("path").orderBy("b", "i").rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.coalesce(F.sum("quotes").over(order), F.lit(0)) % 2 == 1
+    upto = Window.partitionBy("path").orderBy("b", "i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    numbered = (lines.join(parted, "path", "left_semi").withColumn("quotes", quotes).withColumn("inside", inside)
+                .withColumn("record", F.sum(F.when(F.col("inside"), 0).otherwise(1)).over(upto)))
+    parts = F.array_sort(F.collect_list(F.struct("b", "i", "value")))
+    joined = (numbered.groupBy("path", "record").agg(parts.alias("parts"))
+              .select("path", F.get("parts", F.lit(0))["b"].alias("b"), F.get("parts", F.lit(0))["i"].alias("i"),
+                      F.array_join(F.transform("parts", lambda p: p["value"]), "\n").alias("value")))
+    return lines.join(parted, "path", "left_anti").select("path", "b", "i", "value").unionByName(joined)
+
+
 def read_user_csvs(spark: SparkSession, paths: str | Sequence[str], uuid_from: str = "file_name",
                    bad_cells: bool = False) -> DataFrame:
     """All users' rows in one DataFrame: ``uuid`` + every column of every file (missing -> null).
@@ -52,6 +72,7 @@ def read_user_csvs(spark: SparkSession, paths: str | Sequence[str], uuid_from: s
              .text(paths if isinstance(paths, str) else list(paths))
              .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("b"), "value",
                      F.monotonically_increasing_id().alias("i")))
+    lines = whole_records(lines)
     first = (lines.where(F.col("b") == 0).groupBy("path")
              .agg(F.min_by("value", "i").alias("header"), F.min("i").alias("at")))       # one row a file
     headers = [r[0] for r in first.select("header").distinct().collect()]
@@ -60,7 +81,7 @@ def read_user_csvs(spark: SparkSession, paths: str | Sequence[str], uuid_from: s
     fields = {h: _header_fields(h) for h in headers}
     columns = list(dict.fromkeys(c for h in sorted(headers) for c in fields[h]))
     width = max(map(len, fields.values()))
-    cells = F.from_csv("value", ", ".join(f"c{i} string" for i in range(width)))
+    cells = F.from_csv("value", ", ".join(f"c{i} string" for i in range(width)), {"escape": '"'})
     rows = (lines.where(F.trim("value") != "").join(first, "path").where(F.col("value") != F.col("header"))
             .withColumn("cells", cells).withColumn("cells", F.array(*[F.trim(F.col(f"cells.c{i}")) for i in range(width)])))
     place = F.create_map(*[x for h in headers for x in (
@@ -82,7 +103,8 @@ def read_user_csvs(spark: SparkSession, paths: str | Sequence[str], uuid_from: s
 def write_user_csvs(df: DataFrame, directory: str, name: str = "{uuid}.features_labels.csv") -> int:
     """One CSV file per user, named after it; returns the number of files. A task writes its users one after the other.
 
-    ``directory`` must be a folder that all executors share (file, hdfs, s3, gs or abfs).
+    ``directory`` must be a folder that all executors share (file, hdfs, s3, gs or abfs). A file gets its name when it is complete, so a
+    task that is lost or repeated leaves no torn file under it.
     """
     columns = [c for c in df.columns if c != "uuid"]
 
@@ -92,18 +114,22 @@ def write_user_csvs(df: DataFrame, directory: str, name: str = "{uuid}.features_
         uri = "file://" + directory[5:] if directory.startswith("file:/") and not directory.startswith("file://") else directory
         fs, folder = pafs.FileSystem.from_uri(uri)
         fs.create_dir(folder, recursive=True)
-        now, out, files = None, None, 0
+        now, out, files, hidden = None, None, 0, f"{folder}/.{uuid4().hex}"
+
+        def close():
+            if out is not None:
+                out.close()
+                fs.move(hidden, f"{folder}/{name.format(uuid=now)}")
+
         for frame in batches:
             for uuid, part in frame.groupby("uuid", sort=False):
                 if uuid != now:
-                    if out is not None:
-                        out.close()
+                    close()
                     now, files = uuid, files + 1
-                    out = fs.open_output_stream(f"{folder}/{name.format(uuid=uuid)}")
+                    out = fs.open_output_stream(hidden)
                     out.write((",".join(columns) + "\n").encode())
                 out.write(part[columns].to_csv(index=False, header=False).encode())
-        if out is not None:
-            out.close()
+        close()
         import pandas as pd
 
         yield pd.DataFrame({"files": [files]})

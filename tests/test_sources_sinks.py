@@ -43,6 +43,18 @@ def test_csv_real_cells(spark, tmp_dir):
     assert got["U2", 5]["label_source"] == "none" and got["U2", 5]["acc,x"] is None
 
 
+def test_csv_records_that_span_lines(spark, tmp_dir):
+    d = os.path.join(tmp_dir, "users")
+    os.makedirs(d)
+    _write(f"{d}/U1.csv", 'timestamp,label_source,a\n1,"two\nlines",1.5\n2,"one, ""quoted""",2.5\n3,"a\n\n,""b\n4,x,9",3.5\n5,plain,4.5\n')
+    _write(f"{d}/U2.csv", 'timestamp,a,"label_source"\n7,1,"even ""quotes"""\n')
+    _write(f"{d}/U3.csv", 'label_source,"odd\nname",timestamp\n"x\ny",2,8\n')
+    got = {(r["uuid"], r["timestamp"]): r.asDict() for r in sc.read_user_csvs(spark, d, bad_cells=True).collect()}
+    assert {k: v["label_source"] for k, v in got.items()} == {
+        ("U1", 1): "two\nlines", ("U1", 2): 'one, "quoted"', ("U1", 3): 'a\n\n,"b\n4,x,9', ("U1", 5): "plain", ("U2", 7): 'even "quotes"', ("U3", 8): "x\ny"}
+    assert got["U1", 3]["a"] == 3.5 and got["U3", 8]["odd\nname"] == 2.0 and not any(v["bad_cells"] for v in got.values())
+
+
 def test_csv_dataset_roundtrip(spark, tmp_dir):
     df = spark.createDataFrame([("007", 1, 0.5, 1.0, 2, "walk"), ("u", 2, None, 0.0, 0, "sit")],
                                "uuid string, timestamp long, a double, discrete_b double, label int, label_name string")
