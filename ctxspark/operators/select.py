@@ -34,7 +34,8 @@ def anova_moments(df: DataFrame, features: Sequence[str], label: str = "label")
     discrete, _ = split_discrete_numeric(features)
     mom = (column_moments(df, features, [label]).withColumnRenamed(label, "label")
            .withColumn("m2", F.col("std") * F.col("std") * F.col("n")).collect())
-    modes = {r["feature"]: r["mode"] for r in column_modes(df, discrete).collect()} if discrete else {}
+    rows = sum(r["rows"] for r in mom if r["feature"] == features[0]) if features else 0
+    modes = {r["feature"]: r["mode"] for r in column_modes(df, discrete, rows).collect()} if discrete else {}
     return [r.asDict() for r in mom], modes
 
 

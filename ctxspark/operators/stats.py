@@ -1,25 +1,29 @@
 """Column statistics over wide tables: mean / population std / scale, most frequent value, class counts.
 
 Moments are plain column aggregates: one scan for ``COLUMN_BATCH`` columns, map-side partial aggregation, one row per
-key group to the shuffle. Most-frequent values need counts per (feature, value): the columns are unpivoted inside the
+key group to the shuffle. Most-frequent values need counts per (feature, value), of the values that summaries leave open: the columns are unpivoted inside the
 scan (a Generate, never materialised) and the partial aggregate pre-combines hot values, so a value holding a third of
 the rows costs one row per task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ctxspark.functions import nan_to_null, q
 
 
-def long_values(df: DataFrame, features: Sequence[str], keep: Sequence[str] = (), drop_nulls: bool = True) -> DataFrame:
-    """(keep..., feature, value) with NaN read as missing."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), nan_to_null(q(c).cast("double")).alias("value"))
-                      for c in features])
+def long_values(df: DataFrame, features: Sequence[str], keep: Sequence[str] = (), drop_nulls: bool = True,
+                only: Mapping[str, Sequence[float]] | None = None) -> DataFrame:
+    """(keep..., feature, value) with NaN read as missing; of a feature in ``only`` just the values listed there."""
+    def value(c: str) -> Column:
+        x = nan_to_null(q(c).cast("double"))
+        return F.when(x.isin(*only[c]), x) if only and c in only else x
+
+    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), value(c).alias("value")) for c in features])
     out = df.select(*[q(k) for k in keep], F.explode(pairs).alias("p")).select(*[q(k) for k in keep], "p.feature",
                                                                                 "p.value")
     return out.filter(F.col("value").isNotNull()) if drop_nulls else out
@@ -56,13 +60,47 @@ def column_stats(df: DataFrame, features: Sequence[str]) -> DataFrame:
         "feature", "n", "mean", "std", F.when(F.col("std") == 0, F.lit(1.0)).otherwise(F.col("std")).alias("scale"))
 
 
-def column_modes(df: DataFrame, features: Sequence[str]) -> DataFrame:
+#: Heavy hitters: items that a task's summary tracks, items that it reports, and the a-priori error of its counts as a share of the rows
+#: (3.5 over the summary's map size, the power of two from 4/3 of the tracked items on).
+TRACKED, REPORTED = 10_000, 64
+SUMMARY_ERROR = 3.5 / 16_384
+#: Tables of fewer rows go the full way at once: there the extra scan costs more than the shuffle that it saves.
+CERTIFY_ROWS = 2_000_000
+
+
+def mode_candidates(df: DataFrame, features: Sequence[str]) -> dict[str, list[float]]:
+    """{feature: values among which its most frequent one is}, for the features where mergeable summaries of one scan prove it.
+
+    A reported count is at most the summary's error E too high, and a value that isn't reported has at most 2 E rows or, beyond the
+    last place, no more than the last one reported. So where the highest count less E exceeds both, the mode (and each of its ties) is among the
+    values whose count reaches it. Features without such a value (hardly any repeats) are left out.
+    """
+    out = {}
+    for i in range(0, len(features), COLUMN_BATCH):
+        part = list(features[i:i + COLUMN_BATCH])
+        # -0.0 counts as 0.0
+        x = df.select(*[(nan_to_null(q(c).cast("double")) + F.lit(0.0)).alias(f"x{j}") for j, c in enumerate(part)])
+        row = x.agg(F.count(F.lit(1)).alias("n"), *[F.expr(f"approx_top_k(x{j}, {REPORTED}, {TRACKED})").alias(f"x{j}") for j in range(len(part))]).first()
+        error = row["n"] * SUMMARY_ERROR
+        for j, c in enumerate(part):
+            items = row[f"x{j}"] or []
+            top = [(r["item"], r["count"]) for r in items if r["item"] is not None]
+            sure = max((n for _, n in top), default=0) - error
+            if sure > 2 * error and (len(items) < REPORTED or sure > items[-1]["count"]):
+                out[c] = [v for v, n in top if n >= sure]
+    return out
+
+
+def column_modes(df: DataFrame, features: Sequence[str], rows: int | None = None) -> DataFrame:
     """(feature, mode, count): most frequent non-missing value per feature; ties go to the smallest value.
 
-    Features without any value are absent from the result. The maximum is taken in two hash aggregates (largest count,
+    Features without any value are absent from the result. A summary scan first finds the few values that can be a feature's mode, and
+    only those are counted; a feature whose summary proves nothing has all its values counted, so the result is always exact. With ``rows``, the known
+    number of rows, small tables skip the summary. The maximum is taken in two hash aggregates (largest count,
     then smallest value of that count), without sorting the counts.
     """
-    counts = long_values(df, features).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("count"))
+    few = mode_candidates(df, features) if features and (rows is None or rows >= CERTIFY_ROWS) else {}
+    counts = long_values(df, features, only=few).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("count"))
     most = counts.groupBy("feature").agg(F.max("count").alias("count"))          # one row per feature
     return (counts.join(F.broadcast(most), ["feature", "count"]).groupBy("feature", "count")
             .agg(F.min("value").alias("mode")).select("feature", "mode", "count"))

@@ -141,9 +141,11 @@ def apply_steps(x: Column, steps: Sequence[Sequence]) -> Column:
 
 def raw_statistics(df: DataFrame, features: Sequence[str], with_mode: Sequence[str]) -> dict[str, Stats]:
     """Moments and extremes of ``features`` in one scan, most frequent values of ``with_mode`` in one more."""
-    modes = {r["feature"]: r["mode"] for r in column_modes(df, with_mode).collect()} if with_mode else {}
+    moments = column_moments(df, features, extremes=True).collect()
+    rows = max((r["rows"] for r in moments), default=0)
+    modes = {r["feature"]: r["mode"] for r in column_modes(df, with_mode, rows).collect()} if with_mode else {}
     out = {}
-    for r in column_moments(df, features, extremes=True).collect():
+    for r in moments:
         m2 = None if r["std"] is None else r["std"] ** 2 * r["n"]
         out[r["feature"]] = Stats(r["rows"], r["n"], r["mean"], m2, r["low"], r["high"], modes.get(r["feature"]))
     return out
@@ -163,7 +165,7 @@ def fit_plan(df: DataFrame, features: Sequence[str], transformers: Sequence[tupl
             unknown = [c for c in live if stats[c].mode is None and stats[c].n]
             if unknown:
                 seen = df.select(*[apply_steps(nan_to_null(q(c).cast("double")), steps[c]).alias(c) for c in unknown])
-                modes = {r["feature"]: r["mode"] for r in column_modes(seen, unknown).collect()}
+                modes = {r["feature"]: r["mode"] for r in column_modes(seen, unknown, stats[unknown[0]].rows).collect()}
                 stats |= {c: replace(stats[c], mode=modes[c]) for c in unknown}
         for c in live:
             step = transformer.fit(stats[c])

@@ -29,6 +29,23 @@ def test_modes_ties_and_nulls(spark):
     assert m == {"t": (1.0, 2), "u": (1.0, 2)}              # tie -> smaller; all-null column absent
 
 
+def test_certified_modes_are_exact(spark, monkeypatch):
+    # x: few values; y: no repeats (not provable); z: one value among many others; t: a tie, also of 0.0 and -0.0; h: a tie behind the reported places
+    df = spark.range(20_000).select(
+        (F.col("id") % 7).cast("double").alias("x"), F.col("id").cast("double").alias("y"),
+        F.when(F.col("id") % 5 == 0, 3.5).otherwise(F.col("id").cast("double")).alias("z"),
+        F.when(F.col("id") % 4 == 0, 0.0).when(F.col("id") % 4 == 1, -0.0).when(F.col("id") % 2 == 0, 9.0).otherwise(float("nan")).alias("t"),
+        (F.col("id") % 200).cast("double").alias("h"), F.lit(None).cast("double").alias("none"))
+    names = ["x", "y", "z", "t", "h", "none"]
+    few = stx.mode_candidates(df, names)
+    assert set(few) == {"x", "z", "t"} and few["z"] == [3.5] and few["t"] == [0.0]
+    full = sorted(map(tuple, stx.column_modes(df, names, rows=20_000).collect()))
+    assert sorted(map(tuple, stx.column_modes(df, names).collect())) == full
+    assert full == [("h", 0.0, 100), ("t", 0.0, 10_000), ("x", 0.0, 2858), ("y", 0.0, 1), ("z", 3.5, 4000)]
+    counted = stx.long_values(df, names, only=few).count()          # rows that reach the exact count
+    assert counted == 74_000 and stx.long_values(df, names).count() == 95_000
+
+
 def test_mixed_prep_transform_and_persistence(spark, tmp_dir):
     df = spark.createDataFrame([(1.0, 0.0, 7.0), (2.0, None, 7.0), (None, 1.0, 7.0), (2.0, 1.0, 7.0)],
                                "x double, discrete_d double, k double")
