@@ -1,15 +1,19 @@
 """Column statistics over wide tables: mean / population std / scale, most frequent value, class counts.
 
-Moments are plain column aggregates: one scan for ``COLUMN_BATCH`` columns, map-side partial aggregation, one row per
-key group to the shuffle. Most-frequent values need counts per (feature, value), of the values that summaries leave open: the columns are unpivoted inside the
+Moments are aggregated in one scan, as columns or, on wide tables, as vectors, with map-side partial sums: one row per
+key group and task to the shuffle. Most-frequent values need counts per (feature, value), of the values that summaries leave open: the columns are unpivoted inside the
 scan (a Generate, never materialised) and the partial aggregate pre-combines hot values, so a value holding a third of
 the rows costs one row per task.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,20 +39,51 @@ COLUMN_BATCH = 64
 def column_moments(df: DataFrame, features: Sequence[str], keys: Sequence[str] = (), extremes: bool = False) -> DataFrame:
     """(keys..., feature, rows, n, mean, std[, low, high]) per key group; NaN is missing; a feature without values has null moments.
 
-    One aggregate (and one scan) for each ``COLUMN_BATCH`` features, so generated code stays small on wide tables.
+    One scan whatever the width: up to ``COLUMN_BATCH`` features are plain column aggregates (one generated function), more are
+    aggregated as vectors.
     """
+    if len(features) > COLUMN_BATCH:
+        return vector_moments(df, features, keys, extremes)
     kinds = {"n": F.count, "mean": F.avg, "std": F.stddev_pop} | ({"low": F.min, "high": F.max} if extremes else {})
-    out = None
-    for i in range(0, len(features), COLUMN_BATCH):
-        part = list(features[i:i + COLUMN_BATCH])
-        x = [nan_to_null(q(c).cast("double")) for c in part]
-        wide = df.groupBy(*[q(k) for k in keys]).agg(
-            F.count(F.lit(1)).alias("__rows"), *[f(v).alias(f"__{n}{j}") for j, v in enumerate(x) for n, f in kinds.items()])
-        pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col("__rows").alias("rows"), *[F.col(f"__{n}{j}").alias(n) for n in kinds])
-                          for j, c in enumerate(part)])
-        long = wide.select(*[q(k) for k in keys], F.explode(pairs).alias("p")).select(*[q(k) for k in keys], "p.*")
-        out = long if out is None else out.unionByName(long)
-    return out
+    x = [nan_to_null(q(c).cast("double")) for c in features]
+    wide = df.groupBy(*[q(k) for k in keys]).agg(
+        F.count(F.lit(1)).alias("__rows"), *[f(v).alias(f"__{n}{j}") for j, v in enumerate(x) for n, f in kinds.items()])
+    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col("__rows").alias("rows"), *[F.col(f"__{n}{j}").alias(n) for n in kinds])
+                      for j, c in enumerate(features)])
+    return wide.select(*[q(k) for k in keys], F.explode(pairs).alias("p")).select(*[q(k) for k in keys], "p.*")
+
+
+#: Rows whose mean is the pivot of the vector moments: any value near the mean will do, it only keeps the sums of squares small.
+PIVOT_ROWS = 1000
+
+
+def vector_moments(df: DataFrame, features: Sequence[str], keys: Sequence[str] = (), extremes: bool = False) -> DataFrame:
+    """:func:`column_moments` of wide tables in one scan: every row becomes the vector of its values less a pivot (0 where missing) and the vector of
+    its mask, and Spark ML's summarizer adds both up per key group, value sums, square sums and counts by element."""
+    names = list(features)
+    given = df.select(*[q(k) for k in keys], F.array(*[q(c).cast("double") for c in names]).alias("__x"))
+    seen = np.array([[np.nan if v is None else v for v in r[0]] for r in given.select("__x").limit(PIVOT_ROWS).collect()]).reshape(-1, len(names))
+    known = np.isfinite(seen)
+    pivots = (np.where(known, seen, 0.0).sum(0) / np.maximum(known.sum(0), 1)).tolist()
+    missing = lambda v: v.isNull() | F.isnan(v)
+    filled = lambda end: array_to_vector(F.transform("__x", lambda v: F.when(missing(v), F.lit(end)).otherwise(v)))
+    less = F.zip_with("__x", F.lit(pivots), lambda v, p: F.when(missing(v), F.lit(0.0)).otherwise(v - p))
+    mask = F.transform("__x", lambda v: F.when(missing(v), 0.0).otherwise(1.0))
+    rows = given.select(*[q(k) for k in keys], array_to_vector(less).alias("__d"), array_to_vector(mask).alias("__m"),
+                        *([filled(math.inf).alias("__low"), filled(-math.inf).alias("__high")] if extremes else []))
+    sums = [Summarizer.metrics("sum", "normL2").summary(F.col("__d")).alias("d"), Summarizer.sum(F.col("__m")).alias("m")]
+    if extremes:
+        sums += [Summarizer.min(F.col("__low")).alias("low"), Summarizer.max(F.col("__high")).alias("high")]
+    wide = rows.groupBy(*[q(k) for k in keys]).agg(F.count(F.lit(1)).alias("rows"), *sums).where("rows > 0")
+    ends = ("low", "high") if extremes else ()
+    cells = F.arrays_zip(F.lit(names).alias("feature"), F.lit(pivots).alias("pivot"), vector_to_array("d.sum").alias("sum"),
+                         vector_to_array("d.normL2").alias("norm"), vector_to_array("m").alias("n"), *[vector_to_array(e).alias(e) for e in ends])
+    long = wide.select(*[q(k) for k in keys], "rows", F.explode(cells).alias("p")).select(*[q(k) for k in keys], "rows", "p.*")
+    n, off = F.col("n"), F.col("sum") / F.col("n")
+    real = lambda v: F.when(n > 0, v)
+    m2 = F.greatest(F.col("norm") * F.col("norm") - F.col("sum") * off, F.lit(0.0))
+    return long.select(*[q(k) for k in keys], "feature", "rows", n.cast("long").alias("n"), real(F.col("pivot") + off).alias("mean"),
+                       real(F.sqrt(m2 / n)).alias("std"), *[real(F.col(e)).alias(e) for e in ends])
 
 
 def column_stats(df: DataFrame, features: Sequence[str]) -> DataFrame:

@@ -29,6 +29,29 @@ def test_modes_ties_and_nulls(spark):
     assert m == {"t": (1.0, 2), "u": (1.0, 2)}              # tie -> smaller; all-null column absent
 
 
+def test_wide_tables_take_one_scan(spark, tmp_dir):
+    names = [f"f{i}" for i in range(300)]
+    values = [[None if (n + i) % 11 == 0 or i == 5 else 4.0 if i == 6 else float("nan") if (n + i) % 13 == 0 else (1e9 if i % 3 == 0 else 0.0) + n * (i + 1) % 101 / 7
+               for i in range(300)] for n in range(400)]
+    schema = "label int, " + ", ".join(f"{c} double" for c in names)
+    spark.createDataFrame([(n % 3, *v) for n, v in enumerate(values)], schema).write.parquet(f"{tmp_dir}/wide")
+    df = spark.read.parquet(f"{tmp_dir}/wide")
+    for keys, some in (([], names[:12]), (["label"], names[288:])):
+        out = stx.column_moments(df, names, keys, extremes=True)
+        assert out._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+        got = {tuple(r[k] for k in [*keys, "feature"]): r for r in out.collect()}
+        for r in stx.column_moments(df, some, keys, extremes=True).collect():
+            g = got[tuple(r[k] for k in [*keys, "feature"])]
+            assert (g["rows"], g["n"]) == (r["rows"], r["n"])
+            for c in ("mean", "std", "low", "high"):
+                assert g[c] == (r[c] if r[c] is None else pytest.approx(r[c], rel=1e-9, abs=1e-6)), (r["feature"], c)
+        assert len(got) == 300 * (3 if keys else 1)
+    assert stx.column_moments(df.where("false"), names, ["label"]).collect() == []
+    f = {r.feature: r.f_score for r in sel.anova_f(df, names).collect()}
+    some = {r.feature: r.f_score for r in sel.anova_f(df, names[:12]).collect()}
+    assert all(f[c] == pytest.approx(v, rel=1e-5, nan_ok=True) for c, v in some.items())
+
+
 def test_certified_modes_are_exact(spark, monkeypatch):
     # x: few values; y: no repeats (not provable); z: one value among many others; t: a tie, also of 0.0 and -0.0; h: a tie behind the reported places
     df = spark.range(20_000).select(
