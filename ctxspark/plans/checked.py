@@ -713,9 +713,8 @@ def l16_lr_predictions(spark, sf_dir):
     """Fold 0 with the default LR: its objective's gradient over all training rows is below the bound, and every row of
     either split gets a prediction."""
     train, test = _fold0(spark, sf_dir)
-    config = flows.DEFAULT_MODEL | {"tol": 1e-9}
-    model = md.early_fusion(FEATS, config).fit(train)
-    worst = _multinomial_gradient(model, train, config["C"])
+    model = md.early_fusion(FEATS, flows.DEFAULT_MODEL).fit(train)
+    worst = _multinomial_gradient(model, train, flows.DEFAULT_MODEL["C"])
     both = train.withColumn("split", F.lit("train")).unionByName(test.drop("fold"))
     return (md.predict(model, both).groupBy("split").agg(F.count("prediction").alias("scored"))
             .withColumn("at_minimum", F.when(F.col("split") == "train", F.lit(worst < GRADIENT))))
