@@ -94,7 +94,7 @@ def replace_rows(df: DataFrame, path: str, keys: dict) -> str:
     Other keys' rows stay; :func:`read_table` gives all of them back with the key columns.
     """
     at = "/".join([path.rstrip("/"), *(f"{k}={v}" for k, v in keys.items())])
-    df.write.mode("overwrite").parquet(at)
+    df.drop(*keys).write.mode("overwrite").parquet(at)        # a column of a key's name is read from the path
     return path
 
 
