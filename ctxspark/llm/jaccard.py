@@ -8,13 +8,14 @@
    can link; a shingle of one class makes no tile.
 3. A signature is a bitmap of ``BITS`` bits in which each shingle flips the bit of its hash: two sets differ in at least
    as many shingles as their bitmaps differ in bits, which bounds their overlap from above.
-4. Every pair of classes of a tile that the size and bitmap bounds admit is verified on the sorted arrays: these are the
-   links; equal texts are one class and aren't expanded. Where only components are asked for, a class is paired with the
-   first leader that the bounds admit, else it becomes a leader; then a pair of each two components that meet in a tile is
-   verified, and at last every pair of a tile whose classes are still in different components. A link inside a component
-   needn't be found twice then, so a group of copies costs pairs with leaders, and no component is lost.
+4. In each tile the pairs that the size and bitmap bounds admit only say which classes must be looked at there: such a
+   class sends its sorted array to that tile, and the pair is verified in it. A pair belongs to the tile of its first
+   shared shingle in that order, so it is verified once, whatever the number of tiles it shares; classes that share one of
+   their first ``EARLY`` shingles before a tile's own needn't be looked at in it.
+5. No pair leaves a tile: a task prints the edges of a spanning forest of the links it finds and the number of links of
+   each class, rows in proportion to the tile. Components of the edges are contracted in Spark, links are summed up.
 
-Only classes that such a pair names have their arrays made again and moved. Components stay in Spark.
+Equal texts are one class and aren't expanded. Only classes that a tile wants have their arrays made again and moved.
 
 Rows: a null or empty text, or one of white space, has an empty set, links with nothing and is its own component; with
 fewer than k words the whole sequence is the one shingle; repeated rows and repeated doc_ids are rows of one or more
@@ -26,7 +27,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ctxspark.llm.common import components, gram_hashes, kept, mix, slices, small_batches, small_side, stored, word_hashes
@@ -34,10 +36,15 @@ from ctxspark.llm.common import components, gram_hashes, kept, mix, slices, smal
 COUNTERS = 1 << 20
 PIECES = 64
 BITS = 512
-TILE_ROWS = 512
+EARLY = 8
 BAND_BASE = 4.0
-#: A tile of more rows is dealt over cells of about so many rows.
+#: A tile of more rows, or of more shingles in its classes' sets, is cut into chunks of about so many; its cells are pairs of chunks.
 HOT_ROWS = 4096
+HOT_SHINGLES = 1 << 23
+ARRAY_BYTES = 4 << 20
+#: Classes whose cells are broadcast to the texts; with more, both are joined by shuffle.
+ARRAY_CLASSES = 100_000
+CELL = ["key", "band", "low", "high"]
 
 
 def shingle_set(words: np.ndarray, k: int) -> np.ndarray:
@@ -76,26 +83,28 @@ def most_difference(n, m, percent: int):
 
 
 def set_table(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, cls, n) per row, and the counter table in pieces (piece, counts), from one pass over the texts."""
+    """(doc_id, text_hash, cls, n) per row, and the counter table in pieces (piece, counts), from one pass over the texts."""
     def run(batches):
         counters = np.zeros(COUNTERS, np.uint32)
         for part in slices(batches):
-            ids, cls, n = part.column("doc_id"), [], []
+            ids, texts, cls, n = part.column("doc_id"), part.column("text_hash"), [], []
             for s in sets(part, k):
                 cls.append(class_id(s))
                 n.append(len(s))
                 if len(s):
                     np.add.at(counters, (s >> np.uint64(44)).astype(np.int64), 1)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(cls, pa.binary()), pa.array(n, pa.int64()), pa.nulls(len(n), pa.int32()),
-                                              pa.nulls(len(n), pa.binary())], names=["doc_id", "cls", "n", "piece", "counts"])
+            yield pa.RecordBatch.from_arrays([ids, texts, pa.array(cls, pa.binary()), pa.array(n, pa.int64()), pa.nulls(len(n), pa.int32()),
+                                              pa.nulls(len(n), pa.binary())], names=names)
         used = [i for i, c in enumerate(np.split(counters, PIECES)) if c.any()]
         data = [np.split(counters, PIECES)[i].astype("<u4").tobytes() for i in used]
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(used), pa.int64()), pa.nulls(len(used), pa.binary()), pa.nulls(len(used), pa.int64()),
-                                          pa.array(used, pa.int32()), pa.array(data, pa.binary())], names=["doc_id", "cls", "n", "piece", "counts"])
+        empty = pa.nulls(len(used), pa.int64())
+        yield pa.RecordBatch.from_arrays([empty, empty, pa.nulls(len(used), pa.binary()), empty,
+                                          pa.array(used, pa.int32()), pa.array(data, pa.binary())], names=names)
 
-    both = stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id long, cls binary, n long, piece int, counts binary"), "jaccard-sets")
-    return both.where("piece is null").select("doc_id", "cls", "n"), both.where("piece is not null").select("piece", "counts")
+    names = ["doc_id", "text_hash", "cls", "n", "piece", "counts"]
+    both = stored(docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(
+        run, "doc_id long, text_hash long, cls binary, n long, piece int, counts binary"), "jaccard-sets")
+    return both.where("piece is null").select("doc_id", "text_hash", "cls", "n"), both.where("piece is not null").select("piece", "counts")
 
 
 def counter_table(pieces: DataFrame) -> np.ndarray:
@@ -112,10 +121,13 @@ def counter_table(pieces: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def entries(docs: DataFrame, counters: np.ndarray, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(key, cls, n) under the rarest shingles of each class, and (cls, n, sig); a class once for each task at most."""
-    held = docs.sparkSession.sparkContext.broadcast(counters.astype(np.uint32 if counters.max(initial=0) < 2**32 else np.int64))
+def ranks(table: np.ndarray, shingles: np.ndarray) -> np.ndarray:
+    """The counters of shingles. Their order is by (counter, hash as a signed number), here and in Spark."""
+    return table[(shingles >> np.uint64(44)).astype(np.int64)].astype(np.int64)
+
 
+def entries(docs: DataFrame, held: Broadcast, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(key, cls, n) under the rarest shingles of each class, and (cls, n, sig); a class once for each task at most."""
     def run(batches):
         table, seen = held.value, set()
         names = ["key", "cls", "n", "sig"]
@@ -127,7 +139,7 @@ def entries(docs: DataFrame, counters: np.ndarray, k: int, percent: int) -> tupl
                     continue
                 seen.add(c)
                 size = prefix_size(len(s), percent)
-                order = np.lexsort((s, table[(s >> np.uint64(44)).astype(np.int64)]))[:size]
+                order = np.lexsort((s.view(np.int64), ranks(table, s)))[:size]
                 keys.append(s[order])
                 cls.append(c)
                 n.append(len(s))
@@ -144,10 +156,10 @@ def entries(docs: DataFrame, counters: np.ndarray, k: int, percent: int) -> tupl
     return both.where("sig is null").select("key", "cls", "n"), both.where("sig is not null").select("cls", "n", "sig")
 
 
-def shared_entries(entered: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Of the shingles that several classes are entered under: the pairs (a, b) of those with two classes, if their sizes
-    can link, and the tile rows (key, cls, n) of the others."""
-    names = ["key", "cls", "n", "b"]
+def shared_entries(entered: DataFrame, held_counters: Broadcast, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Of the shingles that several classes are entered under: the pairs (a, b, key: the first such shingle) of those with
+    two classes, if their sizes can link, and the tile rows (key, rank, cls, n) of the others."""
+    names = ["key", "rank", "cls", "n", "b"]
 
     def run(batches):
         held = None
@@ -174,209 +186,234 @@ def shared_entries(entered: DataFrame, percent: int) -> tuple[DataFrame, DataFra
         two = start[size == 2]
         two = two[100 * np.minimum(n[two], n[two + 1]) >= percent * np.maximum(n[two], n[two + 1])]
         more = np.flatnonzero(np.repeat(size > 2, size))
-        if len(two):
-            yield pa.RecordBatch.from_arrays([pa.array(key[two]), pa.array(cls[two], pa.binary()), pa.array(n[two]), pa.array(cls[two + 1], pa.binary())], names=names)
-        if len(more):
-            yield pa.RecordBatch.from_arrays([pa.array(key[more]), pa.array(cls[more], pa.binary()), pa.array(n[more]), pa.nulls(len(more), pa.binary())], names=names)
+        for rows, other in ((two, pa.array(cls[two + 1], pa.binary())), (more, pa.nulls(len(more), pa.binary()))):
+            if len(rows):
+                yield pa.RecordBatch.from_arrays([pa.array(key[rows]), pa.array(ranks(held_counters.value, key[rows].view(np.uint64))),
+                                                  pa.array(cls[rows], pa.binary()), pa.array(n[rows]), other], names=names)
 
-    both = stored(entered.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(run, "key long, cls binary, n long, b binary")
+    both = stored(entered.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(run, "key long, rank long, cls binary, n long, b binary")
                   .withColumn("two", F.col("b").isNotNull()), "jaccard-shared")
-    return both.where("two").select(F.col("cls").alias("a"), "b").distinct(), both.where("not two").select("key", "cls", "n")
+    pairs = (both.where("two").groupBy(F.col("cls").alias("a"), "b").agg(F.min(F.struct("rank", "key")).alias("first"))
+             .select("a", "b", F.col("first.key").alias("key")))
+    return pairs, both.where("not two").select("key", "rank", "cls", "n")
+
+
+def scale(n: Column) -> Column:
+    """The band of a size, on a geometric scale."""
+    return F.floor(F.log(n.cast("double")) / float(np.log(BAND_BASE)) + 1e-9).cast("int")
 
 
 def admitted_pairs(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
-    """The pairs that the bitmap bound admits."""
+    """The pairs that the bitmap bound admits: (a, b, key, n), n the larger size."""
     def run(batches):
         for batch in batches:
             if batch.num_rows:
                 x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, BITS // 64) for c in ("x", "y"))
                 n, m = batch.column("n").to_numpy(), batch.column("m").to_numpy()
-                yield batch.select(["a", "b"]).filter(pa.array(np.bitwise_count(x ^ y).sum(1) <= most_difference(n, m, percent)))
+                out = pa.RecordBatch.from_arrays([batch.column(c) for c in ("a", "b", "key")] + [pa.array(np.maximum(n, m))], names=["a", "b", "key", "n"])
+                yield out.filter(pa.array(np.bitwise_count(x ^ y).sum(1) <= most_difference(n, m, percent)))
 
     left = signed.select(F.col("cls").alias("a"), F.col("sig").alias("x"), "n")
     right = signed.select(F.col("cls").alias("b"), F.col("sig").alias("y"), F.col("n").alias("m"))
-    return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a binary, b binary")
-
-
-def dealt(tiles: DataFrame, leaders: bool) -> DataFrame:
-    """``tiles`` with a cell: hot tiles are cut into chunks by a hash that differs from tile to tile. For leaders a cell is
-    a chunk (a group of copies shares many tiles, cut in different ways); else each pair of chunks is a cell."""
-    hot = (tiles.groupBy("key", "band").agg(F.count("*").alias("c")).where(F.col("c") > HOT_ROWS)
-           .select("key", "band", F.ceil(F.col("c") / HOT_ROWS).cast("int").alias("chunks")))
-    rows = tiles.join(small_side(stored(hot, "jaccard-hot")), ["key", "band"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-    chunk = F.pmod(F.xxhash64("cls", "key"), F.col("chunks")).cast("int")
-    if leaders:
-        return rows.withColumn("cell", chunk)
-    return rows.withColumn("chunk", chunk).withColumn("cell", F.explode(F.expr(
-        "transform(sequence(0, chunks - 1), j -> least(chunk, j) * chunks + greatest(chunk, j))")))
-
-
-def tile_pairs(rows: DataFrame, percent: int, mode: str) -> DataFrame:
-    """Distinct pairs (a, b) of classes in a tile that the size and bitmap bounds admit.
-
-    ``mode`` "leaders": each class with the first leader that admits it, and of its leaders in all its tiles with the
-    least and the greatest; "first": the first pair of each two different
-    components (column comp); "all": every pair of different components; "every": every pair of classes. ``rows``: (key, band, cls, n, sig[, comp]). A task reads the cells of its tiles by growing size and forgets rows that
-    are too small to link with what follows.
-    """
-    leaders, by_comp = mode == "leaders", mode in ("first", "all")
-    names = ["key", "band", "cell", "cls", "n", "sig"] + (["comp"] if by_comp else [])
+    return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a binary, b binary, key long, n long")
+
+
+def dealt(tiles: DataFrame, rows: DataFrame) -> DataFrame:
+    """``rows`` of ``tiles`` (key, band, ...) in cells: hot tiles are cut into chunks by a hash, and each pair of chunks
+    (low, high) is a cell; in a cell of two chunks only pairs across them count."""
+    room = F.greatest(F.lit(16), F.least(F.lit(HOT_ROWS), F.floor(HOT_SHINGLES / F.pow(F.lit(BAND_BASE), F.col("band") + 1))))
+    hot = (tiles.groupBy("key", "band").agg(F.count("*").alias("c")).where(F.col("c") > room)
+           .select("key", "band", F.ceil(F.col("c") / room).cast("int").alias("chunks")))
+    rows = rows.join(small_side(stored(hot, "jaccard-hot")), ["key", "band"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("cls", "key"), F.col("chunks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    return rows.withColumn("low", F.least("chunk", "other")).withColumn("high", F.greatest("chunk", "other")).drop("chunks", "other")
+
+
+def whole_cells(batches):
+    """Each cell of batches sorted by ``CELL`` as one record batch."""
+    held, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(c).to_numpy() for c in CELL]
+        start = np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([c[1:] != c[:-1] for c in columns])]))
+        if held and last != [c[0] for c in columns]:
+            yield pa.concat_batches(held)
+            held = []
+        for at, end in zip(start, np.append(start[1:], batch.num_rows)):
+            if at:
+                yield pa.concat_batches(held) if len(held) > 1 else held[0]
+                held = []
+            held.append(batch.slice(at, end - at))
+        last = [c[-1] for c in columns]
+    if held:
+        yield pa.concat_batches(held)
+
+
+def near_rows(cell: pa.RecordBatch, sig: np.ndarray, percent: int):
+    """(i, rows before i that the size and bitmap bounds admit) for each row of a cell, which is sorted by size. Classes
+    that meet in two bands count in the band of the larger one."""
+    n, home, chunk = (cell.column(c).to_numpy() for c in ("n", "home", "chunk"))
+    band, across = cell.column("band")[0].as_py(), cell.column("low")[0] != cell.column("high")[0]
+    lowest = np.searchsorted(100 * n, percent * n, "left")
+    for i in np.flatnonzero((home == band) & (lowest < np.arange(len(n)))):
+        rows = slice(lowest[i], i)
+        ok = np.bitwise_count(sig[rows] ^ sig[i]).sum(1) <= most_difference(n[rows], n[i], percent)
+        if across:
+            ok &= chunk[rows] != chunk[i]
+        if ok.any():
+            yield i, lowest[i] + np.flatnonzero(ok)
+
+
+def wanted_classes(tiles: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
+    """(key, band, low, high, chunk, cls): the classes that a cell of a tile must verify, as many rows as the tiles have at
+    most."""
+    def run(batches):
+        for cell in whole_cells(batches):
+            if cell.num_rows < 2:
+                continue
+            sig = np.frombuffer(b"".join(cell.column("sig").to_pylist()), np.uint64).reshape(-1, BITS // 64)
+            lists = cell.column("early")
+            count = lists.value_lengths().to_numpy()
+            early = np.full((len(sig), EARLY), cell.column("key")[0].as_py(), np.int64)  # never an earlier one
+            early[np.arange(EARLY) < count[:, None]] = lists.flatten().to_numpy()
+            want = np.zeros(len(sig), bool)
+            for i, near in near_rows(cell, sig, percent):
+                if count[i]:
+                    near = near[~(early[near][:, :, None] == early[i, :count[i]]).any((1, 2))]
+                if len(near):
+                    want[near] = want[i] = True
+            if want.any():
+                yield cell.select([*CELL, "chunk", "cls"]).filter(pa.array(want))
+
+    bands = F.sequence(scale(F.col("n")), scale(F.col("n") * 100.0 / percent))
+    keys = (tiles.groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("rank", "key"))).alias("keys"))
+            .join(signed.withColumn("bands", bands).withColumn("home", scale(F.col("n"))), "cls"))
+    rows = (keys.select("cls", "n", "sig", "home", "bands", F.expr(f"transform(slice(keys, 1, {EARLY}), x -> x.key)").alias("first"),
+                        F.posexplode("keys").alias("at", "own"))
+            .select("cls", "n", "sig", "home", F.explode("bands").alias("band"), F.col("own.key").alias("key"),
+                    F.expr(f"slice(first, 1, least(at, {EARLY}))").alias("early")))
+    banded = tiles.select("key", F.explode(bands).alias("band"))
+    return (dealt(banded, rows).select(*CELL, "chunk", "n", "cls", "home", "sig", "early").repartition(*CELL)
+            .sortWithinPartitions(*CELL, "n", "cls").mapInArrow(run, "key long, band int, low int, high int, chunk int, cls binary"))
+
+
+def class_arrays(docs: DataFrame, firsts: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(key, band, low, high, chunk, home, n, cls, shingles): the array of each wanted class, made again from one text of
+    it, for each cell that wants it."""
+    cells = wanted.groupBy("cls").agg(F.collect_list(F.struct(*CELL, "chunk")).alias("cells"))
+    cells = stored(firsts.join(cells, "cls").select(F.col("doc_id").alias("wanted"), F.col("text_hash").alias("wanted_hash"), "cls",
+                                                    scale(F.col("n")).alias("home"), "cells"), "jaccard-wanted")
+    rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+            .join(small_side(cells, ARRAY_CLASSES), F.col("doc_id").eqNullSafe(F.col("wanted")) & (F.col("text_hash") == F.col("wanted_hash")))
+            .select("text", "cls", "home", "cells"))
 
     def run(batches):
-        seen, out, now, tile, joined = set(), [], None, [], set()
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in names)):
-                if row[:3] != now:
-                    now, tile, joined = row[:3], [], set()
-                cls, n, sig, hit = row[3], row[4], np.frombuffer(row[5], np.uint64), False
-                if leaders or len(tile) > 1:
-                    tile = [held for held in tile if 100 * held["n"][held["count"] - 1] >= percent * n]
-                for held in tile:
-                    size = held["count"]
-                    ok = (np.bitwise_count(held["sig"][:size] ^ sig).sum(1) <= most_difference(held["n"][:size], n, percent)) & (
-                        100 * held["n"][:size] >= percent * n)
-                    for j in np.flatnonzero(ok):
-                        other = held["cls"][j]
-                        if other == cls or by_comp and held["comp"][j] == row[6]:
-                            continue
-                        if mode == "first":
-                            two = (held["comp"][j], row[6])
-                            if two in joined or two[::-1] in joined:
-                                continue
-                            joined.add(two)
-                        hit, pair = True, (other, cls) if leaders or other < cls else (cls, other)
-                        if pair not in seen:
-                            out.append(pair)
-                            seen.add(pair)
-                        if leaders:
-                            break
-                    if leaders and hit:
-                        break
-                if not (leaders and hit):
-                    if not tile or tile[-1]["count"] == len(tile[-1]["n"]):
-                        size = TILE_ROWS if tile else 8
-                        tile.append({"count": 0, "n": np.zeros(size, np.int64), "sig": np.zeros((size, BITS // 64), np.uint64), "cls": [], "comp": []})
-                    held = tile[-1]
-                    held["n"][held["count"]], held["sig"][held["count"]] = n, sig
-                    held["cls"].append(cls)
-                    held["comp"].append(row[6] if by_comp else None)
-                    held["count"] += 1
-                if len(out) >= 50_000:
-                    yield pairs_batch(out)
-                    out = []
-                if len(seen) > 500_000:
-                    seen = set()
+        out, size = [], 0
+        for part in slices(batches):
+            for c, home, places, s in zip(part.column("cls").to_pylist(), part.column("home").to_pylist(), part.column("cells"), sets(part, k)):
+                if class_id(s) != c:
+                    continue
+                data = s.tobytes()
+                for x in places.as_py():
+                    out.append((*(x[name] for name in CELL), x["chunk"], home, len(s), c, data))
+                    size += len(data) + 64
+                    if size > ARRAY_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), types)], names=names)
+                        out, size = [], 0
         if out:
-            yield pairs_batch(out)
-
-    pairs = (dealt(rows, leaders).select(*names).repartition("key", "band", "cell")
-             .sortWithinPartitions("key", "band", "cell", "n", "cls").mapInArrow(run, "a binary, b binary"))
-    if leaders:
-        pairs = (pairs.groupBy("b").agg(F.array(F.min("a"), F.max("a")).alias("of")).select(F.explode("of").alias("a"), "b")
-                 .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    return pairs.distinct()
-
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), types)], names=names)
 
-def pairs_batch(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.binary()), pa.array([b for _, b in pairs], pa.binary())], names=["a", "b"])
+    names = [*CELL, "chunk", "home", "n", "cls", "shingles"]
+    types = [pa.int64()] + [pa.int32()] * 5 + [pa.int64(), pa.binary(), pa.binary()]
+    return rows.mapInArrow(run, "key long, band int, low int, high int, chunk int, home int, n long, cls binary, shingles binary")
 
 
-def class_arrays(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-    """(cls, shingles) of the classes that ``pairs`` names, made again from one text of each."""
-    named = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
-    wanted = stored(firsts.join(named, "cls").select(F.col("doc_id").alias("wanted"), "cls"), "jaccard-wanted")
-    rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-            .join(small_side(wanted), F.col("doc_id").eqNullSafe(F.col("wanted"))).select("text", "cls"))
-
-    def run(batches):
-        for part in slices(batches):
-            found = [(c, s.tobytes()) for c, s in zip(part.column("cls").to_pylist(), sets(part, k)) if class_id(s) == c]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.binary()), pa.array([x for _, x in found], pa.binary())],
-                                                 names=["cls", "shingles"])
+def shared_with(x: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many values each of ``others`` has in common with ``x``; all are sorted and distinct."""
+    if not len(x):
+        return np.zeros(len(others), np.int64)
+    flat = np.concatenate(others)
+    at = np.minimum(np.searchsorted(x, flat), len(x) - 1)
+    return np.bincount(np.repeat(np.arange(len(others)), [len(o) for o in others])[x[at] == flat], minlength=len(others))
 
-    # once for each row of the class's first doc_id: mostly once
-    return rows.mapInArrow(run, "cls binary, shingles binary")
 
+def cell_links(arrays: DataFrame, held: Broadcast, percent: int, every_link: bool) -> DataFrame:
+    """(a, b, links): the edges (a, b) of a spanning forest of each cell's links, and the number of links of each class a.
 
-def verified(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sorted arrays intersect enough. An array goes to each of its pairs once, by the pair's number."""
+    A pair is verified in the tile of its first common shingle. Without ``every_link`` pairs that are already joined
+    aren't verified, and links are not counted.
+    """
     def run(batches):
-        for batch in by_pair(batches):
-            pair, side = batch.column("pair").to_numpy(), batch.column("side").to_numpy()
-            first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
-            data, keep = batch.column("shingles"), []
-            for i, end in zip(first, np.append(first[1:], len(pair))):
-                other = i + int(np.argmax(side[i:end]))
-                x, y = (np.frombuffer(data[int(k)].as_py(), np.uint64) for k in (i, other))
-                both = np.concatenate([x, y])
-                both.sort()
-                overlap = int(np.count_nonzero(both[1:] == both[:-1]))
-                if side[i] == 0 and side[other] == 1 and 100 * overlap >= percent * (len(x) + len(y) - overlap):
-                    keep.append((i, other))
-            cls = batch.column("cls")
-            yield pa.RecordBatch.from_arrays([cls.take(pa.array([k[j] for k in keep], pa.int64())) for j in (0, 1)], names=["a", "b"])
-
-    def by_pair(batches):
-        rest = None
-        for batch in batches:
-            batch = pa.concat_batches([rest, batch]) if rest is not None else batch
-            if batch.num_rows:
-                pair = batch.column("pair").to_numpy()
-                cut = int(np.searchsorted(pair, pair[-1], "left"))
-                rest = batch.slice(cut)
-                if cut:
-                    yield batch.slice(0, cut)
-        if rest is not None and rest.num_rows:
-            yield rest
-
-    numbered = pairs.select(F.xxhash64("a", "b").alias("pair"), F.explode(F.array(
-        F.struct(F.lit(0).alias("side"), F.col("a").alias("cls")), F.struct(F.lit(1).alias("side"), F.col("b").alias("cls")))).alias("s"))
-    numbered = small_side(numbered.select("pair", "s.side", "s.cls"))
-    sided = arrays.join(numbered, "cls").select("pair", "side", "cls", "shingles")
-    return stored(sided.repartition("pair").sortWithinPartitions("pair", "side", "cls").mapInArrow(run, "a binary, b binary"), "jaccard-links")
+        for cell in whole_cells(batches):
+            names = cell.column("cls").to_numpy(zero_copy_only=False)
+            fresh = np.concatenate([[True], names[1:] != names[:-1]])  # a repeated row sends its class's array again
+            cell, names = cell.filter(pa.array(fresh)), names[fresh]
+            if len(names) > 1:
+                yield from links(cell, names)
+
+    def links(cell, names):
+        table, key = held.value, np.int64(cell.column("key")[0].as_py())
+        rank = ranks(table, np.array([key]).view(np.uint64))[0]
+        arrays = [np.frombuffer(x.as_buffer(), np.uint64) for x in cell.column("shingles")]
+        before = []
+        for s in arrays:
+            r = ranks(table, s)
+            before.append(s[(r < rank) | ((r == rank) & (s.view(np.int64) < key))])
+        group, count, edges = np.arange(len(arrays)), np.zeros(len(arrays), np.int64), []
+        for i, near in near_rows(cell, np.stack([signature(s) for s in arrays]), percent):
+            # Steps bound what is held at once; they also save pairs that an earlier step has joined.
+            step = max(1, (1 << 20 if every_link else 1 << 13) // len(arrays[i]))
+            for part in np.split(near, range(step, len(near), step)):
+                if not every_link:
+                    part = part[group[part] != group[i]]
+                if len(part):
+                    part = part[shared_with(before[i], [before[j] for j in part]) == 0]
+                if not len(part):
+                    continue
+                both = shared_with(arrays[i], [arrays[j] for j in part])
+                part = part[100 * both >= percent * (len(arrays[i]) + np.array([len(arrays[j]) for j in part]) - both)]
+                count[part] += 1
+                count[i] += len(part)
+                for g in np.unique(group[part]):
+                    if g != group[i]:
+                        edges.append((int(part[group[part] == g][0]), int(i)))
+                        group[group == g] = group[i]
+        linked = np.flatnonzero(count) if every_link else []
+        if edges or len(linked):
+            a, b = [names[i] for i, _ in edges], [names[j] for _, j in edges]
+            yield pa.RecordBatch.from_arrays([pa.array([*a, *(names[i] for i in linked)], pa.binary()), pa.array(b + [None] * len(linked), pa.binary()),
+                                              pa.array([None] * len(edges) + [int(count[i]) for i in linked], pa.int64())], names=["a", "b", "links"])
+
+    return arrays.repartition(*CELL).sortWithinPartitions(*CELL, "n", "cls").mapInArrow(run, "a binary, b binary, links long")
 
 
 def class_components(docs: DataFrame, rows: DataFrame, pieces: DataFrame, k: int, percent: int, every_link: bool) -> DataFrame:
     """(cls, component_id, n_links) per class with shingles. Without ``every_link`` only the links that the components need
     are verified, and n_links is null."""
-    firsts = stored(rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "jaccard-classes")
-    entered, signatures = entries(docs, counter_table(pieces), k, percent)
-    twos, tiles = shared_entries(entered, percent)
+    held = docs.sparkSession.sparkContext.broadcast((lambda c: c.astype(np.uint32 if c.max(initial=0) < 2**32 else np.int64))(counter_table(pieces)))
+    text = F.coalesce(F.min_by("text_hash", "doc_id"), F.first("text_hash")).alias("text_hash")
+    firsts = stored(rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), text, F.first("n").alias("n")), "jaccard-classes")
+    entered, signatures = entries(docs, held, k, percent)
+    twos, tiles = shared_entries(entered, held, percent)
     signed = stored(signatures.groupBy("cls").agg(F.first("sig").alias("sig"), F.first("n").alias("n")), "jaccard-signed")
-    # Bands of a geometric scale; a size that can link into the next band is entered there as well.
-    scale = lambda x: F.floor(F.log(x) / float(np.log(BAND_BASE)) + 1e-9).cast("int")
-    bands = F.sequence(scale(F.col("n").cast("double")), scale(F.col("n") * 100.0 / percent))
-    tiles = stored(tiles.withColumn("band", F.explode(bands)), "jaccard-tiles")
-    signs = signed.select("cls", "sig")
-
-    pairs = stored(admitted_pairs(twos, signed, percent).unionByName(
-        tile_pairs(tiles.join(signs, "cls"), percent, "every" if every_link else "leaders")).distinct(), "jaccard-pairs")
-    links = verified(pairs, class_arrays(docs, firsts, pairs, k), percent)
-    label, tested = components(links, "a", "b"), pairs
-    for mode in () if every_link else ("first", "all"):
-        comp = F.coalesce("component", "cls").alias("comp")
-        rest = stored(tiles.join(label.select(F.col("node").alias("cls"), "component"), "cls", "left").select("key", "band", "cls", "n", comp),
-                      "jaccard-rest")
-        # Only tiles where components meet are read again; their rows get their bitmaps after that.
-        mixed = (rest.groupBy("key", "band").agg(F.min("comp").alias("least"), F.max("comp").alias("most"))
-                 .where("least <> most").select("key", "band"))
-        rest = rest.join(mixed, ["key", "band"], "left_semi").join(signs, "cls")
-        more = stored(tile_pairs(rest, percent, mode).join(tested, ["a", "b"], "left_anti"), "jaccard-more")
-        if more.isEmpty():
-            continue
-        fresh = verified(more, class_arrays(docs, firsts, more, k), percent)
-        links, tested = links.unionByName(fresh), tested.unionByName(more)
-        if not fresh.isEmpty():
-            label = components(links, "a", "b")
+
+    # A tile of two classes is a cell of its own.
+    zero = F.lit(0)
+    pairs = (admitted_pairs(twos, signed, percent).select("key", scale(F.col("n")).alias("band"), zero.alias("low"), zero.alias("high"),
+                                                          zero.alias("chunk"), F.explode(F.array("a", "b")).alias("cls")))
+    wanted = stored(pairs.unionByName(wanted_classes(tiles, signed, percent)), "jaccard-cells")
+    found = stored(cell_links(class_arrays(docs, firsts, wanted, k), held, percent, every_link), "jaccard-links")
+    label = components(found.where("b is not null"), "a", "b")
 
     named = stored(firsts.join(label.select(F.col("node").alias("cls"), "component"), "cls", "left")
                    .select("cls", "doc_id", F.coalesce("component", "cls").alias("component")), "jaccard-named")
-    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = named.join(named.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component")
     if not every_link:
-        return named.join(least, "component").select("cls", "component_id", F.lit(None).cast("long").alias("n_links"))
-    degree = (links.select(F.col("a").alias("cls")).union(links.select(F.col("b").alias("cls"))).groupBy("cls").agg(F.count("*").alias("n_links")))
-    return named.join(least, "component").join(degree, "cls", "left").select("cls", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        return named.select("cls", "component_id", F.lit(None).cast("long").alias("n_links"))
+    degree = found.where("links is not null").groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("n_links"))
+    return named.join(degree, "cls", "left").select("cls", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, every_link: bool = True) -> DataFrame:
