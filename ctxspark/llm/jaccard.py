@@ -7,7 +7,8 @@
    other, so each class is entered under those shingles. Entries of one shingle are a tile, cut into bands of sizes that
    can link; a shingle of one class makes no tile.
 3. A signature is a bitmap of ``BITS`` bits in which each shingle flips the bit of its hash: two sets differ in at least
-   as many shingles as their bitmaps differ in bits, which bounds their overlap from above.
+   as many shingles as their bitmaps differ in bits, which bounds their overlap from above. Sets too large for it have a
+   second one of n to 4 n bits, looked at only where the first admits a pair.
 4. In each tile the pairs that the size and bitmap bounds admit only say which classes must be looked at there: such a
    class sends its sorted array to that tile, and the pair is verified in it. A pair belongs to the tile of its first
    shared shingle in that order, so it is verified once, whatever the number of tiles it shares; classes that share one of
@@ -37,6 +38,8 @@ COUNTERS = 1 << 20
 PIECES = 64
 BITS = 512
 EARLY = 8
+#: From this band on sets may have a bitmap wider than ``BITS``.
+WIDE_BAND = 4
 BAND_BASE = 4.0
 #: A tile of more rows, or of more shingles in its classes' sets, is cut into chunks of about so many; its cells are pairs of chunks.
 HOT_ROWS = 4096
@@ -66,12 +69,25 @@ def sets(part: pa.RecordBatch, k: int):
         yield shingle_set(words[bounds[i]:bounds[i + 1]], k)
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
+def signature(shingles: np.ndarray, bits: int = BITS) -> np.ndarray:
     """Bitmap in which each shingle flips one bit, as uint64 words."""
-    flips = np.bincount((mix(shingles) >> np.uint64(20)).astype(np.int64) % BITS, minlength=BITS) & 1
+    flips = np.bincount((mix(shingles) >> np.uint64(20)).astype(np.int64) % bits, minlength=bits) & 1
     return np.packbits(flips.astype(np.uint8)).view(np.uint64)
 
 
+def wide_bits(n: int) -> int:
+    """The bits that don't saturate for a set of n shingles: a power of 4 from n on, up to 4 n."""
+    return max(BITS, 4 ** ((n.bit_length() - 1) // 2 + 1))
+
+
+def folded(bitmaps: list[bytes]) -> np.ndarray:
+    """Bitmaps of several widths (powers of two) at the least of them: the halves of a bitmap, combined by exclusive or,
+    are the bitmap of half the bits."""
+    words = [np.frombuffer(b, np.uint64) for b in bitmaps]
+    width = min(map(len, words))
+    return np.stack([np.bitwise_xor.reduce(w.reshape(-1, width)) if len(w) > width else w for w in words])
+
+
 def prefix_size(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
@@ -127,12 +143,13 @@ def ranks(table: np.ndarray, shingles: np.ndarray) -> np.ndarray:
 
 
 def entries(docs: DataFrame, held: Broadcast, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(key, cls, n) under the rarest shingles of each class, and (cls, n, sig); a class once for each task at most."""
+    """(key, cls, n) under the rarest shingles of each class, and (cls, n, sig, wide: a wider bitmap of a large set, else
+    null); a class once for each task at most."""
     def run(batches):
         table, seen = held.value, set()
-        names = ["key", "cls", "n", "sig"]
+        names = ["key", "cls", "n", "sig", "wide"]
         for part in slices(batches):
-            keys, cls, n, sigs = [], [], [], []
+            keys, cls, n, sigs, wide = [], [], [], [], []
             for s in sets(part, k):
                 c = class_id(s)
                 if not len(s) or c in seen:
@@ -144,16 +161,19 @@ def entries(docs: DataFrame, held: Broadcast, k: int, percent: int) -> tuple[Dat
                 cls.append(c)
                 n.append(len(s))
                 sigs.append(signature(s).tobytes())
+                bits = wide_bits(len(s))
+                wide.append(signature(s, bits).tobytes() if bits > BITS else None)
             if cls:
                 sizes = [len(x) for x in keys]
                 at = np.repeat(np.arange(len(cls)), sizes)
                 one, size = pa.array(cls, pa.binary()), pa.array(n, pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), one.take(pa.array(at)), size.take(pa.array(at)),
-                                                  pa.nulls(len(at), pa.binary())], names=names)
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(cls), pa.int64()), one, size, pa.array(sigs, pa.binary())], names=names)
+                                                  pa.nulls(len(at), pa.binary()), pa.nulls(len(at), pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(cls), pa.int64()), one, size, pa.array(sigs, pa.binary()), pa.array(wide, pa.binary())],
+                                                 names=names)
 
-    both = stored(docs.select("text").mapInArrow(run, "key long, cls binary, n long, sig binary"), "jaccard-entries")
-    return both.where("sig is null").select("key", "cls", "n"), both.where("sig is not null").select("cls", "n", "sig")
+    both = stored(docs.select("text").mapInArrow(run, "key long, cls binary, n long, sig binary, wide binary"), "jaccard-entries")
+    return both.where("sig is null").select("key", "cls", "n"), both.where("sig is not null").select("cls", "n", "sig", "wide")
 
 
 def shared_entries(entered: DataFrame, held_counters: Broadcast, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -266,14 +286,14 @@ def near_rows(cell: pa.RecordBatch, sig: np.ndarray, percent: int):
             yield i, lowest[i] + np.flatnonzero(ok)
 
 
-def wanted_classes(tiles: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
-    """(key, band, low, high, chunk, cls): the classes that a cell of a tile must verify, as many rows as the tiles have at
-    most."""
+def wanting(rows: DataFrame, percent: int) -> DataFrame:
+    """(key, band, low, high, chunk, early, cls): the classes with a pair in their cell that the bounds admit and that
+    shares no earlier one of its first shingles. ``rows``: those columns, n, home and sig."""
     def run(batches):
         for cell in whole_cells(batches):
             if cell.num_rows < 2:
                 continue
-            sig = np.frombuffer(b"".join(cell.column("sig").to_pylist()), np.uint64).reshape(-1, BITS // 64)
+            sig = folded(cell.column("sig").to_pylist())
             lists = cell.column("early")
             count = lists.value_lengths().to_numpy()
             early = np.full((len(sig), EARLY), cell.column("key")[0].as_py(), np.int64)  # never an earlier one
@@ -285,18 +305,23 @@ def wanted_classes(tiles: DataFrame, signed: DataFrame, percent: int) -> DataFra
                 if len(near):
                     want[near] = want[i] = True
             if want.any():
-                yield cell.select([*CELL, "chunk", "cls"]).filter(pa.array(want))
+                yield cell.select([*CELL, "chunk", "early", "cls"]).filter(pa.array(want))
+
+    return (rows.select(*CELL, "chunk", "early", "n", "cls", "home", "sig").repartition(*CELL).sortWithinPartitions(*CELL, "n", "cls")
+            .mapInArrow(run, "key long, band int, low int, high int, chunk int, early array<long>, cls binary"))
 
+
+def wanted_classes(tiles: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
+    """(key, band, low, high, chunk, early, cls): the classes that a cell of a tile must look at, as many rows as the tiles
+    have at most."""
     bands = F.sequence(scale(F.col("n")), scale(F.col("n") * 100.0 / percent))
     keys = (tiles.groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("rank", "key"))).alias("keys"))
-            .join(signed.withColumn("bands", bands).withColumn("home", scale(F.col("n"))), "cls"))
+            .join(signed.select("cls", "n", "sig", bands.alias("bands"), scale(F.col("n")).alias("home")), "cls"))
     rows = (keys.select("cls", "n", "sig", "home", "bands", F.expr(f"transform(slice(keys, 1, {EARLY}), x -> x.key)").alias("first"),
                         F.posexplode("keys").alias("at", "own"))
             .select("cls", "n", "sig", "home", F.explode("bands").alias("band"), F.col("own.key").alias("key"),
                     F.expr(f"slice(first, 1, least(at, {EARLY}))").alias("early")))
-    banded = tiles.select("key", F.explode(bands).alias("band"))
-    return (dealt(banded, rows).select(*CELL, "chunk", "n", "cls", "home", "sig", "early").repartition(*CELL)
-            .sortWithinPartitions(*CELL, "n", "cls").mapInArrow(run, "key long, band int, low int, high int, chunk int, cls binary"))
+    return wanting(dealt(tiles.select("key", F.explode(bands).alias("band")), rows), percent)
 
 
 def class_arrays(docs: DataFrame, firsts: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -362,7 +387,7 @@ def cell_links(arrays: DataFrame, held: Broadcast, percent: int, every_link: boo
             r = ranks(table, s)
             before.append(s[(r < rank) | ((r == rank) & (s.view(np.int64) < key))])
         group, count, edges = np.arange(len(arrays)), np.zeros(len(arrays), np.int64), []
-        for i, near in near_rows(cell, np.stack([signature(s) for s in arrays]), percent):
+        for i, near in near_rows(cell, folded([signature(s, wide_bits(len(s))).tobytes() for s in arrays]), percent):
             # Steps bound what is held at once; they also save pairs that an earlier step has joined.
             step = max(1, (1 << 20 if every_link else 1 << 13) // len(arrays[i]))
             for part in np.split(near, range(step, len(near), step)):
@@ -397,13 +422,18 @@ def class_components(docs: DataFrame, rows: DataFrame, pieces: DataFrame, k: int
     firsts = stored(rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), text, F.first("n").alias("n")), "jaccard-classes")
     entered, signatures = entries(docs, held, k, percent)
     twos, tiles = shared_entries(entered, held, percent)
-    signed = stored(signatures.groupBy("cls").agg(F.first("sig").alias("sig"), F.first("n").alias("n")), "jaccard-signed")
+    signed = stored(signatures.groupBy("cls").agg(F.first("sig").alias("sig"), F.first("wide").alias("wide"), F.first("n").alias("n")), "jaccard-signed")
 
     # A tile of two classes is a cell of its own.
     zero = F.lit(0)
     pairs = (admitted_pairs(twos, signed, percent).select("key", scale(F.col("n")).alias("band"), zero.alias("low"), zero.alias("high"),
-                                                          zero.alias("chunk"), F.explode(F.array("a", "b")).alias("cls")))
+                                                          zero.alias("chunk"), F.array().cast("array<long>").alias("early"),
+                                                          F.explode(F.array("a", "b")).alias("cls")))
     wanted = stored(pairs.unionByName(wanted_classes(tiles, signed, percent)), "jaccard-cells")
+    # Large sets fill the narrow bitmaps: what is left of them is looked at again by the wide ones before any array moves.
+    large = F.col("band") >= WIDE_BAND
+    wide = signed.select("cls", "n", scale(F.col("n")).alias("home"), F.coalesce("wide", "sig").alias("sig"))
+    wanted = stored(wanted.where(~large).unionByName(wanting(wanted.where(large).join(wide, "cls"), percent)), "jaccard-wide")
     found = stored(cell_links(class_arrays(docs, firsts, wanted, k), held, percent, every_link), "jaccard-links")
     label = components(found.where("b is not null"), "a", "b")
 

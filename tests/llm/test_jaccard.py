@@ -108,3 +108,28 @@ def test_every_link_between_near_copies_is_counted(spark):
     exact = {i: sum(i % 100 != j and 10 * len(a & b) >= 9 * len(a | b) for j, b in grams.items() if j < 100) for i, a in grams.items()}
     got = jc.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), 3, 90).collect()
     assert {x["doc_id"]: x["n_links"] for x in got} == exact and max(exact.values()) > 20
+
+
+def test_wide_bitmaps_fold_to_narrow_ones():
+    r = np.random.default_rng(2)
+    for n in (1, 255, 256, 1023, 1024, 5000):
+        s = np.unique(r.integers(0, 2**63, n).astype(np.uint64))
+        bits = jc.wide_bits(len(s))
+        assert bits >= 512 and len(s) <= bits and (bits == 512 or bits <= 4 * len(s))
+        narrow, wide = jc.folded([jc.signature(s).tobytes(), jc.signature(s, bits).tobytes()])
+        assert (narrow == wide).all() and (narrow == jc.signature(s)).all()
+
+
+def test_links_of_long_texts_equal_brute_force(docs_of, rng):
+    # sets of 250 to 1,500 shingles around the borders of the bands, with shared passages that don't link
+    line = " " + prose(rng, 200) + " "
+    texts = [prose(rng, rng.randint(300, 900)) + line + prose(rng, 400) for _ in range(6)]
+    for size, most in ((255, 6), (1020, 25), (1030, 30), (1500, 60)):
+        base = prose(rng, size, 5000).split()
+        texts += copies(rng, base, 8, most) + [" ".join(base[: size * 93 // 100])]
+    pairs = list(enumerate(texts))
+    got = jc.jaccard_components(docs_of(pairs), 3, 90).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == brute(pairs, 3, 90)
+    sets = [shingles(t, 3) for t in texts]
+    assert {r["doc_id"]: r["n_links"] for r in got} == {
+        i: len({b for j, b in enumerate(sets) if b != a and 100 * len(a & b) >= 90 * len(a | b)}) for i, a in enumerate(sets)}
