@@ -47,6 +47,23 @@ def read_dataset(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFr
     return df.withColumns(casts) if casts else df
 
 
+#: Rows of an export's open files that a writer holds, a file per (fold, split) and task.
+OPEN_FILE_BYTES = 8 << 20
+
+
+def write_parted(df: DataFrame, path: str, by: Sequence[str], parts: int) -> None:
+    """``df`` as Parquet in folders by the columns ``by``, of ``parts`` values at most: a task keeps a file of each open and needs no sort of its
+    rows, which would spill; beyond ``parts`` Spark sorts the rest."""
+    conf, name = df.sparkSession.conf, "spark.sql.maxConcurrentOutputFileWriters"
+    before = conf.get(name, None)
+    conf.set(name, str(parts + 1))          # Spark goes over to sorting once so many files are open
+    try:
+        (df.write.mode("overwrite").option("parquet.block.size", OPEN_FILE_BYTES).option("compression", "zstd")
+         .partitionBy(*by).parquet(path))
+    finally:
+        conf.unset(name) if before is None else conf.set(name, before)
+
+
 def write_folds(dataset: DataFrame, members: DataFrame, base: str, export: bool = False) -> dict[str, str]:
     """Write the dataset and the membership table once; optionally export rows by (fold, split)."""
     root = base.rstrip("/")
@@ -55,7 +72,9 @@ def write_folds(dataset: DataFrame, members: DataFrame, base: str, export: bool
     members.write.mode("overwrite").parquet(out["members"])
     if export:
         out["export"] = f"{root}/by_fold"
-        fold_rows(dataset, members).write.mode("overwrite").partitionBy("fold", "split").parquet(out["export"])
+        spark = dataset.sparkSession
+        data, lists = spark.read.parquet(out["data"]), spark.read.parquet(out["members"])
+        write_parted(fold_rows(data, lists), out["export"], ["fold", "split"], max(1, lists.select("fold", "split").distinct().count()))
     return out
 
 
@@ -63,7 +82,7 @@ def write_single_split(dataset: DataFrame, members: DataFrame, base: str, drop:
     """Single train/test split (fold 0 of ``members``), partitioned by split."""
     path = f"{base.rstrip('/')}/single"
     rows = fold_rows(dataset, members, fold=0).drop("fold")
-    rows.drop(*[c for c in drop if c in rows.columns]).write.mode("overwrite").partitionBy("split").parquet(path)
+    write_parted(rows.drop(*[c for c in drop if c in rows.columns]), path, ["split"], 2)
     return path
 
 

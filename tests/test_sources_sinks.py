@@ -101,3 +101,20 @@ def test_write_folds(spark, tmp_dir):
     assert sorted((r.fold, r.split, r.uuid) for r in ex.collect()) == [(0, "test", "b"), (0, "train", "a")]
     single = spark.read.parquet(store.write_single_split(df, mem, f"{tmp_dir}/s"))
     assert "timestamp" not in single.columns and single.count() == 2
+
+
+def test_fold_export_sorts_nothing(spark, tmp_dir):
+    """The export's tasks keep a file of each of the 6 (fold, split) open, below the number that makes Spark sort; the setting is put back."""
+    df = spark.range(4000).select((F.col("id") % 20).cast("string").alias("uuid"), F.col("id").alias("timestamp"), F.lit(0).alias("label"))
+    mem = df.select("uuid").distinct().select(F.explode(F.array(*map(F.lit, range(3)))).alias("fold"), F.when(
+        F.col("uuid").cast("int") % 3 == F.col("fold"), "test").otherwise("train").alias("split"), F.lit("a").alias("source"), "uuid")
+    name, seen, conf = "spark.sql.maxConcurrentOutputFileWriters", [], type(spark.conf)
+    before, plain = spark.conf.get(name), conf.set
+    conf.set = lambda self, key, value: (seen.append((key, value)), plain(self, key, value))[1]
+    try:
+        out = store.write_folds(df, mem, f"{tmp_dir}/folds", export=True)
+    finally:
+        conf.set = plain
+    back = spark.read.parquet(out["export"])
+    assert back.count() == 12000 and back.groupBy("fold", "split").count().count() == 6
+    assert seen[0] == (name, "7") and spark.conf.get(name) == before
