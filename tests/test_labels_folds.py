@@ -178,3 +178,13 @@ def test_stratified_with_many_copies_of_one_row(spark):
         sizes.setdefault(r.label, []).append(r["count"])
     assert t.count() == len(rows) and all(max(s) - min(s) <= 1 and len(s) == 3 for s in sizes.values())
     assert sorted((r.i, r.label) for r in t.collect()) == sorted(rows)
+
+
+def test_stored_members_join_without_a_shuffle(spark):
+    """A fold's rows are read without making its lists again or moving the rows."""
+    from ctxspark.plans import checked
+
+    train, test = checked._fold0(spark, "/root/testdata/sf0.001")
+    for rows in (train, test):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and "lineitem" not in plan
