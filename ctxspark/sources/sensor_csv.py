@@ -17,6 +17,8 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ctxspark.session import shared_dir
+
 # Fold-list file names (fold, split, phone source) and the single-split file names.
 FOLD_FILE_PATTERN = r"fold_(\d+)_(train|test)_([A-Za-z0-9]+)_uuids\.txt$"
 FOLD_FILE_GLOB = "fold_*_*_*_uuids.txt"
@@ -72,7 +74,10 @@ def read_user_csvs(spark: SparkSession, paths: str | Sequence[str], uuid_from: s
              .text(paths if isinstance(paths, str) else list(paths))
              .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("b"), "value",
                      F.monotonically_increasing_id().alias("i")))
-    lines = whole_records(lines)
+    # stored once: the headers and the rows are read from the records, not from the files and their joined lines again
+    path = shared_dir(spark, "csv-records")
+    whole_records(lines).write.parquet(path)
+    lines = spark.read.parquet(path)
     first = (lines.where(F.col("b") == 0).groupBy("path")
              .agg(F.min_by("value", "i").alias("header"), F.min("i").alias("at")))       # one row a file
     headers = [r[0] for r in first.select("header").distinct().collect()]

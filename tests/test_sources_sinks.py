@@ -118,3 +118,14 @@ def test_fold_export_sorts_nothing(spark, tmp_dir):
     back = spark.read.parquet(out["export"])
     assert back.count() == 12000 and back.groupBy("fold", "split").count().count() == 6
     assert seen[0] == (name, "7") and spark.conf.get(name) == before
+
+
+def test_csv_rows_come_from_stored_records(spark, tmp_dir):
+    """Files are read and their broken lines joined once; headers and rows come from the stored records."""
+    os.makedirs(f"{tmp_dir}/u")
+    _write(f"{tmp_dir}/u/a.csv", 'timestamp,x,label_source\n1,2.5,"one\ntwo"\n2,nan,three\n')
+    _write(f"{tmp_dir}/u/b.csv", "x,timestamp\n7,3\n")
+    out = sc.read_user_csvs(spark, f"{tmp_dir}/u")
+    assert not [f for f in out.inputFiles() if f.endswith(".csv")]
+    assert sorted((r.uuid, r.timestamp, r.x, r.label_source) for r in out.collect()) == [
+        ("a", 1, 2.5, "one\ntwo"), ("a", 2, None, "three"), ("b", 3, 7.0, None)]
