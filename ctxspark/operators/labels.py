@@ -2,8 +2,8 @@
 
 The features/labels left join on (uuid, timestamp) is a hash-partitioned equi-join; with k copies of a key it
 gives k*k rows, exactly like a relational left join. When features and labels come from the *same* table and the
-key is unique, the join is redundant: :func:`merged_dataset` can check uniqueness with one key-only aggregate and
-then project instead of joining (strategy ``"auto"``).
+key is unique, the join is redundant: :func:`merged_dataset` can find the repeated keys with one key-only aggregate and
+then join only their rows (strategies ``"repeated"`` and ``"auto"``).
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ctxspark.functions import (
@@ -23,6 +23,7 @@ from ctxspark.functions import (
     label_name,
     q,
 )
+from ctxspark.session import shared_dir
 
 KEYS = ("uuid", "timestamp")
 
@@ -68,10 +69,40 @@ def order_columns(df: DataFrame, first: Sequence[str] = ("uuid",)) -> DataFrame:
     return df.select(*[q(c) for c in lead + rest])
 
 
-def has_unique_keys(df: DataFrame, keys: Sequence[str] = KEYS) -> bool:
-    """One aggregate over the key columns only (partial aggregation before the shuffle)."""
-    dup = df.groupBy(*[q(k) for k in keys]).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
-    return dup.limit(1).count() == 0
+#: Hashes of repeated keys are broadcast up to this many (counted first); beyond it the whole frames are joined.
+REPEATED_KEYS = 1_000_000
+
+
+def key_hash(keys: Sequence[str] = KEYS) -> Column:
+    return F.xxhash64(*[q(k) for k in keys]).alias("__key")
+
+
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def repeated_keys(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """(__key): the hashes that several rows' keys have, written once, from one aggregate over the key columns only."""
+    dup = df.select(key_hash(keys)).groupBy("__key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+    return _stored(dup.select("__key"), "repeated-keys")
+
+
+def join_repeated(df: DataFrame, repeated: DataFrame, n_repeated: int, activity_labels: Sequence[str], keys: Sequence[str] = KEYS) -> DataFrame:
+    """:func:`join_labels` of the two roles of ``df``, for which only the rows of ``repeated`` keys are joined: a row whose key stands alone
+    meets itself, and one without a key (null) meets nothing and gets null labels."""
+    features, labels = split_roles(df, activity_labels, keys)
+    if n_repeated > REPEATED_KEYS:
+        return join_labels(features, labels, keys)
+    known = reduce(lambda a, b: a & b, [q(k).isNotNull() for k in keys])
+    rows, few = df.withColumn("__key", key_hash(keys)), F.broadcast(repeated)
+    alone = (rows.join(few, "__key", "left_anti") if n_repeated else rows).select(
+        *[q(c) for c in features.columns], *[F.when(known, q(c)).alias(c) for c in activity_labels])
+    if not n_repeated:
+        return alone
+    several = _stored(rows.join(few, "__key", "left_semi").drop("__key"), "repeated-rows")
+    return alone.unionByName(join_labels(*split_roles(several, activity_labels, keys), keys))
 
 
 def merged_dataset(df: DataFrame, activity_labels: Sequence[str] = ACTIVITY_LABELS, names: Sequence[str] | None = None,
@@ -79,13 +110,19 @@ def merged_dataset(df: DataFrame, activity_labels: Sequence[str] = ACTIVITY_LABE
     """Features joined with their labels, labelled, columns sorted.
 
     ``strategy``: ``"join"`` always joins (duplicates fan out k*k); ``"project"`` assumes unique keys;
-    ``"auto"`` checks the keys once and projects when they are unique.
+    ``"repeated"`` finds the repeated keys first and joins their rows only, with the result of ``"join"``;
+    ``"auto"`` does the same, or projects when the keys are unique.
     """
-    if strategy not in ("join", "project", "auto"):
+    if strategy not in ("join", "project", "repeated", "auto"):
         raise ValueError(f"unknown strategy {strategy!r}")
     features, labels = split_roles(df, activity_labels, keys)
-    if strategy == "project" or (strategy == "auto" and has_unique_keys(df, keys)):
-        merged = df.select(*[q(c) for c in features.columns], *[q(c) for c in activity_labels])
-    else:
+    if strategy == "join":
         merged = join_labels(features, labels, keys)
+    else:
+        repeated = repeated_keys(df, keys) if strategy != "project" else None
+        n_repeated = repeated.count() if repeated is not None else 0
+        if strategy == "repeated" or n_repeated:
+            merged = join_repeated(df, repeated, n_repeated, activity_labels, keys)
+        else:
+            merged = df.select(*[q(c) for c in features.columns], *[q(c) for c in activity_labels])
     return order_columns(set_labels(merged, activity_labels, names))

@@ -423,7 +423,7 @@ def a3_column_modes(spark, sf_dir):
 
 def _labelled_join(spark, sf_dir):
     """The merged dataset (features joined with labels, argmax label) without the label name."""
-    return lb.merged_dataset(fx.samples(spark, sf_dir, with_part=False), fx.SAMPLE_LABELS).drop("label_name")
+    return lb.merged_dataset(fx.samples(spark, sf_dir, with_part=False), fx.SAMPLE_LABELS, strategy="repeated").drop("label_name")
 
 
 def _stored_rows(spark, sf_dir):

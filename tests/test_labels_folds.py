@@ -188,3 +188,24 @@ def test_stored_members_join_without_a_shuffle(spark):
     for rows in (train, test):
         plan = rows._jdf.queryExecution().executedPlan().toString()
         assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and "lineitem" not in plan
+
+
+def test_joining_repeated_keys_only_equals_the_whole_join(spark, monkeypatch):
+    rows = [("u", 1, 1.0, 0.0, 1.0), ("u", 2, 2.0, 1.0, 0.0), ("w", 1, None, 0.0, 0.0), ("u", 2, 3.0, 0.0, 1.0), ("u", 2, 3.0, 0.0, 1.0),
+            (None, 1, 4.0, 1.0, 0.0), ("v", None, 5.0, 1.0, 0.0), (None, 7, 6.0, 0.0, 1.0), (None, 7, 6.0, 1.0, 0.0)]
+    for part in (rows, rows[:3], rows[:3] + rows[5:7], rows[5:], []):
+        df = _wide(spark, part)
+        whole = sorted(lb.merged_dataset(df, ACT, strategy="join").collect(), key=repr)
+        assert sorted(lb.merged_dataset(df, ACT, strategy="repeated").collect(), key=repr) == whole
+        with monkeypatch.context() as m:
+            m.setattr(lb, "REPEATED_KEYS", 0)
+            assert sorted(lb.merged_dataset(df, ACT, strategy="repeated").collect(), key=repr) == whole
+
+
+def test_only_rows_of_repeated_keys_are_joined(spark, monkeypatch):
+    df = _wide(spark, [("u", i, float(i), 0.0, 1.0) for i in range(50)] + [("u", 3, 9.0, 1.0, 0.0)])
+    joined = []
+    join = lb.join_labels
+    monkeypatch.setattr(lb, "join_labels", lambda f, *a, **b: (joined.append(f.count()), join(f, *a, **b))[1])
+    assert lb.merged_dataset(df, ACT, strategy="auto").count() == 49 + 4
+    assert joined == [2]
