@@ -86,3 +86,28 @@ def test_agreement_tables(spark):
     assert len(byc) == 12
     h = {r["class"]: (r.label, r.a, r.b) for r in cmp.disagreement_histogram(df, "label", "a", "b", 3).collect()}
     assert h == {0: (1, 1, 0), 1: (0, 0, 1), 2: (0, 0, 0)}
+
+
+def test_agreement_scores_only_the_rows_asked_for(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    spark.range(1000).select("id", (F.col("id") % 100).alias("uuid"), (F.col("id") % 3).cast("int").alias("label")).write.parquet(path)
+    scored = spark.sparkContext.accumulator(0)
+
+    def score(x):
+        scored.add(1)
+        return x % 2
+
+    model = F.udf(score, "int")
+    rows = spark.read.parquet(path).join(spark.createDataFrame([(7,), (8,)], "uuid long"), "uuid").withColumn("a", model("label")).withColumn("b", F.lit(1))
+    got = {(r.label, r.correct_a, r.correct_b): r.n for r in cmp.agreement_matrix(rows, "label", "a", "b", by_class=True).collect()}
+    assert len(got) == 12 and sum(got.values()) == 20
+    # the model isn't applied to rows that the join leaves out
+    assert scored.value == 20
+
+
+def test_agreement_of_missing_predictions(spark):
+    rows = spark.createDataFrame([(0, 0, 0), (0, None, 0), (1, 0, 1)], "label int, a int, b int")
+    got = {(r.label, r.correct_a, r.correct_b): (r.n, r.share) for r in cmp.agreement_matrix(rows, "label", "a", "b", by_class=True).collect()}
+    assert got == {(k, x, y): (int((k, x, y) in ((0, 1, 1), (1, 0, 1))), float((k, x, y) in ((0, 1, 1), (1, 0, 1))))
+                   for k in (0, 1) for x in (0, 1) for y in (0, 1)}
+    assert cmp.agreement_matrix(rows.limit(0), "label", "a", "b", by_class=True).count() == 0
