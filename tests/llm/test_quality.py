@@ -1,6 +1,7 @@
 import collections
 import math
 import random
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -136,3 +137,32 @@ def test_words_beyond_any_list_are_told_apart(spark):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(300)], "doc_id long, quality int, toxic int")
     gone = {x["doc_id"] for x in ql.quality(docs, labels).collect() if not x["keep"]}
     assert gone >= {*range(1000, 1030)} and len(gone) <= 30 + 6
+
+
+def test_shapes_of_a_column_equal_those_of_single_words():
+    r = random.Random(9)
+    words = ["".join(r.choice("abAZ.,;:!?12-éÄß×÷Þ語_µ") for _ in range(r.randint(1, 14))) for _ in range(20000)] + ["...", "A.", "?!", "x"]
+    assert ql.shapes(pa.array(["skipped", *words]).slice(1)).tolist() == [ql.shape(w) for w in words]
+    bounds, code = ql.spelling(pa.array(["Où!", "a"]))
+    assert bounds.tolist() == [0, 6, 9] and code[6:].tolist() == [ql.shape("a"), ql.WORD + ord("a"), ql.END]
+    assert code[1:5].tolist() == [ql.WORD + b for b in "Où!".encode()]
+
+
+def test_rounds_and_shards_agree_with_one_table_and_store_little(spark, corpus, monkeypatch):
+    """Trigrams counted and texts scored in parts give the sums of one table; what is stored stays far below a row of
+    numbers a trigram."""
+    docs, labels = corpus
+    rows = docs.selectExpr("monotonically_increasing_id() AS row", "doc_id", "text", "lang")
+    folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    a = {x["row"]: x for x in ql.score_documents(rows, labels, 10**9).collect()}
+    for name, value in (("SHARDS", 5), ("SHARD_ROWS", 10**6), ("ROUND_WORDS", 10_000), ("ROUND_BYTES", 100_000)):
+        monkeypatch.setattr(ql, name, value)
+    before = {*folder.glob("llm-quality-*")}
+    b = {x["row"]: x for x in ql.score_documents(rows, labels, 0).collect()}
+    made = sum(f.stat().st_size for d in {*folder.glob("llm-quality-*")} - before for f in d.rglob("*.parquet"))
+    assert a.keys() == b.keys()
+    for k in a:
+        assert a[k]["nll"] == pytest.approx(b[k]["nll"], rel=1e-4) and a[k]["keep"] == b[k]["keep"]
+        assert [a[k][c] for c in ("doc_id", "lang", "text_hash", "n_words")] == [b[k][c] for c in ("doc_id", "lang", "text_hash", "n_words")]
+    words = sum(len((t or "").split()) for (t,) in {(x["text"],) for x in docs.where("doc_id < 300").collect()})
+    assert made < 50 * words
